@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +22,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared folder; choose one only where none is named (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named and sc.getCheckpointDir() is None:
+    if named and sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named)
-    elif sc.getCheckpointDir() is None:
+    elif sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
 
 
@@ -46,3 +47,23 @@ def with_row_id(docs: DataFrame, name: str = "_rid") -> DataFrame:
     """A number for each row of a scan. The same files give the same numbers, so
     two branches of one plan, and tasks that run again, agree on them."""
     return docs.withColumn(name, F.monotonically_increasing_id())
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join on the columns named in ``on`` that Spark may split at hot keys.
+
+    A side that an aggregate already partitioned by the keys would be used as it
+    is, and one task would get all rows of a key. With a hash of the keys as one
+    more key, both sides are shuffled for the join, and AQE splits large partitions.
+    """
+    key = F.xxhash64(*[F.col(c) for c in on]).alias("_join")
+    return left.select("*", key).join(right.select("*", key), [*on, "_join"], how).drop("_join")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet under the shared checkpoint folder and read again."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables/{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: query name -> module of this subpackage
 MODULES = {
     "op1_url_filter": "url_filter",
+    "op2_packing": "packing",
     "op3_mixing": "mixing",
+    "op4_embedding_dedup": "embedding_dedup",
+    "op5_ngram_join": "ngram_join",
     "op7_language_id": "language_id",
     "op9_pii": "pii",
     "op10_exact_dedup": "exact_dedup",
