@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -43,9 +44,21 @@ def text_of(docs: DataFrame, name: str = "text") -> Column:
     return F.coalesce(docs[name].cast("string"), F.lit(""))
 
 
+#: Plans of these nodes alone give the same partitions and rows whichever columns are read.
+STABLE = {"Relation", "LogicalRelation", "LocalRelation", "LogicalRDD", "Project", "Filter", "SubqueryAlias", "View"}
+
+
+def stable(docs: DataFrame) -> DataFrame:
+    """docs itself if it is a scan; else docs written to the checkpoint folder, since a
+    shuffle below may deal rows out differently when fewer columns are read."""
+    tree = docs._jdf.queryExecution().analyzed().toString()
+    nodes = set(re.findall(r"^[\s:+\-]*'?([A-Z]\w+)", tree, re.MULTILINE))
+    return docs if nodes <= STABLE else cut(docs)
+
+
 def with_row_id(docs: DataFrame, name: str = "_rid") -> DataFrame:
-    """A number for each row of a scan. The same files give the same numbers, so
-    two branches of one plan, and tasks that run again, agree on them."""
+    """A number for each row of a stable table. The same files give the same numbers,
+    so two branches of one plan, and tasks that run again, agree on them."""
     return docs.withColumn(name, F.monotonically_increasing_id())
 
 

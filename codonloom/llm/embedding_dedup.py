@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codonloom.llm.common import BROADCAST_ROWS, cut, split_join, table, with_row_id
+from codonloom.llm.common import BROADCAST_ROWS, cut, split_join, stable, table, with_row_id
 from codonloom.llm.components import connected_components
 
 COSINE = 0.93
@@ -154,7 +154,7 @@ def link_embeddings(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     counts as the largest; alone, it is its own component. Repeated rows link with
     each other. Empty table: empty result.
     """
-    rows = with_row_id(vectors).select("_rid", F.col("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("vector"))
+    rows = with_row_id(stable(vectors)).select("_rid", F.col("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("vector"))
     fine = (
         F.col("label").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0)
         & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))

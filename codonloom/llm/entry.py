@@ -14,7 +14,9 @@ MODULES = {
     "op3_mixing": "mixing",
     "op4_embedding_dedup": "embedding_dedup",
     "op5_ngram_join": "ngram_join",
+    "op6_licence_scan": "licence_scan",
     "op7_language_id": "language_id",
+    "op8_suffix_dedup": "suffix_dedup",
     "op9_pii": "pii",
     "op10_exact_dedup": "exact_dedup",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codonloom.llm.common import SPACE, table, text_of, with_row_id
+from codonloom.llm.common import SPACE, stable, table, text_of, with_row_id
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -24,7 +24,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first in scan order). Empty table: empty result.
     """
     norm = F.translate(text_of(docs, text_col), SPACE, "")
-    base = with_row_id(docs).select(
+    base = with_row_id(stable(docs)).select(
         F.col("_rid"),
         F.col(id_col).alias("_id"),
         *[F.col(c) for c in keep],
@@ -53,6 +53,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """docs without its exact copies, with the columns of docs."""
+    docs = stable(docs)
     gone = exact_groups(docs).filter(~F.col("kept")).select("_rid")
     return with_row_id(docs).join(gone, "_rid", "left_anti").select(*docs.columns)
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codonloom.llm.common import cut, small, table, text_of, with_row_id
+from codonloom.llm.common import cut, small, stable, table, text_of, with_row_id
 
 #: A word: a run without space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -120,7 +120,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: float =
     Repeated rows: mixed each on its own. A source without words: target and taken
     0. Empty table: empty result. Same rows and seed: same result.
     """
-    base = with_row_id(docs).select(
+    base = with_row_id(stable(docs)).select(
         "_rid", F.col("doc_id").alias("_id"), F.col("source").cast("string").alias("source"), *[F.col(c).alias(f"_k_{c}") for c in keep],
         word_count(text_of(docs)).alias("size"), F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("key"),
     )

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codonloom.llm.common import BROADCAST_ROWS, cut, split_join, table, text_of, with_row_id
+from codonloom.llm.common import BROADCAST_ROWS, cut, split_join, stable, table, text_of, with_row_id
 from codonloom.llm.components import connected_components
 from codonloom.llm.shingles import MinHash, normalised, shingles
 
@@ -131,7 +131,7 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are one shingle. Null id: the largest; alone, its class is null. Empty: empty.
     """
     bands = bands_for(similarity, recall)
-    source = with_row_id(docs).select(F.col("_rid").alias("rid"), F.col(id_col).cast("long").alias("id"), text_of(docs, text_col).alias("text"))
+    source = with_row_id(stable(docs)).select(F.col("_rid").alias("rid"), F.col(id_col).cast("long").alias("id"), text_of(docs, text_col).alias("text"))
     members = cut(source.mapInArrow(sketch(bands, ROWS, SEED), "rid long, id long, key binary, n long, bands array<long>, sign binary"))
     entries = cut(
         members.filter("key is not null").groupBy("key")
@@ -176,6 +176,7 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs with one document of each class, with the columns of docs."""
+    docs = stable(docs)
     gone = cut(join_documents(docs).filter(~F.col("kept")).select("_rid"))
     few = gone.count() < BROADCAST_ROWS
     return with_row_id(docs).join(F.broadcast(gone) if few else gone, "_rid", "left_anti").select(*docs.columns)

@@ -48,3 +48,11 @@ def test_awkward_rows(spark, tmp_path):
 def test_empty(spark):
     assert exact_groups(cases.empty(spark)).count() == 0
     assert drop_exact_copies(cases.empty(spark)).count() == 0
+
+
+def test_scans_are_used_as_they_are(spark, sf):
+    from codonloom.llm.common import stable
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert stable(docs) is docs and stable(docs.filter("doc_id > 3").select("text")) is not None
+    assert stable(docs.repartition(3)) is not docs
