@@ -177,11 +177,18 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     phi = np.full(n, -1, dtype=np.int64)
     phi[sa[1:]] = sa[:-1]
     plcp = np.zeros(n, dtype=np.int64)
-    padded = np.concatenate([t, np.arange(-1, -most - 1, -1)])
-    live = np.flatnonzero(phi >= 0)
-    for k in range(most):
-        live = live[padded[live + k] == padded[phi[live] + k]]
-        if not len(live):
-            break
-        plcp[live] = k + 1
+    # Characters past the end are all different: a suffix shares nothing beyond itself.
+    padded = np.concatenate([t, np.arange(-1, -most - 5, -1)]).astype(np.int64)
+    words = np.zeros(len(padded) - 3, dtype=np.int64)
+    for k in range(4):  # four characters a word
+        words = (words << 16) | (padded[k : k + len(words)] & 0xFFFF)
+    live, k = np.flatnonzero(phi >= 0), 0
+    while k < most and len(live):
+        equal = (words[live + k] == words[phi[live] + k]) & (k + 4 <= most)
+        last = live[~equal]
+        for j in range(k, min(k + 4, most)):
+            last = last[padded[last + j] == padded[phi[last] + j]]
+            plcp[last] = j + 1
+        live, k = live[equal], k + 4
+        plcp[live] = k
     return plcp

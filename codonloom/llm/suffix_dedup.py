@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codonloom.llm.common import BROADCAST_ROWS, stable, stored, table, text_of, with_row_id
+from codonloom.llm.common import stable, stored, table, text_of, with_row_id
 from codonloom.llm.shingles import BACK, BASE, mix, powers
 from codonloom.llm.suffix_array import permuted_prefixes, suffix_array
 
@@ -21,6 +21,8 @@ LENGTH = 100
 #: LENGTH bytes, so equal windows have equal anchors at equal offsets.
 ANCHOR = 37
 STEPS = (1, 2, 4, 8, 16, 32)  # the anchors of a window: LENGTH - ANCHOR + 1 = 64
+#: A window holds its anchor and this many bytes before it, or this many after it.
+SIDE = 32
 BASE2 = 0xD6E8FEB86659FD93
 BACK2 = pow(BASE2, -1, 1 << 64)
 #: Windows handled at once, rows held before copies are collapsed, bytes of a shard's array.
@@ -30,16 +32,17 @@ HOT_SAMPLE = 32
 #: An anchor is hot if its different contexts in the sample exceed both of these.
 HOT_LEAST, HOT_SHARE = 48, 1e-3
 
-ROW = "k long, seg long, doc long, rid long, a long, n int"
-NAMES = ["k", "seg", "doc", "rid", "a", "n"]
-TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+ROW = "k long, seg long, wide long, doc long, rid long, a long, n int"
+NAMES = ["k", "seg", "wide", "doc", "rid", "a", "n"]
+TYPES = [pa.int64()] * 6 + [pa.int32()]
 
 
 def segments(b: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(k, seg, a, n) of a text of bytes: runs of n windows, the first starting at a,
-    that share an anchor, whose hash is k; seg hashes the bytes that the windows
-    cover and the anchor's place in them. For a hot anchor, k and seg hash each
-    window by itself, with n = 1."""
+    """(k, seg, wide, a, n) of a text of bytes: runs of n windows, the first starting at
+    a, that share an anchor, whose hash is k; seg hashes the bytes that the windows
+    cover and the anchor's place in them; wide holds 32 bits each of the hashes of the
+    anchor with the SIDE bytes before and after it, 0 where no window has those. For a
+    hot anchor, k and seg hash each window by itself, with n = 1 and wide = 0."""
     x = b.astype(np.uint64) + np.uint64(1)
     size, zero = len(b), np.zeros(1, np.uint64)
     one = np.concatenate([zero, np.cumsum(x * powers(BASE, size))])
@@ -56,6 +59,11 @@ def segments(b: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
     k = low[a]
     end = a + n - 1 + LENGTH
     seg = mix((two[end] - two[a]) * back2[a] + mix((n * 128 + (at[a] - a)).astype(np.uint64)))
+    m = at[a].astype(np.int64)
+    before = np.where(m - a >= SIDE, mix((one[m + ANCHOR] - one[np.maximum(m - SIDE, 0)]) * back[np.maximum(m - SIDE, 0)]) | np.uint64(1 << 32), np.uint64(0))
+    after_end = np.minimum(m + ANCHOR + SIDE, size)
+    after = np.where(m + ANCHOR + SIDE <= end, mix((one[after_end] - one[m]) * back[m]) | np.uint64(1 << 32), np.uint64(0))
+    wide = ((before >> np.uint64(32)) << np.uint64(32)) | (after >> np.uint64(32))
     if len(hot):
         there = np.isin(k, hot)
         if there.any():
@@ -64,19 +72,20 @@ def segments(b: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
             ws = mix((two[w + LENGTH] - two[w]) * back2[w])
             k, seg, a = np.concatenate([k[~there], wk]), np.concatenate([seg[~there], ws]), np.concatenate([a[~there], w])
             n = np.concatenate([n[~there], np.ones(len(w), dtype=n.dtype)])
-    return k, seg, a, n
+            wide = np.concatenate([wide[~there], np.zeros(len(w), np.uint64)])
+    return k, seg, wide, a, n
 
 
 def batch_of(*columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c, type=t) for c, t in zip(columns, TYPES, strict=True)], names=NAMES)
 
 
-def collapse(k, seg, doc, rid, a, n):
+def collapse(k, seg, wide, doc, rid, a, n):
     """Rows ordered by k, seg and place, and whether each is the first of its (k, seg)."""
     order = np.lexsort((a, rid, doc, seg, k))
-    k, seg, doc, rid, a, n = (c[order] for c in (k, seg, doc, rid, a, n))
+    k, seg, wide, doc, rid, a, n = (c[order] for c in (k, seg, wide, doc, rid, a, n))
     first = np.append(True, (k[1:] != k[:-1]) | (seg[1:] != seg[:-1])) if len(k) else np.zeros(0, bool)
-    return (k, seg, doc, rid, a, n), first
+    return (k, seg, wide, doc, rid, a, n), first
 
 
 def merged(rid: np.ndarray, a: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -102,16 +111,17 @@ def find_segments(hot: np.ndarray):
             yield batch_of(*(c[first] for c in cols))
             again = ~first
             if again.any():
-                rid, a, n = merged(cols[3][again], cols[4][again], cols[5][again])
+                rid, a, n = merged(cols[4][again], cols[5][again], cols[6][again])
                 key = mix(rid.view(np.uint64) + np.uint64(1))
-                yield batch_of(key, np.zeros(len(rid), np.int64), np.zeros(len(rid), np.int64), rid, a, -n)
+                zero = np.zeros(len(rid), np.int64)
+                yield batch_of(key, zero, zero, zero, rid, a, -n)
 
         for batch in batches:
             for rid, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 b = np.frombuffer(text.as_buffer() or b"", np.uint8)
                 for lo in range(0, max(0, len(b) - LENGTH + 1), CHUNK):
-                    k, seg, a, n = segments(b[lo : lo + CHUNK + LENGTH - 1], hot)
-                    held.append((k, seg, np.full(len(k), doc), np.full(len(k), rid), a.astype(np.int64) + lo, n))
+                    k, seg, wide, a, n = segments(b[lo : lo + CHUNK + LENGTH - 1], hot)
+                    held.append((k, seg, wide, np.full(len(k), doc), np.full(len(k), rid), a.astype(np.int64) + lo, n))
                     count += len(k)
                     if count >= HELD:
                         yield from flush()
@@ -141,25 +151,29 @@ def by_key(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[np
 
 def match_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow over rows sorted by k. Every segment but the first of its equals is
-    covered: a row with n < 0. Anchors that stand in different segments: each goes on
-    to a suffix array, as a row with n > 0. All other rows are unique and end here."""
-    for k, seg, doc, rid, a, n in by_key(batches, 6):
+    covered: a row with n < 0. Different segments of one anchor that also agree SIDE
+    bytes further on one side, as equal windows do, go on to a suffix array, as rows
+    with n > 0. All other rows are unique and end here."""
+    for k, seg, wide, doc, rid, a, n in by_key(batches, 7):
         done = n < 0
         if done.any():
-            yield batch_of(k[done], seg[done], doc[done], rid[done], a[done], n[done])
-        (k, seg, doc, rid, a, n), first = collapse(*(c[~done] for c in (k, seg, doc, rid, a, n)))
+            yield batch_of(*(c[done] for c in (k, seg, wide, doc, rid, a, n)))
+        (k, seg, wide, doc, rid, a, n), first = collapse(*(c[~done] for c in (k, seg, wide, doc, rid, a, n)))
         if not len(k):
             continue
         again = ~first
         if again.any():
             r, s, m = merged(rid[again], a[again], n[again])
             zero = np.zeros(len(r), np.int64)
-            yield batch_of(zero, zero, zero, r, s, -m)
-        k, seg, doc, rid, a, n = (c[first] for c in (k, seg, doc, rid, a, n))
-        _, inverse, times = np.unique(k, return_inverse=True, return_counts=True)
-        some = times[inverse] > 1
+            yield batch_of(zero, zero, zero, zero, r, s, -m)
+        cols = tuple(c[first] for c in (k, seg, wide, doc, rid, a, n))
+        some = np.zeros(len(cols[0]), dtype=bool)
+        for side in (cols[2].view(np.uint64) >> np.uint64(32), cols[2].view(np.uint64) & np.uint64(0xFFFFFFFF)):
+            there = np.flatnonzero(side)
+            _, inverse, times = np.unique(mix(cols[0][there].view(np.uint64) ^ (side[there] * np.uint64(BASE))), return_inverse=True, return_counts=True)
+            some[there[times[inverse] > 1]] = True
         if some.any():
-            yield batch_of(k[some], seg[some], doc[some], rid[some], a[some], n[some])
+            yield batch_of(*(c[some] for c in cols))
 
 
 def slices(rids: pd.Series, wanted: pd.Series, texts: pd.Series) -> pd.Series:
@@ -253,9 +267,8 @@ def covered_runs(source: DataFrame, partitions: int) -> DataFrame:
     runs = met.filter("n < 0").select("rid", "a", (-F.col("n")).cast("long").alias("n"))
     asked = met.filter("n > 0").groupBy("rid").agg(F.collect_list(F.struct("k", "doc", "a", "n")).alias("wanted"))
     asked = stored(asked, "asked")
-    few = asked.count() < BROADCAST_ROWS
     cut = F.pandas_udf(slices, "array<struct<k: long, doc: long, a: long, b: binary>>")
-    texts = source.select("rid", "text").join(F.broadcast(asked) if few else asked, "rid")
+    texts = source.select("rid", "text").join(asked.hint("merge"), "rid")
     parts = texts.select("rid", F.explode(cut("rid", "wanted", "text")).alias("s")).select("s.k", "s.doc", "rid", "s.a", "s.b")
     more = parts.repartition(partitions, "k").sortWithinPartitions("k").mapInArrow(cover_shards, "rid long, a long, n long")
     return runs.unionByName(more)
