@@ -263,6 +263,12 @@ class Chain:
             out["CategoryCount"] = float(len(x.increments))
         else:
             out |= {f"Omega{r}": float(w) for r, w in enumerate(np.cumsum(x.increments[0]))}
+        out |= {f"SiteCategory[{i}]": float(c) for i, c in enumerate(x.cats)} if self.s.model == "DPCMM" else {}
+        if self.s.model == "DPCMM":
+            out |= {f"CategoryOmega[{c},{r}]": float(w) for c, inc in enumerate(x.increments) for r, w in enumerate(np.cumsum(inc))}
+        lengths = np.zeros(len(self.tree[1]))
+        lengths[self.tree[1] >= 0] = x.shares * x.length
+        out |= {f"Branch[{n}]": float(v) for n, v in zip(self.tree[0].tolist(), lengths, strict=True)}
         return out | {f"Pi[{i}]": float(p) for i, p in enumerate(x.pi)}
 
 
