@@ -40,6 +40,14 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows < BROADCAST_ROWS else df
 
 
+def without_space(text: Column) -> Column:
+    """text without the characters of SPACE; searching for each is several times as
+    fast as translating every character."""
+    for ch in SPACE:
+        text = F.replace(text, F.lit(ch), F.lit(""))
+    return text
+
+
 def text_of(docs: DataFrame, name: str = "text") -> Column:
     return F.coalesce(docs[name].cast("string"), F.lit(""))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codonloom.llm.common import SPACE, stable, table, text_of, with_row_id
+from codonloom.llm.common import stable, table, text_of, with_row_id, without_space
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -23,7 +23,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     every other id. Repeated rows, the same id included: one of them stays (the
     first in scan order). Empty table: empty result.
     """
-    norm = F.translate(text_of(docs, text_col), SPACE, "")
+    norm = without_space(text_of(docs, text_col))
     base = with_row_id(stable(docs)).select(
         F.col("_rid"),
         F.col(id_col).alias("_id"),
