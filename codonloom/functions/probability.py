@@ -26,6 +26,26 @@ def ln_gamma(x: Column) -> Column:
     return F.pandas_udf(lambda s: pd.Series(ln_gamma_values(s.to_numpy(float)), index=s.index), "double")(x.cast("double"))
 
 
+def expected_categories(alpha: Column, n: Column | float) -> Column:
+    """Expected categories of a Dirichlet process over n sites: alpha ln(1 + n / alpha)."""
+    n = F.lit(float(n)) if isinstance(n, (int, float)) else n
+    return alpha * F.log1p(n / alpha)
+
+
+def solve_alpha(expected: Column, n: float, steps: int = 80) -> Column:
+    """The alpha at which n sites have the expected categories, by bisection inside the
+    expression; null unless 1 <= expected <= n."""
+    start = F.struct(F.lit(1e-9).alias("lo"), F.lit(1e9).alias("hi"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.sqrt(acc["lo"] * acc["hi"])  # alpha spans many magnitudes
+        low = expected_categories(middle, n) < expected
+        return F.struct(F.when(low, middle).otherwise(acc["lo"]).alias("lo"), F.when(low, acc["hi"]).otherwise(middle).alias("hi"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda acc: acc["lo"])
+    return F.when(expected.between(1, n), found)
+
+
 def exponential_ln_pdf(x: Column, rate: float) -> Column:
     return F.lit(math.log(rate)) - F.lit(rate) * x
 

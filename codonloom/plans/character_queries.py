@@ -90,6 +90,12 @@ def step_matrices(spark, d):
     return ch.step_matrix(5, True, spark).join(ch.step_matrix(5, False, spark).withColumnRenamed("steps", "unordered"), ["i", "j"]).withColumnRenamed("steps", "ordered")
 
 
+def codon_positions(spark, d):
+    """Three position sets of one size, joined to codons by rank."""
+    idx = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("int").alias("idx")).filter("idx BETWEEN 1 AND 90")
+    return ch.positions_in_codon(idx.select("idx", ((F.col("idx") - 1) % 3 + 1).alias("position")))
+
+
 SETS = [("early", "1-40"), ("third", "3-.\\3"), ("some", "5 7 9-12"), ("every", "ALL")]
 
 
@@ -134,7 +140,7 @@ QUERIES = {
     for f in (
         codon_table, codon_pair_counts, genetic_code_sizes, codon_masks, codon_recoding, translated_codons, proteins, ambiguity_per_taxon,
         column_summary, constant_columns, site_patterns, pattern_of_site, complete_patterns, pairwise_distance, state_intersections,
-        expanded_states, gap_characters, nucleotide_composition, step_matrices, set_expansion, set_ranges, partition_overlaps,
+        expanded_states, gap_characters, nucleotide_composition, step_matrices, codon_positions, set_expansion, set_ranges, partition_overlaps,
         excluded_characters, subset_by_set, character_weights,
     )
 }
@@ -194,6 +200,10 @@ SQL = {
       FROM sequences CROSS JOIN range(1, 91) r GROUP BY 1, 2""",
     "step_matrices": """SELECT CAST(a.range AS INT) i, CAST(b.range AS INT) j, CAST(abs(a.range - b.range) AS INT) ordered,
       CAST(a.range <> b.range AS INT) unordered FROM range(5) a CROSS JOIN range(5) b""",
+    "codon_positions": """
+      WITH p AS (SELECT CAST(p_partkey AS INT) idx, (p_partkey - 1) % 3 + 1 pos FROM part WHERE p_partkey BETWEEN 1 AND 90),
+      r AS (SELECT idx, pos, CAST(row_number() OVER (PARTITION BY pos ORDER BY idx) - 1 AS INT) site FROM p)
+      SELECT site, max(CASE WHEN pos = 1 THEN idx END) pos1, max(CASE WHEN pos = 2 THEN idx END) pos2, max(CASE WHEN pos = 3 THEN idx END) pos3 FROM r GROUP BY site""",
     "set_expansion": "WITH x AS (SELECT 1)" + _SETS + " SELECT name, idx FROM sets",
     "set_ranges": """
       WITH k AS (SELECT DISTINCT CAST(o_custkey % 10 AS VARCHAR) AS name, CAST(o_orderkey % 200 AS INT) idx FROM orders),

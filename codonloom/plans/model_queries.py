@@ -75,6 +75,12 @@ def crp_alpha_expected(spark, d):
     return read(spark, d, "part").filter("p_partkey > 0").select("p_partkey", F.round(alpha * F.log1p(200.0 / alpha), 6).alias("expected"))
 
 
+def crp_alpha_solved(spark, d):
+    """Expected categories at the solved concentration: what was asked for."""
+    alpha = pr.solve_alpha(F.lit(1.5) + F.col("p_size") % 5, 200.0)
+    return read(spark, d, "part").select("p_partkey", F.round(pr.expected_categories(alpha, 200.0), 4).alias("expected"))
+
+
 def assignments(spark, d):
     return read(spark, d, "customer").select(F.col("c_custkey").alias("site"), (F.col("c_nationkey") % 6).alias("cat"))
 
@@ -115,7 +121,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         q_matrix_m0, q_matrix_cmm, stationary_tiled, dnds_raw, cumulative_omegas, transition_prob, site_log_likelihood, total_log_likelihood,
-        site_log_likelihood_cmm, log_prior_m0, crp_alpha_expected, category_sizes, crp_log_prior, site_category_omegas, gibbs_weights,
+        site_log_likelihood_cmm, log_prior_m0, crp_alpha_expected, crp_alpha_solved, category_sizes, crp_log_prior, site_category_omegas, gibbs_weights,
         distribution_values,
     )
 }
@@ -174,6 +180,7 @@ SQL = {
         + lgamma({_D("122.0")}) - 61 * ln({_D("61.0")}), 6) ln_prior FROM x""",
     "crp_alpha_expected": f"""
       SELECT p_partkey, round(p_partkey / {_D("100.0")} * ln(1 + {_D("200.0")} / (p_partkey / {_D("100.0")})), 6) expected FROM part WHERE p_partkey > 0""",
+    "crp_alpha_solved": f"SELECT p_partkey, round({_D('1.5')} + p_size % 5, 4) expected FROM part",
     "category_sizes": "SELECT c_nationkey % 6 cat, count(*) n_sites FROM customer GROUP BY 1",
     "crp_log_prior": f"""
       WITH s AS (SELECT c_nationkey % 6 cat, count(*) n FROM customer GROUP BY 1)

@@ -226,6 +226,22 @@ def nexus_codons(spark: SparkSession, path: str) -> DataFrame:
     return m.select("file", "taxon_idx", "name", checked.alias("seq"))
 
 
+def fasta_to_nexus(spark: SparkSession, path: str) -> DataFrame:
+    """file, value: a NEXUS text for each aligned FASTA file."""
+    from codonloom.sources.sinks import nexus_text
+
+    return nexus_text(read_fasta(spark, path))
+
+
+def read_trace_table(spark: SparkSession, path: str) -> DataFrame:
+    """Tab-separated traces as (file, iteration, param, value)."""
+    wide = spark.read.option("header", True).option("sep", "\t").csv(path)
+    keys = [c for c in wide.columns if c in ("Iteration", "chain", "replicate")]
+    params = [c for c in wide.columns if c not in keys]
+    long = wide.unpivot([F.col(k).cast("long").alias(k.lower()) for k in keys], [F.col(f"`{p}`").cast("double").alias(p) for p in params], "param", "value")
+    return long.filter(F.col("value").isNotNull())
+
+
 READERS = {
     "fasta": read_fasta,
     "phylip": read_phylip,

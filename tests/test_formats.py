@@ -105,6 +105,8 @@ def test_trace_table(spark, tmp_path):
     sinks.write_trace_table(t, ["K", "Omega"], str(tmp_path / "tsv"))
     back = spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "tsv"))
     assert rows(back.filter("chain = 0"), "Iteration", "K") == [("0", "0.500000"), ("1", "1.500000"), ("2", "2.500000")]
+    again = formats.read_trace_table(spark, str(tmp_path / "tsv"))
+    assert rows(again.filter("chain = 1 AND param = 'Omega'"), "iteration", "value") == [(0, 0.5), (1, 1.5), (2, 2.5)]
     sinks.write_trace(t, str(tmp_path / "pq"))
     assert spark.read.parquet(str(tmp_path / "pq")).count() == 12
     sites = t.select("iteration", "chain", F.lit("tip").alias("name"), F.lit(4).alias("site"), "value")
