@@ -89,6 +89,19 @@ def read_clustal(spark: SparkSession, path: str) -> DataFrame:
     return numbered(joined(rows.filter("name != ''")))
 
 
+def read_fin(spark: SparkSession, path: str) -> DataFrame:
+    """file, taxon_idx, name, seq: a first line ``label data``, then ``name states`` lines
+    up to a line with ``@``; ``/* */`` are comments, ``[..]`` is one of several states."""
+    text = F.regexp_replace(F.regexp_replace("text", r"(?s)/\*.*?\*/", ""), r"(?s)\n\s*@.*$", "")
+    rows = lines(files(spark, path).withColumn("text", text))
+    head = rows.filter("pos = 0").select("file", (F.lower(F.trim("line")) == "label data").alias("_ok"))
+    body = rows.filter("pos > 0").filter(F.trim("line") != "").join(head, "file")
+    states = F.translate(F.regexp_replace(F.regexp_replace("line", r"^\s*\S+", ""), r"\s", ""), "[]", "{}")
+    seq = F.when(F.col("_ok") & (states != ""), states).otherwise(F.raise_error(F.lit("a FIN file needs 'label data' and a sequence for each name")))
+    out = body.select("file", F.col("pos").alias("first"), F.replace(F.regexp_extract("line", r"^\s*(\S+)", 1), F.lit("_"), F.lit(" ")).alias("name"), seq.alias("seq"))
+    return numbered(out)
+
+
 def read_newick(spark: SparkSession, path: str) -> DataFrame:
     """file, tree_id, newick: the trees of a file in order, white space removed."""
     trees = files(spark, path).select("file", F.posexplode(F.split("text", ";")).alias("tree_id", "t"))
@@ -249,6 +262,7 @@ READERS = {
     "phylip-interleaved": lambda s, p: read_phylip(s, p, interleaved=True),
     "phylip-interleaved-relaxed": lambda s, p: read_phylip(s, p, interleaved=True, relaxed=True),
     "aln": read_clustal,
+    "fin": read_fin,
     "newick": read_newick,
     "nexus": nexus_commands,
     "nexus-codons": nexus_codons,

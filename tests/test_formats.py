@@ -36,6 +36,13 @@ def test_clustal(spark, tmp_path):
     assert rows(formats.read(spark, "aln", p), "taxon_idx", "name", "seq") == [(0, "one", "ACG-TT"), (1, "two", "ACGTTA")]
 
 
+def test_fin(spark, tmp_path):
+    p = put(tmp_path, "f.fin", "Label Data\n/* a\ncomment */\nA_x AC GT\nb [AG]C-?\n@ rest\nc AAAA\n")
+    assert rows(formats.read(spark, "fin", p), "taxon_idx", "name", "seq") == [(0, "A x", "ACGT"), (1, "b", "{AG}C-?")]
+    with pytest.raises(Exception, match="label data"):
+        formats.read(spark, "fin", put(tmp_path, "g.fin", "nothing\nb AC\n")).collect()
+
+
 NEXUS = """#NEXUS
 [a comment; with marks]
 BEGIN TAXA; DIMENSIONS NTAX=3; TAXLABELS A_one 'B''s; two' C; END;
