@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +29,7 @@ CHUNK, HELD, SHARD = 1 << 20, 400_000, 1 << 20
 #: One document in so many is sampled for anchors that stand in many different contexts.
 HOT_SAMPLE = 32
 #: An anchor is hot if its different contexts in the sample exceed both of these.
-HOT_LEAST, HOT_SHARE = 48, 1e-3
+HOT_LEAST, HOT_SHARE = 16, 1e-3
 
 ROW = "k long, seg long, wide long, doc long, rid long, a long, n int"
 NAMES = ["k", "seg", "wide", "doc", "rid", "a", "n"]
@@ -176,13 +175,33 @@ def match_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield batch_of(*(c[some] for c in cols))
 
 
-def slices(rids: pd.Series, wanted: pd.Series, texts: pd.Series) -> pd.Series:
-    """The segments asked of each text, with their bytes."""
-    out = []
-    for want, text in zip(wanted, texts, strict=True):
-        b = text.encode("utf-8", "surrogatepass")
-        out.append([{"k": w["k"], "doc": w["doc"], "a": w["a"], "b": b[w["a"] : w["a"] + w["n"] - 1 + LENGTH]} for w in want])
-    return pd.Series(out)
+def lists_of(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Offsets and flat fields of a column of lists of structs; a null list is empty."""
+    return column.offsets.to_numpy(), [f.to_numpy() for f in column.values.flatten()]
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: (rid, text, wanted) -> (k, doc, rid, a, b), the bytes of the segments
+    asked of each text, in batches of about SHARD bytes."""
+    names, types = ["k", "doc", "rid", "a", "b"], [pa.int64()] * 4 + [pa.binary()]
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    for batch in batches:
+        at, (k, doc, a, n) = lists_of(batch.column(2))
+        rows, size = [], 0
+        for i, rid in enumerate(batch.column(0).to_pylist()):
+            text = batch.column(1)[i].as_buffer()
+            for j in range(at[i], at[i + 1]):
+                piece = text.slice(int(a[j]), int(n[j]) - 1 + LENGTH).to_pybytes()
+                rows.append((int(k[j]), int(doc[j]), rid, int(a[j]), piece))
+                size += len(piece)
+            if size >= SHARD:
+                yield out(rows)
+                rows, size = [], 0
+        if rows:
+            yield out(rows)
 
 
 def cover_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,25 +244,29 @@ def cover_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from covered(*(np.concatenate(c) for c in list(zip(*held, strict=True))[:3]), [p for h in held for p in h[3]])
 
 
-def cut_out(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
-    """Digest of each text without the bytes that its runs of windows cover."""
-    rows = []
-    for text, spans in zip(texts, runs, strict=True):
-        b = text.encode("utf-8", "surrogatepass")
-        found = sorted((s["a"], s["a"] + s["n"] - 1 + LENGTH) for s in spans) if spans is not None else []
-        kept, at, removed, count, end = hashlib.sha256(), 0, 0, 0, -1
-        for lo, hi in found:
-            if lo > end:
-                kept.update(b[at:lo])
-                count += 1
-                removed += hi - lo
-            elif hi > end:
-                removed += hi - end
-            end = max(end, hi)
-            at = max(at, end)
-        kept.update(b[at:])
-        rows.append((len(b), removed, count, kept.hexdigest()))
-    return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: (doc_id, text, runs) -> digest of each text without the bytes that its
+    runs of windows cover."""
+    for batch in batches:
+        at, (starts, counts) = lists_of(batch.column(2))
+        rows = []
+        for i in range(batch.num_rows):
+            b = memoryview(batch.column(1)[i].as_buffer() or b"")
+            lo = starts[at[i] : at[i + 1]]
+            hi = (lo + counts[at[i] : at[i + 1]] - 1 + LENGTH)[np.argsort(lo, kind="stable")]
+            lo = np.sort(lo)
+            # Runs of bytes: a new one begins beyond all that ended before.
+            far = np.maximum.accumulate(hi)
+            new = np.flatnonzero(np.append(True, lo[1:] > far[:-1])) if len(lo) else np.zeros(0, np.int64)
+            first, last = lo[new], far[np.append(new[1:], len(lo)) - 1] if len(lo) else lo
+            kept, end = hashlib.sha256(), 0
+            for x, y in zip(first.tolist(), last.tolist(), strict=True):
+                kept.update(b[end:x])
+                end = y
+            kept.update(b[end:])
+            rows.append((len(b), int((last - first).sum()), len(first), kept.hexdigest()))
+        cols = [pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.string()], strict=True)] if rows else [pa.array([], t) for t in [pa.int64()] * 3 + [pa.string()]]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def hot_anchors(source: DataFrame, documents: int) -> np.ndarray:
@@ -265,11 +288,10 @@ def covered_runs(source: DataFrame, partitions: int) -> DataFrame:
     met = found.repartition(partitions, "k").sortWithinPartitions("k").mapInArrow(match_segments, ROW)
     met = stored(met, "segments")
     runs = met.filter("n < 0").select("rid", "a", (-F.col("n")).cast("long").alias("n"))
-    asked = met.filter("n > 0").groupBy("rid").agg(F.collect_list(F.struct("k", "doc", "a", "n")).alias("wanted"))
+    asked = met.filter("n > 0").groupBy("rid").agg(F.collect_list(F.struct("k", "doc", "a", F.col("n").cast("long").alias("n"))).alias("wanted"))
     asked = stored(asked, "asked")
-    cut = F.pandas_udf(slices, "array<struct<k: long, doc: long, a: long, b: binary>>")
-    texts = source.select("rid", "text").join(asked.hint("merge"), "rid")
-    parts = texts.select("rid", F.explode(cut("rid", "wanted", "text")).alias("s")).select("s.k", "s.doc", "rid", "s.a", "s.b")
+    texts = source.select("rid", "text").join(asked.hint("merge"), "rid").select("rid", "text", "wanted")
+    parts = texts.mapInArrow(slices, "k long, doc long, rid long, a long, b binary")
     more = parts.repartition(partitions, "k").sortWithinPartitions("k").mapInArrow(cover_shards, "rid long, a long, n long")
     return runs.unionByName(more)
 
@@ -298,8 +320,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     runs = covered_runs(source, partitions).groupBy("rid").agg(F.collect_list(F.struct("a", "n")).alias("runs"))
     whole = with_row_id(docs).select(F.col("_rid").alias("rid"), F.col(id_col).alias("doc_id"), text_of(docs, text_col).alias("text"))
-    out = whole.join(runs, "rid", "left").select("doc_id", F.pandas_udf(cut_out, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")("text", "runs").alias("r"))
-    return out.select("doc_id", "r.n_bytes", "r.n_removed", "r.n_spans", "r.kept_sha256")
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return whole.join(runs, "rid", "left").select("doc_id", "text", "runs").mapInArrow(cut_out, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
