@@ -20,6 +20,8 @@ from codonloom.llm.common import cut, table
 CAPACITY = 2048
 #: Rounds of fitting and rounding before the rest is packed by best fit.
 ROUNDS = 3
+#: Share of the fitted repeats that a round places: what is left keeps short pieces to fill up with.
+SHARE = 0.6
 STEPS = 150
 END_ID = 0
 
@@ -157,7 +159,7 @@ def pack_lengths(h: np.ndarray, rounds: int = ROUNDS) -> list[tuple[list[tuple[i
         patterns = patterns_of(left)
         if not len(patterns):
             break
-        x = fit_counts(left, patterns)
+        x = fit_counts(left, patterns) * SHARE
         # Rounding with the error carried along the patterns of a length keeps its sum.
         total = np.floor(np.cumsum(x) + 0.5)
         repeats = np.diff(total, prepend=0.0).astype(np.int64)
