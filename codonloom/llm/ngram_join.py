@@ -24,7 +24,7 @@ ROWS = 4
 #: match of one band doesn't chain groups. At the similarity, agreement is over 4 deviations above.
 AGREE = 0.6
 #: A block of a group: at most about this many documents and shingles.
-BLOCK, BLOCK_SHINGLES = 128, 2_000_000
+BLOCK, BLOCK_SHINGLES = 128, 500_000
 SEED = 5
 
 
