@@ -19,9 +19,8 @@ KEYS = ["replicate", "chain", "iteration"]
 
 def indexed(trace: DataFrame, name: str) -> DataFrame:
     """The parameters ``name[i]`` or ``name[i,j]`` with their indices as columns i and j."""
-    at = F.regexp_extract("param", rf"^{name}\[(\d+)(?:,(\d+))?\]$", 1)
-    second = F.regexp_extract("param", rf"^{name}\[(\d+)(?:,(\d+))?\]$", 2)
-    return trace.filter(F.col("param").startswith(f"{name}[")).select(*KEYS, at.cast("int").alias("i"), F.expr("1").alias("_x"), second.alias("_j"), "value").withColumn("j", F.expr("try_cast(_j AS INT)")).drop("_x", "_j")
+    first, second = (F.regexp_extract("param", rf"^{name}\[(\d+)(?:,(\d+))?\]$", g).try_cast("int") for g in (1, 2))
+    return trace.filter(F.col("param").startswith(f"{name}[")).select(*KEYS, first.alias("i"), second.alias("j"), "value")
 
 
 def sampled_trees(trace: DataFrame, tree: DataFrame) -> DataFrame:

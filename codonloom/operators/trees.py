@@ -105,7 +105,7 @@ def unsupported_splits(trees: DataFrame, reference: int) -> DataFrame:
 def compare_nodes(trees: DataFrame, tree_a: int, tree_b: int) -> DataFrame:
     """node_idx, only_a, only_b: the tips below equally numbered nodes of two trees that
     only one of them has; nodes that agree are left out."""
-    m = tip_masks(trees.filter(~F.col("is_tip") | F.col("is_tip")))
+    m = tip_masks(trees)
     a = m.filter(F.col("tree_id") == tree_a).select("node_idx", F.col("mask").alias("_a"))
     b = m.filter(F.col("tree_id") == tree_b).select("node_idx", F.col("mask").alias("_b"))
     both = a.join(b, "node_idx", "full").withColumns({"_a": F.coalesce("_a", F.lit(0).cast("long")), "_b": F.coalesce("_b", F.lit(0).cast("long"))})

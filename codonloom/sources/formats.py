@@ -161,8 +161,7 @@ def nexus_matrix(commands: DataFrame) -> DataFrame:
     whole = cut.groupBy("file", "block_idx", "name").agg(in_order.alias("seq"), F.min("pos").alias("_f"))
     at = Window.partitionBy("file", "block_idx").orderBy("_f")
     out = whole.withColumns({"taxon_idx": F.row_number().over(at) - 1, "_first": F.first("seq").over(at)}).join(form, ["file", "block_idx"], "left")
-    filled = F.transform(F.split("seq", ""), lambda x: x)
-    matched = F.array_join(F.zip_with(filled, F.split("_first", ""), lambda a, b: F.when((F.col("matchchar") != "") & (a == F.col("matchchar")), b).otherwise(a)), "")
+    matched = F.array_join(F.zip_with(F.split("seq", ""), F.split("_first", ""), lambda a, b: F.when((F.col("matchchar") != "") & (a == F.col("matchchar")), b).otherwise(a)), "")
     out = out.withColumn("seq", F.when(F.coalesce("matchchar", F.lit("")) != "", matched).otherwise(F.col("seq")))
     return out.select("file", "block_idx", "taxon_idx", "name", "seq", F.coalesce("datatype", F.lit("standard")).alias("datatype"), F.coalesce("missing", F.lit("?")).alias("missing"), F.coalesce("gap", F.lit("-")).alias("gap"), F.coalesce("transpose", F.lit(False)).alias("transpose"))
 
