@@ -23,6 +23,14 @@ def expand(definitions: DataFrame, last: int) -> DataFrame:
     return bounds.select("name", F.explode(F.sequence("lo", "hi", "step")).alias("idx")).distinct()
 
 
+def expand_partition(definitions: DataFrame, last: int) -> DataFrame:
+    """(name, definition) with ``subset: set, subset: set`` to (name, subset, idx). Weight
+    sets have the same form: their subsets are the weights."""
+    part = definitions.select("name", F.explode(F.split("definition", ",")).alias("_p"))
+    one = part.select(F.struct("name", F.trim(F.split_part("_p", F.lit(":"), F.lit(1))).alias("subset")).alias("name"), F.trim(F.split_part("_p", F.lit(":"), F.lit(2))).alias("definition"))
+    return expand(one, last).select("name.name", "name.subset", "idx")
+
+
 def ranges(sets: DataFrame) -> DataFrame:
     """(name, idx) to (name, definition): maximal runs ``a-b`` and single indices."""
     island = F.col("idx") - F.row_number().over(Window.partitionBy("name").orderBy("idx"))

@@ -107,6 +107,12 @@ def set_expansion(spark, d):
     return index_sets.expand(sets_table(spark), 200)
 
 
+def partition_expansion(spark, d):
+    """The partition of 90 sites by position in the codon, and a weight set."""
+    rows = [("codon", r"pos1: 1-.\3, pos2: 2-.\3, pos3: 3-.\3"), ("weights", "2: 1-10 20, 1: 11-19 21-.")]
+    return index_sets.expand_partition(spark.createDataFrame(rows, "name string, definition string"), 90)
+
+
 def set_ranges(spark, d):
     keys = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_custkey") % 10).cast("string").alias("name"), (F.col("o_orderkey") % 200).cast("int").alias("idx"))
     return index_sets.ranges(keys.distinct())
@@ -140,7 +146,7 @@ QUERIES = {
     for f in (
         codon_table, codon_pair_counts, genetic_code_sizes, codon_masks, codon_recoding, translated_codons, proteins, ambiguity_per_taxon,
         column_summary, constant_columns, site_patterns, pattern_of_site, complete_patterns, pairwise_distance, state_intersections,
-        expanded_states, gap_characters, nucleotide_composition, step_matrices, codon_positions, set_expansion, set_ranges, partition_overlaps,
+        expanded_states, gap_characters, nucleotide_composition, step_matrices, codon_positions, set_expansion, partition_expansion, set_ranges, partition_overlaps,
         excluded_characters, subset_by_set, character_weights,
     )
 }
@@ -205,6 +211,9 @@ SQL = {
       r AS (SELECT idx, pos, CAST(row_number() OVER (PARTITION BY pos ORDER BY idx) - 1 AS INT) site FROM p)
       SELECT site, max(CASE WHEN pos = 1 THEN idx END) pos1, max(CASE WHEN pos = 2 THEN idx END) pos2, max(CASE WHEN pos = 3 THEN idx END) pos3 FROM r GROUP BY site""",
     "set_expansion": "WITH x AS (SELECT 1)" + _SETS + " SELECT name, idx FROM sets",
+    "partition_expansion": """
+      SELECT 'codon' AS name, 'pos' || CAST((range - 1) % 3 + 1 AS VARCHAR) subset, CAST(range AS INT) idx FROM range(1, 91)
+      UNION ALL SELECT 'weights', CASE WHEN range <= 10 OR range = 20 THEN '2' ELSE '1' END, CAST(range AS INT) FROM range(1, 91)""",
     "set_ranges": """
       WITH k AS (SELECT DISTINCT CAST(o_custkey % 10 AS VARCHAR) AS name, CAST(o_orderkey % 200 AS INT) idx FROM orders),
       i AS (SELECT name, idx, idx - row_number() OVER (PARTITION BY name ORDER BY idx) grp FROM k),
