@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 #: One more than the most rows a table may have to be broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 100_000
+#: Rows of a small table in one checkpoint file.
+ROWS_A_FILE = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +32,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared checkpoint folder."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, computed once and written to the shared checkpoint folder. With a bound of
+    its rows, in a file for each ROWS_A_FILE of them instead of one a partition."""
     ensure_checkpoint_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, math.ceil(rows / ROWS_A_FILE)))
     return df.checkpoint(eager=True)
 
 

@@ -37,4 +37,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if tuple(r) == before or not r[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = tuple(r)
-        now = cut(small_star(large_star(now)))
+        now = cut(small_star(large_star(now)), r[0])  # a round never adds edges

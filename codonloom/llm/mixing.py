@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codonloom.llm.common import cut, small, stable, table, text_of, with_row_id
+from codonloom.llm.common import BROADCAST_ROWS, cut, small, stable, table, text_of, with_row_id
 
 #: A word: a run without space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,17 +68,18 @@ def source_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     one range where it falls; a hot source is never sorted whole.
     """
     sources = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = cut(ranked_sources(sources, weights))
+    ranked = cut(ranked_sources(sources, weights), BROADCAST_ROWS)
     level = water_level(ranked, max_epochs)
     cap = F.col("source_size") * F.lit(float(max_epochs))
     share = F.col("weight") * F.lit(level if math.isfinite(level) else 1e300)
     plan = ranked.withColumn("target", F.when(share >= cap, cap).otherwise(share))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = cut(
+    plan = cut(  # a row a source, as in the tables below
         plan.withColumn("whole", F.floor(ratio).cast("long"))
         .withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
         .withColumn("_s", F.coalesce("source", F.lit("")))
-        .withColumn("_null", F.col("source").isNull())
+        .withColumn("_null", F.col("source").isNull()),
+        BROADCAST_ROWS,
     )
     n = docs.count()
     bits = max(1, math.ceil(math.log2(max(n, 1)) / 2))
@@ -108,7 +109,8 @@ def source_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     edge = F.when(F.col("_out").isNotNull(), F.col("_out._ukey"))
     return cut(
         plan.join(first_out, on, "left").join(last, on, "left")
-        .select(*on, "source_size", "target", "whole", edge.alias("_edge_key"), F.col("_out._rid").alias("_edge_rid"), F.col("_next"), (F.col("part") > 0).alias("_some"), F.lit(bits).alias("_bits"))
+        .select(*on, "source_size", "target", "whole", edge.alias("_edge_key"), F.col("_out._rid").alias("_edge_rid"), F.col("_next"), (F.col("part") > 0).alias("_some"), F.lit(bits).alias("_bits")),
+        rows,
     )
 
 

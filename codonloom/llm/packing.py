@@ -260,7 +260,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, wit
     path = path or default_tokenizer()
     schema = PIECE + ", ids array<int>" * with_ids
     pieces = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut_documents(path, capacity, with_ids), schema))
-    counts = cut(pieces.groupBy("_task", "length").agg(F.count(F.lit(1)).alias("_n")))
+    counts = pieces.groupBy("_task", "length").agg(F.count(F.lit(1)).alias("_n"))
     h = np.zeros(capacity + 1, dtype=np.int64)
     for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect():  # at most capacity rows
         h[r["length"]] = r["n"]

@@ -115,8 +115,8 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     base = base.select("page_id", "host", "path", rule.alias("rule"), says.alias("_says"), F.concat("host", "path").alias("s"))
     distinct = cut(base.groupBy("s").agg(F.first("_says", ignorenulls=True).alias("_says")))
     ruled = distinct.filter(F.col("_says").isNotNull()).select("s", (F.col("_says") == "allow").alias("accepted"), (F.xxhash64("s") % 2 == 0).alias("half"))
-    counted = cut(grams_of(ruled, ["accepted", "half"]).groupBy("gram", "accepted", "half").agg(F.count(F.lit(1)).alias("n")))
-    grams = cut(grams_of(distinct, []).groupBy("gram").agg(F.count(F.lit(1)).alias("times")))
+    counted = cut(grams_of(ruled, ["accepted", "half"]).groupBy("gram", "accepted", "half").agg(F.count(F.lit(1)).alias("n")), MOST_GRAMS)
+    grams = cut(grams_of(distinct, []).groupBy("gram").agg(F.count(F.lit(1)).alias("times")), MOST_GRAMS)
     threshold = None
     if counted.filter("half").select("accepted").distinct().count() == 2:
         fitted = log_ratios(counted.filter("half").drop("half"), grams)
@@ -130,7 +130,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         scores = distinct.select("s", F.lit(None).cast("double").alias("llr")).filter("false")
         threshold = 0.0
     else:
-        ratios = cut(log_ratios(counted.groupBy("gram", "accepted").agg(F.sum("n").alias("n")), grams))
+        ratios = cut(log_ratios(counted.groupBy("gram", "accepted").agg(F.sum("n").alias("n")), grams), MOST_GRAMS)
         scores = mean_ratio(distinct, F.broadcast(ratios))  # at most MOST_GRAMS rows
     judged = base.join(scores, "s", "left")
     verdict = F.coalesce("_says", F.when(F.col("llr") < threshold, F.lit("block")).otherwise(F.lit("allow")))
