@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,24 +49,42 @@ def acceptance_rates(proposals: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def window_scores(series: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Score and number of series for each window of aligned series, the first at row ``window``."""
+    rows = max((len(x) for x in series), default=0) - window + 1
+    if rows < 1:
+        return np.zeros(0), np.zeros(0, dtype=np.int64)
+    products, variance, count = np.zeros((rows, window - 1)), np.zeros(rows), np.zeros(rows, dtype=np.int64)
+    for x in series:
+        n = len(x) - window + 1
+        if n < 1:
+            continue
+        w = np.lib.stride_tricks.sliding_window_view(x, window)
+        d = w - w.mean(axis=1, keepdims=True)
+        variance[:n] += (d**2).mean(axis=1)
+        count[:n] += 1
+        for k in range(1, window):
+            products[:n, k - 1] += (d[:, :-k] * d[:, k:]).sum(axis=1)
+    scale = variance[:, None] * np.arange(window - 1, 0, -1)
+    share = np.abs(np.divide(products, scale, out=np.zeros_like(products), where=scale > 0))
+    return 2.0 - share.sum(axis=1) / window, count
+
+
 def autocorrelation(trace: DataFrame, window: int = WINDOW) -> DataFrame:
     """chain, pos, score over the last ``window`` rows of all parameters of a chain.
 
     For each lag, the products of deviations summed over rows and parameters, over
     (window - lag) times the summed variances; the absolute values add up to s, and
-    the score is 2 - s / window. Rows of a chain's parameters align by rank.
+    the score is 2 - s / window. Rows of a chain's parameters align by rank. A chain is
+    a group: its length is that of one run, whatever the number of chains.
     """
-    own = Window.partitionBy("chain", "param").orderBy("iteration")
-    last = own.rowsBetween(-(window - 1), 0)
-    ranked = trace.select("chain", "param", F.row_number().over(own).alias("pos"), F.collect_list("value").over(last).alias("x")).filter(F.size("x") == window)
-    mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / window
-    dev = ranked.withColumn("_m", mean).withColumn("d", F.transform("x", lambda v: v - F.col("_m")))
-    var = F.aggregate("d", F.lit(0.0), lambda a, v: a + v * v) / window
-    lagged = F.expr(f"transform(sequence(1, {window - 1}), l -> aggregate(zip_with(slice(d, 1, {window} - l), slice(d, l + 1, {window} - l), (a, b) -> a * b), 0D, (s, v) -> s + v))")
-    parts = dev.select("chain", "param", "pos", var.alias("v"), F.posexplode(lagged).alias("lag", "product"))
-    sums = parts.groupBy("chain", "pos", "lag").agg(F.sum("product").alias("_p"), F.sum("v").alias("_v"), F.count(F.lit(1)).alias("k"))
-    share = F.abs(F.when(F.col("_v") > 0, F.col("_p") / ((window - 1 - F.col("lag")) * F.col("_v"))).otherwise(0.0))
-    return sums.groupBy("chain", "pos").agg((F.lit(2.0) - F.sum(share) / window).alias("score"), F.min("k").alias("n_params"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        ordered = group.sort_values("iteration", kind="stable")
+        score, count = window_scores([x.to_numpy(float) for _, x in ordered.groupby("param")["value"]], window)
+        return pd.DataFrame({"chain": int(group["chain"].iloc[0]), "pos": np.arange(len(score)) + window, "score": score, "n_params": count})
+
+    return trace.groupBy("chain").applyInPandas(run, "chain int, pos int, score double, n_params int")
 
 
 def smooth_autocorrelation(scores: DataFrame, rows: DataFrame, window: int = WINDOW) -> DataFrame:
