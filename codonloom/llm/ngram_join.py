@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ ROWS = 4
 AGREE = 0.6
 #: A block of a group: at most about this many documents and shingles.
 BLOCK, BLOCK_SHINGLES = 128, 500_000
+#: A block of a band's documents whose signatures are compared with each other.
+BAND_BLOCK = 1024
 SEED = 5
 
 
@@ -63,10 +66,53 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).mean(axis=1))
 
 
+def agreeing(least: float):
+    """mapInArrow: (band, i, j, rid, sign), tiles in one piece -> a spanning forest (a, b) of
+    the documents of each tile whose signatures agree to ``least``, all pairs considered."""
+
+    def forest(ids: np.ndarray, signs: np.ndarray) -> Iterator[tuple[int, int]]:
+        left = np.arange(len(ids))
+        while len(left) > 1:
+            root, todo, left = left[0], [left[0]], left[1:]
+            while todo and len(left):
+                hit = (signs[left] == signs[todo.pop()]).mean(axis=1) >= least
+                todo += left[hit].tolist()
+                yield from ((int(ids[x]), int(ids[root])) for x in left[hit])
+                left = left[~hit]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                new = pa.Table.from_batches([batch])
+                held = pa.concat_tables([held, new]) if held is not None else new
+            if held is None or not held.num_rows:
+                continue
+            key = np.stack([held.column(k).to_numpy() for k in range(3)], axis=1)
+            bounds = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
+            ends = np.append(bounds[1:], held.num_rows)
+            whole = len(bounds) - (batch is not None)  # the last tile may go on in the next batch
+            if not whole:
+                continue
+            ids = held.column(3).to_numpy()
+            signs = np.frombuffer(b"".join(held.column(4).to_pylist()), np.uint8).reshape(held.num_rows, -1)
+            found = {e for lo, hi in zip(bounds[:whole], ends[:whole], strict=True) for e in forest(ids[lo:hi], signs[lo:hi])}
+            held = held.slice(ends[whole - 1])
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
 def shingle_sets(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: np.unique(shingles(normalised(t))).tobytes())
 
 
+def tiled(rows: DataFrame, group: str, *columns: str) -> DataFrame:
+    """A row for each tile (i, j) of its group's nb blocks that a row's block is part of."""
+    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("_o")
+    return rows.select(group, "block", *[c for c in columns if c != "block"], other).select(group, F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), *columns)
+
+
 def compare_tile(similarity: float):
     """The links of a tile: two blocks of a group, or one with itself, on whole sets.
     A row per document that has any: its links (copies counted) and the least
@@ -117,11 +163,12 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """_rid, id, class_id, n_links and kept for each row of docs.
 
     Texts with the same words (lower case, white space aside) are one entry with a
-    count. Entries that share a band and whose signatures agree roughly with the
-    band's first entry form candidate groups; inside a group all pairs are verified
-    on their full sets of five-word shingles, in tiles of two blocks. A tile
-    returns sums and a spanning forest, never its pairs; a large group is many
-    tiles. Counts and classes are then sums and connected components.
+    count. Entries that share a band and whose signatures agree roughly form candidate
+    groups: each is compared with the band's first entry, and where one fails, all of
+    the band's entries with each other. Inside a group all pairs are verified on their
+    full sets of five-word shingles. Both work in tiles of two blocks; a tile returns
+    sums and a spanning forest, never its pairs; a large band or group is many tiles.
+    Counts and classes are then sums and connected components.
 
     class_id: the smallest id that links lead to, itself included; kept: one row of
     each class, that with the smallest id (the first in scan order of repeated
@@ -139,12 +186,18 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     own = members.join(entries.select("rid"), "rid", "left_semi")
     banded = own.select("rid", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    pairs = split_join(banded, buckets, ["band"]).filter("rid != first").select("rid", "first").distinct()
+    buckets = banded.groupBy("band").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    led = split_join(banded, buckets, ["band"])
     signs = own.select("rid", "sign")
+    pairs = led.filter("rid != first").select("rid", "first").distinct()
     met = split_join(split_join(pairs, signs, ["rid"]), signs.select(F.col("rid").alias("first"), F.col("sign").alias("_sign")), ["first"])
     agree = F.pandas_udf(agreement, "double")
-    near = met.filter(agree("sign", "_sign") >= AGREE).select(F.col("rid").alias("a"), F.col("first").alias("b"))
+    judged = cut(met.select("rid", "first", (agree("sign", "_sign") >= AGREE).alias("agrees")))
+    missed = led.filter("_n > 2").join(judged.filter("not agrees").select("rid", "first"), ["rid", "first"], "left_semi")
+    mixed = missed.groupBy("band").agg(F.ceil(F.first("_n") / BAND_BLOCK).cast("int").alias("nb"))
+    rest = split_join(split_join(banded, mixed, ["band"]), signs, ["rid"]).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"))
+    met_again = tiled(rest, "band", "rid", "sign").select("band", "i", "j", "rid", "sign").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    near = judged.filter("agrees").select(F.col("rid").alias("a"), F.col("first").alias("b")).union(met_again.mapInArrow(agreeing(AGREE), "a long, b long"))
     stars = connected_components(near)
     groups = cut(stars.select(F.col("node").alias("rid"), F.col("root").alias("grp")).union(stars.select(F.col("root").alias("rid"), F.col("root").alias("grp")).distinct()))
     sized = groups.join(members.select("rid", "n"), "rid")
@@ -153,10 +206,7 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     few = candidates.count() < BROADCAST_ROWS
     texts = source.select("rid", "text").join(F.broadcast(candidates) if few else candidates, "rid")
     sets = texts.select("rid", "grp", "copies", "nb", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int").alias("block"), F.pandas_udf(shingle_sets, "binary")("text").alias("shingles"))
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("_o")
-    tiles = sets.select("rid", "grp", "copies", "block", "shingles", other).select(
-        "grp", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "rid", "copies", "block", "shingles"
-    )
+    tiles = tiled(sets, "grp", "rid", "copies", "block", "shingles")
     links = cut(tiles.groupBy("grp", "i", "j").applyInPandas(compare_tile(similarity), "rid long, links long, root long"))
     roots = connected_components(links.select(F.col("rid").alias("a"), F.col("root").alias("b")))
     sums = links.groupBy("rid").agg(F.sum("links").alias("links"))

@@ -3,6 +3,7 @@ from collections import defaultdict
 import cases
 import numpy as np
 
+from codonloom.llm import ngram_join
 from codonloom.llm.ngram_join import BLOCK, bands_for, drop_near_copies, join_documents, query
 from codonloom.llm.shingles import MinHash, normalised, shingles
 
@@ -70,6 +71,21 @@ def test_large_group_of_near_copies(spark):
     assert all(r.class_id == want[r.id][1] for r in got)
 
 
+def test_near_copies_behind_documents_with_the_same_passages(spark, monkeypatch):
+    """Third documents come first in all bands of two near copies and fail against both."""
+    monkeypatch.setattr(ngram_join, "BAND_BLOCK", 64)
+    rng = np.random.default_rng(1)
+    pool = [[f"p{i}_{k}" for k in range(60)] for i in range(8)]
+    rows = [(i, sum((pool[p] for p in np.sort(rng.choice(8, size=5, replace=False))), []) + [f"f{i}_{k}" for k in range(200)]) for i in range(600)]
+    w = sum(pool, [])
+    rows += [(1000, w), (1001, [*w[:210], "changed", *w[211:]])]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    want = sorted(brute(rows))
+    assert [r for r in want if r[2]] == [(1000, 1000, 1), (1001, 1000, 1)]
+    got = join_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r.id, r.class_id, r.n_links) for r in got) == want
+
+
 def test_awkward_rows(spark, tmp_path):
     d = cases.stored(cases.documents(spark), tmp_path)
     rows = [(r[0], r[1]) for r in cases.rows()]
