@@ -23,9 +23,18 @@ _DIGITS = re.compile(r"[0-9]+")
 _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_CUE_VALUE = re.compile(r"(?:\s|[:=#\"'.]|no\b|number\b|is\b){0,6}([A-Za-z0-9][A-Za-z0-9_-]{4,63})(?![A-Za-z0-9_-])", re.I)
-_IBAN = re.compile(r"[\s:=#.]{0,6}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Z0-9])")
-_LOGIN = re.compile(r"([^\s/?#@:]{1,64}:[^\s/?#@]{1,64})@")
+_CUE_VALUE = re.compile(r"(?:\s|[:=#\"'.]|no\b|number\b|is\b){0,6}([A-Za-z0-9](?:[A-Za-z0-9_-]|[.+/~](?=[A-Za-z0-9_-])){4,}={0,2})", re.I)
+#: At least the length of what may stand between a cue and its value.
+_BETWEEN = 40
+_IBAN = re.compile(r"[\s:=#.]{0,6}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
+_LOGIN = re.compile(r"([^\s/?#@:]+:[^\s/?#@]+)@")
+#: Length of an account number -> the countries that have it.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL FK SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_LENGTH_OF = {c: n for n, countries in _IBAN_LENGTHS.items() for c in countries.split()}
 _CUES = {
     "account": ("account", "acct", "passport", "ssn", "routing"),
     "iban": ("iban",),
@@ -65,6 +74,19 @@ def iban_ok(value: str) -> bool:
     return 15 <= len(flat) <= 34 and int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
 
 
+def iban_end(text: str, start: int, end: int) -> int | None:
+    """Where the account number ends that starts at start and ends by end: between groups,
+    at its country's length if that is valid, else at the longest valid length."""
+    ends, n = [], 0
+    for i in range(start, end):
+        n += text[i] != " "
+        after = text[i + 1 : i + 2]
+        if text[i] != " " and not ("A" <= after <= "Z" or "0" <= after <= "9"):
+            ends.append((n, i + 1))
+    own = _LENGTH_OF.get(text[start : start + 2])
+    return next((e for n, e in sorted(ends, key=lambda x: (x[0] != own, -x[0])) if iban_ok(text[start:e])), None)
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of a text, in code points, end exclusive, by
     start and kind. From each anchor a parser expands to the longest span that its
@@ -109,10 +131,14 @@ def find(text: str) -> list[tuple[str, int, int]]:
         elif last >= taken[what] and not (i and text[i - 1].isalnum()):
             m = (_IBAN if what == "iban" else _CUE_VALUE).match(text, last + 1)
             if m and m.start(1) > last + 1:
-                value = m[1]
-                if iban_ok(value) if what == "iban" else sum(c.isdigit() for c in value) >= 4:
-                    taken[what] = m.end(1)
-                    spans.append((what, m.start(1), m.end(1)))
+                start, end = m.span(1)
+                if what == "iban":
+                    end = iban_end(text, start, end)
+                elif sum(c.isdigit() for c in m[1]) < 4:
+                    taken[what], end = end - _BETWEEN, None  # a value that starts in this one has no more digits
+                if end is not None:
+                    taken[what] = end
+                    spans.append((what, start, end))
     return sorted(spans, key=lambda s: (s[1], ORDER[s[0]], s[2]))
 
 

@@ -50,6 +50,26 @@ def test_added_kinds():
     assert {k for k, _, _ in find(text)} >= {"secret", "account", "iban", "login"}
 
 
+def added(text):
+    return [(k, text[a:b]) for k, a, b in find(text) if k not in BASE]
+
+
+def test_accounts_end_where_their_country_says():
+    for iban in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"):
+        for after in ("", ", x", " BIC: COBADEFF", " The next", " 12345 67", " AND MORE WORDS IN CAPITALS"):
+            assert added(f"IBAN {iban}{after}") == [("iban", iban)]
+    assert added("IBAN DE89370400440532013001 BIC: x") == []
+
+
+def test_long_secrets_and_logins():
+    token, jwt = "ab12" * 24, f"eyJ{'a1' * 40}.eyJ{'b2' * 90}.{'c3' * 21}"
+    for value in (token, jwt, "QUJD+123/45678=="):
+        assert added(f"token: {value} and") == [("secret", value)] and added(f'password="{value}".') == [("secret", value)]
+    assert added("secret.token: abcd12345. Next") == [("secret", "abcd12345")]
+    assert added(f"ftp://{'u' * 70}:{'p' * 200}@host.org/") == [("login", f"{'u' * 70}:{'p' * 200}")]
+    assert added("token." * 50_000) == []
+
+
 def test_awkward_rows(spark, tmp_path):
     assert query(spark, cases.stored(cases.documents(spark), tmp_path)).count() == len(cases.rows())
     assert query(spark, cases.stored(cases.empty(spark), tmp_path / "e")).count() == 0
