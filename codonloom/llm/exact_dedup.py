@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codonloom.llm.common import stable, table, text_of, with_row_id, without_space
+from codonloom.llm.common import fresh, stable, table, text_of, with_row_id, without_space
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of docs with its group of equal texts.
 
     Texts are equal when identical without white space. Rows meet on the MD5 of
@@ -16,18 +16,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole text, so two texts with one hash stay apart. Copies are collapsed before
     the shuffle (partial aggregate), so a group of any size sends one row a task.
 
-    Adds ``_rid``, ``_sha`` (SHA-256 of the normalised text), ``keep_id``,
-    ``group_size`` and ``kept`` to the id column and the columns named in ``keep``.
+    Returns ``_rid`` (the row's number), ``_id``, ``_sha`` (SHA-256 of the normalised
+    text), ``keep_id``, ``group_size`` and ``kept``.
 
-    Null text: as empty, so all null and empty texts are one group. Null id: after
-    every other id. Repeated rows, the same id included: one of them stays (the
-    first in scan order). Empty table: empty result.
+    Null text: as empty, so all null and empty texts are one group. Very long texts:
+    whole, as grouping keys. Ties in length: the smallest id stays; null ids come
+    after every other. Repeated rows, the same id included: the one of the smallest
+    row number stays. Empty table: empty result. Other columns: not read, so their
+    names don't matter.
     """
-    norm = without_space(text_of(docs, text_col))
-    base = with_row_id(stable(docs)).select(
-        F.col("_rid"),
+    docs = stable(docs)
+    rid, norm = fresh(docs, "_rid"), without_space(text_of(docs, text_col))
+    base = with_row_id(docs, rid).select(
+        F.col(rid).alias("_rid"),
         F.col(id_col).alias("_id"),
-        *[F.col(c) for c in keep],
         F.length(text_of(docs, text_col)).alias("_n"),
         norm.alias("_norm"),
     ).withColumn("_h", F.unhex(F.md5("_norm")))
@@ -47,15 +49,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     rows = base.withColumn("_sha", F.sha2("_norm", 256)).drop("_norm")
     return rows.join(classes, (F.col("_h") == F.col("_ch")) & (F.col("_sha") == F.col("_csha"))).select(
-        "_rid", "_id", *keep, "_sha", "keep_id", "group_size", (F.col("_rid") == F.col("_keep_rid")).alias("kept")
+        "_rid", "_id", "_sha", "keep_id", "group_size", (F.col("_rid") == F.col("_keep_rid")).alias("kept")
     )
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """docs without its exact copies, with the columns of docs."""
+    """docs without its exact copies, with the columns of docs, whatever their names.
+    Nulls, ties, repeated rows and empty tables: as in exact_groups."""
     docs = stable(docs)
-    gone = exact_groups(docs).filter(~F.col("kept")).select("_rid")
-    return with_row_id(docs).join(gone, "_rid", "left_anti").select(*docs.columns)
+    rid = fresh(docs, "_rid")
+    gone = exact_groups(docs).filter(~F.col("kept")).select(F.col("_rid").alias(rid))
+    return with_row_id(docs, rid).join(gone, rid, "left_anti").drop(rid)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,13 +7,16 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codonloom.llm.common import BROADCAST_ROWS, cut, small, stable, table, text_of, with_row_id
+from codonloom.llm.common import BROADCAST_ROWS, cut, fresh, split_join, stable, table, text_of, with_row_id
 
 #: A word: a run without space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 SEED = 20240607
+#: Most bytes of source names in a table of sources that is broadcast.
+BROADCAST_BYTES = 16 << 20
+ON = ["_s", "_null"]
 
 
 def word_count(text: Column) -> Column:
@@ -57,92 +60,94 @@ def water_level(ranked: DataFrame, max_epochs: float = MAX_EPOCHS) -> float:
         level = new
 
 
-def source_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """A row per source: source_size, target, whole repetitions, and the seeded key
-    up to which documents get one more.
+def join_sources(rows: DataFrame, sources: DataFrame, few: bool, on: list[str]) -> DataFrame:
+    return rows.join(F.broadcast(sources), on) if few else split_join(rows, sources, on)
 
-    docs: _rid, source, size, key. Documents of a source stand in order of a seeded
-    hash; the part of a repetition goes to the first of them, whole, up to the one
-    whose middle passes the cut, so a source misses its target by half a document
-    at most. The cut is found by sums over sqrt(n) hash ranges and a sort of the
-    one range where it falls; a hot source is never sorted whole.
+
+def narrowed(docs: DataFrame, at: DataFrame, few: bool, earlier: list[str], digit: str) -> DataFrame:
+    """at (source, part, before, and a value of each earlier digit, inside which the cut
+    falls) with the value of the next digit inside which it falls."""
+    within = [*ON, *earlier]
+    sums = join_sources(docs, at, few, within).groupBy(*within, digit).agg(F.sum("size").alias("_size"), F.first("part").alias("part"), F.first("before").alias("_start"))
+    up_to = Window.partitionBy(*ON).orderBy(digit).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.col("_start") + F.coalesce(F.sum("_size").over(up_to), F.lit(0)))
+    return sums.filter((F.col("before") < F.col("part")) & (F.col("before") + F.col("_size") >= F.col("part"))).select(*within, digit, "part", "before")
+
+
+def source_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: float = MAX_EPOCHS) -> tuple[DataFrame, bool]:
+    """A row per source: source_size, target, whole repetitions, and the last document
+    that gets one more (``_edge``, itself included if ``_with``); and whether the
+    sources are few enough to be broadcast, which is counted first.
+
+    docs: _rid, source, size, key, _s, _null, _order. Documents of a source stand in
+    order of a seeded hash of id and text, copies of a row in that of their number; the
+    part of a repetition goes to the first of them, whole, up to the one whose middle
+    passes the cut, so a source misses its target by half a document at most. The
+    cut is found digit by digit: the range of hashes inside which it falls, the
+    hash, the range of row numbers, the row. Each step takes sums over about
+    sqrt(n) values a source, so neither a hot source nor a hot row is sorted whole.
     """
-    sources = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = cut(ranked_sources(sources, weights), BROADCAST_ROWS)
+    sources = cut(docs.groupBy("source").agg(F.sum("size").alias("source_size")))
+    n, width = sources.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("source")), F.lit(0))).first()
+    few = n < BROADCAST_ROWS and width < BROADCAST_BYTES
+    ranked = cut(ranked_sources(sources, weights), n)
     level = water_level(ranked, max_epochs)
     cap = F.col("source_size") * F.lit(float(max_epochs))
     share = F.col("weight") * F.lit(level if math.isfinite(level) else 1e300)
     plan = ranked.withColumn("target", F.when(share >= cap, cap).otherwise(share))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = cut(  # a row a source, as in the tables below
+    plan = cut(
         plan.withColumn("whole", F.floor(ratio).cast("long"))
         .withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
         .withColumn("_s", F.coalesce("source", F.lit("")))
         .withColumn("_null", F.col("source").isNull()),
-        BROADCAST_ROWS,
-    )
-    n = docs.count()
-    bits = max(1, math.ceil(math.log2(max(n, 1)) / 2))
-    named = docs.select(
-        "_rid", "size", "key", F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_null"),
-        F.shiftrightunsigned("key", 64 - bits).alias("_range"),
-    )
-    on = ["_s", "_null"]
-    up_to = Window.partitionBy(*on).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = named.groupBy(*on, "_range").agg(F.sum("size").alias("_size")).withColumn("_before", F.coalesce(F.sum("_size").over(up_to), F.lit(0)))
-    rows = plan.count()
-    cutting = (
-        ranges.join(small(plan.select(*on, "part"), rows), on)
-        .filter((F.col("_before") < F.col("part")) & (F.col("_before") + F.col("_size") >= F.col("part")))
-        .select(*on, "_range", "part", "_before")
-    )
-    in_order = Window.partitionBy(*on).orderBy("_ukey", "_rid").rowsBetween(Window.unboundedPreceding, -1)
-    first_out = (
-        named.join(small(cutting, rows), [*on, "_range"])
-        .withColumn("_ukey", F.col("key").bitwiseXOR(F.lit(-(1 << 63))))  # unsigned order
-        .withColumn("_cum", F.col("_before") + F.coalesce(F.sum("size").over(in_order), F.lit(0)))
-        .filter(F.col("_cum") + F.col("size") / 2 > F.col("part"))
-        .groupBy(*on)
-        .agg(F.min(F.struct("_ukey", "_rid")).alias("_out"))
-    )
-    last = cutting.select(*on, (F.col("_range") + 1).alias("_next"))
-    edge = F.when(F.col("_out").isNotNull(), F.col("_out._ukey"))
-    return cut(
-        plan.join(first_out, on, "left").join(last, on, "left")
-        .select(*on, "source_size", "target", "whole", edge.alias("_edge_key"), F.col("_out._rid").alias("_edge_rid"), F.col("_next"), (F.col("part") > 0).alias("_some"), F.lit(bits).alias("_bits")),
-        rows,
+        n,
     )
+    bits = max(1, math.ceil(math.log2(max(docs.count(), 1)) / 2))
+    ranges = docs.withColumns({
+        "_d0": F.shiftright(F.col("_order.key"), 64 - bits), "_d1": F.col("_order.key"), "_d2": F.shiftright(F.col("_order.row"), 64 - bits),
+    })
+    at, digits = plan.filter("part > 0").select(*ON, "part", F.lit(0).cast("long").alias("before")), []
+    for digit in ("_d0", "_d1", "_d2"):
+        at = narrowed(ranges, at, few, digits, digit)
+        digits.append(digit)
+    in_order = Window.partitionBy(*ON).orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
+    rows = join_sources(ranges, at, few, [*ON, *digits]).withColumn("_cum", F.col("before") + F.coalesce(F.sum("size").over(in_order), F.lit(0)))
+    out = F.min(F.when(F.col("_cum") + F.col("size") / 2 > F.col("part"), F.col("_order")))
+    edges = rows.groupBy(*ON).agg(F.coalesce(out, F.max("_order")).alias("_edge"), out.isNull().alias("_with"))
+    return cut(plan.join(edges, ON, "left").select(*ON, "source_size", "target", "whole", "_edge", "_with"), n), few
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs (source, text, doc_id) with the repetitions the mix takes of each row.
 
     Returns ``_id``, the columns in ``keep``, size, source_size, target, taken and
-    reps. Null text: no words. Null source: a source of its own, last in the order.
-    Repeated rows: mixed each on its own. A source without words: target and taken
-    0. Empty table: empty result. Same rows and seed: same result.
+    reps. Null or empty text: no words. Very long texts: whole; a document is taken
+    whole or not. Null source: a source of its own, last in the order. Null id: as any
+    other. Ties (rows of equal id and text) and repeated rows: each row on its own. A
+    source without words: target and taken 0. Empty table: empty result. Other
+    columns: not read but those in ``keep``. Same rows and seed: same result.
     """
-    base = with_row_id(stable(docs)).select(
-        "_rid", F.col("doc_id").alias("_id"), F.col("source").cast("string").alias("source"), *[F.col(c).alias(f"_k_{c}") for c in keep],
-        word_count(text_of(docs)).alias("size"), F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("key"),
-    )
-    lean = cut(base.select("_rid", "_id", "source", "size", "key"))
-    plan = source_plan(lean, weights, max_epochs, seed)
-    source = base if keep else lean
-    rows = source.withColumns({"_s": F.coalesce("source", F.lit("")), "_null": F.col("source").isNull(), "_ukey": F.col("key").bitwiseXOR(F.lit(-(1 << 63)))})
-    joined = rows.join(small(plan, plan.count()), ["_s", "_null"])
-    before_edge = (F.col("_ukey") < F.col("_edge_key")) | ((F.col("_ukey") == F.col("_edge_key")) & (F.col("_rid") < F.col("_edge_rid")))
-    in_ranges = F.expr("shiftrightunsigned(key, 64 - _bits)") < F.col("_next")
-    more = F.col("_some") & F.coalesce(before_edge, in_ranges, F.lit(False))
+    docs = stable(docs)
+    rid, text = fresh(docs, "_rid"), text_of(docs)
+    base = with_row_id(docs, rid).select(
+        F.col("doc_id").alias("_id"), F.col("source").cast("string").alias("source"), *[F.col(c).alias(f"_k_{c}") for c in keep], word_count(text).alias("size"),
+        F.struct(F.xxhash64("doc_id", text, F.lit(seed)).alias("key"), F.xxhash64(F.col(rid), F.lit(seed)).alias("row"), F.col(rid).alias("rid")).alias("_order"),
+    ).withColumns({"_s": F.coalesce("source", F.lit("")), "_null": F.col("source").isNull()})
+    lean = cut(base.drop(*[f"_k_{c}" for c in keep]))
+    plan, few = source_plan(lean, weights, max_epochs)
+    joined = join_sources(base if keep else lean, plan, few, ON)
+    more = F.coalesce((F.col("_order") < F.col("_edge")) | (F.col("_with") & (F.col("_order") == F.col("_edge"))), F.lit(False))
     return joined.withColumn("reps", F.col("whole") + more.cast("long")).select(
         "_id", *[F.col(f"_k_{c}").alias(c) for c in keep], "size", "source_size", "target", (F.col("reps") * F.col("size")).alias("taken"), "reps"
     )
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with its columns."""
+    """The rows of docs, each as often as the mix takes it, with its columns, whatever
+    their names. Nulls, ties, repeated rows and empty tables: as in mix."""
     cols = list(docs.columns)
-    held = docs.select(F.struct(*cols).alias("_row"), "doc_id", "source", "text")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), "doc_id", "source", "text")
     return (
         mix(held, keep=("_row",))
         .filter(F.col("reps") > 0)

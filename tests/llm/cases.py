@@ -1,6 +1,6 @@
 """Awkward documents for every operator on texts."""
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, kept int, _rid string, gram int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, kept int, _rid string, gram int, _id string, _s long, rid string, k int, `a.b` int"
 
 TEXTS = [
     None,
@@ -22,9 +22,9 @@ def rows():
     out = []
     for i, t in enumerate(TEXTS):
         for again in (0, 0, 100):
-            out.append((i + again, t, ["en", None, "fr"][i % 3], ["b", None, "a"][i % 3], None, "size", i, "rid", None))
-    out.append((None, None, None, None, None, None, None, None, None))
-    out.append((None, "one two three four five six seven eight nine ten", None, None, None, None, None, None, None))
+            out.append((i + again, t, ["en", None, "fr"][i % 3], ["b", None, "a"][i % 3], None, "size", i, "rid", None, f"id{i}", i, f"rid{i}", i, i))
+    out.append((None,) * 14)
+    out.append((None, "one two three four five six seven eight nine ten", *[None] * 12))
     return out
 
 
@@ -39,3 +39,16 @@ def empty(spark):
 def stored(df, path):
     df.write.mode("overwrite").parquet(f"{path}/documents.parquet")
     return str(path)
+
+
+def values(df):
+    """All rows, with all columns, in an order of their own."""
+    return sorted(map(repr, map(tuple, df.collect())))
+
+
+def parallelism(spark, n):
+    """Let scans be split as on n cores (None: as they are)."""
+    if n is None:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    else:
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", str(n))

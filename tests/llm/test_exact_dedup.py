@@ -1,9 +1,13 @@
 import hashlib
 import re
+import shutil
 from collections import defaultdict
 
 import cases
+from pyspark.sql import functions as F
 
+from codonloom.llm import exact_dedup
+from codonloom.llm.common import stable, with_row_id
 from codonloom.llm.exact_dedup import drop_exact_copies, exact_groups, query
 
 
@@ -43,6 +47,7 @@ def test_awkward_rows(spark, tmp_path):
     out = drop_exact_copies(docs)
     assert out.columns == docs.columns
     assert out.count() == len(kept)
+    assert len(cases.values(docs.exceptAll(out))) == len(rows) - len(kept) and not cases.values(out.exceptAll(docs))
 
 
 def test_empty(spark):
@@ -50,9 +55,33 @@ def test_empty(spark):
     assert drop_exact_copies(cases.empty(spark)).count() == 0
 
 
-def test_scans_are_used_as_they_are(spark, sf):
-    from codonloom.llm.common import stable
+def test_row_numbers(spark, tmp_path):
+    """The same for any split of the files, wherever they lie; other inputs are written first."""
+    spark.range(5000).withColumn("t", F.repeat(F.lit("x"), 2000)).repartition(40).write.parquet(str(tmp_path / "a b"))
+    shutil.copytree(tmp_path / "a b", tmp_path / "c")
+    docs = spark.read.parquet(str(tmp_path / "a b"))
+    some = docs.filter("id % 2 = 0").select("id")
+    assert stable(docs) is docs and stable(some) is some
+    assert stable(docs.repartition(3)) is not docs and stable(spark.read.parquet(*[str(tmp_path / "c")] * 2)).count() == 10_000
+    found = {}
+    for n, df in ((1, docs), (4, docs), (7, some), (None, spark.read.parquet(str(tmp_path / "c")))):
+        cases.parallelism(spark, n)
+        rows = {r.id: r["_rid"] for r in with_row_id(df).collect()}
+        assert len(set(rows.values())) == len(rows)
+        found |= rows if not found else {}
+        assert all(found[i] == r for i, r in rows.items())
+    assert min(found.values()) >= 0
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    assert stable(docs) is docs and stable(docs.filter("doc_id > 3").select("text")) is not None
-    assert stable(docs.repartition(3)) is not docs
+
+def test_other_cores_between_jobs(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = cases.values(drop_exact_copies(docs).select("doc_id"))
+    rows, n = exact_dedup.with_row_id, iter((2, 5))
+
+    def moving(*args):
+        cases.parallelism(spark, next(n))
+        return rows(*args)
+
+    monkeypatch.setattr(exact_dedup, "with_row_id", moving)
+    assert cases.values(drop_exact_copies(docs).select("doc_id")) == want
+    cases.parallelism(spark, None)

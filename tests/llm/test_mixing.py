@@ -3,8 +3,10 @@ from collections import defaultdict
 
 import cases
 import pytest
+from pyspark.sql import functions as F
 
-from codonloom.llm.mixing import mix, mixed_documents, query
+from codonloom.llm.common import cut
+from codonloom.llm.mixing import mix, mixed_documents, query, ranked_sources
 
 
 def targets(sizes):
@@ -54,12 +56,36 @@ def test_capped_sources(spark):
     assert any(r.target == 3 * r.source_size for r in out)
 
 
+def test_many_sources(spark):
+    """No task holds all sources; each meets its target."""
+    df = spark.range(300_000).select("id", F.lit("w w").alias("text"), F.concat(F.lit("s"), F.col("id") % 150_000).alias("source")).withColumnRenamed("id", "doc_id")
+    lean = cut(df.select(F.col("source"), F.lit(2).cast("long").alias("source_size")).distinct())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    ranked = cut(ranked_sources(lean), 150_000)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert ranked.rdd.getNumPartitions() > 1
+    assert {r.weight: r["count"] for r in ranked.groupBy("weight").count().collect()} == {1.0: 50_000, 2.0: 50_000, 3.0: 50_000}
+    out = mix(df).groupBy("source_size", "target").agg(F.count("*").alias("n"), F.sum("taken").alias("taken")).collect()
+    assert sum(r.n for r in out) == 300_000 and sorted(r.target for r in out) == pytest.approx([2.0, 4.0, 6.0])
+    assert all(r.taken == pytest.approx(r.n * r.target / 2) for r in out)
+
+
+def test_one_row_many_times(spark):
+    """A hot row is cut inside its copies."""
+    docs = [(7, "w w", "a")] * 400 + [(i, "w " * 50, "b") for i in range(100, 140)]
+    out = mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    taken = sum(r.taken for r in out if r.source_size == 800)
+    assert abs(taken - next(r.target for r in out if r.source_size == 800)) <= 1
+    assert len({r.reps for r in out if r.source_size == 800}) == 2
+
+
 def test_awkward_rows(spark, tmp_path):
     d = cases.stored(cases.documents(spark), tmp_path)
     docs = spark.read.parquet(f"{d}/documents.parquet")
     assert query(spark, d).count() == len(cases.rows())
     out = mixed_documents(docs)
     assert out.columns == docs.columns
-    out.collect()
+    assert not cases.values(out.distinct().exceptAll(docs.distinct()))
+    assert cases.values(out) == cases.values(mixed_documents(docs))
     assert mix(cases.empty(spark)).count() == 0
     assert mixed_documents(cases.empty(spark)).count() == 0
