@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codonloom.llm.common import BROADCAST_ROWS, cut, split_join, stable, table, text_of, with_row_id
+from codonloom.llm.common import cut, fresh, split_join, stable, table, text_of, with_row_id
 from codonloom.llm.components import connected_components
 from codonloom.llm.shingles import MinHash, normalised, shingles
 
@@ -25,7 +25,7 @@ ROWS = 4
 #: match of one band doesn't chain groups. At the similarity, agreement is over 4 deviations above.
 AGREE = 0.6
 #: A block of a group: at most about this many documents and shingles.
-BLOCK, BLOCK_SHINGLES = 128, 500_000
+BLOCK, BLOCK_SHINGLES = 64, 500_000
 #: A block of a band's documents whose signatures are compared with each other.
 BAND_BLOCK = 1024
 SEED = 5
@@ -171,14 +171,20 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Counts and classes are then sums and connected components.
 
     class_id: the smallest id that links lead to, itself included; kept: one row of
-    each class, that with the smallest id (the first in scan order of repeated
-    rows). n_links: the other rows with Jaccard >= similarity, copies included.
+    each class, that with the smallest id. n_links: the other rows with Jaccard >=
+    similarity, copies included.
 
     Null text: as empty. A text without words links with nothing. One to four words
-    are one shingle. Null id: the largest; alone, its class is null. Empty: empty.
+    are one shingle. Very long texts: whole, all their shingles are compared; a tile
+    holds two texts at least, whatever their length. Ties and repeated rows: of
+    equal ids that of the smallest row number stays. Null id: the largest; alone,
+    its class is null. Empty table: empty result. Other columns: not read, so their
+    names don't matter.
     """
     bands = bands_for(similarity, recall)
-    source = with_row_id(stable(docs)).select(F.col("_rid").alias("rid"), F.col(id_col).cast("long").alias("id"), text_of(docs, text_col).alias("text"))
+    docs = stable(docs)
+    rid = fresh(docs, "_rid")
+    source = with_row_id(docs, rid).select(F.col(rid).alias("rid"), F.col(id_col).cast("long").alias("id"), text_of(docs, text_col).alias("text"))
     members = cut(source.mapInArrow(sketch(bands, ROWS, SEED), "rid long, id long, key binary, n long, bands array<long>, sign binary"))
     entries = cut(
         members.filter("key is not null").groupBy("key")
@@ -203,8 +209,7 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sized = groups.join(members.select("rid", "n"), "rid")
     blocks = sized.groupBy("grp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
     candidates = cut(split_join(groups, blocks, ["grp"]).join(entries.select("rid", "copies"), "rid"))
-    few = candidates.count() < BROADCAST_ROWS
-    texts = source.select("rid", "text").join(F.broadcast(candidates) if few else candidates, "rid")
+    texts = source.select("rid", "text").join(candidates.hint("merge"), "rid")  # a shuffle at every size
     sets = texts.select("rid", "grp", "copies", "nb", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int").alias("block"), F.pandas_udf(shingle_sets, "binary")("text").alias("shingles"))
     tiles = tiled(sets, "grp", "rid", "copies", "block", "shingles")
     links = cut(tiles.groupBy("grp", "i", "j").applyInPandas(compare_tile(similarity), "rid long, links long, root long"))
@@ -225,11 +230,12 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class, with the columns of docs."""
+    """docs with one document of each class, with the columns of docs, whatever their
+    names. Nulls, ties, repeated rows and empty tables: as in join_documents."""
     docs = stable(docs)
-    gone = cut(join_documents(docs).filter(~F.col("kept")).select("_rid"))
-    few = gone.count() < BROADCAST_ROWS
-    return with_row_id(docs).join(F.broadcast(gone) if few else gone, "_rid", "left_anti").select(*docs.columns)
+    rid = fresh(docs, "_rid")
+    gone = cut(join_documents(docs).filter(~F.col("kept")).select(F.col("_rid").alias(rid)))
+    return with_row_id(docs, rid).join(gone.hint("merge"), rid, "left_anti").drop(rid)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

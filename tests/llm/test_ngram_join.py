@@ -1,3 +1,4 @@
+import itertools
 from collections import defaultdict
 
 import cases
@@ -86,6 +87,22 @@ def test_near_copies_behind_documents_with_the_same_passages(spark, monkeypatch)
     assert sorted((r.id, r.class_id, r.n_links) for r in got) == want
 
 
+def test_other_cores_between_jobs(spark, monkeypatch):
+    """Every job, the last included, sees the table split in another way."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {i for i, least, _ in brute([tuple(r) for r in docs.select("doc_id", "text").collect()]) if i == least}
+    once, n = ngram_join.cut, itertools.count(1)
+
+    def moving(*args):
+        out = once(*args)
+        cases.parallelism(spark, 1 + next(n) % 7)
+        return out
+
+    monkeypatch.setattr(ngram_join, "cut", moving)
+    assert {r.doc_id for r in drop_near_copies(docs).select("doc_id").collect()} == want
+    cases.parallelism(spark, None)
+
+
 def test_awkward_rows(spark, tmp_path):
     d = cases.stored(cases.documents(spark), tmp_path)
     rows = [(r[0], r[1]) for r in cases.rows()]
@@ -94,6 +111,7 @@ def test_awkward_rows(spark, tmp_path):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     out = drop_near_copies(docs)
     assert out.columns == docs.columns and out.count() == sum(r.kept for r in got)
+    assert not cases.values(out.exceptAll(docs))
     assert join_documents(cases.empty(spark)).count() == 0
     assert drop_near_copies(cases.empty(spark)).count() == 0
 
