@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codonloom.llm.common import stable, stored, table, text_of, with_row_id
+from codonloom.llm.common import fresh, stable, stored, table, text_of, with_row_id
 from codonloom.llm.shingles import BACK, BASE, mix, powers
 from codonloom.llm.suffix_array import permuted_prefixes, suffix_array
 
@@ -26,27 +27,47 @@ BASE2 = 0xD6E8FEB86659FD93
 BACK2 = pow(BASE2, -1, 1 << 64)
 #: Windows handled at once, rows held before copies are collapsed, bytes of a shard's array.
 CHUNK, HELD, SHARD = 1 << 20, 400_000, 1 << 20
+#: Different segments of one anchor that a task holds; an anchor with more is split by windows.
+KEY_ROWS = 100_000
 #: One document in so many is sampled for anchors that stand in many different contexts.
 HOT_SAMPLE = 32
 #: An anchor is hot if its different contexts in the sample exceed both of these.
-HOT_LEAST, HOT_SHARE = 16, 1e-3
+HOT_LEAST, HOT_SHARE = 16, 1e-4
+#: Bytes of text for each partition of the shuffles, up to so many partitions.
+PARTITION_BYTES, MOST_PARTITIONS = 32 << 20, 100_000
 
 ROW = "k long, seg long, wide long, doc long, rid long, a long, n int"
 NAMES = ["k", "seg", "wide", "doc", "rid", "a", "n"]
 TYPES = [pa.int64()] * 6 + [pa.int32()]
 
 
+def sums_of(b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Running sums of a text's bytes times the powers of both bases, and the powers of their inverses."""
+    x, zero, size = b.astype(np.uint64) + np.uint64(1), np.zeros(1, np.uint64), len(b)
+    one, two = (np.concatenate([zero, np.cumsum(x * powers(base, size))]) for base in (BASE, BASE2))
+    return one, two, powers(BACK, size), powers(BACK2, size)
+
+
+def window_hashes(one: np.ndarray, two: np.ndarray, back: np.ndarray, back2: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each window that starts at one of w."""
+    return mix((one[w + LENGTH] - one[w]) * back[w] + np.uint64(LENGTH)), mix((two[w + LENGTH] - two[w]) * back2[w])
+
+
+def hashed_windows(b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(k, seg, wide, a, n) of all windows of b, each by itself."""
+    w = np.arange(len(b) - LENGTH + 1)
+    k, seg = window_hashes(*sums_of(b), w)
+    return k, seg, np.zeros(len(w), np.uint64), w, np.ones(len(w), np.int32)
+
+
 def segments(b: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
     """(k, seg, wide, a, n) of a text of bytes: runs of n windows, the first starting at
     a, that share an anchor, whose hash is k; seg hashes the bytes that the windows
     cover and the anchor's place in them; wide holds 32 bits each of the hashes of the
     anchor with the SIDE bytes before and after it, 0 where no window has those. For a
     hot anchor, k and seg hash each window by itself, with n = 1 and wide = 0."""
-    x = b.astype(np.uint64) + np.uint64(1)
-    size, zero = len(b), np.zeros(1, np.uint64)
-    one = np.concatenate([zero, np.cumsum(x * powers(BASE, size))])
-    two = np.concatenate([zero, np.cumsum(x * powers(BASE2, size))])
-    back, back2 = powers(BACK, size), powers(BACK2, size)
+    size = len(b)
+    one, two, back, back2 = sums_of(b)
     h = mix((one[ANCHOR:] - one[:-ANCHOR]) * back[: size - ANCHOR + 1])
     low, at = h, np.arange(len(h), dtype=np.int32)
     for step in STEPS:  # the first least of twice as many anchors each time
@@ -67,8 +88,7 @@ def segments(b: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
         there = np.isin(k, hot)
         if there.any():
             w = np.concatenate([np.arange(i, i + m) for i, m in zip(a[there], n[there], strict=True)])
-            wk = mix((one[w + LENGTH] - one[w]) * back[w] + np.uint64(LENGTH))
-            ws = mix((two[w + LENGTH] - two[w]) * back2[w])
+            wk, ws = window_hashes(one, two, back, back2, w)
             k, seg, a = np.concatenate([k[~there], wk]), np.concatenate([seg[~there], ws]), np.concatenate([a[~there], w])
             n = np.concatenate([n[~there], np.ones(len(w), dtype=n.dtype)])
             wide = np.concatenate([wide[~there], np.zeros(len(w), np.uint64)])
@@ -96,6 +116,16 @@ def merged(rid: np.ndarray, a: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, .
     return rid[at], a[at], (np.maximum.reduceat(end, at) if len(at) else end) - a[at]
 
 
+def flushed(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    cols, first = collapse(*(np.concatenate(c) for c in zip(*held, strict=True)))
+    yield batch_of(*(c[first] for c in cols))
+    again = ~first
+    if again.any():
+        rid, a, n = merged(cols[4][again], cols[5][again], cols[6][again])
+        zero = np.zeros(len(rid), np.int64)
+        yield batch_of(mix(rid.view(np.uint64) + np.uint64(1)), zero, zero, zero, rid, a, -n)
+
+
 def find_segments(hot: np.ndarray):
     """mapInArrow: (rid, doc, text) -> rows of segments. Of equal segments that a task
     holds at once the first goes on; the others are covered, and go on as rows with
@@ -105,16 +135,6 @@ def find_segments(hot: np.ndarray):
         held: list[tuple[np.ndarray, ...]] = []
         count = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            cols, first = collapse(*(np.concatenate(c) for c in zip(*held, strict=True)))
-            yield batch_of(*(c[first] for c in cols))
-            again = ~first
-            if again.any():
-                rid, a, n = merged(cols[4][again], cols[5][again], cols[6][again])
-                key = mix(rid.view(np.uint64) + np.uint64(1))
-                zero = np.zeros(len(rid), np.int64)
-                yield batch_of(key, zero, zero, zero, rid, a, -n)
-
         for batch in batches:
             for rid, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 b = np.frombuffer(text.as_buffer() or b"", np.uint8)
@@ -123,10 +143,10 @@ def find_segments(hot: np.ndarray):
                     held.append((k, seg, wide, np.full(len(k), doc), np.full(len(k), rid), a.astype(np.int64) + lo, n))
                     count += len(k)
                     if count >= HELD:
-                        yield from flush()
+                        yield from flushed(held)
                         held, count = [], 0
         if held:
-            yield from flush()
+            yield from flushed(held)
 
     return run
 
@@ -148,31 +168,89 @@ def by_key(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[np
         yield rest
 
 
-def match_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow over rows sorted by k. Every segment but the first of its equals is
-    covered: a row with n < 0. Different segments of one anchor that also agree SIDE
-    bytes further on one side, as equal windows do, go on to a suffix array, as rows
-    with n > 0. All other rows are unique and end here."""
-    for k, seg, wide, doc, rid, a, n in by_key(batches, 7):
-        done = n < 0
-        if done.any():
-            yield batch_of(*(c[done] for c in (k, seg, wide, doc, rid, a, n)))
-        (k, seg, wide, doc, rid, a, n), first = collapse(*(c[~done] for c in (k, seg, wide, doc, rid, a, n)))
-        if not len(k):
-            continue
-        again = ~first
-        if again.any():
-            r, s, m = merged(rid[again], a[again], n[again])
-            zero = np.zeros(len(r), np.int64)
-            yield batch_of(zero, zero, zero, zero, r, s, -m)
-        cols = tuple(c[first] for c in (k, seg, wide, doc, rid, a, n))
-        some = np.zeros(len(cols[0]), dtype=bool)
-        for side in (cols[2].view(np.uint64) >> np.uint64(32), cols[2].view(np.uint64) & np.uint64(0xFFFFFFFF)):
-            there = np.flatnonzero(side)
-            _, inverse, times = np.unique(mix(cols[0][there].view(np.uint64) ^ (side[there] * np.uint64(BASE))), return_inverse=True, return_counts=True)
-            some[there[times[inverse] > 1]] = True
-        if some.any():
-            yield batch_of(*(c[some] for c in cols))
+def judged(shard: int, k, seg, wide, doc, rid, a, n) -> Iterator[pa.RecordBatch]:
+    """All different segments of some anchors -> those that also agree SIDE bytes further
+    on one side with another, as equal windows do. They go on under their anchor; if
+    that has more than a shard of them, under the anchor with each side they agree
+    on, where equal windows meet as well; if even that has, by windows (wide = 1)."""
+    size = n.astype(np.int64) - 1 + LENGTH
+    halves = [(k, np.zeros(len(k), bool))] * 2
+    for h, half in enumerate((wide.view(np.uint64) >> np.uint64(32), wide.view(np.uint64) & np.uint64(0xFFFFFFFF))):
+        key, shared = mix(k.view(np.uint64) ^ (half * np.uint64(BASE)) + np.uint64(h)).view(np.int64), np.zeros(len(k), bool)
+        there = np.flatnonzero(half)
+        _, inverse, times = np.unique(key[there], return_inverse=True, return_counts=True)
+        shared[there[times[inverse] > 1]] = True
+        halves[h] = (key, shared)
+    some = halves[0][1] | halves[1][1]
+    large = over_shard(shard, k, size, some)
+    if (some & ~large).any():
+        yield batch_of(*(c[some & ~large] for c in (k, seg, np.zeros_like(wide), doc, rid, a, n)))
+    if large.any():
+        crowded = [over_shard(shard, key, size, shared & large) for key, shared in halves]
+        by_window = crowded[0] | crowded[1]
+        if by_window.any():
+            yield batch_of(*(c[by_window] for c in (k, seg, np.ones_like(wide), doc, rid, a, n)))
+        for (key, shared), over in zip(halves, crowded, strict=True):
+            on = shared & large & ~over
+            if on.any():
+                yield batch_of(*(c[on] for c in (key, seg, np.zeros_like(wide), doc, rid, a, n)))
+
+
+def over_shard(shard: int, key: np.ndarray, size: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Of some rows, those whose key has more than ``shard`` bytes of them."""
+    out, at = np.zeros(len(key), bool), np.flatnonzero(some)
+    _, inverse = np.unique(key[at], return_inverse=True)
+    out[at] = (np.bincount(inverse, weights=size[at]) > shard)[inverse] if len(at) else False
+    return out
+
+
+def match_segments(shard: int, key_rows: int):
+    """mapInArrow over rows sorted by k, seg and place. Every segment but the first of
+    its equals is covered: a row with n < 0. Different segments of an anchor are
+    held, up to key_rows, until it ends, and judged; an anchor with more is hot after
+    all: its segments go on by windows (wide = 1). All other rows are unique."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        last, count, hot = None, 0, None
+        for batch in batches:
+            cols = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            done = cols[6] < 0
+            if done.any():
+                yield batch_of(*(c[done] for c in cols))
+                cols = tuple(c[~done] for c in cols)
+            k, seg, rid, a, n = cols[0], cols[1], cols[4], cols[5], cols[6]
+            if not len(k):
+                continue
+            first = np.append(last != (k[0], seg[0]), (k[1:] != k[:-1]) | (seg[1:] != seg[:-1]))
+            last = (k[-1], seg[-1])
+            again = ~first
+            if again.any():
+                r, s, m = merged(rid[again], a[again], n[again])
+                zero = np.zeros(len(r), np.int64)
+                yield batch_of(zero, zero, zero, zero, r, s, -m)
+            cols = tuple(c[first] for c in cols)
+            if hot is not None:
+                more = cols[0] == hot
+                if more.any():
+                    yield batch_of(*(c[more] for c in (*cols[:2], np.ones_like(cols[2]), *cols[3:])))
+                cols = tuple(c[~more] for c in cols)
+            if not len(cols[0]):
+                continue
+            hot, open_from = None, int(np.searchsorted(cols[0], cols[0][-1], side="left"))
+            if open_from or (held and held[0][0][0] != cols[0][-1]):
+                yield from judged(shard, *(np.concatenate(c) for c in zip(*held, tuple(c[:open_from] for c in cols), strict=True)))
+                held, count = [], 0
+            held.append(tuple(c[open_from:] for c in cols))
+            count += len(cols[0]) - open_from
+            if count > key_rows:
+                hot = held[0][0][0]
+                yield from (batch_of(*h[:2], np.ones_like(h[2]), *h[3:]) for h in held)
+                held, count = [], 0
+        if held:
+            yield from judged(shard, *(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return run
 
 
 def lists_of(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -204,6 +282,25 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out(rows)
 
 
+def windows_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: (rid, text, wanted) -> rows of segments of one window each, for all
+    windows of the segments asked of each text. Of equal ones that a task holds at
+    once the first goes on; the others are covered."""
+    for batch in batches:
+        at, (_, doc, start, count) = lists_of(batch.column(2))
+        held: list[tuple[np.ndarray, ...]] = []
+        for i, rid in enumerate(batch.column(0).to_pylist()):
+            b = np.frombuffer(batch.column(1)[i].as_buffer() or b"", np.uint8)
+            for j in range(at[i], at[i + 1]):
+                k, seg, wide, a, n = hashed_windows(b[start[j] : start[j] + count[j] - 1 + LENGTH])
+                held.append((k, seg, wide, np.full(len(k), doc[j]), np.full(len(k), rid), a + start[j], n))
+                if sum(len(h[0]) for h in held[-64:]) >= HELD or len(held) >= 4096:
+                    yield from flushed(held)
+                    held = []
+        if held:
+            yield from flushed(held)
+
+
 def cover_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow over (k, doc, rid, a, b) sorted by k: the suffix array of each shard
     of about SHARD bytes, whole keys together. Where neighbours in the array share
@@ -281,47 +378,61 @@ def hot_anchors(source: DataFrame, documents: int) -> np.ndarray:
     return np.sort(np.array([r["k"] for r in hot], dtype=np.int64)).view(np.uint64)
 
 
-def covered_runs(source: DataFrame, partitions: int) -> DataFrame:
-    """(rid, a, n): the windows a .. a + n - 1 of row rid also start earlier."""
-    hot = hot_anchors(source, source.count())
-    found = source.mapInArrow(find_segments(hot), ROW)
-    met = found.repartition(partitions, "k").sortWithinPartitions("k").mapInArrow(match_segments, ROW)
-    met = stored(met, "segments")
-    runs = met.filter("n < 0").select("rid", "a", (-F.col("n")).cast("long").alias("n"))
-    asked = met.filter("n > 0").groupBy("rid").agg(F.collect_list(F.struct("k", "doc", "a", F.col("n").cast("long").alias("n"))).alias("wanted"))
-    asked = stored(asked, "asked")
-    texts = source.select("rid", "text").join(asked.hint("merge"), "rid").select("rid", "text", "wanted")
-    parts = texts.mapInArrow(slices, "k long, doc long, rid long, a long, b binary")
+def covered_runs(source: DataFrame, shard: int, key_rows: int) -> tuple[DataFrame, int]:
+    """(rid, a, n): the windows a .. a + n - 1 of row rid also start earlier; and the
+    number of partitions that the size of the texts asks for."""
+    documents, size = source.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    partitions = max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(math.ceil(size / PARTITION_BYTES), MOST_PARTITIONS))
+
+    def met_under_key(rows: DataFrame) -> DataFrame:
+        return rows.repartition(partitions, "k").sortWithinPartitions("k", "seg", "doc", "rid", "a").mapInArrow(match_segments(shard, key_rows), ROW)
+
+    def with_texts(rows: DataFrame) -> DataFrame:
+        asked = stored(rows.repartition(partitions, "rid").groupBy("rid").agg(F.collect_list(F.struct("k", "doc", "a", F.col("n").cast("long").alias("n"))).alias("wanted")), "asked")
+        return source.select("rid", "text").repartition(partitions, "rid").join(asked.hint("merge"), "rid").select("rid", "text", "wanted")
+
+    def runs_of(rows: DataFrame) -> DataFrame:
+        return rows.filter("n < 0").select("rid", "a", (-F.col("n")).cast("long").alias("n"))
+
+    met = stored(met_under_key(source.mapInArrow(find_segments(hot_anchors(source, documents)), ROW)), "segments")
+    parts = with_texts(met.filter("n > 0 AND wide = 0")).mapInArrow(slices, "k long, doc long, rid long, a long, b binary")
     more = parts.repartition(partitions, "k").sortWithinPartitions("k").mapInArrow(cover_shards, "rid long, a long, n long")
-    return runs.unionByName(more)
+    runs = runs_of(met).unionByName(more)
+    crowded = met.filter("n > 0 AND wide = 1")
+    if not crowded.isEmpty():  # anchors with too many segments for a shard
+        runs = runs.unionByName(runs_of(met_under_key(with_texts(crowded).mapInArrow(windows_asked, ROW))))
+    return runs, partitions
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD, key_rows: int = KEY_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row of docs.
 
     A window is LENGTH bytes of one text. Every window is filed under its anchor,
     a content-defined place, so equal windows meet; the windows of one anchor and
-    text are a segment. Equal segments are collapsed, in the tasks that read the
-    texts and again where they meet, so a group of copies of any size sends one row
-    a task. Segments of one anchor that differ are joined to shards of about 1 MB;
-    induced sorting gives each shard's suffix array, the permuted common prefixes
-    tell equal windows, and all but the first are covered. An anchor that stands in
-    very many contexts would make one large key: its windows are filed by their own
-    hash instead, exactly, over as many keys as there are windows.
-
-    Order: smaller id, then the order of the scan (repeated ids), then the start. A
-    null id is after all others. Null text: as empty; texts below LENGTH bytes have
-    no windows. Empty table: empty result.
+    text are a segment. Equal segments (by 128 bits of hash, length and anchor's
+    place) are collapsed, in the tasks that read the texts and again where they
+    meet, so a group of copies of any size sends one row a task. Segments of one
+    anchor that differ are joined to shards of about 1 MB; induced sorting gives each
+    shard's suffix array, the permuted common prefixes tell equal windows, and all
+    but the first are covered. No key grows with the input: an anchor that a sample
+    finds in many contexts is never a key, its windows are filed by their own 128
+    hash bits; one with more segments than a shard holds is split by the bytes
+    beside it, and where those are too common too, by windows.
+
+    Order: smaller id, then the row's number (repeated ids), then the start. A null id
+    is after all others. Null text: as empty; texts below LENGTH bytes have no
+    windows. Very long texts: whole, a chunk at a time. Ties and repeated rows: the
+    row of the smallest number stays whole. Empty table: empty result. Other
+    columns: not read, so their names don't matter.
     """
     docs = stable(docs)
-    spark = docs.sparkSession
-    last = F.lit((1 << 63) - 1)
-    source = with_row_id(docs).select(F.col("_rid").alias("rid"), F.coalesce(F.col(id_col).cast("long"), last).alias("doc"), text_of(docs, text_col).alias("text"))
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    runs = covered_runs(source, partitions).groupBy("rid").agg(F.collect_list(F.struct("a", "n")).alias("runs"))
-    whole = with_row_id(docs).select(F.col("_rid").alias("rid"), F.col(id_col).alias("doc_id"), text_of(docs, text_col).alias("text"))
+    last, row = F.lit((1 << 63) - 1), fresh(docs, "_rid")
+    numbered = with_row_id(docs, row).select(F.col(row).alias("rid"), F.col(id_col).alias("doc_id"), text_of(docs, text_col).alias("text"))
+    runs, partitions = covered_runs(numbered.select("rid", F.coalesce(F.col("doc_id").cast("long"), last).alias("doc"), "text"), shard, key_rows)
+    listed = runs.repartition(partitions, "rid").groupBy("rid").agg(F.collect_list(F.struct("a", "n")).alias("runs"))
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return whole.join(runs, "rid", "left").select("doc_id", "text", "runs").mapInArrow(cut_out, schema)
+    whole = numbered.repartition(partitions, "rid").join(listed.hint("merge"), "rid", "left")
+    return whole.select("doc_id", "text", "runs").mapInArrow(cut_out, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,16 @@
 import hashlib
+import itertools
 
 import cases
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from codonloom.llm import suffix_dedup
 from codonloom.llm.suffix_array import permuted_prefixes, suffix_array
-from codonloom.llm.suffix_dedup import query, remove_repeats
+from codonloom.llm.suffix_dedup import batch_of, collapse, match_segments, query, remove_repeats, segments
 
 
 def brute(rows, length=100):
@@ -68,6 +71,59 @@ def test_hot_anchor_and_runs(spark, monkeypatch):
     assert got == want
 
 
+def test_crowded_anchors(spark):
+    """Anchors beyond what a shard or a task holds: split by their sides, then by windows."""
+    rng = np.random.default_rng(6)
+
+    def noise(n):
+        return "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+
+    line, long_line, tail = noise(60), noise(140), noise(90)
+    rows = [(i, noise(120) + line + noise(120)) for i in range(200)]
+    rows += [(1000 + i, noise(150) + long_line[: 101 + i % 40] + noise(150)) for i in range(200)]
+    rows += [(2000 + i, noise(150) + line + tail[: 20 + i % 70] + noise(30)) for i in range(200)]
+    rows += [(3000 + i, rows[3 * i][1][i:]) for i in range(50)]
+    want = brute([(i, t.encode()) for i, t in rows])
+    assert sum(w[2] > 0 for w in want) > 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for shard, key_rows in ((4000, 10_000), (400, 10_000), (4000, 30), (1 << 20, 5)):
+        assert sorted(tuple(r) for r in remove_repeats(docs, shard=shard, key_rows=key_rows).collect()) == want
+
+
+def test_streamed_keys():
+    """The same rows in batches of any size give the same runs and segments."""
+    rng = np.random.default_rng(7)
+    blocks = [rng.integers(97, 123, 180) for _ in range(12)]
+    text = np.concatenate([np.append(blocks[b][: int(c)], rng.integers(97, 123, 9)) for b, c in zip(rng.integers(0, 12, 300), rng.integers(100, 180, 300), strict=True)]).astype(np.uint8)
+    k, seg, wide, a, n = segments(text, np.zeros(0, np.uint64))
+    cols, _ = collapse(k.view(np.int64), seg.view(np.int64), wide.view(np.int64), np.full(len(k), 1), np.full(len(k), 1), a.astype(np.int64), n)
+    whole = pa.Table.from_batches([batch_of(*cols)])
+    found = []
+    for size in (len(k), 1000, 7, 1):
+        out = pa.Table.from_batches(match_segments(1 << 20, 10**6)(iter(whole.to_batches(max_chunksize=size))))
+        up = out.filter(pc.greater(out["n"], 0)).to_pydict()
+        cover = np.zeros(len(text), bool)
+        for at, m in zip(*(out.filter(pc.less(out["n"], 0)).to_pydict()[c] for c in ("a", "n")), strict=True):
+            cover[at : at - m] = True
+        found.append((sorted(zip(*up.values(), strict=True)), cover.tolist()))
+    assert found[0][0] and any(found[0][1]) and all(f == found[0] for f in found)
+
+
+def test_other_cores_between_jobs(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = sorted(tuple(r) for r in remove_repeats(docs).collect())
+    once, n = suffix_dedup.stored, itertools.count(1)
+
+    def moving(*args):
+        out = once(*args)
+        cases.parallelism(spark, 1 + next(n) % 7)
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "stored", moving)
+    assert sorted(tuple(r) for r in remove_repeats(docs).collect()) == want
+    cases.parallelism(spark, None)
+
+
 def test_awkward_rows(spark, tmp_path):
     d = cases.stored(cases.documents(spark), tmp_path)
     got = query(spark, d).collect()
