@@ -1,9 +1,13 @@
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from codonloom.llm.components import connected_components
-from codonloom.llm.embedding_dedup import BLOCK, link_embeddings, query
+from codonloom.llm.embedding_dedup import BLOCK, MultiIndex, cells_of, fit_index, link_embeddings, query, traverse
 
 SCHEMA = "vec_id long, embedding array<float>, label int, rid string, copies int"
 
@@ -77,6 +81,42 @@ def test_hot_group_and_awkward_rows(spark):
     assert link_embeddings(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=7), st.lists(st.integers(0, 9), min_size=1, max_size=7), st.integers(1, 60))
+def test_traversal_takes_the_nearest_pairs(a, b, visits):
+    a, b = sorted(a), sorted(b)
+    got = list(traverse(a, b, visits))
+    assert len(set(got)) == len(got) == min(visits, len(a) * len(b))
+    sums = [a[i] + b[j] for i, j in got]
+    assert sums == sorted(x + y for x in a for y in b)[: len(got)]
+
+
+def test_memory_of_a_fine_index():
+    """256 centres a half, as for 50 million vectors: neither the driver nor a worker holds the grid."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((20_000, 64))
+    tracemalloc.start()
+    index = fit_index(x, 52_000_000)
+    assert index.first.shape == index.second.shape == (256, 32)
+    driver, _ = tracemalloc.get_traced_memory()[1], tracemalloc.reset_peak()
+    vectors = pa.array(list(x[:10_000].astype(np.float32)), pa.list_(pa.float32()))
+    ids = pa.array(range(10_000), pa.int64())
+    out = next(cells_of(index)(iter([pa.RecordBatch.from_arrays([ids, ids, ids, vectors], names=["rid", "label", "copies", "vector"])])))
+    worker = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert driver < 300 << 20 and worker < 300 << 20, (driver, worker)
+    assert len(out.column(5)[0]) == index.visits
+    assert fit_index(x, 10**10).first.shape[0] == 4096  # cells grow with the vectors
+
+
+def test_nearest_cells_equal_the_whole_grid():
+    rng = np.random.default_rng(2)
+    index = MultiIndex(rng.standard_normal((9, 3)), rng.standard_normal((7, 4)), 0)
+    x = rng.standard_normal((50, 7))
+    grid = ((x[:, None, :3] - index.first) ** 2).sum(2)[:, :, None] + ((x[:, None, 3:] - index.second) ** 2).sum(2)[:, None, :]
+    assert (index.nearest_cells(x, 20) == grid.reshape(50, -1).argsort(axis=1)[:, :20]).all()
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(100)] + [(200, i) for i in range(201, 260)] + [(7, 7), (300, 301), (301, 300)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
