@@ -13,12 +13,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codonloom.llm.common import table
+from codonloom.llm.common import cut, table
 
 #: Hashed n-gram features of 1 to 3 characters.
 FEATURE_BITS = 14
 #: Expected training texts of a language; more are thinned by a seeded hash.
 PER_LANGUAGE = 400
+#: Languages that are learned: those of most labelled texts. Rows of others train nothing.
+MOST_LANGUAGES = 4096
+#: Languages whose counts a training task holds at once.
+HELD = 256
+SMOOTH = 0.5
 SEED = 77
 #: Two codewords whose losses differ by less than this share of the bits are too close to call.
 AMBIGUOUS = 0.02
@@ -50,10 +55,12 @@ def codewords(n: int, seed: int = SEED) -> np.ndarray:
         return np.array(splits, dtype=np.int8).T
     rng, bits = np.random.default_rng(seed), 2 * math.ceil(8 * math.log2(n))
     best, far = None, -1
-    for _ in range(50):
+    for _ in range(50 if n < 256 else 5):
         code = rng.choice(np.array([1, -1], dtype=np.int8), size=(n, bits))
         code = code[:, np.abs(code.sum(axis=0)) < n]
-        apart = min(int((a != b).sum()) for a, b in itertools.combinations(code, 2))
+        same = code.astype(np.float32) @ code.astype(np.float32).T  # agreements less differences
+        np.fill_diagonal(same, -code.shape[1])
+        apart = (code.shape[1] - int(same.max())) // 2
         if apart > far:
             best, far = code, apart
     return best
@@ -75,7 +82,8 @@ class Model:
             margins += self.weights[found[at : at + (1 << 16)]].sum(axis=0)
         margins /= len(found)
         # Loss of a codeword: the logistic loss of each bit's margin, summed.
-        loss = np.logaddexp(0.0, -SHARPNESS * self.code * margins).sum(axis=1)
+        one, other = np.logaddexp(0.0, -SHARPNESS * margins), np.logaddexp(0.0, SHARPNESS * margins)
+        loss = (self.code > 0) @ one + (self.code < 0) @ other
         best = int(np.argmin(loss))
         share = np.exp(loss[best] - loss)
         second = np.partition(loss, 1)[1] if len(loss) > 1 else math.inf
@@ -83,14 +91,47 @@ class Model:
 
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, np.ndarray] = {}
+    """mapInArrow: (number of a language, text) -> counts (lang, gram, n)."""
+    held: dict[int, np.ndarray] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, n in held.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_pydict({"lang": np.full(len(at), lang, np.int32), "gram": at.astype(np.int32), "n": n[at]})
+        held.clear()
+
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             add = np.bincount(features(text), minlength=1 << FEATURE_BITS)
             held[lang] = held[lang] + add if lang in held else add
-    for lang, n in held.items():
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "gram": at.astype(np.int32), "n": n[at]})
+            if len(held) >= HELD:
+                yield from flush()
+    yield from flush()
+
+
+def bit_weights(p: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Log-odds (row, bit) of features with probabilities p (row, language): their mean
+    over the languages whose codeword has the bit against that over the others."""
+    one, other = code > 0, code < 0
+    mean = p.mean(axis=1, keepdims=True)
+    a, b = (np.where(side.any(axis=0), p @ side / np.maximum(side.sum(axis=0), 1), mean) for side in (one, other))
+    return np.log(a) - np.log(b)
+
+
+def weigh(code: np.ndarray, totals: np.ndarray):
+    """mapInArrow: (gram, counts as (lang, n)) -> (gram, weights of its bits)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, (lang, n) = batch.column(1).offsets.to_numpy(), [f.to_numpy() for f in batch.column(1).values.flatten()]
+            made = []
+            for i, j in zip(at[:-1], at[1:], strict=True):
+                counts = np.zeros(len(totals))
+                counts[lang[i:j]] = n[i:j]
+                made.append(bit_weights(((counts + SMOOTH) / totals)[None, :], code)[0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float64()))], names=["gram", "w"])
+
+    return run
 
 
 def held_out(docs: DataFrame, id_col: str = "doc_id"):
@@ -98,29 +139,31 @@ def held_out(docs: DataFrame, id_col: str = "doc_id"):
     return F.coalesce(F.crc32(docs[id_col].cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, seed: int = SEED) -> Model:
-    """Fit on rows (id, text, lang). At most about per_language texts a language are
-    used, whole, chosen by a hash of the id; the driver receives one count for each
-    language and feature, at most 2^14 a language."""
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, seed: int = SEED, languages: int = MOST_LANGUAGES) -> Model:
+    """Fit on rows (id, text, lang) of the ``languages`` languages with most texts (ties
+    by code point). At most about per_language texts of each are used, whole, chosen
+    by a hash of the id. The driver receives a row for each language, and for each
+    feature the weights of its bits; counts are summed and weighed on executors."""
     known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(languages).collect()
     if not sizes:
         return Model((), np.zeros((0, 0)), np.zeros((0, 0)))
-    langs = tuple(sorted(sizes))
-    keep = F.lit(False)
+    langs = tuple(sorted(r["lang"] for r in sizes))
+    number = {lang: i for i, lang in enumerate(langs)}
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], number[r["lang"]], per_language / r["n"]) for r in sizes], "lang string, _l int, _share double")
     draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)
-    for lang in langs:
-        keep = keep | ((F.col("lang") == lang) & (draw < per_language / sizes[lang]))
-    counts = np.zeros((len(langs), 1 << FEATURE_BITS))
-    at = {lang: i for i, lang in enumerate(langs)}
-    grams = known.filter(keep).select("lang", "text").mapInArrow(count_grams, "lang string, gram int, n long")
-    for r in grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect():
-        counts[at[r["lang"]], r["gram"]] = r["n"]
-    smooth = 0.5
-    p = (counts + smooth) / (counts.sum(axis=1, keepdims=True) + smooth * counts.shape[1])
+    chosen = known.join(F.broadcast(shares), "lang").filter(draw < F.col("_share"))  # at most ``languages`` rows
+    grams = cut(chosen.select("_l", "text").mapInArrow(count_grams, "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    totals = np.full(len(langs), SMOOTH * (1 << FEATURE_BITS))
+    for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect():  # at most ``languages`` rows
+        totals[r["lang"]] += r["n"]
     code = codewords(len(langs), seed)
-    weights = np.stack([np.log(p[c > 0].mean(axis=0)) - np.log(p[c < 0].mean(axis=0) if (c < 0).any() else p.mean(axis=0)) for c in code.T], axis=1)
-    return Model(langs, code.astype(float), weights.astype(np.float32))
+    by_gram = grams.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("counts"))
+    found = by_gram.mapInArrow(weigh(code, totals), "gram int, w array<double>").toArrow()  # at most 2^FEATURE_BITS rows
+    weights = np.repeat(bit_weights((SMOOTH / totals)[None, :], code), 1 << FEATURE_BITS, axis=0).astype(np.float32)
+    if found.num_rows:
+        weights[found["gram"].to_numpy()] = found["w"].combine_chunks().values.to_numpy().reshape(found.num_rows, -1)
+    return Model(langs, code, weights)
 
 
 def identifier(model: Model):
@@ -142,20 +185,29 @@ def label_documents(docs: DataFrame) -> DataFrame:
 
     Learns from the rows of docs outside the held-out fold; only text is an input of
     a prediction. Null text, and text without a letter (empty too): und, score 0.
-    No labelled row at all: und for every row. Repeated rows: each on its own.
-    Ties between codewords: the first language by code point.
+    No labelled row at all: und for every row. Very long texts: whole, in strips.
+    Repeated rows: each on its own. Null id: not held out. Ties between codewords:
+    the first language by code point. Empty table: empty result. Other columns: not
+    read, so their names don't matter.
     """
-    r = identifier(trained_on(docs))(docs["text"].cast("string"))
-    out = docs.select(F.col("doc_id"), held_out(docs).alias("held_out"), r.alias("r"))
-    return out.select("doc_id", "held_out", F.col("r.lang").alias("lang_pred"), "r.score", "r.ambiguous")
+    docs_out = docs.select("doc_id", held_out(docs).alias("held_out"), identifier(trained_on(docs))(docs["text"].cast("string")).alias("r"))
+    return docs_out.select("doc_id", "held_out", F.col("r.lang").alias("lang_pred"), "r.score", "r.ambiguous")
+
+
+def lettered(texts: pd.Series) -> pd.Series:
+    return texts.map(has_letter).astype(bool)
 
 
 def identified_documents(docs: DataFrame) -> DataFrame:
     """docs without the rows whose language cannot be told: und, that is null texts
     and texts without a letter. An ambiguous row stays: doubt about which language
-    it is in doesn't make a text bad."""
-    r = identifier(trained_on(docs))(docs["text"].cast("string"))
-    return docs.filter(r.getField("lang") != "und")
+    it is in doesn't make a text bad. Without a labelled row there is no language to
+    tell, and rows with a letter stay. All columns stay, whatever their names;
+    repeated rows, ties, very long texts and empty tables: as in label_documents."""
+    model = trained_on(docs)
+    if not model.langs:
+        return docs.filter(F.pandas_udf(lettered, "boolean")(docs["text"].cast("string")))
+    return docs.filter(identifier(model)(docs["text"].cast("string")).getField("lang") != "und")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,13 @@
+import math
+import random
+import tracemalloc
 import zlib
+from collections import Counter
 
 import cases
 import numpy as np
 
-from codonloom.llm.language_id import codewords, identified_documents, label_documents, query
+from codonloom.llm.language_id import AMBIGUOUS, FEATURE_BITS, SHARPNESS, Model, codewords, features, fit, identified_documents, label_documents, query
 
 
 def test_held_out_accuracy(spark):
@@ -24,6 +28,65 @@ def test_labels_of_the_held_out_fold_change_nothing(spark, sf):
     assert sorted(label_documents(docs).collect()) == sorted(label_documents(changed).collect())
 
 
+def made_up(n, each, seed=1):
+    """Texts of n languages: words over letters of each language's own frequencies."""
+    rng, rows = random.Random(seed), []
+    for lang in range(n):
+        letters = rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)
+        rows += [(len(rows) + i, " ".join("".join(rng.choices(letters, k=rng.randint(2, 6))) for _ in range(30)), f"l{lang:04}") for i in range(each)]
+    return rows
+
+
+def test_fit_and_decoding_equal_brute_force(spark):
+    """Log-odds of the bits counted text by text, and losses bit by bit, for 9 languages."""
+    rows = made_up(9, 6)
+    model = fit(spark.createDataFrame(rows, "id long, text string, lang string").repartition(5))
+    counts = {}
+    for _, text, lang in rows:
+        counts.setdefault(lang, Counter()).update(features(text).tolist())
+    langs, size = sorted(counts), 1 << FEATURE_BITS
+    assert model.langs == tuple(langs)
+    code = codewords(len(langs))
+    p = np.array([[(counts[x][g] + 0.5) / (counts[x].total() + 0.5 * size) for g in range(size)] for x in langs])
+    want = np.array([np.log(p[c > 0].mean(axis=0)) - np.log(p[c < 0].mean(axis=0)) for c in code.T]).T
+    assert np.allclose(model.weights, want, atol=1e-5)
+    for _, text, lang in made_up(9, 2, seed=1)[::3] + made_up(3, 2, seed=8):
+        found = features(text)
+        margins = [sum(want[g, b] for g in found) / len(found) for b in range(code.shape[1])]
+        loss = [sum(math.log1p(math.exp(-SHARPNESS * c * m)) for c, m in zip(word, margins, strict=True)) for word in code]
+        best = min(range(9), key=lambda i: loss[i])
+        got = model.predict(text)
+        assert got[0] == langs[best]
+        assert abs(got[1] - 1 / sum(math.exp(loss[best] - x) for x in loss)) < 1e-3
+        assert got[2] == (sorted(loss)[1] - loss[best] < AMBIGUOUS * code.shape[1])
+
+
+def test_ties_go_to_the_first_language():
+    model = Model(("a", "b", "c"), codewords(3), np.zeros((1 << FEATURE_BITS, codewords(3).shape[1]), np.float32))
+    assert model.predict("some words") == ("a", 1 / 3, True)
+
+
+def test_many_languages(spark):
+    """2000 languages: the driver gets rows a language and weights a feature, no counts."""
+    rows = made_up(2000, 2)
+    docs = spark.createDataFrame([*rows, (10**6, "aaa bbb", "rare")], "id long, text string, lang string").repartition(8)
+    tracemalloc.start()
+    model = fit(docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.langs) == 2001 and peak < 300 << 20, peak
+    right = sum(model.predict(text)[0] == lang for _, text, lang in rows[::40])
+    assert right > 0.1 * len(rows[::40])  # chance: 0.0005; bits over a thousand languages each are weak
+    few = fit(docs, languages=2000)
+    assert len(few.langs) == 2000 and "rare" not in few.langs
+
+
+def test_no_labels(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "...", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in label_documents(docs).collect()} == {"und"}
+    assert [r.doc_id for r in identified_documents(docs).collect()] == [1]
+
+
 def test_codewords_are_apart():
     for n in (2, 4, 6, 9, 20):
         code = codewords(n)
@@ -44,6 +107,7 @@ def test_awkward_rows(spark, tmp_path):
     assert all(r.score == 0 for r in und)
     out = identified_documents(docs)
     assert out.columns == docs.columns
+    assert not cases.values(out.exceptAll(docs))
     assert out.count() == letters.count(True)
     assert label_documents(cases.empty(spark)).count() == 0
     assert identified_documents(cases.empty(spark)).count() == 0
