@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codonloom.llm.common import table, text_of
-from codonloom.llm.licence_texts import templates
+from codonloom.llm.licence_texts import templates, whole_texts
 from codonloom.llm.shingles import BACK, BASE, mix, powers
 
 #: Least Dice coefficient of a match.
@@ -38,9 +38,11 @@ def bigrams_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 class Templates:
-    """Bigram sets of templates, and which templates each bigram is in."""
+    """Bigram sets of templates, the first ``whole`` of them whole licences, and which
+    templates each bigram is in."""
 
-    def __init__(self, texts: list[tuple[str, str]], dice: float = DICE):
+    def __init__(self, texts: list[tuple[str, str]], whole: int = 0, dice: float = DICE):
+        self.whole = whole
         self.ids = [i for i, _ in texts]
         sets = [np.unique(bigrams_of(t.encode())[0]) for _, t in texts]
         self.sizes = np.array([len(s) for s in sets])
@@ -55,20 +57,27 @@ class Templates:
 
     def matches(self, raw: bytes) -> list[tuple[int, int, str, float]]:
         """(start, end, licence, Dice) of passages of whole lines or sentences, in
-        bytes. Of passages that overlap the more similar stays, then the longer, then
-        the earlier, then the earlier template."""
+        bytes. Of passages that overlap that of a whole licence stays before a notice
+        (long licences quote their own), then the more similar, then the longer, then
+        the earlier, then that of the earlier template."""
         grams, starts, ends, unit = bigrams_of(raw)
         if not len(grams) or not len(self.all):
             return []
         at = np.minimum(np.searchsorted(self.all, grams), len(self.all) - 1)
         hit = self.all[at] == grams
         common = self.member[np.unique(at[hit])].sum(axis=0)
+        likely = np.flatnonzero((common >= self.least) & (self.sizes > 0))
+        if not len(likely):
+            return []
+        order = np.argsort(grams, kind="stable")
+        before = np.full(len(grams), -1)  # where each bigram stood last
+        before[order[1:]] = np.where(grams[order[1:]] == grams[order[:-1]], order[:-1], -1)
         found = []
-        for j in np.flatnonzero((common >= self.least) & (self.sizes > 0)):
+        for j in likely:
             ours = np.zeros(len(grams), dtype=bool)
             ours[hit] = self.member[at[hit], j]
-            found += self._passages(int(j), grams, unit, ours)
-        found.sort(key=lambda f: (-f[2], f[0] - f[1], f[0], f[3]))
+            found += self._passages(int(j), before, unit, ours)
+        found.sort(key=lambda f: (f[3] >= self.whole, -f[2], f[0] - f[1], f[0], f[3]))
         out, taken = [], np.zeros(len(starts), dtype=bool)
         for first, last, dice, j in found:
             if not taken[first : last + 1].any():
@@ -76,40 +85,36 @@ class Templates:
                 out.append((int(starts[first]), int(ends[last]), self.ids[j], dice))
         return sorted(out)
 
-    def _passages(self, j: int, grams: np.ndarray, unit: np.ndarray, ours: np.ndarray) -> list[tuple[int, int, float, int]]:
+    def _passages(self, j: int, before: np.ndarray, unit: np.ndarray, ours: np.ndarray) -> list[tuple[int, int, float, int]]:
         """The best passage from each line or sentence with a bigram of template j:
         (first word, last word, Dice, j). Passages outside the size bounds are not tried."""
         bounds = np.append(np.flatnonzero(np.append(True, unit[1:] != unit[:-1])), len(unit))
         begins = np.unique(np.searchsorted(bounds, np.flatnonzero(ours), side="right") - 1)
-        total, out = np.concatenate([[0], np.cumsum(ours)]), []
+        total, most, out = np.concatenate([[0], np.cumsum(ours)]), int(self.most[j]), []
         for u in begins.tolist():
-            first, seen, shared, best = int(bounds[u]), set(), 0, None
-            done = first
-            for v in range(u + 1, len(bounds)):
-                last = int(bounds[v]) - 1
-                if total[min(len(ours), first + 2 * int(self.most[j]) + 2)] - total[first] < self.least[j]:
-                    break
-                for p in range(done, last):
-                    g = grams[p]
-                    if g not in seen:
-                        seen.add(g)
-                        shared += bool(ours[p])
-                    if len(seen) > self.most[j]:
-                        break
-                done = last
-                if len(seen) > self.most[j]:
+            first, wide = int(bounds[u]), 2 * most + 2
+            if total[min(len(ours), first + wide)] - total[first] < self.least[j]:
+                continue
+            while True:  # as far as the distinct bigrams stay within the bound
+                new = before[first : first + wide] < first
+                seen = np.cumsum(new)
+                if first + wide >= len(before) or seen[-1] > most:
                     break
-                dice = 2 * shared / (self.sizes[j] + len(seen))
-                if dice >= self.dice - 1e-12 and (best is None or dice > best[2]):
-                    best = (first, last, float(dice), j)
-            if best:
-                out.append(best)
+                wide *= 2
+            shared = np.cumsum(new & ours[first : first + wide])
+            ends = bounds[u + 1 : np.searchsorted(bounds, first + len(seen) + 1, side="right")] - 1 - first
+            ends = ends[(ends > 0) & (ends <= len(seen))]
+            ends = ends[seen[ends - 1] <= most]
+            dice = 2 * shared[ends - 1] / (self.sizes[j] + seen[ends - 1])
+            if len(dice) and dice.max() >= self.dice - 1e-12:
+                best = int(dice.argmax())
+                out.append((first, first + int(ends[best]), float(dice[best]), j))
         return out
 
 
 @lru_cache(maxsize=1)
 def known() -> Templates:
-    return Templates(templates())
+    return Templates(templates(), len(whole_texts()))
 
 
 def scan_text(texts: pd.Series) -> pd.DataFrame:
@@ -127,10 +132,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """doc_id, n_matches, licences, best_dice and spans for each row; no shuffle.
 
     spans: ``licence:start:end``, by start, in bytes of UTF-8, comma-joined. Null
-    text: as empty, no match. Repeated rows: each on its own. Long texts: whole; a
-    document is scanned template by template only where enough of a template's
+    text: as empty, no match. Repeated rows: each on its own. Very long texts: whole;
+    a document is scanned template by template only where enough of a template's
     bigrams occur. Ties: the longer, then the earlier passage, then the first
-    template. Empty table: empty result.
+    template. Empty table: empty result. Other columns: not read, so their names
+    don't matter.
     """
     found = F.pandas_udf(scan_text, "n_matches long, licences string, best_dice double, spans string")
     out = docs.select(F.col(id_col).alias("doc_id"), found(text_of(docs, text_col)).alias("r"))

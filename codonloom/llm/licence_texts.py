@@ -1,7 +1,12 @@
-"""Licence templates: short licences whole, long ones by the notices that refer to them."""
+"""Licence templates: the texts of licences, and the notices that refer to them.
+
+Long texts are files in ``licences``, named by SPDX id, in their published wording.
+"""
 
 from __future__ import annotations
 
+import pkgutil
+
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"""
 _MIT_REST = """The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
@@ -11,12 +16,26 @@ _BSD_HEAD = """Redistribution and use in source and binary forms, with or withou
 _BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
 _BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 _ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
 _APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
 _GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.
 This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details."""
 
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+_EPL = """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"""
+_BOOST = """Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"""
+_CC = """This work is licensed under the Creative Commons {name} 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/{path}/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."""
+
+#: Licences with a file of their whole text.
+FILES = (
+    "Apache-2.0", "Artistic-1.0-Perl", "BSL-1.0", "CC0-1.0", "EPL-1.0", "GFDL-1.3", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "Unlicense",
+)
 #: SPDX id -> names under which one-line notices refer to the licence.
 NAMES = {
     "Apache-2.0": ("the Apache License, Version 2.0", "the Apache License 2.0", "Apache-2.0"),
@@ -32,22 +51,47 @@ NAMES = {
     "CC-BY-SA-4.0": ("CC BY-SA 4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License"),
     "CC-BY-NC-4.0": ("CC BY-NC 4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License"),
     "CC-BY-ND-4.0": ("CC BY-ND 4.0", "a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    "LGPL-2.1": ("the GNU Lesser General Public License, version 2.1", "LGPL-2.1"),
+    "EPL-2.0": ("the Eclipse Public License 2.0", "EPL-2.0"),
+    "BSL-1.0": ("the Boost Software License 1.0", "BSL-1.0"),
+    "ISC": ("the ISC License", "ISC"),
+    "Zlib": ("the zlib License", "Zlib"),
+    "Unlicense": ("the Unlicense", "Unlicense"),
     "CC0-1.0": ("CC0 1.0", "the CC0 1.0 Universal Public Domain Dedication"),
 }
 NOTICES = ("Licensed under {}.", "Released under {}.", "Distributed under {}.", "This work is licensed under {}.", "This project is licensed under {}.", "SPDX-License-Identifier: {}")
 
 
-def templates() -> list[tuple[str, str]]:
-    """(SPDX id, text) of all templates."""
-    whole = [
+def whole_texts() -> list[tuple[str, str]]:
+    """(SPDX id, text) of the licences themselves."""
+    short = [
         ("MIT", f"{_MIT_GRANT}\n{_MIT_REST}"),
         ("BSD-2-Clause", f"{_BSD_HEAD}\n{_BSD_TAIL}"),
         ("BSD-3-Clause", f"{_BSD_HEAD}\n{_BSD_THIRD}\n{_BSD_TAIL}"),
         ("ISC", _ISC),
+        ("Zlib", _ZLIB),
+    ]
+    return short + [(spdx, pkgutil.get_data(__package__, f"licences/{spdx}.txt").decode()) for spdx in FILES]
+
+
+def notices() -> list[tuple[str, str]]:
+    """(SPDX id, text) of what is written to refer to a licence."""
+    headers = [
         ("Apache-2.0", _APACHE),
         ("GPL-2.0", _GPL.format(kind="", version="2")),
         ("GPL-3.0", _GPL.format(kind="", version="3")),
         ("LGPL-3.0", _GPL.format(kind="Lesser ", version="3")),
         ("AGPL-3.0", _GPL.format(kind="Affero ", version="3")),
+        ("MPL-2.0", _MPL),
+        ("EPL-2.0", _EPL),
+        ("BSL-1.0", _BOOST),
+        ("CC-BY-4.0", _CC.format(name="Attribution", path="by")),
+        ("CC-BY-SA-4.0", _CC.format(name="Attribution-ShareAlike", path="by-sa")),
+        ("CC-BY-NC-4.0", _CC.format(name="Attribution-NonCommercial", path="by-nc")),
+        ("CC-BY-ND-4.0", _CC.format(name="Attribution-NoDerivatives", path="by-nd")),
     ]
-    return whole + [(spdx, notice.format(name)) for spdx, names in NAMES.items() for name in names for notice in NOTICES]
+    return headers + [(spdx, notice.format(name)) for spdx, names in NAMES.items() for name in names for notice in NOTICES]
+
+
+def templates() -> list[tuple[str, str]]:
+    return whole_texts() + notices()
