@@ -45,9 +45,9 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
+def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows are few; else as it is."""
-    return F.broadcast(df) if rows < BROADCAST_ROWS else df
+    return F.broadcast(df) if rows < limit else df
 
 
 def without_space(text: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codonloom.llm.common import cut, table
+from codonloom.llm.common import cut, small, table
 
 #: (verdict, host, path): a rule fits its host, all subdomains, and paths that start with its path.
 RULES = (
@@ -25,6 +25,8 @@ OTHER, START = "¤", "¦"
 ORDER = 3
 #: Grams are at most this many, whatever the input: the alphabet, other and start, to the power of order + 1.
 MOST_GRAMS = (len(ALPHABET) + 2) ** (ORDER + 1)
+#: One more than the most grams (about 100 bytes each in memory) that are broadcast; more are shuffled.
+BROADCAST_GRAMS = 500_000
 
 
 def host_of(url: Column) -> Column:
@@ -48,8 +50,9 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
 
 def grams_of(strings: DataFrame, keep: list[str]) -> DataFrame:
     """A row (keep, gram) for each character of ``s``: the gram is the character with
-    the ORDER before it, padded at the start, over the reduced alphabet."""
-    reduced = F.regexp_replace(F.col("s"), f"[^{ALPHABET.replace('-', chr(92) + '-')}]", OTHER)
+    the ORDER before it, padded at the start, over the reduced alphabet; A-Z count as
+    a-z."""
+    reduced = F.regexp_replace(F.translate("s", UPPER, LOWER), f"[^{ALPHABET.replace('-', chr(92) + '-')}]", OTHER)
     padded = F.concat(F.lit(START * ORDER), reduced)
     at = F.explode(F.sequence(F.lit(1), F.length("_padded") - ORDER))
     return (
@@ -100,14 +103,16 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     Urls that rules accept and reject train the two models; each distinct host and
     path counts once, so a hot host weighs by its pages' variety. Half of them, by
-    hash, fits the models; the other half calibrates the threshold, the point
-    between the two classes' mean ratios at equal standard deviations; then all of
-    them fit the models that judge.
+    hash, fits the models that judge; the other half calibrates their threshold, the
+    point between the two classes' mean ratios at equal standard deviations.
 
     Adds host, path, rule, verdict and llr (the mean ratio, null for an empty url).
     Null url, or one without ``://``: host and path empty, no rule. An empty host
-    and path has no evidence: allow. If rules accept or reject nothing, there is
-    nothing to compare: allow. Repeated rows: each on its own. Empty: empty.
+    and path has no evidence: allow. If rules accept or reject nothing in either
+    half, there is nothing to compare: allow. Very long urls: whole. Ties: a ratio at
+    the threshold is allowed; of rules the longest wins. Repeated rows: each on its
+    own. Null ids: as any other. Empty table: empty result. Other columns: not read,
+    so their names don't matter.
     """
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("_url"))
     base = base.select("page_id", host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"))
@@ -115,23 +120,19 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     base = base.select("page_id", "host", "path", rule.alias("rule"), says.alias("_says"), F.concat("host", "path").alias("s"))
     distinct = cut(base.groupBy("s").agg(F.first("_says", ignorenulls=True).alias("_says")))
     ruled = distinct.filter(F.col("_says").isNotNull()).select("s", (F.col("_says") == "allow").alias("accepted"), (F.xxhash64("s") % 2 == 0).alias("half"))
-    counted = cut(grams_of(ruled, ["accepted", "half"]).groupBy("gram", "accepted", "half").agg(F.count(F.lit(1)).alias("n")), MOST_GRAMS)
-    grams = cut(grams_of(distinct, []).groupBy("gram").agg(F.count(F.lit(1)).alias("times")), MOST_GRAMS)
-    threshold = None
-    if counted.filter("half").select("accepted").distinct().count() == 2:
-        fitted = log_ratios(counted.filter("half").drop("half"), grams)
-        shown = mean_ratio(ruled.filter("not half"), F.broadcast(fitted)).join(ruled, "s")
+    counted = cut(grams_of(ruled.filter("half"), ["accepted"]).groupBy("gram", "accepted").agg(F.count(F.lit(1)).alias("n")), MOST_GRAMS)
+    scores, threshold = distinct.select("s", F.lit(None).cast("double").alias("llr")).filter("false"), 0.0
+    if counted.select("accepted").distinct().count() == 2:
+        grams = grams_of(distinct, []).groupBy("gram").agg(F.count(F.lit(1)).alias("times"))
+        ratios = cut(log_ratios(counted, grams), MOST_GRAMS)
+        ratios = small(ratios, ratios.count(), BROADCAST_GRAMS)
+        shown = mean_ratio(ruled.filter("not half"), ratios).join(ruled, "s")
         stats = {r["accepted"]: r for r in shown.groupBy("accepted").agg(F.avg("llr").alias("m"), F.coalesce(F.stddev("llr"), F.lit(0.0)).alias("d")).collect()}
         if len(stats) == 2:
             a, b = stats[True], stats[False]
             spread = a["d"] + b["d"]
             threshold = (a["m"] * b["d"] + b["m"] * a["d"]) / spread if spread > 0 else (a["m"] + b["m"]) / 2
-    if threshold is None:
-        scores = distinct.select("s", F.lit(None).cast("double").alias("llr")).filter("false")
-        threshold = 0.0
-    else:
-        ratios = cut(log_ratios(counted.groupBy("gram", "accepted").agg(F.sum("n").alias("n")), grams), MOST_GRAMS)
-        scores = mean_ratio(distinct, F.broadcast(ratios))  # at most MOST_GRAMS rows
+            scores = mean_ratio(distinct, ratios)
     judged = base.join(scores, "s", "left")
     verdict = F.coalesce("_says", F.when(F.col("llr") < threshold, F.lit("block")).otherwise(F.lit("allow")))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "llr")

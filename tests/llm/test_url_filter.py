@@ -1,5 +1,6 @@
 import math
 import re
+import statistics
 from collections import Counter
 
 from codonloom.llm.url_filter import ALPHABET, ORDER, OTHER, RULES, START, filter_urls, log_ratios, query
@@ -17,6 +18,28 @@ def rule(host, path):
     return max(fits)[1:] if fits else (None, None)
 
 
+def tables(counts):
+    """For each order, the counts of grams, and the sum and number of them for each context."""
+    out = []
+    for k in range(ORDER + 1):
+        grams, sums, kinds = Counter(), Counter(), Counter()
+        for g, n in counts.items():
+            grams[g[ORDER - k :]] += n
+        for g, n in grams.items():
+            sums[g[:-1]] += n
+            kinds[g[:-1]] += 1
+        out.append((grams, sums, kinds))
+    return out
+
+
+def p(gram, orders):
+    out = 1 / (len(ALPHABET) + 1)
+    for k, (grams, sums, kinds) in enumerate(orders):
+        s, t = sums[gram[ORDER - k : ORDER]], kinds[gram[ORDER - k : ORDER]]
+        out = (grams[gram[ORDER - k :]] + t * out) / (s + t) if s else out
+    return out
+
+
 def test_query_follows_the_rules(spark, sf):
     urls = dict(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect())
     rows = query(spark, sf).collect()
@@ -34,20 +57,36 @@ def test_models_equal_brute_force(spark):
     wanted = ["abca", "abcb", "zzzz", "cabb"]
     got = dict(log_ratios(spark.createDataFrame(rows, "gram string, accepted boolean, n long"), spark.createDataFrame([(g,) for g in wanted], "gram string")).collect())
 
-    def p(gram, counts):
-        out = 1 / (len(ALPHABET) + 1)
-        for k in range(ORDER + 1):
-            ctx, full = gram[ORDER - k : ORDER], gram[ORDER - k :]
-            c = Counter()
-            for g, n in counts.items():
-                c[g[ORDER - k :]] += n
-            s = sum(n for g, n in c.items() if g[:-1] == ctx)
-            t = sum(g[:-1] == ctx for g in c)
-            out = (c[full] + t * out) / (s + t) if s else out
-        return out
-
     for g in wanted:
-        assert math.isclose(got[g], math.log(p(g, grams[True]) / p(g, grams[False])), rel_tol=1e-9)
+        assert math.isclose(got[g], math.log(p(g, tables(grams[True])) / p(g, tables(grams[False]))), rel_tol=1e-9)
+
+
+def test_threshold_and_verdicts_equal_brute_force(spark, sf):
+    urls = dict(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect())
+    texts = {"".join(parts(u)) for u in urls.values()}
+    half = {r.s: r.h for r in spark.createDataFrame([(t,) for t in texts], "s string").selectExpr("s", "xxhash64(s) % 2 = 0 h").collect()}
+    says = {"".join(parts(u)): rule(*parts(u))[1] for u in urls.values()}
+
+    def grams(text):
+        text = START * ORDER + "".join(c if c in ALPHABET else OTHER for c in re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        return [text[i : i + ORDER + 1] for i in range(len(text) - ORDER)]
+
+    models = [tables(Counter(g for t in texts if says[t] == v and half[t] for g in grams(t))) for v in ("allow", "block")]
+
+    def score(text):
+        return statistics.fmean(math.log(p(g, models[0]) / p(g, models[1])) for g in grams(text))
+
+    (ma, da), (mb, db) = ((statistics.fmean(x), statistics.stdev(x)) for x in ([score(t) for t in texts if says[t] == v and not half[t]] for v in ("allow", "block")))
+    threshold = (ma * db + mb * da) / (da + db)
+    judged = 0
+    for r in query(spark, sf).collect():
+        text = "".join(parts(urls[r.page_id]))
+        if text:
+            assert math.isclose(r.llr, score(text), rel_tol=1e-6, abs_tol=1e-9)
+        if r.rule is None and text:
+            judged += 1
+            assert r.verdict == ("block" if score(text) < threshold else "allow")
+    assert judged > 10
 
 
 def test_learns_and_handles_awkward_urls(spark):
