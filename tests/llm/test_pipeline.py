@@ -25,6 +25,21 @@ def test_stages_on_the_table(spark, sf):
     assert sum(r.start == 0 for r in packed) == kept[4].count()
 
 
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Each stage by itself: rows come through with all their columns, or not at all."""
+    docs = spark.read.parquet(cases.stored(cases.documents(spark), tmp_path) + "/documents.parquet")
+    empty = spark.read.parquet(cases.stored(cases.empty(spark), tmp_path / "e") + "/documents.parquet")
+    there = Counter(cases.values(docs))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got, none = stage(spark, docs, ""), stage(spark, empty, "")
+        assert got.columns == none.columns == docs.columns, name
+        kept = Counter(cases.values(got))
+        assert none.count() == 0 and kept and set(kept) <= set(there), name
+        assert name == "mixing" or kept <= there, name
+    packed = corpus_pipeline.packing(spark, docs, "").collect()
+    assert sum(r.start == 0 for r in packed) == docs.count() and corpus_pipeline.packing(spark, empty, "").count() == 0
+
+
 def test_run(spark, tmp_path):
     d = cases.stored(cases.documents(spark), tmp_path)
     first = sorted((str(r.doc_id), r.piece, r.length) for r in corpus_pipeline.run(spark, d).collect())
