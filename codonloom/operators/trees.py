@@ -1,8 +1,8 @@
 """Operators on tables of trees: (tree_id, node_idx, parent_idx, name, is_tip, branch_len).
 
 Many trees are one table; every operator works on all of them at once, keyed by
-tree_id. Traversal is recursive SQL or window functions, never a driver loop over
-nodes. Trees of up to 63 tips carry tip sets as bit masks.
+tree_id, whatever their number, depth and tips. Traversal is pointer doubling, joins
+and windows, never a driver loop over nodes. Sets of tips are sorted arrays.
 """
 
 from __future__ import annotations
@@ -10,21 +10,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codonloom.operators.lineage import cut
+
 
 def closure(trees: DataFrame) -> DataFrame:
-    """tree_id, anc, desc, hops, dist: every node with itself and each ancestor."""
-    return trees.sparkSession.sql(
-        """
-        WITH RECURSIVE up(tree_id, anc, next, desc, hops, dist) AS (
-          SELECT tree_id, node_idx, parent_idx, node_idx, 0, CAST(0 AS DOUBLE) FROM {trees}
-          UNION ALL
-          SELECT up.tree_id, t.node_idx, t.parent_idx, up.desc, up.hops + 1, up.dist + c.branch_len
-          FROM up JOIN {trees} t ON t.tree_id = up.tree_id AND t.node_idx = up.next
-                  JOIN {trees} c ON c.tree_id = up.tree_id AND c.node_idx = up.anc)
-        SELECT tree_id, anc, desc, hops, dist FROM up
-        """,
-        trees=trees,
-    )
+    """tree_id, anc, desc, hops, dist: every node with itself and each ancestor.
+
+    Pointer doubling: in round k every node knows its ancestors less than 2^k hops up,
+    and the one exactly 2^k up takes it to twice as many. As many rounds as the deepest
+    tree has binary digits of depth; each is written to the checkpoint folder.
+    """
+    nodes = trees.select("tree_id", F.col("node_idx").alias("desc"), F.col("parent_idx").alias("up"), F.col("branch_len").cast("double").alias("len"))
+    reach = nodes.select("tree_id", F.col("desc").alias("anc"), "desc", F.lit(0).alias("hops"), F.lit(0.0).alias("dist"))
+    jump = cut(nodes.filter("up IS NOT NULL"))
+    step, most = 1, jump.count()
+    while most and not jump.isEmpty():
+        if step > most:
+            raise ValueError("a node is its own ancestor")
+        far = jump.select("tree_id", F.col("desc").alias("anc"), F.col("up").alias("_up"), F.col("len").alias("_len"))
+        further = reach.join(far, ["tree_id", "anc"]).select("tree_id", F.col("_up").alias("anc"), "desc", F.col("hops") + step, F.col("dist") + F.col("_len"))
+        reach = cut(reach.union(further))
+        jump = cut(jump.join(far.withColumnRenamed("anc", "up"), ["tree_id", "up"]).select("tree_id", "desc", F.col("_up").alias("up"), (F.col("len") + F.col("_len")).alias("len")))
+        step *= 2
+    return reach
 
 
 def traversal(trees: DataFrame) -> DataFrame:
@@ -39,11 +47,13 @@ def traversal(trees: DataFrame) -> DataFrame:
     return trees.join(order, ["tree_id", "node_idx"])
 
 
-def tip_masks(trees: DataFrame) -> DataFrame:
-    """tree_id, node_idx, mask, n_tips: the tips below each node."""
+def tips_below(trees: DataFrame) -> DataFrame:
+    """tree_id, node_idx, tips, n_tips, height: the tips below each node in ascending
+    order, and the longest way down to one."""
     tips = trees.filter("is_tip").select("tree_id", F.col("node_idx").alias("desc"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("desc"))
-    return closure(trees).join(tips, ["tree_id", "desc"]).groupBy("tree_id", F.col("anc").alias("node_idx")).agg(F.bit_or(bit).alias("mask"), F.count(F.lit(1)).alias("n_tips"))
+    return closure(trees).join(tips, ["tree_id", "desc"]).groupBy("tree_id", F.col("anc").alias("node_idx")).agg(
+        F.array_sort(F.collect_list("desc")).alias("tips"), F.count(F.lit(1)).alias("n_tips"), F.max("dist").alias("height")
+    )
 
 
 def patristic(trees: DataFrame) -> DataFrame:
@@ -73,15 +83,13 @@ def single_child_nodes(trees: DataFrame) -> DataFrame:
 
 
 def splits(trees: DataFrame) -> DataFrame:
-    """tree_id, split, branch_len, height: the tips on the side of each inner edge that
-    lacks tip 0. height: the longest way from the node down to a tip."""
-    masks = tip_masks(trees)
-    all_tips = trees.filter("is_tip").groupBy("tree_id").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("node_idx"))).alias("_all"))
-    tips = trees.filter("is_tip").select("tree_id", F.col("node_idx").alias("desc"))
-    heights = closure(trees).join(tips, ["tree_id", "desc"]).groupBy("tree_id", F.col("anc").alias("node_idx")).agg(F.max("dist").alias("height"))
-    inner = trees.filter("parent_idx IS NOT NULL AND NOT is_tip").join(masks, ["tree_id", "node_idx"]).join(heights, ["tree_id", "node_idx"]).join(all_tips, "tree_id")
-    side = F.when(F.col("mask").bitwiseAND(1) == 1, F.bitwise_not("mask").bitwiseAND(F.col("_all"))).otherwise(F.col("mask"))
-    return inner.select("tree_id", side.alias("split"), "branch_len", "height")
+    """tree_id, split, branch_len, height: the tips, ascending, on the side of each inner
+    edge that lacks the tree's first tip. height: the longest way from the node down
+    to a tip."""
+    inner = trees.filter("parent_idx IS NOT NULL AND NOT is_tip").join(tips_below(trees), ["tree_id", "node_idx"])
+    every = trees.filter("is_tip").groupBy("tree_id").agg(F.array_sort(F.collect_list("node_idx")).alias("_all"))
+    side = F.when(F.col("tips")[0] == F.col("_all")[0], F.array_except("_all", "tips")).otherwise(F.col("tips"))
+    return inner.join(every, "tree_id").select("tree_id", side.alias("split"), "branch_len", "height")
 
 
 def split_frequencies(trees: DataFrame, burn_in: int = 0) -> DataFrame:
@@ -97,19 +105,20 @@ def split_frequencies(trees: DataFrame, burn_in: int = 0) -> DataFrame:
 
 
 def unsupported_splits(trees: DataFrame, reference: int) -> DataFrame:
-    """Splits of the reference tree that no other tree has."""
-    s = splits(trees).select("tree_id", "split")
-    return s.filter(F.col("tree_id") == reference).select("split").join(s.filter(F.col("tree_id") != reference), "split", "left_anti").distinct()
+    """Splits of the reference tree that no other tree has: those whose trees are it alone."""
+    own = F.max(F.col("tree_id") == reference)
+    others = F.max(F.col("tree_id") != reference)
+    return splits(trees).groupBy("split").agg(own.alias("_own"), others.alias("_others")).filter("_own AND NOT _others").select("split")
 
 
 def compare_nodes(trees: DataFrame, tree_a: int, tree_b: int) -> DataFrame:
     """node_idx, only_a, only_b: the tips below equally numbered nodes of two trees that
     only one of them has; nodes that agree are left out."""
-    m = tip_masks(trees)
-    a = m.filter(F.col("tree_id") == tree_a).select("node_idx", F.col("mask").alias("_a"))
-    b = m.filter(F.col("tree_id") == tree_b).select("node_idx", F.col("mask").alias("_b"))
-    both = a.join(b, "node_idx", "full").withColumns({"_a": F.coalesce("_a", F.lit(0).cast("long")), "_b": F.coalesce("_b", F.lit(0).cast("long"))})
-    return both.filter("_a != _b").select("node_idx", F.expr("_a & ~_b").alias("only_a"), F.expr("_b & ~_a").alias("only_b"))
+    m = tips_below(trees.filter(F.col("tree_id").isin(tree_a, tree_b)))
+    none = F.array().cast(m.schema["tips"].dataType)
+    a, b = (F.coalesce(F.max(F.when(F.col("tree_id") == t, F.col("tips"))), none) for t in (tree_a, tree_b))
+    both = m.groupBy("node_idx").agg(a.alias("_a"), b.alias("_b")).filter("_a != _b")
+    return both.select("node_idx", F.array_except("_a", "_b").alias("only_a"), F.array_except("_b", "_a").alias("only_b"))
 
 
 def subtree(trees: DataFrame, tips: list[int]) -> DataFrame:
@@ -141,28 +150,40 @@ def reroot(trees: DataFrame, node: Column | int) -> DataFrame:
     return kept.withColumns({"parent_idx": F.coalesce("_up", "parent_idx"), "branch_len": F.col("branch_len") + F.coalesce("_add", F.lit(0.0))}).select(*trees.columns)
 
 
-def newick(trees: DataFrame, most_depth: int = 64) -> DataFrame:
+def quoted(name: Column) -> Column:
+    """A name as Newick writes it: in quotes if it holds more than letters, digits and _.+-"""
+    name = F.coalesce(name, F.lit(""))
+    return F.when(name.rlike(r"[^A-Za-z0-9_.+\-]"), F.concat(F.lit("'"), F.replace(name, F.lit("'"), F.lit("''")), F.lit("'"))).otherwise(name)
+
+
+def newick(trees: DataFrame) -> DataFrame:
     """tree_id, newick: ``name[&index=i]:length`` for every node, children by number.
 
-    Built level by level from the deepest: each round is one aggregate over all
-    trees, and there are as many as the deepest tree has levels.
+    The text is a walk round the tree: a node writes a comma and a bracket when it is
+    entered, its label when it is left. Entering node number p in pre-order at depth d
+    is step 2p - d of the walk, leaving it as many steps later as its subtree has
+    nodes, twice; so the pieces of a tree are sorted once, whatever its depth.
     """
-    t = traversal(trees).select("tree_id", "node_idx", "parent_idx", "name", "branch_len", "depth")
-    label = F.concat(F.coalesce("name", F.lit("")), F.lit("[&index="), F.col("node_idx").cast("string"), F.lit("]:"), F.format_string("%.6f", "branch_len"))
-    deepest = t.agg(F.max("depth")).first()[0] or 0
-    if deepest > most_depth:
-        raise ValueError(f"a tree has {deepest} levels; the limit is {most_depth}")
-    made = None
-    for d in range(deepest, -1, -1):
-        level = t.filter(F.col("depth") == d)
-        if made is None:
-            level = level.withColumn("_below", F.lit(""))
-        else:
-            in_order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_idx", "text"))), lambda x: x["text"]), ",")
-            inner = made.groupBy("tree_id", F.col("parent_idx").alias("node_idx")).agg(F.concat(F.lit("("), in_order, F.lit(")")).alias("_below"))
-            level = level.join(inner, ["tree_id", "node_idx"], "left").withColumn("_below", F.coalesce("_below", F.lit("")))
-        made = level.select("tree_id", "node_idx", "parent_idx", F.concat("_below", label).alias("text"))
-    return made.select("tree_id", F.concat("text", F.lit(";")).alias("newick"))
+    label = F.concat(quoted(F.col("name")), F.lit("[&index="), F.col("node_idx").cast("string"), F.lit("]:"), F.format_string("%.6f", "branch_len"))
+    first = F.row_number().over(Window.partitionBy("tree_id", "parent_idx").orderBy("pre_order")) == 1
+    t = traversal(trees).withColumns({
+        "_in": 2 * F.col("pre_order") - F.col("depth"), "_comma": F.when(first | F.col("parent_idx").isNull(), "").otherwise(","),
+        # Left after all nodes that come earlier in post-order and after those on the way up to it were entered.
+        "_out": 2 * F.col("post_order") + F.col("depth") + 1,
+    })
+    inner = t.select("tree_id", F.col("parent_idx").alias("node_idx")).filter("node_idx IS NOT NULL").distinct().withColumn("_inner", F.lit(True))
+    t = t.join(inner, ["tree_id", "node_idx"], "left").withColumn("_inner", F.coalesce("_inner", F.lit(False)))
+    enter = F.struct(F.col("_in").alias("at"), F.concat("_comma", F.when(F.col("_inner"), "(").otherwise("")).alias("text"))
+    leave = F.struct(F.col("_out").alias("at"), F.concat(F.when(F.col("_inner"), ")").otherwise(""), label).alias("text"))
+    pieces = t.select("tree_id", F.explode(F.array(enter, leave)).alias("x"))
+    in_order = F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"])
+    return pieces.groupBy("tree_id").agg(F.concat(F.array_join(in_order, ""), F.lit(";")).alias("newick"))
+
+
+def rooting(texts: DataFrame) -> DataFrame:
+    """(tree_id, newick) -> tree_id, rooted: what a leading [&R] or [&U] says, else null."""
+    mark = F.upper(F.regexp_extract("newick", r"^\s*(?:\[[^\]]*\]\s*)*?\[&([RrUu])\]", 1))
+    return texts.select("tree_id", F.when(mark != "", mark == "R").alias("rooted"))
 
 
 def parse_newick(texts: DataFrame) -> DataFrame:
@@ -170,11 +191,14 @@ def parse_newick(texts: DataFrame) -> DataFrame:
 
     Tokens of a text become rows. An opening bracket starts an inner node, a name
     after a bracket or comma a tip; the depth is a running sum, and a node's parent is
-    the last opening bracket one level up, a window over the level. Comments in
-    square brackets, white space and quotes go first.
+    the last opening bracket one level up, a window over the level. A quoted name is
+    one token, whatever it holds, with doubled quotes for one. Comments in square
+    brackets, white space round tokens, and what follows the semicolon go first.
     """
-    clean = F.regexp_replace(F.regexp_replace("newick", r"\[[^\]]*\]|;.*$", ""), r"[\s']", "")
-    tokens = texts.select("tree_id", F.posexplode(F.regexp_extract_all(clean, F.lit(r"([(),]|:[^(),:]*|[^(),:]+)"), 1)).alias("pos", "tok"))
+    pattern = r"('(?:[^']|'')*'|\[[^\]]*\]|[(),;]|:[^(),:;\['\]]*|[^(),:;\['\s][^(),:;\[']*)"
+    found = F.filter(F.transform(F.regexp_extract_all("newick", F.lit(pattern), 1), lambda x: F.trim(x)), lambda x: ~x.startswith("["))
+    end = F.array_position(found, F.lit(";")).cast("int")
+    tokens = texts.select("tree_id", F.posexplode(F.when(end > 0, F.slice(found, F.lit(1), end - 1)).otherwise(found)).alias("pos", "tok"))
     by_pos = Window.partitionBy("tree_id").orderBy("pos")
     depth = F.sum(F.when(F.col("tok") == "(", 1).when(F.col("tok") == ")", -1).otherwise(0)).over(by_pos)
     t = tokens.select("*", depth.alias("d"), F.lag("tok").over(by_pos).alias("before"), F.lead("tok").over(by_pos).alias("after"), F.lead("tok", 2).over(by_pos).alias("after2"))
@@ -183,16 +207,17 @@ def parse_newick(texts: DataFrame) -> DataFrame:
     opens, closes = F.col("tok") == "(", F.col("tok") == ")"
     # The level of a node counts the brackets around it; a bracket's own node is one less than the depth after it.
     t = t.select("*", F.when(opens, F.col("d") - 1).otherwise(F.col("d")).alias("level"), tip.alias("tip"))
-    length = F.when(F.col("after").startswith(":"), F.expr("try_cast(substr(after, 2) AS DOUBLE)")).when(F.col("after2").startswith(":") & ~F.col("after").isin("(", ")", ","), F.expr("try_cast(substr(after2, 2) AS DOUBLE)"))
+    length = F.when(F.col("after").startswith(":"), F.expr("try_cast(trim(substr(after, 2)) AS DOUBLE)")).when(F.col("after2").startswith(":") & ~F.col("after").isin("(", ")", ","), F.expr("try_cast(trim(substr(after2, 2)) AS DOUBLE)"))
     label = F.when(~F.col("after").isin("(", ")", ",") & ~F.col("after").startswith(":"), F.col("after"))
     ends = Window.partitionBy("tree_id", "level").orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     # A closing bracket ends the node that the last bracket of its level opened.
     nodes = t.filter(opens | closes | F.col("tip")).withColumns({"_label": F.when(closes, F.struct(label.alias("n"), length.alias("l")))})
     nodes = nodes.withColumn("_end", F.first("_label", ignorenulls=True).over(ends)).filter(~closes)
-    name = F.when(F.col("tip"), F.col("tok")).otherwise(F.col("_end.n"))
+    raw = F.when(F.col("tip"), F.col("tok")).otherwise(F.col("_end.n"))
+    name = F.when(raw.startswith("'"), F.replace(raw.substr(F.lit(2), F.length(raw) - 2), F.lit("''"), F.lit("'"))).otherwise(raw)
     own = nodes.select(
         "tree_id", "pos", "level", name.alias("name"), F.col("tip").alias("is_tip"),
-        F.when(F.col("tip"), F.when(F.col("after").startswith(":"), F.expr("try_cast(substr(after, 2) AS DOUBLE)"))).otherwise(F.col("_end.l")).alias("branch_len"),
+        F.when(F.col("tip"), F.when(F.col("after").startswith(":"), F.expr("try_cast(trim(substr(after, 2)) AS DOUBLE)"))).otherwise(F.col("_end.l")).alias("branch_len"),
     )
     up = own.select("tree_id", F.col("pos"), F.col("level"), F.lit(None).cast("int").alias("open")).union(own.filter("NOT is_tip").select("tree_id", "pos", F.col("level") + 1, F.col("pos")))
     last = F.last("open", ignorenulls=True).over(Window.partitionBy("tree_id", "level").orderBy("pos", F.col("open").isNull()))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codonloom.operators import trees as tr
+from codonloom.operators.lineage import cut
 from codonloom.sources.adapters import tree_nodes, with_sql
 
 TREES = 20
@@ -45,24 +46,32 @@ def single_child_nodes(spark, d):
     return tr.single_child_nodes(t.union(chain))
 
 
+def joined(*columns):
+    """Arrays of tips as text."""
+    return {c: F.array_join(F.col(c).cast("array<string>"), ",") for c in columns}
+
+
 def tree_splits(spark, d):
-    return tr.splits(forest(spark, d)).withColumns({c: F.round(c, 6) for c in ("branch_len", "height")})
+    return tr.splits(forest(spark, d)).withColumns(joined("split")).withColumns({c: F.round(c, 6) for c in ("branch_len", "height")})
 
 
 def split_frequencies(spark, d):
-    return tr.split_frequencies(forest(spark, d), 2).withColumns({c: F.round(c, 6) for c in ("sum_len", "sum_len_sq", "mean_len", "mean_height", "frequency")})
+    return tr.split_frequencies(forest(spark, d), 2).withColumns(joined("split")).withColumns({c: F.round(c, 6) for c in ("sum_len", "sum_len_sq", "mean_len", "mean_height", "frequency")})
 
 
 def unsupported_splits(spark, d):
-    return tr.unsupported_splits(forest(spark, d).filter("tree_id < 5"), 3)
+    """In every seventh tree the tips hang alike, so the forest and the first tree under another root."""
+    t = forest(spark, d)
+    odd = t.filter("tree_id = 0").withColumns({"tree_id": F.lit(TREES), "parent_idx": F.when(F.col("node_idx") == 4, 26).otherwise(F.col("parent_idx"))})
+    return tr.unsupported_splits(t.unionByName(odd), TREES).withColumns(joined("split"))
 
 
 def compared_nodes(spark, d):
-    return tr.compare_nodes(forest(spark, d), 0, 1)
+    return tr.compare_nodes(forest(spark, d), 0, 1).withColumns(joined("only_a", "only_b"))
 
 
 def tip_masks(spark, d):
-    return tr.tip_masks(forest(spark, d))
+    return tr.tips_below(forest(spark, d)).withColumns(joined("tips")).select("tree_id", "node_idx", "tips", "n_tips")
 
 
 def subtree_of_tips(spark, d):
@@ -87,10 +96,8 @@ def newick_text(spark, d):
 
 def newick_round_trip(spark, d):
     """Written, parsed and bound to the taxa again: parent and length of every node."""
-    name = F.replace("name", F.lit(" "), F.lit("_"))
-    taxa = tree_nodes(spark, d).filter("is_tip").select(F.col("node_idx").alias("taxon_idx"), name.alias("name"))
-    texts = tr.newick(forest(spark, d).filter("tree_id < 4").withColumn("name", name)).persist()
-    again = tr.bind_taxa(tr.parse_newick(texts).persist(), taxa)
+    taxa = tree_nodes(spark, d).filter("is_tip").select(F.col("node_idx").alias("taxon_idx"), "name")
+    again = tr.bind_taxa(cut(tr.parse_newick(cut(tr.newick(forest(spark, d))))), taxa)
     return again.select("tree_id", "node_idx", "name", F.round("branch_len", 6).alias("branch_len"))
 
 
@@ -111,11 +118,11 @@ up AS (SELECT tree_id, node_idx anc, parent_idx nxt, node_idx AS descn, 0 hops,
   UNION ALL SELECT up.tree_id, t.node_idx, t.parent_idx, up.descn, up.hops + 1, up.dist + c.branch_len
   FROM up JOIN forest t ON t.tree_id = up.tree_id AND t.node_idx = up.nxt JOIN forest c ON c.tree_id = up.tree_id AND c.node_idx = up.anc)"""
 _MASKS = """,
-masks AS (SELECT up.tree_id, up.anc node_idx, bit_or(CAST(1 AS BIGINT) << up.descn) mask, count(*) n_tips, max(up.dist) height
+masks AS (SELECT up.tree_id, up.anc node_idx, list(up.descn ORDER BY up.descn) tips, count(*) n_tips, max(up.dist) height
   FROM up JOIN forest f ON f.tree_id = up.tree_id AND f.node_idx = up.descn AND f.is_tip GROUP BY up.tree_id, up.anc)"""
 _SPLITS = """,
-whole AS (SELECT tree_id, bit_or(CAST(1 AS BIGINT) << node_idx) m FROM forest WHERE is_tip GROUP BY tree_id),
-splits AS (SELECT f.tree_id, CASE WHEN k.mask & 1 = 1 THEN w.m - k.mask ELSE k.mask END split, f.branch_len, k.height
+whole AS (SELECT tree_id, list(node_idx ORDER BY node_idx) m FROM forest WHERE is_tip GROUP BY tree_id),
+splits AS (SELECT f.tree_id, array_to_string(CASE WHEN k.tips[1] = w.m[1] THEN list_filter(w.m, lambda x: NOT list_contains(k.tips, x)) ELSE k.tips END, ',') split, f.branch_len, k.height
   FROM forest f JOIN masks k ON k.tree_id = f.tree_id AND k.node_idx = f.node_idx JOIN whole w ON w.tree_id = f.tree_id
   WHERE NOT f.is_tip AND f.parent_idx IS NOT NULL)"""
 _PATHS = """,
@@ -140,12 +147,15 @@ SQL = {
     "split_frequencies": _FOREST + _CLOSURE + _MASKS + _SPLITS + """
       SELECT split, count(*) n_trees, round(sum(branch_len), 6) sum_len, round(sum(branch_len * branch_len), 6) sum_len_sq, round(avg(branch_len), 6) mean_len,
         round(avg(height), 6) mean_height, round(count(*) / CAST(18 AS DOUBLE), 6) frequency FROM splits WHERE tree_id >= 2 GROUP BY split""",
-    "unsupported_splits": _FOREST + _CLOSURE + _MASKS + _SPLITS + """
-      SELECT DISTINCT split FROM splits a WHERE tree_id = 3 AND NOT EXISTS (SELECT 1 FROM splits b WHERE b.tree_id < 5 AND b.tree_id <> 3 AND b.split = a.split)""",
+    "unsupported_splits": (_FOREST + _CLOSURE + _MASKS + _SPLITS).replace("forest AS (", "forest0 AS (", 1).replace(",\nup AS (", """,
+      forest AS (SELECT * FROM forest0 UNION ALL SELECT 20, node_idx, CASE WHEN node_idx = 4 THEN 26 ELSE parent_idx END, name, is_tip, branch_len FROM forest0 WHERE tree_id = 0),
+      up AS (""", 1) + """
+      SELECT DISTINCT split FROM splits a WHERE tree_id = 20 AND NOT EXISTS (SELECT 1 FROM splits b WHERE b.tree_id <> 20 AND b.split = a.split)""",
     "compared_nodes": _FOREST + _CLOSURE + _MASKS + """
-      SELECT a.node_idx, a.mask - (a.mask & b.mask) only_a, b.mask - (a.mask & b.mask) only_b FROM masks a JOIN masks b ON a.node_idx = b.node_idx
-      WHERE a.tree_id = 0 AND b.tree_id = 1 AND a.mask <> b.mask""",
-    "tip_masks": _FOREST + _CLOSURE + _MASKS + " SELECT tree_id, node_idx, mask, n_tips FROM masks",
+      SELECT a.node_idx, array_to_string(list_filter(a.tips, lambda x: NOT list_contains(b.tips, x)), ',') only_a,
+        array_to_string(list_filter(b.tips, lambda x: NOT list_contains(a.tips, x)), ',') only_b FROM masks a JOIN masks b ON a.node_idx = b.node_idx
+      WHERE a.tree_id = 0 AND b.tree_id = 1 AND a.tips <> b.tips""",
+    "tip_masks": _FOREST + _CLOSURE + _MASKS + " SELECT tree_id, node_idx, array_to_string(tips, ',') tips, n_tips FROM masks",
     "subtree_of_tips": _FOREST + _CLOSURE + """,
       holds AS (SELECT tree_id, anc FROM up WHERE descn IN (3, 8) GROUP BY tree_id, anc HAVING count(*) = 2),
       sizes AS (SELECT tree_id, anc, count(*) n FROM up GROUP BY tree_id, anc),
@@ -162,8 +172,8 @@ SQL = {
       SELECT tree_id, count(*) FILTER (WHERE is_tip) n_tips, count(*) FILTER (WHERE NOT is_tip) n_inner, round(sum(branch_len), 6) tree_length,
         string_agg(CASE WHEN is_tip THEN name END, ',' ORDER BY name) tip_names FROM forest GROUP BY tree_id""",
     "newick_text": with_sql("tree_nodes") + """,
-      lab AS (SELECT node_idx, parent_idx, name || '[&index=' || CAST(node_idx AS VARCHAR) || ']:' || printf('%.6f', branch_len) t FROM tree_nodes),
+      lab AS (SELECT node_idx, parent_idx, CASE WHEN regexp_matches(name, '[^A-Za-z0-9_.+-]') THEN '''' || name || '''' ELSE name END || '[&index=' || CAST(node_idx AS VARCHAR) || ']:' || printf('%.6f', branch_len) t FROM tree_nodes),
       regions_ AS (SELECT r.node_idx, '(' || string_agg(c.t, ',' ORDER BY c.node_idx) || ')' || r.t t FROM lab r JOIN lab c ON c.parent_idx = r.node_idx WHERE r.node_idx BETWEEN 25 AND 29 GROUP BY r.node_idx, r.t)
       SELECT 0 tree_id, '(' || string_agg(regions_.t, ',' ORDER BY regions_.node_idx) || ')' || (SELECT t FROM lab WHERE node_idx = 30) || ';' newick FROM regions_""",
-    "newick_round_trip": _FOREST + " SELECT tree_id, node_idx, replace(name, ' ', '_') AS name, round(branch_len, 6) branch_len FROM forest WHERE tree_id < 4",
+    "newick_round_trip": _FOREST + " SELECT tree_id, node_idx, name, round(branch_len, 6) branch_len FROM forest",
 }
