@@ -10,9 +10,12 @@ from codonloom.functions.genetic import ALL, SENSE, codons, iupac_mask
 
 def recode(sequences: DataFrame, width: int = 3) -> DataFrame:
     """taxon_idx, site, codon: each sequence cut into codons, the frame from its start."""
-    site = F.explode(F.sequence(F.lit(0), F.floor(F.length("seq") / width).cast("int") - 1)).alias("site")
-    cut = sequences.filter(F.length("seq") >= width).select("taxon_idx", "seq", site)
-    return cut.select("taxon_idx", "site", F.expr(f"substring(seq, site * {width} + 1, {width})").alias("codon"))
+    return sequences.select("taxon_idx", F.posexplode(pieces(F.col("seq"), width)).alias("site", "codon"))
+
+
+def pieces(seq: Column, width: int = 1) -> Column:
+    """A sequence cut into strings of ``width``, in one pass; an incomplete last one is left out."""
+    return F.regexp_extract_all(seq, F.lit(f"(?s)(.{{{width}}})"), 1)
 
 
 def codon_masks(cells: DataFrame) -> DataFrame:
@@ -28,11 +31,13 @@ def translate_codons(cells: DataFrame, code: DataFrame) -> DataFrame:
     return cells.join(F.broadcast(code.select("codon", "aa")), "codon", "left").withColumn("aa", F.coalesce("aa", F.lit("?")))
 
 
-def protein(cells: DataFrame, code: DataFrame) -> DataFrame:
-    """taxon_idx, protein: the amino acids of a taxon in order of site."""
-    aa = translate_codons(cells, code)
-    in_order = F.array_sort(F.collect_list(F.struct("site", "aa")))
-    return aa.groupBy("taxon_idx").agg(F.array_join(F.transform(in_order, lambda x: x["aa"]), "").alias("protein"))
+def protein(sequences: DataFrame, code: DataFrame, width: int = 3) -> DataFrame:
+    """taxon_idx, protein: the amino acids of each sequence in order of site, inside the
+    row: the code is a map of at most 64 codons, no codon becomes a row of its own."""
+    table = code.agg(F.map_from_entries(F.collect_list(F.struct("codon", "aa"))).alias("_aa"))  # one row
+    aa = F.transform(pieces(F.col("seq"), width), lambda c: F.coalesce(F.element_at("_aa", c), F.lit("?")))
+    out = sequences.filter(F.length("seq") >= width).join(F.broadcast(table), F.lit(True))
+    return out.select("taxon_idx", F.array_join(aa, "").alias("protein"))
 
 
 def ambiguity(cells: DataFrame) -> DataFrame:
@@ -59,25 +64,30 @@ def column_summary(cells: DataFrame) -> DataFrame:
     })
 
 
+def folded_columns(cells: DataFrame) -> DataFrame:
+    """site, pattern: each column's masks in order of taxon, as text (one row a site)."""
+    fold = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("taxon_idx", "mask"))), lambda x: x["mask"].cast("string")), ",")
+    return cells.groupBy("site").agg(fold.alias("pattern"))
+
+
 def site_patterns(cells: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """Equal columns as one: pattern, n_sites, weight, first_site, sites.
+    """Equal columns as one: pattern, n_sites, weight, first_site.
 
-    Each column is first folded to its masks in order of taxon (one row a site), and
-    the rows are then grouped; the columns never meet as wide rows.
+    Sums and the first site only: a pattern that a third of all columns have is one
+    partial row a task. Which sites have it, pattern_of_site tells, a row a site.
     """
-    fold = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("taxon_idx", "mask"))), lambda x: x["mask"].cast("string")), ",")
-    columns = cells.groupBy("site").agg(fold.alias("pattern"))
+    columns = folded_columns(cells)
     columns = columns.join(weights, "site", "left") if weights is not None else columns.withColumn("weight", F.lit(1.0))
     return columns.groupBy("pattern").agg(
         F.count(F.lit(1)).alias("n_sites"), F.sum(F.coalesce("weight", F.lit(1.0))).alias("weight"), F.min("site").alias("first_site"),
-        F.array_join(F.transform(F.array_sort(F.collect_list("site")), lambda s: s.cast("string")), ",").alias("sites"),
     )
 
 
 def pattern_of_site(cells: DataFrame) -> DataFrame:
     """site, first_site: the site that stands for each site's pattern."""
-    p = site_patterns(cells)
-    return p.select(F.explode(F.split("sites", ",").cast("array<int>")).alias("site"), "first_site")
+    columns = folded_columns(cells)
+    first = columns.groupBy("pattern").agg(F.min("site").alias("first_site"))
+    return columns.join(first, "pattern").select("site", "first_site")
 
 
 def drop_missing_patterns(cells: DataFrame) -> DataFrame:
@@ -132,17 +142,16 @@ def subset(cells: DataFrame, sets: DataFrame, name: str) -> DataFrame:
 
 def gap_characters(sequences: DataFrame) -> DataFrame:
     """Presence (1) or absence (0) of a gap, for each taxon at each position where any has one."""
-    at = F.explode(F.sequence(F.lit(1), F.length("seq"))).alias("pos")
-    cells = sequences.filter(F.length("seq") > 0).select("taxon_idx", "seq", at).select("taxon_idx", "pos", (F.expr("substring(seq, pos, 1)") == "-").cast("int").alias("gap"))
+    at = F.posexplode(pieces(F.col("seq"))).alias("pos", "ch")
+    cells = sequences.select("taxon_idx", at).select("taxon_idx", (F.col("pos") + 1).alias("pos"), (F.col("ch") == "-").cast("int").alias("gap"))
     gapped = cells.groupBy("pos").agg(F.max("gap").alias("_any")).filter("_any = 1").select("pos")
     return cells.join(gapped, "pos")
 
 
 def nucleotide_masks(sequences: DataFrame) -> DataFrame:
     """taxon_idx, pos, mask: IUPAC symbols as sets of nucleotides, null for gaps."""
-    at = F.explode(F.sequence(F.lit(1), F.length("seq"))).alias("pos")
-    cells = sequences.filter(F.length("seq") > 0).select("taxon_idx", "seq", at)
-    return cells.select("taxon_idx", "pos", iupac_mask(F.expr("substring(seq, pos, 1)")).alias("mask"))
+    cells = sequences.select("taxon_idx", F.posexplode(pieces(F.col("seq"))).alias("pos", "ch"))
+    return cells.select("taxon_idx", (F.col("pos") + 1).alias("pos"), iupac_mask(F.col("ch")).alias("mask"))
 
 
 def step_matrix(n: int, ordered: bool, spark) -> DataFrame:

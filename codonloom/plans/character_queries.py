@@ -38,7 +38,7 @@ def translated_codons(spark, d):
 
 
 def proteins(spark, d):
-    return ch.protein(ch.recode(sequences(spark, d)), genetic.genetic_codes(spark).filter("code = 'standard'"))
+    return ch.protein(sequences(spark, d), genetic.genetic_codes(spark).filter("code = 'standard'"))
 
 
 def ambiguity_per_taxon(spark, d):
@@ -54,7 +54,7 @@ def constant_columns(spark, d):
 
 
 def site_patterns(spark, d):
-    return ch.site_patterns(codon_cells(spark, d)).select("pattern", "n_sites", "first_site", "sites")
+    return ch.site_patterns(codon_cells(spark, d)).select("pattern", "n_sites", "first_site")
 
 
 def pattern_of_site(spark, d):
@@ -74,7 +74,7 @@ def state_intersections(spark, d):
 
 
 def expanded_states(spark, d):
-    return ch.expand_states(ambiguous_cells(spark, d).filter("site < 20"))
+    return ch.expand_states(ambiguous_cells(spark, d))
 
 
 def gap_characters(spark, d):
@@ -92,8 +92,8 @@ def step_matrices(spark, d):
 
 def codon_positions(spark, d):
     """Three position sets of one size, joined to codons by rank."""
-    idx = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("int").alias("idx")).filter("idx BETWEEN 1 AND 90")
-    return ch.positions_in_codon(idx.select("idx", ((F.col("idx") - 1) % 3 + 1).alias("position")))
+    idx = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("int").alias("idx")).filter("idx > 0")
+    return ch.positions_in_codon(idx.select("idx", (F.pmod(F.col("idx") - 1, F.lit(3)) + 1).alias("position")))
 
 
 SETS = [("early", "1-40"), ("third", "3-.\\3"), ("some", "5 7 9-12"), ("every", "ALL")]
@@ -137,7 +137,7 @@ def subset_by_set(spark, d):
 
 
 def character_weights(spark, d):
-    weights = spark.read.parquet(f"{d}/part.parquet").filter("p_partkey < 100").select(F.col("p_partkey").cast("int").alias("site"), F.col("p_size").cast("double").alias("weight"))
+    weights = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("int").alias("site"), F.col("p_size").cast("double").alias("weight"))
     return ch.site_patterns(codon_cells(spark, d), weights).select("first_site", "n_sites", F.round("weight", 6).alias("weight"))
 
 
@@ -152,7 +152,7 @@ QUERIES = {
 }
 
 _CUT = """,
-cut AS (SELECT taxon_idx, CAST(r.range AS INT) site, substr(seq, CAST(3*r.range + 1 AS INT), 3) codon FROM sequences CROSS JOIN range(30) r)"""
+cut AS (SELECT taxon_idx, CAST(unnest(range(length(seq) // 3)) AS INT) site, unnest(regexp_extract_all(seq, '...')) codon FROM sequences WHERE length(seq) >= 3)"""
 _AA = "CASE WHEN a.aa IS NULL THEN '?' ELSE a.aa END"
 _SETS = """,
 sets AS (SELECT 'early' AS name, CAST(range AS INT) idx FROM range(1, 41) UNION ALL SELECT 'third', CAST(range AS INT) FROM range(3, 201, 3)
@@ -184,7 +184,7 @@ SQL = {
         count(*) FILTER (WHERE mask = {_ALL}) n_missing FROM ambiguous_cells GROUP BY site""",
     "constant_columns": with_sql("codon_cells") + " SELECT site FROM codon_cells GROUP BY site HAVING bit_and(mask) <> 0",
     "site_patterns": with_sql("codon_cells") + _PATTERNS + """
-      SELECT pattern, count(*) n_sites, min(site) first_site, string_agg(CAST(site AS VARCHAR), ',' ORDER BY site) sites FROM cols GROUP BY pattern""",
+      SELECT pattern, count(*) n_sites, min(site) first_site FROM cols GROUP BY pattern""",
     "pattern_of_site": with_sql("codon_cells") + _PATTERNS + " SELECT site, min(site) OVER (PARTITION BY pattern) first_site FROM cols",
     "complete_patterns": with_sql("codon_cells") + _PATTERNS + f" SELECT pattern, count(*) n_sites FROM cols WHERE pattern NOT LIKE '%{_ALL}%' GROUP BY pattern",
     "pairwise_distance": with_sql("ambiguous_cells") + f"""
@@ -197,17 +197,17 @@ SQL = {
       FROM ambiguous_cells a JOIN ambiguous_cells b ON a.site = b.site WHERE a.taxon_idx = 3 AND b.taxon_idx = 7""",
     "expanded_states": with_sql("ambiguous_cells") + """
       SELECT taxon_idx, site, CAST(r.range AS INT) state FROM ambiguous_cells CROSS JOIN range(61) r
-      WHERE site < 20 AND (mask >> CAST(r.range AS INT)) & 1 = 1""",
+      WHERE (mask >> CAST(r.range AS INT)) & 1 = 1""",
     "gap_characters": with_sql("sequences") + """,
-      gapped AS (SELECT taxon_idx, CASE WHEN taxon_idx % 10 = 0 THEN substr(seq, 1, 30) || '---' || substr(seq, 34) ELSE seq END seq FROM sequences)
-      SELECT taxon_idx, CAST(r.range AS INT) pos, CAST(substr(seq, CAST(r.range AS INT), 1) = '-' AS INT) gap FROM gapped CROSS JOIN range(31, 34) r""",
-    "nucleotide_composition": with_sql("sequences") + """
-      SELECT CAST(r.range AS INT) pos, CASE substr(seq, CAST(r.range AS INT), 1) WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 ELSE 8 END mask, count(*) n
-      FROM sequences CROSS JOIN range(1, 91) r GROUP BY 1, 2""",
+      gapped AS (SELECT taxon_idx, CASE WHEN taxon_idx % 10 = 0 AND length(seq) >= 33 THEN substr(seq, 1, 30) || '---' || substr(seq, 34) ELSE seq END seq FROM sequences)
+      SELECT taxon_idx, CAST(r.range AS INT) pos, CAST(substr(seq, CAST(r.range AS INT), 1) = '-' AS INT) gap FROM gapped CROSS JOIN range(31, 34) r WHERE r.range <= length(seq)""",
+    "nucleotide_composition": with_sql("sequences") + """,
+      ch AS (SELECT unnest(string_split(seq, '')) c, unnest(range(1, length(seq) + 1)) pos FROM sequences WHERE length(seq) > 0)
+      SELECT CAST(pos AS INT) pos, CASE c WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 ELSE 8 END mask, count(*) n FROM ch GROUP BY 1, 2""",
     "step_matrices": """SELECT CAST(a.range AS INT) i, CAST(b.range AS INT) j, CAST(abs(a.range - b.range) AS INT) ordered,
       CAST(a.range <> b.range AS INT) unordered FROM range(5) a CROSS JOIN range(5) b""",
     "codon_positions": """
-      WITH p AS (SELECT CAST(p_partkey AS INT) idx, (p_partkey - 1) % 3 + 1 pos FROM part WHERE p_partkey BETWEEN 1 AND 90),
+      WITH p AS (SELECT CAST(p_partkey AS INT) idx, (p_partkey - 1) % 3 + 1 pos FROM part WHERE p_partkey > 0),
       r AS (SELECT idx, pos, CAST(row_number() OVER (PARTITION BY pos ORDER BY idx) - 1 AS INT) site FROM p)
       SELECT site, max(CASE WHEN pos = 1 THEN idx END) pos1, max(CASE WHEN pos = 2 THEN idx END) pos2, max(CASE WHEN pos = 3 THEN idx END) pos3 FROM r GROUP BY site""",
     "set_expansion": "WITH x AS (SELECT 1)" + _SETS + " SELECT name, idx FROM sets",
@@ -226,7 +226,7 @@ SQL = {
       SELECT taxon_idx, count(*) n_active, count(state) n_observed FROM codon_cells WHERE (site + 1) % 3 <> 0 GROUP BY taxon_idx""",
     "subset_by_set": with_sql("codon_cells") + " SELECT taxon_idx, site, mask FROM codon_cells WHERE site + 1 IN (5, 7, 9, 10, 11, 12)",
     "character_weights": with_sql("codon_cells") + _PATTERNS + """,
-      w AS (SELECT CAST(p_partkey AS INT) site, CAST(p_size AS DOUBLE) weight FROM part WHERE p_partkey < 100)
+      w AS (SELECT CAST(p_partkey AS INT) site, CAST(p_size AS DOUBLE) weight FROM part)
       SELECT min(cols.site) first_site, count(*) n_sites, round(sum(coalesce(w.weight, 1.0)), 6) weight
       FROM cols LEFT JOIN w ON w.site = cols.site GROUP BY pattern""",
 }

@@ -104,7 +104,7 @@ def site_category_omegas(spark, d):
 
 def gibbs_weights(spark, d):
     """Category weights of a Gibbs step from log weights: largest subtracted, exponential, normalised."""
-    e = read(spark, d, "events").filter("user_id < 200").select("user_id", "event_id", (-F.abs("value")).alias("ln_weight"))
+    e = read(spark, d, "events").select("user_id", "event_id", (-F.abs("value")).alias("ln_weight"))
     return normalised_weights(e, "user_id").select("user_id", "event_id", F.round("weight", 8).alias("weight"))
 
 
@@ -189,7 +189,7 @@ SQL = {
       SELECT c_custkey site, c_nationkey % 6 cat, round({_D("0.1")} * (c_nationkey % 6 + 1), 6) omega0, round({_D("0.1")} * (c_nationkey % 6 + 1) * 2, 6) omega1,
         round({_D("0.1")} * (c_nationkey % 6 + 1) * 3, 6) omega2 FROM customer""",
     "gibbs_weights": """
-      WITH e AS (SELECT user_id, event_id, -abs(value) x FROM events WHERE user_id < 200),
+      WITH e AS (SELECT user_id, event_id, -abs(value) x FROM events),
       m AS (SELECT *, exp(x - max(x) OVER (PARTITION BY user_id)) w FROM e)
       SELECT user_id, event_id, round(w / sum(w) OVER (PARTITION BY user_id), 8) weight FROM m""",
     "distribution_values": f"""

@@ -26,7 +26,10 @@ def trace_thin(spark, d):
 
 
 def trace_density(spark, d):
-    return rounded(tr.density(trace(spark, d), 40, 0.0, 200.0, "param"), "density")
+    """200 bins from the least value to beyond the largest."""
+    t = trace(spark, d)
+    low, high = t.agg(F.floor(F.min("value")).cast("double"), F.floor(F.max("value") + 1).cast("double")).first()
+    return rounded(tr.density(t, 200, low, high, "param"), "density")
 
 
 def trace_wide(spark, d):
@@ -68,7 +71,7 @@ def chain_union(spark, d):
 def node_means(spark, d):
     """Posterior means of sites left-joined to the nodes they belong to."""
     nodes = read(spark, d, "nation").select(F.col("n_nationkey").alias("node_idx"), F.col("n_name").alias("name"))
-    means = read(spark, d, "customer").filter("c_custkey % 3 = 0").groupBy(F.col("c_nationkey").alias("node_idx")).agg(F.round(F.avg("c_acctbal"), 4).alias("mean"))
+    means = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("node_idx")).agg(F.round(F.avg("c_acctbal"), 4).alias("mean"))
     return nodes.join(means, "node_idx", "left")
 
 
@@ -112,8 +115,9 @@ SQL = {
       FROM r WHERE rn > floor(c * CAST(0.1 AS DOUBLE)) GROUP BY chain, param""",
     "trace_thin": _T + " SELECT iteration, chain, param, value FROM trace WHERE iteration % 10 = 0",
     "trace_density": _T + """,
-      b AS (SELECT param, CAST(floor(value / 5) AS INT) bin, count(*) n FROM trace WHERE value >= 0 AND value < 200 GROUP BY 1, 2)
-      SELECT param, bin, n, round(n / (sum(n) OVER (PARTITION BY param) * CAST(5.0 AS DOUBLE)), 6) density FROM b""",
+      lim AS (SELECT CAST(floor(min(value)) AS DOUBLE) lo, (CAST(floor(max(value) + 1) AS DOUBLE) - CAST(floor(min(value)) AS DOUBLE)) / 200 w FROM trace),
+      b AS (SELECT param, CAST(floor((value - lo) / w) AS INT) bin, count(*) n FROM trace, lim GROUP BY 1, 2)
+      SELECT param, bin, n, round(n / (sum(n) OVER (PARTITION BY param) * w), 6) density FROM b, lim""",
     "trace_wide": _T + """,
       k AS (SELECT iteration, chain, value, length(param) % 5 p FROM trace)
       SELECT iteration, chain, max(CASE WHEN p = 0 THEN value END) click, max(CASE WHEN p = 1 THEN value END) error, max(CASE WHEN p = 2 THEN value END) login,
@@ -132,7 +136,7 @@ SQL = {
     "chain_union": _T + " SELECT CASE WHEN chain = 0 THEN 'a' ELSE 'b' END run, param, count(*) n FROM trace WHERE chain IN (0, 3) GROUP BY 1, 2",
     "node_means": """
       SELECT n_nationkey node_idx, n_name AS name, m.mean FROM nation LEFT JOIN
-        (SELECT c_nationkey, round(avg(c_acctbal), 4) mean FROM customer WHERE c_custkey % 3 = 0 GROUP BY c_nationkey) m ON m.c_nationkey = n_nationkey""",
+        (SELECT c_nationkey, round(avg(c_acctbal), 4) mean FROM customer GROUP BY c_nationkey) m ON m.c_nationkey = n_nationkey""",
     "regime_of_state": """
       SELECT o_orderkey, CAST(o_custkey % 183 AS INT) state, CASE WHEN o_custkey % 183 < 61 THEN CAST(0.1 AS DOUBLE) WHEN o_custkey % 183 < 122 THEN CAST(0.5 AS DOUBLE) ELSE CAST(1.5 AS DOUBLE) END dnds FROM orders""",
     "running_best": _T + " SELECT chain, iteration, max(value) OVER (PARTITION BY chain ORDER BY iteration ROWS UNBOUNDED PRECEDING) best FROM trace",

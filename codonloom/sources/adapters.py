@@ -58,11 +58,11 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """taxon_idx, seq: 90 nucleotides from the letters of each document that has 90."""
+    """taxon_idx, seq: nucleotides from all letters of each document."""
     letters = F.regexp_replace("text", "[^A-Za-z]", "")
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("taxon_idx"), letters.alias("_l")).filter(F.length("_l") >= 90)
-    seq = F.substring(F.translate(F.upper("_l"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC"), 1, 90)
-    return d.select("taxon_idx", seq.alias("seq"))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("taxon_idx"), letters.alias("_l"))
+    seq = F.translate(F.upper("_l"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC")
+    return d.select("taxon_idx", F.coalesce(seq, F.lit("")).alias("seq"))
 
 
 #: The same adapters as DuckDB common table expressions, for the oracles.
@@ -90,9 +90,8 @@ tree_nodes AS (
     "trace": """
 trace AS (SELECT event_id iteration, CAST(user_id % 4 AS INT) chain, event_type param, value FROM events)""",
     "sequences": """
-letters AS (SELECT doc_id taxon_idx, regexp_replace(text, '[^A-Za-z]', '', 'g') l FROM documents),
-sequences AS (SELECT taxon_idx, substr(translate(upper(l), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC'), 1, 90) seq
-  FROM letters WHERE length(l) >= 90)""",
+letters AS (SELECT doc_id taxon_idx, coalesce(regexp_replace(text, '[^A-Za-z]', '', 'g'), '') l FROM documents),
+sequences AS (SELECT taxon_idx, translate(upper(l), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC') seq FROM letters)""",
     "codons": """
 bases(b, i) AS (VALUES ('A', 0), ('C', 1), ('G', 2), ('T', 3)),
 all64 AS (SELECT x.b || y.b || z.b codon, 16*x.i + 4*y.i + z.i pos FROM bases x CROSS JOIN bases y CROSS JOIN bases z),
