@@ -27,7 +27,7 @@ AGREE = 0.6
 #: A block of a group: at most about this many documents and shingles.
 BLOCK, BLOCK_SHINGLES = 64, 500_000
 #: A block of a band's documents whose signatures are compared with each other.
-BAND_BLOCK = 1024
+BAND_BLOCK = 256
 SEED = 5
 
 
