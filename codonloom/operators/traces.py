@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codonloom.operators.lineage import cut
+
 WINDOW = 25
 
 
@@ -70,21 +72,38 @@ def window_scores(series: list[np.ndarray], window: int) -> tuple[np.ndarray, np
     return 2.0 - share.sum(axis=1) / window, count
 
 
-def autocorrelation(trace: DataFrame, window: int = WINDOW) -> DataFrame:
+def ranked(trace: DataFrame) -> DataFrame:
+    """chain, param, pos, value: the rows of each series numbered from 1 by iteration,
+    nulls left out. One range-partitioned sort; a row's number is its place in its
+    partition plus the series' rows in the partitions before, so no task holds a series."""
+    known = trace.filter(F.col("value").isNotNull()).select("chain", "param", "iteration", "value")
+    at = cut(known.orderBy("chain", "param", "iteration").withColumn("_m", F.monotonically_increasing_id()))
+    at = at.withColumns({"_part": F.shiftright("_m", 33), "_low": F.col("_m").bitwiseAND((1 << 33) - 1)})
+    series = Window.partitionBy("chain", "param").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = at.groupBy("chain", "param", "_part").agg(F.min("_low").alias("_first"), F.count(F.lit(1)).alias("_k")).withColumn("_before", F.coalesce(F.sum("_k").over(series), F.lit(0)))
+    joined = at.join(before, ["chain", "param", "_part"])
+    return joined.select("chain", "param", (F.col("_low") - F.col("_first") + F.col("_before") + 1).alias("pos"), "value")
+
+
+def autocorrelation(trace: DataFrame, window: int = WINDOW, block: int = 1024) -> DataFrame:
     """chain, pos, score over the last ``window`` rows of all parameters of a chain.
 
     For each lag, the products of deviations summed over rows and parameters, over
     (window - lag) times the summed variances; the absolute values add up to s, and
-    the score is 2 - s / window. Rows of a chain's parameters align by rank. A chain is
-    a group: its length is that of one run, whatever the number of chains.
+    the score is 2 - s / window. Rows of a chain's parameters align by rank. A chain of
+    any length is scored in blocks of ``block`` windows; the window - 1 rows before a
+    block belong to it as well.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values("iteration", kind="stable")
+        ordered = group.sort_values("pos", kind="stable")
         score, count = window_scores([x.to_numpy(float) for _, x in ordered.groupby("param")["value"]], window)
-        return pd.DataFrame({"chain": int(group["chain"].iloc[0]), "pos": np.arange(len(score)) + window, "score": score, "n_params": count})
+        chain, first = group["chain"].iloc[0], int(ordered["pos"].iloc[0])
+        return pd.DataFrame({"chain": int(chain), "pos": np.arange(len(score)) + first + window - 1, "score": score, "n_params": count})
 
-    return trace.groupBy("chain").applyInPandas(run, "chain int, pos int, score double, n_params int")
+    last = F.floor((F.col("pos") + (window - 2)) / block)
+    blocks = F.explode(F.sequence(F.floor((F.col("pos") - 1) / block), last)).alias("block")
+    return ranked(trace).select("chain", "param", "pos", "value", blocks).groupBy("chain", "block").applyInPandas(run, "chain int, pos int, score double, n_params int")
 
 
 def smooth_autocorrelation(scores: DataFrame, rows: DataFrame, window: int = WINDOW) -> DataFrame:
