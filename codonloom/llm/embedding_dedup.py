@@ -27,7 +27,7 @@ PER_CELL, PER_CENTRE = 800, 4
 #: Vectors that the traversal is calibrated on.
 TRIED = 2000
 #: Vectors of a cell beyond this many are dealt to further blocks.
-BLOCK = 512
+BLOCK = 256
 #: Distances held at once.
 HELD = 1 << 20
 SEED = 4
