@@ -68,7 +68,8 @@ def columns_of(cells: DataFrame) -> DataFrame:
 def site_log_likelihood(cells: DataFrame, tree: DataFrame, kappa: float, omegas: list[float], switching: float = 0.0, pi: np.ndarray | None = None) -> DataFrame:
     """site, site_lnl under one regime (M0) or several with switching.
 
-    Equal columns are folded first and computed once; the batches of columns that a
+    Equal columns are folded first and computed once, and each site joins its
+    pattern's value, so a frequent pattern is no long list; the batches of columns that a
     task holds go through the tree as matrix products. The model is the closure:
     matrices of the tree's branches.
     """
@@ -83,11 +84,11 @@ def site_log_likelihood(cells: DataFrame, tree: DataFrame, kappa: float, omegas:
             if len(b):
                 partial, logs = prune(np.stack(b["masks"].to_numpy()), nodes, p, k)
                 b["lnl"] = np.log(partial[int(nodes[0][-1])] @ full) + logs
-                yield b[["sites", "lnl"]]
+                yield b[["masks", "lnl"]]
 
-    patterns = columns_of(cells).groupBy("masks").agg(F.collect_list("site").alias("sites"))
-    found = patterns.select("masks", "sites").mapInPandas(run, "sites array<int>, lnl double")
-    return found.select(F.explode("sites").alias("site"), F.col("lnl").alias("site_lnl"))
+    columns = columns_of(cells)
+    found = columns.select("masks").distinct().mapInPandas(run, "masks array<long>, lnl double")
+    return columns.join(found, "masks").select("site", F.col("lnl").alias("site_lnl"))
 
 
 def ancestral_states(cells: DataFrame, tree: DataFrame, kappa: float, omegas: list[float], switching: float, seed: int, pi: np.ndarray | None = None) -> DataFrame:
