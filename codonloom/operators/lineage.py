@@ -3,16 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the folder that spark.checkpoint.dir names; a
-    local master without that setting (tests) gets a temporary one."""
-    sc, named = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a local master without that setting
+    (tests) gets a temporary one."""
+    sc, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         if not named and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def new_path(spark: SparkSession) -> str:
+    """A path of its own in the shared folder, for files that are read again."""
+    return f"{shared_folder(spark)}/files/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -68,10 +68,77 @@ def nexus_text(sequences: DataFrame, datatype: str = "dna") -> DataFrame:
     return sequences.groupBy("file").agg(F.concat(*parts).alias("value"))
 
 
+def block_text(rows: DataFrame, block: str, order: list[str], line: Column, between: str = "\n", before: Column | None = None, after: str = "") -> DataFrame:
+    """file, value: a NEXUS text of one block, a line for each row in order."""
+    lines = F.array_sort(F.collect_list(F.struct(*order, line.alias("_line"))))
+    body = F.array_join(F.transform(lines, lambda x: x["_line"]), between)
+    head = F.lit("") if before is None else before
+    return rows.groupBy("file").agg(F.concat(F.lit(f"#NEXUS\nBEGIN {block};\n"), head, body, F.lit(f"{after}\nEND;")).alias("value"))
+
+
+def nexus_taxa_text(taxa: DataFrame) -> DataFrame:
+    """file, value: a TAXA block from (file, taxon_idx, name)."""
+    head = F.concat(F.lit("DIMENSIONS NTAX="), F.count(F.lit(1)).cast("string"), F.lit(";\nTAXLABELS\n"))
+    return block_text(taxa, "TAXA", ["taxon_idx"], quoted(F.col("name")), before=head, after=";")
+
+
 def nexus_trees_text(trees: DataFrame) -> DataFrame:
-    """file, value: a TREES block from (file, tree_id, newick)."""
-    rows = F.array_sort(F.collect_list(F.struct("tree_id", F.concat(F.lit("TREE t"), F.col("tree_id").cast("string"), F.lit(" = "), F.col("newick")).alias("l"))))
-    return trees.groupBy("file").agg(F.concat(F.lit("#NEXUS\nBEGIN TREES;\n"), F.array_join(F.transform(rows, lambda x: x["l"]), "\n"), F.lit("\nEND;")).alias("value"))
+    """file, value: a TREES block from (file, tree_id, newick) and, where there is one,
+    rooted, which becomes [&R] or [&U]."""
+    mark = F.when(F.col("rooted"), "[&R] ").when(~F.col("rooted"), "[&U] ").otherwise("") if "rooted" in trees.columns else F.lit("")
+    return block_text(trees, "TREES", ["tree_id"], F.concat(F.lit("TREE t"), F.col("tree_id").cast("string"), F.lit(" = "), mark, F.col("newick")))
+
+
+def nexus_distances_text(distances: DataFrame) -> DataFrame:
+    """file, value: a DISTANCES block from the cells (file, row, name, col, d) of a lower
+    triangle with its diagonal; a null d is missing."""
+    cells = F.array_sort(F.collect_list(F.struct("col", F.coalesce(F.col("d").cast("string"), F.lit("?")).alias("d"))))
+    rows = distances.groupBy("file", "row", "name").agg(F.array_join(F.transform(cells, lambda x: x["d"]), " ").alias("cells"))
+    return block_text(rows, "DISTANCES", ["row"], F.concat_ws(" ", quoted(F.col("name")), "cells"), before=F.lit("FORMAT TRIANGLE=LOWER MISSING=?;\nMATRIX\n"), after="\n;")
+
+
+def nexus_unaligned_text(sequences: DataFrame, datatype: str = "dna") -> DataFrame:
+    """file, value: an UNALIGNED block from (file, taxon_idx, name, seq)."""
+    return block_text(sequences, "UNALIGNED", ["taxon_idx"], F.concat_ws(" ", quoted(F.col("name")), "seq"), ",\n", F.lit(f"FORMAT DATATYPE={datatype} MISSING=? GAP=-;\nMATRIX\n"), "\n;")
+
+
+def nexus_sets_text(sets: DataFrame) -> DataFrame:
+    """file, value: a SETS block from (file, kind, name, definition)."""
+    line = F.concat(F.upper("kind"), F.lit(" "), quoted(F.col("name")), F.lit(" = "), F.col("definition"), F.lit(";"))
+    return block_text(sets, "SETS", ["kind", "name"], line)
+
+
+def nexus_associations_text(pairs: DataFrame) -> DataFrame:
+    """file, value: a TAXAASSOCIATION block from (file, a, b)."""
+    linked = F.array_join(F.array_sort(F.collect_list(quoted(F.col("b")))), " ")
+    rows = pairs.groupBy("file", "a").agg(linked.alias("bs"))
+    return block_text(rows, "TAXAASSOCIATION", ["a"], F.concat(quoted(F.col("a")), F.lit(" / "), F.col("bs")), ",\n", F.lit("ASSOCIATES\n"), ";")
+
+
+def paged_text(sequences: DataFrame, width: int, head: Column, label: Column) -> DataFrame:
+    """file, value: interleaved pages of width characters under a first line, each line
+    beginning with its label. Interleaved PHYLIP labels the first page only."""
+    pages = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("seq") - 1) / width)).cast("int")), lambda k: F.struct(k.alias("page"), F.substring(F.col("seq"), k * width + 1, F.lit(width)).alias("part")))
+    rows = sequences.select("file", "taxon_idx", "name", "seq", F.explode(pages).alias("x")).select("file", "taxon_idx", "name", "seq", "x.*")
+    lines = F.array_sort(F.collect_list(F.struct("page", "taxon_idx", F.concat(label, "part").alias("l"))))
+    return rows.groupBy("file").agg(F.concat(head, F.lit("\n"), F.array_join(F.transform(lines, lambda x: F.concat(F.when((x["taxon_idx"] == 0) & (x["page"] > 0), "\n").otherwise(""), x["l"])), "\n")).alias("value"))
+
+
+def phylip_pages(sequences: DataFrame, width: int = 60) -> DataFrame:
+    """file, value: interleaved strict PHYLIP."""
+    head = F.concat_ws(" ", F.count_distinct("taxon_idx"), F.max(F.length("seq")))
+    return paged_text(sequences, width, head, F.rpad(F.when(F.col("page") == 0, F.col("name")).otherwise(""), 10, " "))
+
+
+def clustal_pages(sequences: DataFrame, width: int = 60) -> DataFrame:
+    """file, value: Clustal pages; names have no blanks."""
+    return paged_text(sequences, width, F.lit("CLUSTAL W\n\n"), F.concat(F.replace("name", F.lit(" "), F.lit("_")), F.lit("  ")))
+
+
+def fin_text(sequences: DataFrame) -> DataFrame:
+    """file, value: a line for each taxon under ``label data``."""
+    rows = F.array_sort(F.collect_list(F.struct("taxon_idx", F.concat_ws(" ", F.replace("name", F.lit(" "), F.lit("_")), "seq").alias("l"))))
+    return sequences.groupBy("file").agg(F.concat(F.lit("label data\n"), F.array_join(F.transform(rows, lambda x: x["l"]), "\n"), F.lit("\n@\n")).alias("value"))
 
 
 def safe_names(taxa: DataFrame) -> DataFrame:
