@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codonloom.plans import character_queries, model_queries, sampling_queries, trace_queries, tree_queries
+from codonloom.plans import character_queries, format_queries, model_queries, sampling_queries, trace_queries, tree_queries
 
-MODULES = (character_queries, tree_queries, model_queries, trace_queries, sampling_queries)
+MODULES = (character_queries, tree_queries, model_queries, trace_queries, format_queries, sampling_queries)
 
 
 def queries() -> dict:

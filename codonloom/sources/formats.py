@@ -394,7 +394,9 @@ def newick_notes(trees: DataFrame) -> DataFrame:
     """(tree_id, newick) -> tree_id, label, key, value: the comments behind nodes, as
     ``[&key=value,..]`` or ``[&&NHX:key=value:..]``. label is the node's name."""
     found = F.regexp_extract_all("newick", F.lit(r"((?:'[^']*+(?:''[^']*+)*+'|[^\s(),:;\['\]]++)?(?::[^(),:;\['\]]*+)?\[&[^\]]*+\])"), 1)
-    rows = trees.select("tree_id", F.explode(found).alias("n")).select("tree_id", unquoted(F.regexp_extract("n", r"^('[^']*+(?:''[^']*+)*+'|[^:\[]*+)", 1)).alias("label"), F.regexp_extract("n", r"\[&([^\]]*)\]", 1).alias("c"))
+    label = F.regexp_extract("n", r"^('[^']*+(?:''[^']*+)*+'|[^:\[]*+)", 1)
+    label = F.when(label.startswith("'"), unquoted(label)).otherwise(label)
+    rows = trees.select("tree_id", F.explode(found).alias("n")).select("tree_id", label.alias("label"), F.regexp_extract("n", r"\[&([^\]]*)\]", 1).alias("c"))
     items = F.when(F.col("c").startswith("&NHX"), F.split(F.regexp_replace("c", "^&NHX:?", ""), ":")).otherwise(F.split("c", ","))
     pair = rows.select("tree_id", "label", F.explode(items).alias("p")).filter(F.contains(F.col("p"), F.lit("=")))
     return pair.select("tree_id", "label", F.substring_index("p", "=", 1).alias("key"), F.regexp_replace("p", "^[^=]*=", "").alias("value"))
@@ -436,7 +438,8 @@ def nexus_unaligned(commands: DataFrame) -> DataFrame:
 def nexus_associations(commands: DataFrame) -> DataFrame:
     """file, a, b: every pair of taxa that a TAXAASSOCIATION block links."""
     rows = commands.filter("block = 'TAXAASSOCIATION' AND command = 'ASSOCIATES'").select("file", F.explode(F.regexp_extract_all("body", F.lit(_ITEM), 1)).alias("r")).filter(F.col("r").contains("/"))
-    side = [F.regexp_extract_all(F.regexp_replace("r", cut, ""), F.lit(TOKEN), 1) for cut in ("/(?=(?:[^']*'[^']*')*[^']*$).*", "^.*/(?=(?:[^']*'[^']*')*[^']*$)")]
+    half = r"((?:[^/']++|'[^']*+')*+)"
+    side = [F.regexp_extract_all(F.regexp_extract("r", f"^{half}/{half}", k), F.lit(TOKEN), 1) for k in (1, 2)]
     return rows.select("file", F.explode(side[0]).alias("_a"), side[1].alias("_bs")).select("file", "_a", F.explode("_bs").alias("_b")).select("file", unquoted(F.col("_a")).alias("a"), unquoted(F.col("_b")).alias("b"))
 
 

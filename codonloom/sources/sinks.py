@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 
 def fixed(c: str) -> Column:
-    """Six decimals, as trace files have them."""
-    return F.format_string("%.6f", F.col(c).cast("double")).alias(c)
+    """Six decimals, as trace files have them; null stays null."""
+    return F.when(F.col(c).isNotNull(), F.format_string("%.6f", F.col(c).cast("double"))).alias(c)
 
 
 def write_trace(trace: DataFrame, path: str) -> None:

@@ -118,3 +118,36 @@ def test_trace_table(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "pq")).count() == 12
     sites = t.select("iteration", "chain", F.lit("tip").alias("name"), F.lit(4).alias("site"), "value")
     assert sinks.cell_columns(sites, "name").select("param").first()[0] == "tip[4]"
+
+
+def test_large_files(spark, tmp_path):
+    """Matrices longer than a pattern may recurse, and FASTA read in many blocks."""
+    seq = "ACGT" * 50_000
+    p = put(tmp_path, "long.nex", f"#NEXUS\nBEGIN DATA;\nDIMENSIONS NCHAR={len(seq)};\nFORMAT DATATYPE=DNA;\nMATRIX\n'a''b' {seq}\nc\n{seq[:1000]}\n{seq[1000:]}\n;\nEND;\n")
+    assert rows(formats.nexus_matrix(formats.nexus_commands(spark, p)), "taxon_idx", "name", "seq") == [(0, "a'b", seq), (1, "c", seq)]
+    want = [(i, f"n{i} >x", "ACGT" * (i % 7)) for i in range(3000)]
+    p = put(tmp_path, "many.fa", "; no record\n" + "".join(f">{n}\n{s[:9]}\n{s[9:]}\n" for _, n, s in want))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        found = formats.read_fasta(spark, p)
+        assert formats.records(spark, p).select("block").distinct().count() > 5
+        assert rows(found, "taxon_idx", "name", "seq") == want
+        phylip = put(tmp_path, "many.phy", "900 12\n" + "".join(f"n{i:<9}ACGT\n\nACGT ACGT\n" for i in range(900)))
+        assert rows(formats.read_phylip(spark, phylip), "taxon_idx", "name", "seq") == [(i, f"n{i}", "ACGT" * 3) for i in range(900)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_format_names(spark, tmp_path):
+    p = put(tmp_path, "a.fa", ">a\nAC\n>b\nACGT\n")
+    assert rows(formats.read(spark, "aafasta", p), "name", "datatype") == [("a", "protein"), ("b", "protein")]
+    assert rows(formats.alignments(formats.read_fasta(spark, p)), "n_taxa", "n_char", "aligned") == [(2, 4, False)]
+    with pytest.raises(ValueError, match="format"):
+        formats.read(spark, "discretefasta", p)
+    listed = put(tmp_path, "list.txt", f"{p}\n\n{put(tmp_path, 'b.fa', '>c' + chr(10) + 'A')}\n")
+    assert rows(formats.read_listed(spark, "fasta", listed), "name", "seq") == [("a", "AC"), ("b", "ACGT"), ("c", "A")]
+    q = put(tmp_path, "q.tre", "[&U] ('a; b' , c [&x=1] ) ;\n(c,'it''s');")
+    assert rows(formats.read_newick(spark, q), "tree_id", "newick") == [(0, "[&U]('a; b',c[&x=1]);"), (1, "(c,'it''s');")]
+    notes = spark.createDataFrame([(0, "('a b'[&&NHX:S=x y:E=1.1]:1,c:2[&r=3,k={1}])d;")], "tree_id int, newick string")
+    assert rows(formats.newick_notes(notes), "label", "key", "value") == [("a b", "E", "1.1"), ("a b", "S", "x y"), ("c", "k", "{1}"), ("c", "r", "3")]
