@@ -7,8 +7,10 @@ forms are numpy arrays of at most a few hundred states, for the likelihood.
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -93,10 +95,34 @@ def dense_rates(kappa: float, omegas: np.ndarray, pi: np.ndarray, switching: flo
     return full
 
 
-def transition_matrices(q: np.ndarray, pi: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """exp(q v) for each length v; q is reversible under pi, so it is symmetrised."""
+def exponentials(q: np.ndarray, pi: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """lengths -> exp(q v) for each length v; q is reversible under pi, so it is
+    symmetrised, and decomposed once."""
     full = np.tile(pi, len(q) // len(pi)) / (len(q) // len(pi))
     root = np.sqrt(full)
     values, vectors = np.linalg.eigh(q * root[:, None] / root[None, :])
     left, right = vectors / root[:, None], vectors.T * root[None, :]
-    return np.maximum(np.einsum("ik,vk,kj->vij", left, np.exp(np.outer(lengths, values)), right, optimize=True), 0.0)
+    return lambda lengths: np.maximum(np.einsum("ik,vk,kj->vij", left, np.exp(np.outer(lengths, values)), right, optimize=True), 0.0)
+
+
+def transition_matrices(q: np.ndarray, pi: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """exp(q v) for each length v."""
+    return exponentials(q, pi)(lengths)
+
+
+def transition_probabilities(lengths: DataFrame, kappa: float, omegas: list[float], switching: float = 0.0) -> DataFrame:
+    """v, i, j, p = exp(Q v)[i, j] for every row's length v, uniform codon frequencies:
+    each task makes the matrices of its own lengths, one at a time, and decomposes the
+    rate matrix once. Null lengths give no rows."""
+    pi = np.full(SENSE, 1.0 / SENSE)
+    q = dense_rates(kappa, np.array(omegas), pi, switching)
+    n = len(q)
+
+    def matrices(batches):
+        i, j = np.repeat(np.arange(n, dtype=np.int32), n), np.tile(np.arange(n, dtype=np.int32), n)
+        exponential = exponentials(q, pi)
+        for batch in batches:
+            for v in batch["v"].dropna():
+                yield pd.DataFrame({"v": v, "i": i, "j": j, "p": exponential(np.array([v]))[0].ravel()})
+
+    return lengths.select(F.col("v").cast("double")).mapInPandas(matrices, "v double, i int, j int, p double")

@@ -38,12 +38,16 @@ def cumulative_omegas(spark, d):
 
 
 def transition_prob(spark, d):
-    import numpy as np
+    lengths = spark.createDataFrame([(0.1,), (0.3,)], "v double")
+    return sub.transition_probabilities(lengths, KAPPA, [OMEGA]).withColumn("p", F.round("p", 8))
 
-    pi = np.full(SENSE, 1.0 / SENSE)
-    p = sub.transition_matrices(sub.dense_rates(KAPPA, np.array([OMEGA]), pi), pi, np.array([0.1, 0.3]))
-    rows = [(v, i, j, float(p[k, i, j])) for k, v in enumerate((0.1, 0.3)) for i in range(SENSE) for j in range(SENSE)]
-    return spark.createDataFrame(rows, "v double, i int, j int, p double").withColumn("p", F.round("p", 8))
+
+def branch_transition_prob(spark, d):
+    """Staying and moving away on every branch of the tree, by codon at its start."""
+    branches = tree_nodes(spark, d).filter("parent_idx IS NOT NULL").select("node_idx", F.round("branch_len", 6).alias("v"))
+    p = sub.transition_probabilities(branches.select("v").distinct(), KAPPA, [OMEGA])
+    stay = p.groupBy("v", "i").agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("p"))).alias("stay"), F.max(F.when(F.col("i") != F.col("j"), F.col("p"))).alias("likeliest_move"))
+    return branches.join(stay, "v").select("node_idx", "i", F.round("stay", 8).alias("stay"), F.round("likeliest_move", 8).alias("likeliest_move"))
 
 
 def site_log_likelihood(spark, d):
@@ -120,7 +124,7 @@ def distribution_values(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        q_matrix_m0, q_matrix_cmm, stationary_tiled, dnds_raw, cumulative_omegas, transition_prob, site_log_likelihood, total_log_likelihood,
+        q_matrix_m0, q_matrix_cmm, stationary_tiled, dnds_raw, cumulative_omegas, transition_prob, branch_transition_prob, site_log_likelihood, total_log_likelihood,
         site_log_likelihood_cmm, log_prior_m0, crp_alpha_expected, crp_alpha_solved, category_sizes, crp_log_prior, site_category_omegas, gibbs_weights,
         distribution_values,
     )
@@ -151,6 +155,8 @@ pw AS (SELECT 0 k, state i, state j, CAST(1.0 AS DOUBLE) p FROM codons
   UNION ALL SELECT pw.k + 1, pw.i, u.j, sum(pw.p * u.r) FROM pw JOIN u ON pw.j = u.i WHERE pw.k < 24 GROUP BY pw.k + 1, pw.i, u.j)"""
 _P = """,
 pv AS (SELECT b.v, pw.i, pw.j, sum(exp(-mu.m * b.v + pw.k * ln(mu.m * b.v) - lgamma(pw.k + 1)) * pw.p) p FROM pw, mu, vs b GROUP BY b.v, pw.i, pw.j)"""
+_STATES = """,
+states AS (SELECT CAST(61*regime + state AS INT) state FROM codons, om)"""
 _LIK = """,
 vs AS (SELECT DISTINCT branch_len v FROM tree_nodes WHERE parent_idx IS NOT NULL)""" + _P + """,
 tipl AS (SELECT c.site, t.parent_idx region, pv.i, exp(sum(ln(pv.p))) l FROM codon_cells c JOIN tree_nodes t ON t.node_idx = c.taxon_idx AND t.is_tip
@@ -160,6 +166,14 @@ full_ AS (SELECT s.site, r.node_idx region, r.branch_len v, c.state i, coalesce(
 regl AS (SELECT f.site, f.region, pv.i, sum(pv.p * f.l) l FROM full_ f JOIN pv ON pv.v = f.v AND pv.j = f.i GROUP BY f.site, f.region, pv.i),
 rootl AS (SELECT site, i, exp(sum(ln(l))) l FROM regl GROUP BY site, i),
 lnl AS (SELECT site, ln(sum(l) / 61) site_lnl FROM rootl GROUP BY site)"""
+# The same over three regimes: a codon may be in any of them.
+_POWERS_CMM = _STATES + _POWERS.replace("FROM codons", "FROM states")
+_LIK_CMM = (
+    _LIK.replace("""tipl AS (""", """tp AS (SELECT v, i, j % 61 j, sum(p) p FROM pv GROUP BY v, i, j % 61),
+tipl AS (""", 1).replace("exp(sum(ln(pv.p))) l FROM codon_cells", "exp(sum(ln(tp.p))) l FROM codon_cells").replace("JOIN pv ON pv.v = t.branch_len AND pv.j = c.state WHERE", "JOIN tp ON tp.v = t.branch_len AND tp.j = c.state WHERE")
+    .replace("c.site, t.parent_idx region, pv.i", "c.site, t.parent_idx region, tp.i").replace("GROUP BY c.site, t.parent_idx, pv.i)", "GROUP BY c.site, t.parent_idx, tp.i)")
+    .replace("CROSS JOIN codons c", "CROSS JOIN states c").replace("ln(sum(l) / 61)", "ln(sum(l) / 183)")
+)
 _RATES = with_sql("codons", "codon_pairs")
 
 SQL = {
@@ -174,6 +188,11 @@ SQL = {
     "transition_prob": _RATES + _M0 + _POWERS + f", vs(v) AS (VALUES ({_D('0.1')}), ({_D('0.3')}))" + _P + " SELECT v, i, j, round(p, 8) p FROM pv",
     "site_log_likelihood": with_sql("codons", "codon_pairs", "codon_cells", "tree_nodes") + _M0 + _POWERS + _LIK + " SELECT site, round(site_lnl, 6) site_lnl FROM lnl",
     "total_log_likelihood": with_sql("codons", "codon_pairs", "codon_cells", "tree_nodes") + _M0 + _POWERS + _LIK + " SELECT round(sum(site_lnl), 4) lnl, count(*) n_sites FROM lnl",
+    "branch_transition_prob": with_sql("codons", "codon_pairs", "tree_nodes") + _M0 + _POWERS + """,
+      vs AS (SELECT DISTINCT round(branch_len, 6) v FROM tree_nodes WHERE parent_idx IS NOT NULL)""" + _P + """,
+      st AS (SELECT v, i, sum(p) FILTER (WHERE i = j) stay, max(p) FILTER (WHERE i <> j) likeliest_move FROM pv GROUP BY v, i)
+      SELECT node_idx, i, round(stay, 8) stay, round(likeliest_move, 8) likeliest_move FROM tree_nodes t JOIN st ON st.v = round(t.branch_len, 6) WHERE t.parent_idx IS NOT NULL""",
+    "site_log_likelihood_cmm": with_sql("codons", "codon_pairs", "codon_cells", "tree_nodes") + _CMM + _POWERS_CMM + _LIK_CMM + " SELECT site, round(site_lnl, 6) site_lnl FROM lnl",
     "log_prior_m0": f"""
       WITH x AS (SELECT event_id, abs(value) / 100 + {_D("0.01")} k, abs(value) / 300 + {_D("0.01")} w, abs(value) / 10 + 1 t FROM events)
       SELECT event_id, round(2 * ln(5.0) - 5 * k - 5 * w + {_D("12.25")} * ln({_D("0.35")}) - lgamma({_D("12.25")}) + {_D("11.25")} * ln(t) - {_D("0.35")} * t
