@@ -19,6 +19,9 @@ MODULES = {
     "op8_suffix_dedup": "suffix_dedup",
     "op9_pii": "pii",
     "op10_exact_dedup": "exact_dedup",
+    "op11_quality_rules": "quality_rules",
+    "op12_conversation_repair": "conversation_repair",
+    "op13_conversation_trie": "conversation_trie",
 }
 
 
