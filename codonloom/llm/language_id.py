@@ -13,14 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codonloom.llm.common import cut, table
+from codonloom.llm.common import cut, small, stable, table, with_row_id
 
 #: Hashed n-gram features of 1 to 3 characters.
 FEATURE_BITS = 14
 #: Expected training texts of a language; more are thinned by a seeded hash.
 PER_LANGUAGE = 400
-#: Languages that are learned: those of most labelled texts. Rows of others train nothing.
-MOST_LANGUAGES = 4096
 #: Languages whose counts a training task holds at once.
 HELD = 256
 SMOOTH = 0.5
@@ -58,14 +56,22 @@ def codewords(n: int, seed: int = SEED) -> np.ndarray:
     for _ in range(50 if n < 256 else 5):
         code = rng.choice(np.array([1, -1], dtype=np.int8), size=(n, bits))
         code = code[:, np.abs(code.sum(axis=0)) < n]
-        same = code.astype(np.float32) @ code.astype(np.float32).T  # agreements less differences
-        np.fill_diagonal(same, -code.shape[1])
-        apart = (code.shape[1] - int(same.max())) // 2
+        apart = (code.shape[1] - most_alike(code)) // 2
         if apart > far:
             best, far = code, apart
     return best
 
 
+def most_alike(code: np.ndarray, rows: int = 1024) -> int:
+    """Agreements less differences of the two codewords closest to each other."""
+    wide, most = code.astype(np.float32), -code.shape[1]
+    for at in range(0, len(wide), rows):
+        same = wide[at : at + rows] @ wide.T
+        same[np.arange(len(same)), at + np.arange(len(same))] = -code.shape[1]
+        most = max(most, int(same.max()))
+    return most
+
+
 @dataclass(frozen=True)
 class Model:
     langs: tuple[str, ...]
@@ -139,23 +145,24 @@ def held_out(docs: DataFrame, id_col: str = "doc_id"):
     return F.coalesce(F.crc32(docs[id_col].cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, seed: int = SEED, languages: int = MOST_LANGUAGES) -> Model:
-    """Fit on rows (id, text, lang) of the ``languages`` languages with most texts (ties
-    by code point). At most about per_language texts of each are used, whole, chosen
-    by a hash of the id. The driver receives a row for each language, and for each
-    feature the weights of its bits; counts are summed and weighed on executors."""
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, seed: int = SEED) -> Model:
+    """Fit on rows (id, text, lang), for every language that has a text. At most about
+    per_language texts of each are used, whole, chosen by a hash of ``id``, which should
+    tell rows apart. The driver receives a row for each language, and for each feature
+    the weights of its bits; counts are summed and weighed on executors."""
     known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(languages).collect()
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a language
     if not sizes:
         return Model((), np.zeros((0, 0)), np.zeros((0, 0)))
     langs = tuple(sorted(r["lang"] for r in sizes))
     number = {lang: i for i, lang in enumerate(langs)}
-    shares = labelled.sparkSession.createDataFrame([(r["lang"], number[r["lang"]], per_language / r["n"]) for r in sizes], "lang string, _l int, _share double")
+    rows = [(r["lang"], number[r["lang"]], per_language / r["n"]) for r in sizes]
+    shares = small(labelled.sparkSession.createDataFrame(rows, "lang string, _l int, _share double"), len(rows))
     draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)
-    chosen = known.join(F.broadcast(shares), "lang").filter(draw < F.col("_share"))  # at most ``languages`` rows
+    chosen = known.join(shares, "lang").filter(draw < F.col("_share"))
     grams = cut(chosen.select("_l", "text").mapInArrow(count_grams, "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     totals = np.full(len(langs), SMOOTH * (1 << FEATURE_BITS))
-    for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect():  # at most ``languages`` rows
+    for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect():  # a row a language
         totals[r["lang"]] += r["n"]
     code = codewords(len(langs), seed)
     by_gram = grams.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("counts"))
@@ -177,7 +184,11 @@ def identifier(model: Model):
 
 
 def trained_on(docs: DataFrame) -> Model:
-    return fit(docs.filter(~held_out(docs)).select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
+    """Learn from the rows outside the held-out fold. They are drawn by their place in
+    the table, so rows of one id, or without one, are drawn like others."""
+    docs = stable(docs.select("doc_id", "text", "lang"))
+    rows = with_row_id(docs).filter(~held_out(docs))
+    return fit(rows.select(F.col("_rid").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
 
 
 def label_documents(docs: DataFrame) -> DataFrame:

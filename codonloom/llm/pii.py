@@ -109,7 +109,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
             if i >= ip_at:
                 if m := _IP.match(text, i):
                     ip_at = m.end()
-                    if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.groups()):
+                    if all(len(x) <= 3 and int(x or 0) <= 255 for x in (part.lstrip("0") for part in m.groups())):
                         spans.append(("ip", i, ip_at))
                 else:
                     ip_at = _DIGITS.match(text, i).end()
@@ -159,8 +159,10 @@ def scan_text(texts: pd.Series) -> pd.DataFrame:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs with its spans; no shuffle.
 
-    Null text: as empty; empty texts have no spans. Repeated rows: each on its own.
-    Empty table: empty result. Long texts: whole, in time linear in their length.
+    Null text: as empty; empty texts have no spans. Repeated rows and null ids: each row
+    on its own. Ties: spans of different kinds may overlap or be equal, and all stay.
+    Empty table: empty result. Long texts and runs of digits: whole, in time linear in
+    their length. Other columns: not read, so their names don't matter.
     Kinds beyond the base four (account, iban, secret, login) only add spans.
     """
     scanned = F.pandas_udf(scan_text, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

@@ -23,6 +23,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789./-_"
 OTHER, START = "¤", "¦"
 ORDER = 3
+#: Characters of a string that are taken apart in one row.
+STRIP = 256
 #: Grams are at most this many, whatever the input: the alphabet, other and start, to the power of order + 1.
 MOST_GRAMS = (len(ALPHABET) + 2) ** (ORDER + 1)
 #: One more than the most grams (about 100 bytes each in memory) that are broadcast; more are shuffled.
@@ -51,15 +53,17 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
 def grams_of(strings: DataFrame, keep: list[str]) -> DataFrame:
     """A row (keep, gram) for each character of ``s``: the gram is the character with
     the ORDER before it, padded at the start, over the reduced alphabet; A-Z count as
-    a-z."""
+    a-z. A string is first cut into strips that overlap by ORDER characters, so no row
+    holds more than a strip and the work is linear in a string's length."""
     reduced = F.regexp_replace(F.translate("s", UPPER, LOWER), f"[^{ALPHABET.replace('-', chr(92) + '-')}]", OTHER)
-    padded = F.concat(F.lit(START * ORDER), reduced)
-    at = F.explode(F.sequence(F.lit(1), F.length("_padded") - ORDER))
+    parts = F.regexp_extract_all(reduced, F.lit(f"(?s).{{1,{STRIP}}}"), F.lit(0))
+    before = F.concat(F.array(F.lit(START * ORDER)), F.transform("_parts", lambda x: F.right(F.concat(F.lit(START * ORDER), x), F.lit(ORDER))))
+    strips = F.zip_with(F.slice(before, F.lit(1), F.size("_parts")), "_parts", F.concat)
     return (
-        strings.withColumn("_padded", padded)
-        .filter(F.length("_padded") > ORDER)
-        .select(*keep, "_padded", at.alias("_at"))
-        .select(*keep, F.expr(f"substring(_padded, _at, {ORDER + 1})").alias("gram"))
+        strings.select(*keep, parts.alias("_parts"))
+        .select(*keep, F.explode(strips).alias("_strip"))
+        .select(*keep, "_strip", F.explode(F.sequence(F.lit(1), F.length("_strip") - ORDER)).alias("_at"))
+        .select(*keep, F.expr(f"substring(_strip, _at, {ORDER + 1})").alias("gram"))
     )
 
 
@@ -93,9 +97,9 @@ def log_ratios(labelled: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def mean_ratio(strings: DataFrame, ratios: DataFrame) -> DataFrame:
-    """(s, llr): the log-likelihood difference of each s, per character."""
-    scored = grams_of(strings.select("s"), ["s"]).join(ratios, "gram")
-    return scored.groupBy("s").agg(F.avg("llr").alias("llr"))
+    """(k, llr): the log-likelihood difference of each string, per character."""
+    scored = grams_of(strings.select("k", "s"), ["k"]).join(ratios, "gram")
+    return scored.groupBy("k").agg(F.avg("llr").alias("llr"))
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
@@ -117,23 +121,26 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("_url"))
     base = base.select("page_id", host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"))
     rule, says = matching_rule(F.col("host"), F.col("path"), rules)
-    base = base.select("page_id", "host", "path", rule.alias("rule"), says.alias("_says"), F.concat("host", "path").alias("s"))
-    distinct = cut(base.groupBy("s").agg(F.first("_says", ignorenulls=True).alias("_says")))
-    ruled = distinct.filter(F.col("_says").isNotNull()).select("s", (F.col("_says") == "allow").alias("accepted"), (F.xxhash64("s") % 2 == 0).alias("half"))
+    whole = F.concat("host", "path")
+    # 128 bits stand for a string in groupings and joins.
+    base = base.select("page_id", "host", "path", rule.alias("rule"), says.alias("_says"), whole.alias("s"), F.unhex(F.md5(whole)).alias("k"))
+    distinct = cut(base.groupBy("k").agg(F.first("s").alias("s"), F.first("_says", ignorenulls=True).alias("_says")))
+    base = base.drop("s")
+    ruled = distinct.filter(F.col("_says").isNotNull()).select("k", "s", (F.col("_says") == "allow").alias("accepted"), (F.xxhash64("s") % 2 == 0).alias("half"))
     counted = cut(grams_of(ruled.filter("half"), ["accepted"]).groupBy("gram", "accepted").agg(F.count(F.lit(1)).alias("n")), MOST_GRAMS)
-    scores, threshold = distinct.select("s", F.lit(None).cast("double").alias("llr")).filter("false"), 0.0
+    scores, threshold = distinct.select("k", F.lit(None).cast("double").alias("llr")).filter("false"), 0.0
     if counted.select("accepted").distinct().count() == 2:
         grams = grams_of(distinct, []).groupBy("gram").agg(F.count(F.lit(1)).alias("times"))
         ratios = cut(log_ratios(counted, grams), MOST_GRAMS)
         ratios = small(ratios, ratios.count(), BROADCAST_GRAMS)
-        shown = mean_ratio(ruled.filter("not half"), ratios).join(ruled, "s")
+        shown = mean_ratio(ruled.filter("not half"), ratios).join(ruled, "k")
         stats = {r["accepted"]: r for r in shown.groupBy("accepted").agg(F.avg("llr").alias("m"), F.coalesce(F.stddev("llr"), F.lit(0.0)).alias("d")).collect()}
         if len(stats) == 2:
             a, b = stats[True], stats[False]
             spread = a["d"] + b["d"]
             threshold = (a["m"] * b["d"] + b["m"] * a["d"]) / spread if spread > 0 else (a["m"] + b["m"]) / 2
             scores = mean_ratio(distinct, ratios)
-    judged = base.join(scores, "s", "left")
+    judged = base.join(scores, "k", "left")
     verdict = F.coalesce("_says", F.when(F.col("llr") < threshold, F.lit("block")).otherwise(F.lit("allow")))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "llr")
 

@@ -13,6 +13,8 @@ TEXTS = [
     "x" * 300_000,
     "word " * 60_000,
     "Ünïcödé 日本語 text ¤ ¦ with 😀 emoji",
+    "at 1.2.3." + "0" * 5000 + "1, " + "0" * 5000 + ".0.0.255 and +1 " + "9" * 20_000,
+    "http://a.example.net/" + "es/" * 20_000,
     "mail a.b+c@d-e.co.uk, or x@y, 10.0.0.255 and 1.2.3.256; +1 (509) 555-6973",
 ]
 

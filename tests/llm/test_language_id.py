@@ -6,6 +6,7 @@ from collections import Counter
 
 import cases
 import numpy as np
+from pyspark.sql import functions as F
 
 from codonloom.llm.language_id import AMBIGUOUS, FEATURE_BITS, SHARPNESS, Model, codewords, features, fit, identified_documents, label_documents, query
 
@@ -77,8 +78,16 @@ def test_many_languages(spark):
     assert len(model.langs) == 2001 and peak < 300 << 20, peak
     right = sum(model.predict(text)[0] == lang for _, text, lang in rows[::40])
     assert right > 0.1 * len(rows[::40])  # chance: 0.0005; bits over a thousand languages each are weak
-    few = fit(docs, languages=2000)
-    assert len(few.langs) == 2000 and "rare" not in few.langs
+    assert "rare" in model.langs  # each has a codeword, however many there are
+
+
+def test_rows_without_an_id_or_with_one_id(spark):
+    """They are drawn for training as rows with ids are."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("lang IS NOT NULL")
+    for some in (None, 2):
+        got = label_documents(docs.withColumn("doc_id", F.lit(some).cast("long"))).groupBy("lang_pred").count().collect()
+        want = dict(docs.groupBy("lang").count().collect())
+        assert all(abs(r["count"] - want.get(r.lang_pred, 0)) < 0.1 * sum(want.values()) for r in got) and {r.lang_pred for r in got} >= set(want)
 
 
 def test_no_labels(spark):

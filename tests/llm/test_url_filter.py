@@ -3,7 +3,9 @@ import re
 import statistics
 from collections import Counter
 
-from codonloom.llm.url_filter import ALPHABET, ORDER, OTHER, RULES, START, filter_urls, log_ratios, query
+from pyspark.sql import functions as F
+
+from codonloom.llm.url_filter import ALPHABET, ORDER, OTHER, RULES, START, filter_urls, grams_of, log_ratios, query
 
 
 def parts(url):
@@ -102,3 +104,13 @@ def test_learns_and_handles_awkward_urls(spark):
     assert filter_urls(df).count() == len(rows)
     assert filter_urls(df.filter("false")).count() == 0
     assert OTHER not in ALPHABET and START not in ALPHABET
+
+
+def test_one_very_long_url(spark):
+    """Its grams are taken strip by strip: all of them, and no row holds more than a strip."""
+    text = "ab" + "cd/" * 400_000 + "é"
+    rows = grams_of(spark.createDataFrame([(text, 1), ("x", 2), ("", 3)], "s string, k int"), ["k"])
+    got = {(r.k, r.gram): r.n for r in rows.groupBy("k", "gram").agg(F.count("*").alias("n")).collect()}
+    padded = START * ORDER + text.replace("é", OTHER)
+    want = Counter((1, padded[i : i + ORDER + 1]) for i in range(len(text)))
+    assert got == {**want, (2, START * ORDER + "x"): 1}
