@@ -58,7 +58,7 @@ def grams_of(strings: DataFrame, keep: list[str]) -> DataFrame:
     reduced = F.regexp_replace(F.translate("s", UPPER, LOWER), f"[^{ALPHABET.replace('-', chr(92) + '-')}]", OTHER)
     parts = F.regexp_extract_all(reduced, F.lit(f"(?s).{{1,{STRIP}}}"), F.lit(0))
     before = F.concat(F.array(F.lit(START * ORDER)), F.transform("_parts", lambda x: F.right(F.concat(F.lit(START * ORDER), x), F.lit(ORDER))))
-    strips = F.zip_with(F.slice(before, F.lit(1), F.size("_parts")), "_parts", F.concat)
+    strips = F.zip_with(F.slice(before, F.lit(1), F.size("_parts")), "_parts", lambda a, b: F.concat(a, b))
     return (
         strings.select(*keep, parts.alias("_parts"))
         .select(*keep, F.explode(strips).alias("_strip"))
