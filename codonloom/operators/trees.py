@@ -1,8 +1,11 @@
 """Operators on tables of trees: (tree_id, node_idx, parent_idx, name, is_tip, branch_len).
 
 Many trees are one table; every operator works on all of them at once, keyed by
-tree_id, whatever their number, depth and tips. Traversal is pointer doubling, joins
-and windows, never a driver loop over nodes. Sets of tips are sorted arrays.
+tree_id, whatever their number, depth and tips. Traversal is the ranking of each tree's
+Euler tour by pointer jumping, never a driver loop over nodes: a subtree is a range of
+places, the tips below a node a range of tips, and what a query asks of them are sums
+and least values over ranges. Sets of tips become sorted arrays only where a result
+shows them.
 """
 
 from __future__ import annotations
@@ -10,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codonloom.operators.lineage import cut
+from codonloom.functions.comments import command_pieces
+from codonloom.operators.lineage import cut, small
+from codonloom.operators.ordered import best_of_range, range_table
 
 
 def closure(trees: DataFrame) -> DataFrame:
@@ -35,37 +40,137 @@ def closure(trees: DataFrame) -> DataFrame:
     return reach
 
 
-def traversal(trees: DataFrame) -> DataFrame:
-    """Adds depth, pre_order and post_order, children by node number. The path from
-    the root sorts before a node's descendants; with an end mark, after them."""
-    steps = F.array_sort(F.collect_list(F.struct(F.col("hops").alias("h"), F.lpad(F.col("anc").cast("string"), 9, "0").alias("n"))))
-    path = closure(trees).groupBy("tree_id", F.col("desc").alias("node_idx")).agg(
-        F.max("hops").alias("depth"), F.array_join(F.transform(F.reverse(steps), lambda s: s["n"]), "/").alias("_path")
+#: Suffix sums that the ranking of a tour carries: edges gone down and up, tips, length.
+_SUMS = ("_down", "_up", "_tips", "_len")
+#: Exclusive ors that it carries: 128 random bits of each tip.
+_BITS = ("_bit1", "_bit2")
+
+
+def ranked_tour(trees: DataFrame) -> DataFrame:
+    """tree_id, at, and the sums from there to the end of the tree's Euler tour. Going down
+    to node v is step 2v, leaving it 2v + 1; after a step comes the first child, the next
+    sibling or the parent. Each round of pointer jumping doubles the steps that a row's
+    sums cover, so a tour of n steps takes log2(n) rounds of one join on n rows."""
+    own = trees.select("tree_id", F.col("node_idx").cast("long").alias("node"), F.col("parent_idx").cast("long").alias("up"), "is_tip", F.coalesce(F.col("branch_len").cast("double"), F.lit(0.0)).alias("len"))
+    siblings = Window.partitionBy("tree_id", "up").orderBy("node")
+    own = own.withColumns({"_next": F.lead("node").over(siblings), "_nth": F.row_number().over(siblings)})
+    first = own.filter("up IS NOT NULL AND _nth = 1").select("tree_id", F.col("up").alias("node"), F.col("node").alias("_child"))
+    node, up, tip = F.col("node"), F.col("up"), F.col("is_tip").cast("long")
+    bits = [F.when(F.col("is_tip"), F.xxhash64(F.lit(i), "node")).otherwise(F.lit(0)).cast("long").alias(b) for i, b in enumerate(_BITS)]
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    after = F.when(up.isNotNull(), F.coalesce(2 * F.col("_next"), 2 * up + 1))
+    steps = F.array(
+        F.struct((2 * node).alias("at"), F.coalesce(2 * F.col("_child"), 2 * node + 1).alias("next"), *[c.alias(n) for c, n in zip((one, zero, tip, F.col("len")), _SUMS)], *bits),
+        F.struct((2 * node + 1).alias("at"), after.alias("next"), *[c.alias(n) for c, n in zip((zero, one, zero, -F.col("len")), _SUMS)], *[zero.alias(b) for b in _BITS]),
     )
-    pre, post = (Window.partitionBy("tree_id").orderBy(k) for k in (F.col("_path"), F.concat("_path", F.lit("~"))))
-    order = path.select("tree_id", "node_idx", "depth", (F.row_number().over(pre) - 1).alias("pre_order"), (F.row_number().over(post) - 1).alias("post_order"))
-    return trees.join(order, ["tree_id", "node_idx"])
+    now = cut(own.join(first, ["tree_id", "node"], "left").select("tree_id", F.explode(steps).alias("s")).select("tree_id", "s.*"))
+    n, left = now.agg(F.count(F.lit(1)), F.count_if(F.col("next").isNotNull())).first()
+    reach = 1
+    while left:
+        if reach > n:
+            raise ValueError("a node is its own ancestor")
+        far = now.select("tree_id", F.col("at").alias("next"), F.col("next").alias("_next"), *[F.col(c).alias(f"{c}_") for c in (*_SUMS, *_BITS)])
+        sums = [(F.col(c) + F.coalesce(F.col(f"{c}_"), F.lit(0))).alias(c) for c in _SUMS]
+        bits = [F.col(c).bitwiseXOR(F.coalesce(F.col(f"{c}_"), F.lit(0))).alias(c) for c in _BITS]
+        now = cut(now.join(far, ["tree_id", "next"], "left").select("tree_id", "at", F.col("_next").alias("next"), *sums, *bits))
+        left, reach = now.filter("next IS NOT NULL").count(), reach * 2
+    return now
+
+
+def tour(trees: DataFrame) -> DataFrame:
+    """tree_id, node_idx, parent_idx, is_tip, branch_len and each node's place: depth,
+    pre_order, post_order, size (nodes of its subtree), dist (length from the root), the
+    tips below as a range of the tree's tips in pre-order (first_tip, n_tips) and the
+    exclusive or of their random words (print1, print2), the tree's own n_tree, print1
+    and print2 as all_tips, all1 and all2. Children come by node number."""
+    steps = ranked_tour(trees).withColumns({"node_idx": F.floor(F.col("at") / 2), "_in": F.col("at") % 2 == 0})
+    carried = (*_SUMS, *_BITS)
+    node = steps.groupBy("tree_id", "node_idx").agg(*[F.max(F.when(F.col("_in"), F.col(c))).alias(f"{c}_in") for c in carried], *[F.max(F.when(~F.col("_in"), F.col(c))).alias(f"{c}_out") for c in carried])
+    roots = trees.filter("parent_idx IS NULL").select("tree_id", F.col("node_idx").cast("long").alias("node_idx"))
+    whole = node.join(roots, ["tree_id", "node_idx"]).select("tree_id", F.col("_down_in").alias("_n"), F.col("_tips_in").alias("all_tips"), F.col("_bit1_in").alias("all1"), F.col("_bit2_in").alias("all2"))
+    placed = node.join(whole, "tree_id").select(
+        "tree_id", F.col("node_idx").cast(trees.schema["node_idx"].dataType).alias("node_idx"),
+        (F.col("_up_in") - F.col("_down_in")).cast("int").alias("depth"), (F.col("_n") - F.col("_down_in")).cast("int").alias("pre_order"),
+        (F.col("_n") - F.col("_up_out")).cast("int").alias("post_order"), (F.col("_down_in") - F.col("_down_out")).alias("size"),
+        (F.col("all_tips") - F.col("_tips_in")).alias("first_tip"), (F.col("_tips_in") - F.col("_tips_out")).alias("n_tips"), F.col("_len_in").alias("_ahead"),
+        F.col("_bit1_in").bitwiseXOR(F.col("_bit1_out")).alias("print1"), F.col("_bit2_in").bitwiseXOR(F.col("_bit2_out")).alias("print2"), "all_tips", "all1", "all2",
+    )
+    own = trees.select("tree_id", "node_idx", "parent_idx", "is_tip", F.coalesce(F.col("branch_len").cast("double"), F.lit(0.0)).alias("branch_len"))
+    return cut(own.join(placed, ["tree_id", "node_idx"]).withColumn("dist", F.col("branch_len") - F.col("_ahead")).drop("_ahead"))
+
+
+def traversal(trees: DataFrame) -> DataFrame:
+    """Adds depth, pre_order and post_order, children by node number."""
+    return trees.join(tour(trees).select("tree_id", "node_idx", "depth", "pre_order", "post_order"), ["tree_id", "node_idx"])
+
+
+def tip_places(placed: DataFrame) -> DataFrame:
+    """tree_id, k, tip: the tips by their place among the tree's tips."""
+    return placed.filter("is_tip").select("tree_id", F.col("first_tip").alias("k"), F.col("node_idx").alias("tip"))
+
+
+def listed(nodes: DataFrame, placed: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, tree_id, first_tip, n_tips) to (keys, tips): the tips of each range, ascending."""
+    each = nodes.select(*keys, "tree_id", F.explode(F.sequence("first_tip", F.col("first_tip") + F.col("n_tips") - 1)).alias("k"))
+    return each.join(tip_places(placed), ["tree_id", "k"]).groupBy(*keys).agg(F.array_sort(F.collect_list("tip")).alias("tips"))
+
+
+def heights(placed: DataFrame) -> DataFrame:
+    """tree_id, node_idx, height: the longest way down to a tip, for nodes with tips below."""
+    cells = placed.filter("is_tip").select("tree_id", F.col("first_tip").alias("k"), F.col("dist").alias("v"))
+    asked = placed.filter("n_tips > 0").select("tree_id", "node_idx", "dist", F.col("first_tip").alias("lo"), (F.col("first_tip") + F.col("n_tips") - 1).alias("hi"))
+    most = best_of_range(asked, range_table(cells, ["tree_id"], F.greatest), ["tree_id"], F.greatest)
+    return most.select("tree_id", "node_idx", (F.col("v") - F.col("dist")).alias("height"))
 
 
 def tips_below(trees: DataFrame) -> DataFrame:
     """tree_id, node_idx, tips, n_tips, height: the tips below each node in ascending
     order, and the longest way down to one."""
-    tips = trees.filter("is_tip").select("tree_id", F.col("node_idx").alias("desc"))
-    return closure(trees).join(tips, ["tree_id", "desc"]).groupBy("tree_id", F.col("anc").alias("node_idx")).agg(
-        F.array_sort(F.collect_list("desc")).alias("tips"), F.count(F.lit(1)).alias("n_tips"), F.max("dist").alias("height")
-    )
+    placed = tour(trees)
+    keys = ["tree_id", "node_idx"]
+    lists = listed(placed.filter("n_tips > 0"), placed, keys)
+    return lists.join(placed.select(*keys, "n_tips"), keys).join(heights(placed), keys).select(*keys, "tips", "n_tips", "height")
+
+
+def paths(trees: DataFrame) -> DataFrame:
+    """tree_id, tip_a, tip_b, mrca, edges, to_a, to_b: for each two tips their most recent
+    common ancestor, and the lengths from it to either.
+
+    It is the shallowest of the common ancestors of neighbouring tips between the two,
+    so two rows of a range table tell it. Two neighbours' own is the parent of the
+    shallowest node, not a first child, that begins with the second."""
+    placed = tour(trees)
+    up = placed.select("tree_id", F.col("node_idx").alias("parent_idx"), F.struct(F.col("depth").alias("depth"), F.col("node_idx").alias("node"), F.col("dist").alias("dist")).alias("v"))
+    starts = placed.filter("first_tip > 0 AND n_tips > 0").select("tree_id", "parent_idx", F.col("first_tip").alias("k"))
+    between = starts.join(up, ["tree_id", "parent_idx"]).groupBy("tree_id", "k").agg(F.min("v").alias("v"))
+    tips = placed.filter("is_tip").select("tree_id", "node_idx", "first_tip", "depth", "dist")
+    a, b = (tips.select("tree_id", *[F.col(c).alias(f"_{c}_{x}") for c in tips.columns[1:]]) for x in "ab")
+    pairs = a.join(b, "tree_id").filter("_node_idx_a < _node_idx_b").withColumns({"lo": F.least("_first_tip_a", "_first_tip_b") + 1, "hi": F.greatest("_first_tip_a", "_first_tip_b")})
+    table = cut(range_table(between, ["tree_id"], F.least))
+    found = best_of_range(pairs, small(table), ["tree_id"], F.least)
+    return found.select(
+        "tree_id", F.col("_node_idx_a").alias("tip_a"), F.col("_node_idx_b").alias("tip_b"), F.col("v.node").alias("mrca"), (F.col("_depth_a") + F.col("_depth_b") - 2 * F.col("v.depth")).alias("edges"),
+        (F.col("_dist_a") - F.col("v.dist")).alias("to_a"), (F.col("_dist_b") - F.col("v.dist")).alias("to_b"),
+    )
 
 
 def patristic(trees: DataFrame) -> DataFrame:
     """tree_id, tip_a, tip_b, mrca, edges, dist: for each two tips their path by way of
     the most recent common ancestor."""
-    tips = trees.filter("is_tip").select("tree_id", F.col("node_idx").alias("desc"))
-    up = closure(trees).join(tips, ["tree_id", "desc"])
-    a = up.select("tree_id", "anc", F.col("desc").alias("tip_a"), F.col("hops").alias("_ha"), F.col("dist").alias("_da"))
-    b = up.select("tree_id", "anc", F.col("desc").alias("tip_b"), F.col("hops").alias("_hb"), F.col("dist").alias("_db"))
-    both = a.join(b, ["tree_id", "anc"]).filter("tip_a < tip_b")
-    nearest = F.min(F.struct((F.col("_ha") + F.col("_hb")).alias("edges"), F.col("anc").alias("mrca"), (F.col("_da") + F.col("_db")).alias("dist")))
-    return both.groupBy("tree_id", "tip_a", "tip_b").agg(nearest.alias("m")).select("tree_id", "tip_a", "tip_b", "m.mrca", "m.edges", "m.dist")
+    return paths(trees).select("tree_id", "tip_a", "tip_b", "mrca", "edges", (F.col("to_a") + F.col("to_b")).alias("dist"))
+
+
+def patristic_matrix(trees: DataFrame, to_mrca: bool = False) -> DataFrame:
+    """tree_id, tip, distances: a row of the square matrix for each tip, tips by number,
+    null for the tip itself. to_mrca: the lengths from the row's tip to the common ancestor."""
+    p = paths(trees)
+    whole = F.col("to_a") + F.col("to_b")
+    ways = p.select("tree_id", F.col("tip_a").alias("tip"), F.col("tip_b").alias("other"), (F.col("to_a") if to_mrca else whole).alias("d")).union(
+        p.select("tree_id", "tip_b", "tip_a", F.col("to_b") if to_mrca else whole)
+    )
+    own = trees.filter("is_tip").select("tree_id", F.col("node_idx").alias("tip"), F.col("node_idx").alias("other"), F.lit(None).cast("double").alias("d"))
+    rows = ways.union(own).groupBy("tree_id", "tip").agg(F.array_sort(F.collect_list(F.struct("other", "d"))).alias("_r"))
+    return rows.select("tree_id", "tip", F.transform("_r", lambda x: x["d"]).alias("distances"))
 
 
 def out_degrees(trees: DataFrame) -> DataFrame:
@@ -82,39 +187,92 @@ def single_child_nodes(trees: DataFrame) -> DataFrame:
     return trees.join(one, ["tree_id", "node_idx"]).groupBy("tree_id").agg(F.count_if(named).alias("n_named"), F.count_if(~named).alias("n_unnamed"))
 
 
+def split_prints(placed: DataFrame) -> DataFrame:
+    """A row for each inner edge: tree_id, node_idx, branch_len and the split's print1,
+    print2, n_side and inside: 128 bits and the number of the tips on the side that
+    lacks the tree's first tip, which is the side of the node (inside) or the other.
+    A side's bits are the exclusive or of random words of its tips, so they come from
+    sums of the tour, and the other side's by difference: no node has a list of tips."""
+    first = placed.filter("is_tip").groupBy("tree_id").agg(F.min_by("first_tip", "node_idx").alias("_k"))
+    inner = placed.filter("parent_idx IS NOT NULL AND NOT is_tip AND n_tips > 0").join(first, "tree_id")
+    holds = (F.col("first_tip") <= F.col("_k")) & (F.col("_k") < F.col("first_tip") + F.col("n_tips"))
+    return inner.select(
+        "tree_id", "node_idx", "branch_len", "first_tip", "n_tips", "all_tips", (~holds).alias("inside"),
+        F.when(holds, F.col("all1").bitwiseXOR(F.col("print1"))).otherwise(F.col("print1")).alias("print1"),
+        F.when(holds, F.col("all2").bitwiseXOR(F.col("print2"))).otherwise(F.col("print2")).alias("print2"),
+        F.when(holds, F.col("all_tips") - F.col("n_tips")).otherwise(F.col("n_tips")).alias("n_side"),
+    )
+
+
+#: What tells a split.
+PRINT = ["print1", "print2", "n_side"]
+
+
+def split_lists(shown: DataFrame, placed: DataFrame) -> DataFrame:
+    """(PRINT, _r: tree_id, first_tip, n_tips, all_tips, inside) to (PRINT, split): the
+    tips, ascending, of the side that a print stands for, read from one edge that has
+    it. A list whose words don't give the print is an error."""
+    r = shown.select(*PRINT, "_r.*")
+    end = F.col("first_tip") + F.col("n_tips")
+    low = F.when(F.col("inside"), F.col("first_tip")).otherwise(F.lit(0))
+    ranges = F.when(F.col("inside"), F.array(F.struct(low.alias("lo"), (end - 1).alias("hi")))).otherwise(
+        F.array(F.struct(F.lit(0).cast("long").alias("lo"), (F.col("first_tip") - 1).alias("hi")), F.struct(end.alias("lo"), (F.col("all_tips") - 1).alias("hi")))
+    )
+    each = r.select(*PRINT, "tree_id", F.explode(ranges).alias("g")).filter("g.lo <= g.hi").select(*PRINT, "tree_id", F.explode(F.sequence("g.lo", "g.hi")).alias("k"))
+    words = [F.bit_xor(F.xxhash64(F.lit(i), F.col("tip").cast("long"))).alias(f"_w{i}") for i in (0, 1)]
+    lists = each.join(tip_places(placed), ["tree_id", "k"]).groupBy(*PRINT).agg(F.array_sort(F.collect_list("tip")).alias("split"), *words)
+    right = (F.col("_w0") == F.col("print1")) & (F.col("_w1") == F.col("print2")) & (F.size("split") == F.col("n_side"))
+    checked = F.when(right, F.col("split")).otherwise(F.raise_error(F.lit("a split's tips don't give its print")).cast(lists.schema["split"].dataType))
+    none = F.array().cast(lists.schema["split"].dataType)
+    return shown.select(*PRINT).join(lists.select(*PRINT, checked.alias("split")), PRINT, "left").withColumn("split", F.coalesce("split", none))
+
+
+def shown_edge() -> Column:
+    """Of the edges of a group the one whose tips are listed."""
+    return F.min(F.struct("tree_id", "first_tip", "n_tips", "all_tips", "inside")).alias("_r")
+
+
 def splits(trees: DataFrame) -> DataFrame:
     """tree_id, split, branch_len, height: the tips, ascending, on the side of each inner
     edge that lacks the tree's first tip. height: the longest way from the node down
     to a tip."""
-    inner = trees.filter("parent_idx IS NOT NULL AND NOT is_tip").join(tips_below(trees), ["tree_id", "node_idx"])
-    every = trees.filter("is_tip").groupBy("tree_id").agg(F.array_sort(F.collect_list("node_idx")).alias("_all"))
-    side = F.when(F.col("tips")[0] == F.col("_all")[0], F.array_except("_all", "tips")).otherwise(F.col("tips"))
-    return inner.join(every, "tree_id").select("tree_id", side.alias("split"), "branch_len", "height")
+    placed = tour(trees)
+    prints = split_prints(placed).join(heights(placed), ["tree_id", "node_idx"])
+    lists = split_lists(prints.groupBy(*PRINT).agg(shown_edge()), placed)
+    return prints.join(lists, PRINT).select("tree_id", "split", "branch_len", "height")
 
 
 def split_frequencies(trees: DataFrame, burn_in: int = 0) -> DataFrame:
     """split, n_trees, frequency, and means of branch length and height, over the trees
-    after the first ``burn_in``."""
+    after the first ``burn_in``. Edges are counted by their prints; a list of tips is
+    made for each distinct split only."""
     used = trees.filter(F.col("tree_id") >= burn_in)
-    n = used.select("tree_id").distinct().groupBy().agg(F.count(F.lit(1)).alias("_n"))
-    found = splits(used).groupBy("split").agg(
+    placed = tour(used)
+    n = placed.select("tree_id").distinct().groupBy().agg(F.count(F.lit(1)).alias("_n"))
+    found = cut(split_prints(placed).join(heights(placed), ["tree_id", "node_idx"]).groupBy(*PRINT).agg(
         F.count(F.lit(1)).alias("n_trees"), F.sum("branch_len").alias("sum_len"), F.sum(F.col("branch_len") ** 2).alias("sum_len_sq"),
-        F.avg("branch_len").alias("mean_len"), F.avg("height").alias("mean_height"),
-    )
-    return found.join(F.broadcast(n), F.lit(True)).withColumn("frequency", F.col("n_trees") / F.col("_n")).drop("_n")  # one row
+        F.avg("branch_len").alias("mean_len"), F.avg("height").alias("mean_height"), shown_edge(),
+    ))
+    shown = found.drop("_r").join(split_lists(found, placed), PRINT).drop(*PRINT)
+    shown = shown.select("split", *[c for c in shown.columns if c != "split"])
+    return shown.join(F.broadcast(n), F.lit(True)).withColumn("frequency", F.col("n_trees") / F.col("_n")).drop("_n")  # one row
 
 
 def unsupported_splits(trees: DataFrame, reference: int) -> DataFrame:
     """Splits of the reference tree that no other tree has: those whose trees are it alone."""
+    placed = tour(trees)
     own = F.max(F.col("tree_id") == reference)
     others = F.max(F.col("tree_id") != reference)
-    return splits(trees).groupBy("split").agg(own.alias("_own"), others.alias("_others")).filter("_own AND NOT _others").select("split")
+    found = cut(split_prints(placed).groupBy(*PRINT).agg(own.alias("_own"), others.alias("_others"), shown_edge()).filter("_own AND NOT _others"))
+    return split_lists(found, placed).select("split")
 
 
 def compare_nodes(trees: DataFrame, tree_a: int, tree_b: int) -> DataFrame:
     """node_idx, only_a, only_b: the tips below equally numbered nodes of two trees that
-    only one of them has; nodes that agree are left out."""
-    m = tips_below(trees.filter(F.col("tree_id").isin(tree_a, tree_b)))
+    only one of them has; nodes that agree are left out, by their prints, unlisted."""
+    placed = tour(trees.filter(F.col("tree_id").isin(tree_a, tree_b)))
+    agree = placed.filter("n_tips > 0").groupBy("node_idx").agg(F.count_distinct("print1", "print2", "n_tips").alias("_kinds"), F.count(F.lit(1)).alias("_k")).filter("_kinds = 1 AND _k = 2")
+    m = listed(placed.filter("n_tips > 0").join(agree, "node_idx", "left_anti"), placed, ["tree_id", "node_idx"])
     none = F.array().cast(m.schema["tips"].dataType)
     a, b = (F.coalesce(F.max(F.when(F.col("tree_id") == t, F.col("tips"))), none) for t in (tree_a, tree_b))
     both = m.groupBy("node_idx").agg(a.alias("_a"), b.alias("_b")).filter("_a != _b")
@@ -122,19 +280,23 @@ def compare_nodes(trees: DataFrame, tree_a: int, tree_b: int) -> DataFrame:
 
 
 def subtree(trees: DataFrame, tips: list[int]) -> DataFrame:
-    """The nodes below (and with) the smallest node that contains all the tips."""
-    c = closure(trees)
-    holds = c.filter(F.col("desc").isin(tips)).groupBy("tree_id", "anc").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == len(tips))
-    size = c.groupBy("tree_id", "anc").agg(F.count(F.lit(1)).alias("_size"))
-    top = holds.join(size, ["tree_id", "anc"]).groupBy("tree_id").agg(F.min_by("anc", F.struct("_size", "anc")).alias("anc"))
-    return c.join(top, ["tree_id", "anc"]).select("tree_id", F.col("desc").alias("node_idx"), F.col("anc").alias("top"), "hops")
+    """The nodes below (and with) the deepest node that contains all the given nodes."""
+    placed = tour(trees)
+    last = F.col("pre_order") + F.col("size") - 1
+    asked = placed.filter(F.col("node_idx").isin(tips)).groupBy("tree_id").agg(F.min("pre_order").alias("_lo"), F.max("pre_order").alias("_hi"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == len(set(tips)))
+    holds = placed.join(asked, "tree_id").filter((F.col("pre_order") <= F.col("_lo")) & (last >= F.col("_hi")))
+    top = holds.groupBy("tree_id").agg(F.max(F.struct("depth", "node_idx", "pre_order", last.alias("last"))).alias("_t"))
+    below = placed.join(top, "tree_id").filter("pre_order BETWEEN _t.pre_order AND _t.last")
+    return below.select("tree_id", "node_idx", F.col("_t.node_idx").alias("top"), (F.col("depth") - F.col("_t.depth")).alias("hops"))
 
 
 def reroot(trees: DataFrame, node: Column | int) -> DataFrame:
     """The trees with ``node`` as root: edges on its way to the old root turn round; an
     old root left with one child goes, and its two edges become one."""
     node = F.lit(node) if isinstance(node, int) else node
-    path = closure(trees).filter(F.col("desc") == node).select("tree_id", F.col("anc").alias("node_idx"), "hops")
+    placed = tour(trees)
+    aim = placed.filter(F.col("node_idx") == node).select("tree_id", F.col("pre_order").alias("_at"), F.col("depth").alias("_deep"))
+    path = placed.join(aim, "tree_id").filter("pre_order <= _at AND _at < pre_order + size").select("tree_id", "node_idx", (F.col("_deep") - F.col("depth")).alias("hops"))
     lengths = trees.select("tree_id", F.col("node_idx"), F.col("branch_len").alias("_len"))
     below = path.join(lengths, ["tree_id", "node_idx"]).select("tree_id", (F.col("hops") + 1).alias("hops"), F.col("node_idx").alias("_new"), F.col("_len"))
     turned = path.join(below, ["tree_id", "hops"], "left").select("tree_id", "node_idx", F.lit(True).alias("_on"), F.col("_new"), F.coalesce("_len", F.lit(0.0)).alias("_l"))
@@ -192,13 +354,14 @@ def parse_newick(texts: DataFrame) -> DataFrame:
     Tokens of a text become rows. An opening bracket starts an inner node, a name
     after a bracket or comma a tip; the depth is a running sum, and a node's parent is
     the last opening bracket one level up, a window over the level. A quoted name is
-    one token, whatever it holds, with doubled quotes for one. Comments in square
-    brackets, white space round tokens, and what follows the semicolon go first.
+    one token, whatever its length and marks, with doubled quotes for one. Comments in
+    square brackets, of any depth, go first, as do white space round tokens and what
+    follows the semicolon. A text's tokens pass one task, as the text is one value.
     """
-    pattern = r"('(?:[^']|'')*'|\[[^\]]*\]|[(),;]|:[^(),:;\['\]]*|[^(),:;\['\s][^(),:;\[']*)"
-    found = F.filter(F.transform(F.regexp_extract_all("newick", F.lit(pattern), 1), lambda x: F.trim(x)), lambda x: ~x.startswith("["))
-    end = F.array_position(found, F.lit(";")).cast("int")
-    tokens = texts.select("tree_id", F.posexplode(F.when(end > 0, F.slice(found, F.lit(1), end - 1)).otherwise(found)).alias("pos", "tok"))
+    pattern = r"('[^']*+(?:''[^']*+)*+'|[(),]|:[^(),:']*+|[^(),:'\s][^(),:']*+)"
+    bare = F.coalesce(F.get(command_pieces("notes")("newick"), F.lit(0))["bare"], F.lit(""))
+    found = F.transform(F.regexp_extract_all(bare, F.lit(pattern), 1), lambda x: F.trim(x))
+    tokens = texts.select("tree_id", F.posexplode(found).alias("pos", "tok"))
     by_pos = Window.partitionBy("tree_id").orderBy("pos")
     depth = F.sum(F.when(F.col("tok") == "(", 1).when(F.col("tok") == ")", -1).otherwise(0)).over(by_pos)
     t = tokens.select("*", depth.alias("d"), F.lag("tok").over(by_pos).alias("before"), F.lead("tok").over(by_pos).alias("after"), F.lead("tok", 2).over(by_pos).alias("after2"))
@@ -228,7 +391,7 @@ def parse_newick(texts: DataFrame) -> DataFrame:
 def bind_taxa(nodes: DataFrame, taxa: DataFrame) -> DataFrame:
     """Number parsed nodes: tips by their taxon, inner nodes after them in post-order.
     Fails on tips that aren't taxa and on taxa that aren't tips."""
-    tips = nodes.filter("is_tip")
+    tips, taxa = nodes.filter("is_tip"), cut(taxa)
     n = taxa.count()
     unknown = tips.join(taxa, "name", "left_anti").count()
     counts = tips.groupBy("tree_id").agg(F.count(F.lit(1)).alias("k"), F.count_distinct("name").alias("u")).filter((F.col("k") != n) | (F.col("u") != n))
@@ -237,7 +400,7 @@ def bind_taxa(nodes: DataFrame, taxa: DataFrame) -> DataFrame:
     raw = nodes.select("tree_id", F.col("node_pos").alias("node_idx"), F.col("parent_pos").alias("parent_idx"), "name", "is_tip", "branch_len")
     order = traversal(raw).filter("NOT is_tip").withColumn("_i", F.row_number().over(Window.partitionBy("tree_id").orderBy("post_order")) - 1 + n)
     number = order.select("tree_id", F.col("node_idx").alias("node_pos"), F.col("_i").alias("node_idx")).union(
-        tips.join(F.broadcast(taxa), "name").select("tree_id", "node_pos", F.col("taxon_idx").cast("int"))
+        tips.join(small(taxa), "name").select("tree_id", "node_pos", F.col("taxon_idx").cast("int"))
     )
     parent = number.select("tree_id", F.col("node_pos").alias("parent_pos"), F.col("node_idx").alias("parent_idx"))
     return nodes.join(number, ["tree_id", "node_pos"]).join(parent, ["tree_id", "parent_pos"], "left").select("tree_id", "node_idx", "parent_idx", "name", "is_tip", "branch_len")

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codonloom.functions.genetic import IUPAC
+from codonloom.operators.lineage import cut
+from codonloom.functions.comments import command_pieces
+from codonloom.sources.wrapped import continued
 
 
 def files(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -79,25 +82,6 @@ def alignments(sequences: DataFrame) -> DataFrame:
     return sequences.groupBy("file").agg(F.count(F.lit(1)).alias("n_taxa"), F.max(size).alias("n_char"), (F.min(size) == F.max(size)).alias("aligned"))
 
 
-def continued(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows (keys, pos, need, n_all, n_rest) with _t, the number of the sequence that a
-    line belongs to, and _new, whether it begins it. A sequence goes on until it has the
-    cells it needs: n_rest of its first line, which a name begins, n_all of others."""
-    steps = F.sort_array(F.collect_list(F.struct("pos", "n_all", "n_rest")))
-
-    def step(acc: Column, x: Column) -> Column:
-        have = F.when(acc["open"], acc["have"] + x["n_all"]).otherwise(x["n_rest"])
-        done = have >= F.col("need")
-        row = F.struct(x["pos"].alias("pos"), acc["t"].alias("t"), (~acc["open"]).alias("new"))
-        return F.struct((acc["t"] + done.cast("int")).alias("t"), have.alias("have"), (~done).alias("open"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    none = F.array().cast("array<struct<pos:bigint,t:int,new:boolean>>")
-    start = F.struct(F.lit(0).alias("t"), F.lit(0).alias("have"), F.lit(False).alias("open"), none.alias("out"))
-    grouped = rows.groupBy(*keys, "need").agg(steps.alias("_s"))
-    placed = grouped.select(*keys, F.explode(F.aggregate("_s", start, step)["out"]).alias("o"))
-    return rows.join(placed.select(*keys, F.col("o.pos").alias("pos"), F.col("o.t").alias("_t"), F.col("o.new").alias("_new")), [*keys, "pos"])
-
-
 def read_phylip(spark: SparkSession, path: str | list[str], interleaved: bool = False, relaxed: bool = False) -> DataFrame:
     """file, taxon_idx, name, seq. Strict names are the first ten characters of a line,
     relaxed ones its first word. Fails where the header's counts don't hold."""
@@ -108,17 +92,17 @@ def read_phylip(spark: SparkSession, path: str | list[str], interleaved: bool =
     named = F.regexp_extract("line", r"^\s*(\S+)", 1) if relaxed else F.trim(F.substring("line", 1, 10))
     rest = F.regexp_replace("line", r"^\s*\S+", "") if relaxed else F.expr("substring(line, 11)")
     if interleaved:
-        body = body.withColumns({"_t": (F.col("pos") - 1) % F.col("ntax"), "_new": F.col("pos") <= F.col("ntax")})
+        body = body.withColumns({"_t": ((F.col("pos") - 1) % F.col("ntax")).cast("int"), "_new": F.col("pos") <= F.col("ntax")})
     else:
         bare = [F.length(F.regexp_replace(x, r"\s", "")) for x in (F.col("line"), rest)]
         body = continued(body.withColumns({"need": F.col("nchar"), "n_all": bare[0], "n_rest": bare[1]}), ["file"])
     parts = body.select("file", "ntax", "nchar", "pos", "_t", F.when(F.col("_new"), named).alias("label"), F.regexp_replace(F.when(F.col("_new"), rest).otherwise(F.col("line")), r"\s", "").alias("part"))
     in_order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "")
-    out = parts.groupBy("file", "ntax", "nchar", F.col("_t")).agg(F.max("label").alias("name"), in_order.alias("seq"), F.min("pos").alias("first"))
-    wrong = F.length("seq") != F.col("nchar")
-    count = F.count(F.lit(1)).over(Window.partitionBy("file"))
-    checked = out.withColumn("seq", F.when(wrong | (count != F.col("ntax")), F.raise_error(F.lit("the header's counts don't hold"))).otherwise(F.col("seq")))
-    return numbered(checked)
+    out = cut(parts.groupBy("file", "ntax", "nchar", F.col("_t").alias("taxon_idx")).agg(F.max("label").alias("name"), in_order.alias("seq")))
+    counts = out.groupBy("file").agg(F.count(F.lit(1)).alias("_n"))
+    wrong = (F.length("seq") != F.col("nchar")) | (F.col("_n") != F.col("ntax"))
+    checked = F.when(wrong, F.raise_error(F.lit("the header's counts don't hold"))).otherwise(F.col("seq"))
+    return out.join(counts, "file").select("file", "taxon_idx", "name", checked.alias("seq"))
 
 
 def read_clustal(spark: SparkSession, path: str) -> DataFrame:
@@ -149,24 +133,14 @@ def tight(text: Column) -> Column:
 def read_newick(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, tree_id, newick: the trees of a file in order, white space outside quotes
     removed, comments as they are."""
-    trees = files(spark, path).select("file", F.posexplode(F.regexp_extract_all("text", F.lit(_PIECE), 1)).alias("tree_id", "t"))
-    return trees.select("file", "tree_id", F.concat(tight(F.col("t")), F.lit(";")).alias("newick")).filter("newick != ';'")
+    trees = files(spark, path).select("file", F.posexplode(command_pieces("all")("text")).alias("tree_id", "t"))
+    return trees.select("file", "tree_id", F.concat(tight(F.col("t.raw")), F.lit(";")).alias("newick")).filter("newick != ';'")
 
 
 # NEXUS -----------------------------------------------------------------------
 
 
-def _comment(levels: int = 12) -> str:
-    """A comment in square brackets with comments inside, so many levels deep."""
-    found = r"\[[^\[\]]*+\]"
-    for _ in range(levels):
-        found = rf"\[(?:[^\[\]]++|{found})*+\]"
-    return found
-
-
 # Quantifiers are possessive: such groups repeat without recursion, however long a matrix is.
-_COMMENT = _comment()
-_PIECE = rf"((?:[^;'\[]++|'[^']*+'|{_COMMENT}|\[)++)"
 _ITEM = r"((?:[^,']++|'[^']*+')++)"
 _WORD = r"'[^']*+(?:''[^']*+)*+'|[^\s,;'()\[\]]++"
 _NAME = r"^\s*('[^']*+(?:''[^']*+)*+'|\S++)"
@@ -179,17 +153,11 @@ def unquoted(token: Column) -> Column:
     return F.when(token.startswith("'"), inside).otherwise(F.replace(token, F.lit("_"), F.lit(" ")))
 
 
-def uncommented(text: Column) -> Column:
-    """text without comments; brackets inside quotes stay."""
-    return F.regexp_replace(text, rf"('[^']*+')|{_COMMENT}", "$1")
-
-
 def nexus_commands(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, block_idx, block, pos, command, body, raw: the commands of every block,
-    comments out; raw keeps the comments that begin with &, which trees need."""
-    clean = F.regexp_replace(F.regexp_replace("text", rf"('[^']*+')|(?!\[&){_COMMENT}", "$1"), r"(?i)^\s*#NEXUS", "")
-    rows = files(spark, path).select("file", F.posexplode(F.regexp_extract_all(clean, F.lit(_PIECE), 1)).alias("pos", "raw"))
-    rows = rows.withColumn("_b", uncommented(F.col("raw")))
+    comments of any depth out; raw keeps the comments that begin with &, which trees need."""
+    rows = files(spark, path).select("file", F.posexplode(command_pieces("notes")("text")).alias("pos", "p"))
+    rows = rows.select("file", "pos", F.regexp_replace("p.raw", r"(?i)^\s*#NEXUS", "").alias("raw"), F.regexp_replace("p.bare", r"(?i)^\s*#NEXUS", "").alias("_b"))
     word = F.upper(F.regexp_extract("_b", r"^\s*(\S+)", 1))
     rest = F.trim(F.regexp_replace("raw", r"^\s*\S+", ""))
     rows = rows.select("file", "pos", word.alias("command"), F.trim(F.regexp_replace("_b", r"^\s*\S+", "")).alias("body"), rest.alias("raw")).filter("command != ''")
@@ -305,9 +273,8 @@ def nexus_matrix(commands: DataFrame) -> DataFrame:
     cut = placed.withColumns({"name": F.when(F.col("_new"), unquoted(F.regexp_extract("line", _NAME, 1))), "part": cell_list(F.when(F.col("_new"), rest).otherwise(F.col("line")), F.col("tokens"))})
     key = F.when(F.col("interleave"), F.col("name")).otherwise(F.col("_t").cast("string"))
     in_order = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]))
-    whole = cut.groupBy("file", "block_idx", key.alias("_key")).agg(F.max("name").alias("name"), in_order.alias("cells"), F.min("pos").alias("_f")).drop("_key")
-    at = Window.partitionBy("file", "block_idx").orderBy("_f")
-    out = whole.withColumn("taxon_idx", F.row_number().over(at) - 1).join(form, ["file", "block_idx"])
+    whole = cut.groupBy("file", "block_idx", key.alias("_key")).agg(F.max("name").alias("name"), in_order.alias("cells"), F.min("_t").alias("taxon_idx")).drop("_key")
+    out = whole.join(form, ["file", "block_idx"])
     first = out.filter("taxon_idx = 0 AND matchchar != ''").select("file", "block_idx", F.col("cells").alias("_first"))
     matched = F.zip_with("cells", "_first", lambda a, b: F.when(a == F.col("matchchar"), b).otherwise(a))
     cells = F.when(F.col("_first").isNotNull(), matched).otherwise(F.col("cells"))
