@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codonloom.functions.genetic import ALL, SENSE, codons, iupac_mask
+from codonloom.operators.lineage import cut, small
+from codonloom.operators.ordered import running, split_join
+
+BASES = "ACGT"
 
 
 def recode(sequences: DataFrame, width: int = 3) -> DataFrame:
@@ -31,12 +35,16 @@ def translate_codons(cells: DataFrame, code: DataFrame) -> DataFrame:
     return cells.join(F.broadcast(code.select("codon", "aa")), "codon", "left").withColumn("aa", F.coalesce("aa", F.lit("?")))
 
 
-def protein(sequences: DataFrame, code: DataFrame, width: int = 3) -> DataFrame:
+def protein(sequences: DataFrame, code: DataFrame) -> DataFrame:
     """taxon_idx, protein: the amino acids of each sequence in order of site, inside the
-    row: the code is a map of at most 64 codons, no codon becomes a row of its own."""
-    table = code.agg(F.map_from_entries(F.collect_list(F.struct("codon", "aa"))).alias("_aa"))  # one row
-    aa = F.transform(pieces(F.col("seq"), width), lambda c: F.coalesce(F.element_at("_aa", c), F.lit("?")))
-    out = sequences.filter(F.length("seq") >= width).join(F.broadcast(table), F.lit(True))
+    row. The code is a text of 64 letters, of which a codon's three nucleotides, as
+    digits to base 4, tell the place; no codon becomes a row of its own."""
+    every = F.array(*[F.lit(a + b + c) for a in BASES for b in BASES for c in BASES])
+    table = code.agg(F.map_from_entries(F.collect_list(F.struct("codon", "aa"))).alias("_m"))  # one row
+    table = table.select(F.array_join(F.transform(every, lambda c: F.coalesce(F.element_at("_m", c), F.lit("?"))), "").alias("_aa"))
+    digit = [f"locate(substr(c, {k}, 1), '{BASES}')" for k in (1, 2, 3)]
+    aa = F.expr(f"transform(_codons, c -> if({' * '.join(digit)} = 0, '?', substr(_aa, 16 * {digit[0]} + 4 * {digit[1]} + {digit[2]} - 20, 1)))")
+    out = sequences.filter(F.length("seq") >= 3).select("taxon_idx", pieces(F.col("seq"), 3).alias("_codons")).join(F.broadcast(table), F.lit(True))
     return out.select("taxon_idx", F.array_join(aa, "").alias("protein"))
 
 
@@ -87,7 +95,7 @@ def pattern_of_site(cells: DataFrame) -> DataFrame:
     """site, first_site: the site that stands for each site's pattern."""
     columns = folded_columns(cells)
     first = columns.groupBy("pattern").agg(F.min("site").alias("first_site"))
-    return columns.join(first, "pattern").select("site", "first_site")
+    return split_join(columns, first, ["pattern"]).select("site", "first_site")  # a pattern may be that of most columns
 
 
 def drop_missing_patterns(cells: DataFrame) -> DataFrame:
@@ -126,17 +134,15 @@ def expand_states(cells: DataFrame) -> DataFrame:
 
 def exclude(cells: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """Cells outside the character set ``name``."""
-    return cells.join(F.broadcast(sets.filter(F.col("name") == name).select(F.col("idx").alias("site"))), "site", "left_anti")
+    return cells.join(small(cut(sets.filter(F.col("name") == name).select(F.col("idx").alias("site")))), "site", "left_anti")
 
 
 def subset(cells: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """Cells inside the taxon set and the character set ``name``; a set that isn't there keeps all."""
     for kind, column in (("taxset", "taxon_idx"), ("charset", "site")):
-        own = sets.filter((F.col("kind") == kind) & (F.col("name") == name)).select(F.col("idx").alias(column))
-        any_own = own.groupBy().agg((F.count(F.lit(1)) > 0).alias("_any"))
-        marked = cells.join(F.broadcast(own.distinct().withColumn("_in", F.lit(True))), column, "left")
-        kept = marked.join(F.broadcast(any_own), F.lit(True))  # one row
-        cells = kept.filter(F.col("_in") | ~F.col("_any")).select(*cells.columns)
+        own = cut(sets.filter((F.col("kind") == kind) & (F.col("name") == name)).select(F.col("idx").alias(column)).distinct())
+        if not own.isEmpty():
+            cells = cells.join(small(own), column, "left_semi")
     return cells
 
 
@@ -163,6 +169,6 @@ def step_matrix(n: int, ordered: bool, spark) -> DataFrame:
 
 def positions_in_codon(sets: DataFrame) -> DataFrame:
     """Columns of position sets 1, 2 and 3 joined by rank: site, pos1, pos2, pos3."""
-    ranked = sets.withColumn("site", F.row_number().over(Window.partitionBy("position").orderBy("idx")) - 1)
+    ranked = running(sets, ["position"], ["idx"], _n=F.lit(1)).withColumn("site", (F.col("_n") - 1).cast("int"))
     out = ranked.groupBy("site").pivot("position", [1, 2, 3]).agg(F.first("idx"))
     return out.select("site", *[F.col(str(k)).alias(f"pos{k}") for k in (1, 2, 3)])

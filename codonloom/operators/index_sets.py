@@ -14,9 +14,14 @@ _NUMBER = r"^\d{1,9}$"
 
 
 def plain(word: Column) -> Column:
-    """A word without its quotes, doubled quotes as one, in capitals: names are alike in any case."""
+    """A word as names are compared: without its quotes, doubled quotes as one, in
+    capitals, underscores as blanks."""
     inside = F.replace(F.regexp_replace(word, "^'|'$", ""), F.lit("''"), F.lit("'"))
-    return F.upper(F.when(word.startswith("'"), inside).otherwise(F.replace(word, F.lit("_"), F.lit(" "))))
+    return alike(F.when(word.startswith("'"), inside).otherwise(word))
+
+
+def alike(name: Column) -> Column:
+    return F.upper(F.replace(name, F.lit("_"), F.lit(" ")))
 
 
 def fail(*parts: Column | str) -> Column:
@@ -59,10 +64,10 @@ def expand(definitions: DataFrame, last: int, labels: DataFrame | None = None, s
     spark, own = definitions.sparkSession, definitions.schema["name"].dataType.simpleString() == "string"
     definitions = cut(definitions)
     found = items(definitions)
-    known = cut(labels.select(plain(F.col("label")).alias("_l"), F.col("idx").cast("long").alias("_i"))) if labels is not None else spark.createDataFrame([], "_l string, _i long")
-    named = sets.select(plain(F.col("name")).alias("_s")).distinct() if sets is not None else spark.createDataFrame([], "_s string")
+    known = cut(labels.select(alike(F.col("label")).alias("_l"), F.col("idx").cast("long").alias("_i"))) if labels is not None else spark.createDataFrame([], "_l string, _i long")
+    named = sets.select(alike(F.col("name")).alias("_s")).distinct() if sets is not None else spark.createDataFrame([], "_s string")
     if own:
-        named = named.union(definitions.select(plain(F.col("name")))).distinct()
+        named = named.union(definitions.select(alike(F.col("name")))).distinct()
     known, named = small(known), small(cut(named))
     found = found.join(known.withColumnRenamed("_l", "a").withColumnRenamed("_i", "_la"), "a", "left").join(known.withColumnRenamed("_l", "b").withColumnRenamed("_i", "_lb"), "b", "left")
     found = found.join(named.withColumnRenamed("_s", "a").withColumn("_set", F.lit(True)), "a", "left")
@@ -85,11 +90,11 @@ def expand(definitions: DataFrame, last: int, labels: DataFrame | None = None, s
     out = direct
     if own or sets is not None:
         refs = found.filter("is_set").select("name", F.col("a").alias("ref"))
-        outside = sets.select(plain(F.col("name")).alias("ref"), F.col("idx").cast("int").alias("idx")) if sets is not None else None
+        outside = sets.select(alike(F.col("name")).alias("ref"), F.col("idx").cast("int").alias("idx")) if sets is not None else None
         if own:
-            pool = direct.select(plain(F.col("name")).alias("ref"), "idx")
-            spelled = definitions.select("name", plain(F.col("name")).alias("_n")).distinct()
-            reached = members(refs.select(plain(F.col("name")).alias("name"), "ref"), pool.union(outside) if outside is not None else pool)
+            pool = direct.select(alike(F.col("name")).alias("ref"), "idx")
+            spelled = definitions.select("name", alike(F.col("name")).alias("_n")).distinct()
+            reached = members(refs.select(alike(F.col("name")).alias("name"), "ref"), pool.union(outside) if outside is not None else pool)
             out = out.union(reached.withColumnRenamed("name", "_n").join(spelled, "_n").select("name", "idx"))
         else:
             out = out.union(refs.join(outside, "ref").select("name", "idx"))

@@ -14,18 +14,27 @@ from pyspark.sql import functions as F
 from codonloom.operators.lineage import cut
 
 
-def running(rows: DataFrame, keys: list[str], order: list[Column | str], **sums: Column) -> DataFrame:
-    """rows with a column for each of ``sums``: its sum over the rows of the same keys up
-    to and with this one. ``order`` should tell the rows of a key apart."""
-    at = cut(rows.withColumns({f"_x_{n}": c for n, c in sums.items()}).orderBy(*keys, *order).withColumn("_m", F.monotonically_increasing_id()))
+def running(rows: DataFrame, keys: list[str], order: list[Column | str], fold: str = "sum", **values: Column) -> DataFrame:
+    """rows with a column for each of ``values``: its sum (or with fold="max" the largest)
+    over the rows of the same keys up to and with this one. ``order`` should tell the
+    rows of a key apart; keys are not null."""
+    total = {"sum": F.sum, "max": F.max}[fold]
+    at = cut(rows.withColumns({f"_x_{n}": c for n, c in values.items()}).orderBy(*keys, *order).withColumn("_m", F.monotonically_increasing_id()))
     at = at.withColumn("_part", F.shiftright("_m", 33))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = at.groupBy(*keys, "_part").agg(*[F.sum(f"_x_{n}").alias(f"_s_{n}") for n in sums])
-    before = parts.select(*keys, "_part", *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    parts = at.groupBy(*keys, "_part").agg(*[total(f"_x_{n}").alias(f"_s_{n}") for n in values])
+    before = parts.select(*keys, "_part", *[total(f"_s_{n}").over(earlier).alias(f"_b_{n}") for n in values])
     within = Window.partitionBy(*keys, "_part").orderBy("_m").rowsBetween(Window.unboundedPreceding, 0)
-    return at.withColumns({f"_x_{n}": F.sum(f"_x_{n}").over(within) for n in sums}).join(before, [*keys, "_part"]).select(
-        *rows.columns, *[(F.col(f"_x_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums]
-    )
+    both = at.withColumns({f"_x_{n}": total(f"_x_{n}").over(within) for n in values}).join(before, [*keys, "_part"])
+    one = (lambda x, b: x + F.coalesce(b, F.lit(0))) if fold == "sum" else F.greatest
+    return both.select(*rows.columns, *[one(F.col(f"_x_{n}"), F.col(f"_b_{n}")).alias(n) for n in values])
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join whose hot keys Spark may split: with a hash of the keys as one more key,
+    both sides are shuffled for the join itself, aggregated before or not."""
+    key = F.xxhash64(*on).alias("_join")
+    return left.select("*", key).join(right.select("*", key), [*on, "_join"], how).drop("_join")
 
 
 def range_table(cells: DataFrame, keys: list[str], best: Callable[[Column, Column], Column]) -> DataFrame:

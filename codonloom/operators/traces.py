@@ -7,16 +7,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codonloom.operators.lineage import cut
+from codonloom.operators.lineage import cut, small
+from codonloom.operators.ordered import running
 
 WINDOW = 25
 
 
 def after_burn_in(trace: DataFrame, share: float) -> DataFrame:
-    """Without the first floor(n * share) rows of each chain and parameter."""
-    own = Window.partitionBy("chain", "param")
-    ranked = trace.select("*", F.row_number().over(own.orderBy("iteration")).alias("_r"), F.count(F.lit(1)).over(own).alias("_n"))
-    return ranked.filter(F.col("_r") > F.floor(F.col("_n") * share)).drop("_r", "_n")
+    """Without the first floor(n * share) rows of each chain and parameter. No task holds a series."""
+    placed = running(trace, ["chain", "param"], ["iteration"], _r=F.lit(1).cast("long"))
+    sizes = small(cut(trace.groupBy("chain", "param").agg(F.count(F.lit(1)).alias("_n"))))
+    return placed.join(sizes, ["chain", "param"]).filter(F.col("_r") > F.floor(F.col("_n") * share)).select(*trace.columns)
+
+
+def running_best(trace: DataFrame) -> DataFrame:
+    """chain, iteration, best: the largest value of a chain so far."""
+    rows = trace.groupBy("chain", "iteration").agg(F.max("value").alias("value"), F.count(F.lit(1)).alias("_n"))
+    best = running(rows, ["chain"], ["iteration"], "max", best=F.col("value"))
+    return best.select("chain", "iteration", "best", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_k")).drop("_k")
 
 
 def thin(trace: DataFrame, every: int) -> DataFrame:
@@ -77,12 +85,7 @@ def ranked(trace: DataFrame) -> DataFrame:
     nulls left out. One range-partitioned sort; a row's number is its place in its
     partition plus the series' rows in the partitions before, so no task holds a series."""
     known = trace.filter(F.col("value").isNotNull()).select("chain", "param", "iteration", "value")
-    at = cut(known.orderBy("chain", "param", "iteration").withColumn("_m", F.monotonically_increasing_id()))
-    at = at.withColumns({"_part": F.shiftright("_m", 33), "_low": F.col("_m").bitwiseAND((1 << 33) - 1)})
-    series = Window.partitionBy("chain", "param").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = at.groupBy("chain", "param", "_part").agg(F.min("_low").alias("_first"), F.count(F.lit(1)).alias("_k")).withColumn("_before", F.coalesce(F.sum("_k").over(series), F.lit(0)))
-    joined = at.join(before, ["chain", "param", "_part"])
-    return joined.select("chain", "param", (F.col("_low") - F.col("_first") + F.col("_before") + 1).alias("pos"), "value")
+    return running(known, ["chain", "param"], ["iteration"], pos=F.lit(1).cast("long")).select("chain", "param", "pos", "value")
 
 
 def autocorrelation(trace: DataFrame, window: int = WINDOW, block: int = 1024) -> DataFrame:

@@ -107,6 +107,28 @@ def set_expansion(spark, d):
     return index_sets.expand(sets_table(spark), 200)
 
 
+def set_references(spark, d):
+    """Customers as labels, the set of each nation by label, of each region by its nations'
+    sets, and the world by regions: sets in sets, three deep."""
+    c, n, r = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("customer", "nation", "region"))
+    quoted = lambda x: F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("''")), F.lit("'"))
+    last = c.agg(F.max("c_custkey")).first()[0] + 1
+    labels = c.select(F.col("c_name").alias("label"), (F.col("c_custkey") + 1).cast("int").alias("idx"))
+    nations = c.join(n, c.c_nationkey == n.n_nationkey).groupBy(F.concat(F.lit("nation "), "n_name").alias("name")).agg(F.array_join(F.collect_list(quoted(F.col("c_name"))), " ").alias("definition"))
+    used = c.select(F.col("c_nationkey").alias("n_nationkey")).distinct()
+    regions = n.join(used, "n_nationkey").join(r, n.n_regionkey == r.r_regionkey).groupBy(F.concat(F.lit("region "), "r_name").alias("name")).agg(F.array_join(F.collect_list(quoted(F.concat(F.lit("NATION "), "n_name"))), " ").alias("definition"))
+    world = regions.groupBy(F.lit("world").alias("name")).agg(F.array_join(F.collect_list(quoted(F.col("name"))), " ").alias("definition"))
+    return index_sets.expand(nations.union(regions).union(world), last, labels)
+
+
+def vector_partition(spark, d):
+    """Parts by brand and by size, as vectors of as many words as there are parts."""
+    p = spark.read.parquet(f"{d}/part.parquet")
+    words = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.col(c).cast("string").alias("w")))), lambda x: F.concat(F.lit("'"), x["w"], F.lit("'"))), " ")
+    rows = p.groupBy(F.lit("brand").alias("name")).agg(words("p_brand").alias("definition")).union(p.groupBy(F.lit("size").alias("name")).agg(words("p_size").alias("definition")))
+    return index_sets.expand_vector(rows, p.count())
+
+
 def partition_expansion(spark, d):
     """The partition of 90 sites by position in the codon, and a weight set."""
     rows = [("codon", r"pos1: 1-.\3, pos2: 2-.\3, pos3: 3-.\3"), ("weights", "2: 1-10 20, 1: 11-19 21-.")]
@@ -146,7 +168,7 @@ QUERIES = {
     for f in (
         codon_table, codon_pair_counts, genetic_code_sizes, codon_masks, codon_recoding, translated_codons, proteins, ambiguity_per_taxon,
         column_summary, constant_columns, site_patterns, pattern_of_site, complete_patterns, pairwise_distance, state_intersections,
-        expanded_states, gap_characters, nucleotide_composition, step_matrices, codon_positions, set_expansion, partition_expansion, set_ranges, partition_overlaps,
+        expanded_states, gap_characters, nucleotide_composition, step_matrices, codon_positions, set_expansion, set_references, vector_partition, partition_expansion, set_ranges, partition_overlaps,
         excluded_characters, subset_by_set, character_weights,
     )
 }
@@ -163,6 +185,12 @@ cols AS (SELECT site, string_agg(CAST(mask AS VARCHAR), ',' ORDER BY taxon_idx)
 _ALL = "2305843009213693951"
 
 SQL = {
+    "set_references": """
+      WITH c AS (SELECT CAST(c_custkey + 1 AS INT) idx, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+      SELECT 'nation ' || n_name AS name, idx FROM c UNION ALL SELECT 'region ' || r_name, idx FROM c UNION ALL SELECT 'world', idx FROM c""",
+    "vector_partition": """
+      WITH p AS (SELECT *, CAST(row_number() OVER (ORDER BY p_partkey) AS INT) idx FROM part)
+      SELECT 'brand' AS name, p_brand subset, idx FROM p UNION ALL SELECT 'size', CAST(p_size AS VARCHAR), idx FROM p""",
     "codon_table": with_sql("codons") + " SELECT state, codon, aa FROM codons",
     "codon_pair_counts": with_sql("codons", "codon_pairs") + """
       SELECT count(*) n_pairs, count(*) FILTER (WHERE is_transition) n_transitions, count(*) FILTER (WHERE is_synonymous) n_synonymous,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codonloom.operators import traces as tr
@@ -83,8 +82,7 @@ def regime_of_state(spark, d):
 
 
 def running_best(spark, d):
-    w = Window.partitionBy("chain").orderBy("iteration").rowsBetween(Window.unboundedPreceding, 0)
-    return trace(spark, d).select("chain", "iteration", F.max("value").over(w).alias("best"))
+    return tr.running_best(trace(spark, d))
 
 
 QUERIES = {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codonloom.operators import trees as tr
@@ -36,6 +37,38 @@ def patristic_distance(spark, d):
     return tr.patristic(forest(spark, d)).withColumn("dist", F.round("dist", 6))
 
 
+def distance_cells(rows):
+    """The rows of matrices as text, - for the tip itself."""
+    cell = F.transform("distances", lambda x: F.when(x.isNull(), "-").otherwise(F.format_string("%.6f", x)))
+    return rows.select("tree_id", "tip", F.array_join(cell, " ").alias("distances"))
+
+
+def patristic_matrix(spark, d):
+    return distance_cells(tr.patristic_matrix(forest(spark, d)))
+
+
+def patristic_to_mrca(spark, d):
+    return distance_cells(tr.patristic_matrix(forest(spark, d), to_mrca=True))
+
+
+def order_trees(spark, d):
+    """A tree for each order status: orders under customers, these one under another in a
+    chain by number, so it is as deep as there are customers."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.ascii("o_orderstatus").alias("tree_id"), F.col("o_orderkey").cast("int").alias("k"), F.col("o_custkey").cast("int").alias("c"), F.round(F.col("o_totalprice") / 1000, 2).alias("branch_len"))
+    last = o.agg(F.max("k")).first()[0] + 1
+    tips = o.select("tree_id", F.col("k").alias("node_idx"), (F.col("c") + last).alias("parent_idx"), F.lit(True).alias("is_tip"), "branch_len")
+    customers = o.select("tree_id", (F.col("c") + last).alias("node_idx")).distinct()
+    chain = F.lag("node_idx").over(Window.partitionBy("tree_id").orderBy("node_idx"))
+    return tips.unionByName(customers.select("tree_id", "node_idx", chain.alias("parent_idx"), F.lit(False).alias("is_tip"), F.lit(1.0).alias("branch_len")))
+
+
+def deep_trees(spark, d):
+    """Place, depth, length from the root and tips below of every node of deep trees."""
+    placed = tr.tour(order_trees(spark, d))
+    root = F.first_value("branch_len").over(Window.partitionBy("tree_id").orderBy("pre_order"))
+    return placed.select("tree_id", "node_idx", "depth", "pre_order", "post_order", "size", "n_tips", F.round(F.col("dist") - root, 2).alias("dist"))
+
+
 def outdegree_histogram(spark, d):
     return tr.out_degrees(forest(spark, d))
 
@@ -104,7 +137,7 @@ def newick_round_trip(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        tree_traversal, tree_closure, patristic_distance, outdegree_histogram, single_child_nodes, tree_splits, split_frequencies,
+        tree_traversal, tree_closure, patristic_distance, patristic_matrix, patristic_to_mrca, deep_trees, outdegree_histogram, single_child_nodes, tree_splits, split_frequencies,
         unsupported_splits, compared_nodes, tip_masks, subtree_of_tips, rerooted, tree_inspection, newick_text, newick_round_trip,
     )
 }
@@ -125,6 +158,12 @@ whole AS (SELECT tree_id, list(node_idx ORDER BY node_idx) m FROM forest WHERE i
 splits AS (SELECT f.tree_id, array_to_string(CASE WHEN k.tips[1] = w.m[1] THEN list_filter(w.m, lambda x: NOT list_contains(k.tips, x)) ELSE k.tips END, ',') split, f.branch_len, k.height
   FROM forest f JOIN masks k ON k.tree_id = f.tree_id AND k.node_idx = f.node_idx JOIN whole w ON w.tree_id = f.tree_id
   WHERE NOT f.is_tip AND f.parent_idx IS NOT NULL)"""
+_WAYS = """,
+tip AS (SELECT up.* FROM up JOIN forest f ON f.tree_id = up.tree_id AND f.node_idx = up.descn AND f.is_tip)"""
+_MATRIX = """,
+ways AS (SELECT a.tree_id, a.descn tip, b.descn other, {} d, row_number() OVER (PARTITION BY a.tree_id, a.descn, b.descn ORDER BY a.hops + b.hops) r
+  FROM tip a JOIN tip b ON a.tree_id = b.tree_id AND a.anc = b.anc)
+SELECT tree_id, tip, string_agg(CASE WHEN tip = other THEN '-' ELSE printf('%.6f', d) END, ' ' ORDER BY other) distances FROM ways WHERE r = 1 GROUP BY tree_id, tip"""
 _PATHS = """,
 paths AS (SELECT tree_id, descn node_idx, CAST(max(hops) AS INT) depth, string_agg(lpad(CAST(anc AS VARCHAR), 9, '0'), '/' ORDER BY hops DESC) path FROM up GROUP BY tree_id, descn)"""
 
@@ -139,6 +178,16 @@ SQL = {
         FROM tip a JOIN tip b ON a.tree_id = b.tree_id AND a.anc = b.anc AND a.descn < b.descn),
       ranked AS (SELECT *, row_number() OVER (PARTITION BY tree_id, tip_a, tip_b ORDER BY edges) r FROM both_)
       SELECT tree_id, tip_a, tip_b, anc mrca, edges, round(dist, 6) dist FROM ranked WHERE r = 1""",
+    "patristic_matrix": _FOREST + _CLOSURE + _WAYS + _MATRIX.format("a.dist + b.dist"),
+    "patristic_to_mrca": _FOREST + _CLOSURE + _WAYS + _MATRIX.format("a.dist"),
+    "deep_trees": """
+      WITH o AS (SELECT ascii(o_orderstatus) tree_id, CAST(o_orderkey AS INT) k, CAST(o_custkey AS INT) c, round(o_totalprice / 1000, 2) len FROM orders),
+      m AS (SELECT max(k) + 1 AS last FROM o),
+      cust AS (SELECT tree_id, c, count(*) n, row_number() OVER (PARTITION BY tree_id ORDER BY c) - 1 depth FROM o GROUP BY tree_id, c),
+      sums AS (SELECT *, sum(n) OVER w - n AS before, sum(n) OVER (PARTITION BY tree_id) AS tips, count(*) OVER (PARTITION BY tree_id) AS inner_ FROM cust WINDOW w AS (PARTITION BY tree_id ORDER BY c)),
+      tip AS (SELECT o.*, s.depth, s.before, s.n, s.tips, s.inner_, row_number() OVER (PARTITION BY o.tree_id, o.c ORDER BY k) - 1 nth FROM o JOIN sums s ON s.tree_id = o.tree_id AND s.c = o.c)
+      SELECT tree_id, k node_idx, CAST(depth + 1 AS INT) depth, CAST(depth + 1 + before + nth AS INT) pre_order, CAST(before + nth AS INT) post_order, CAST(1 AS BIGINT) AS size, CAST(1 AS BIGINT) n_tips, round(len + depth, 2) dist FROM tip
+      UNION ALL SELECT tree_id, CAST(c + (SELECT last FROM m) AS INT), CAST(depth AS INT), CAST(depth + before AS INT), CAST(tips + inner_ - 1 - depth AS INT), CAST(tips - before + inner_ - depth AS BIGINT), CAST(tips - before AS BIGINT), CAST(depth AS DOUBLE) FROM sums""",
     "outdegree_histogram": _FOREST + """,
       kids AS (SELECT f.tree_id, f.node_idx, count(c.node_idx) n_children FROM forest f LEFT JOIN forest c ON c.tree_id = f.tree_id AND c.parent_idx = f.node_idx GROUP BY f.tree_id, f.node_idx)
       SELECT tree_id, n_children, count(*) n_nodes FROM kids GROUP BY tree_id, n_children""",
