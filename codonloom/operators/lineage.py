@@ -31,6 +31,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again. Unlike cut() it keeps no
+    constraints of the plan, which double with each round of some loops."""
+    path = new_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 #: The most rows of a table that is broadcast; its rows are counted first.
 BROADCAST_ROWS = 100_000
 

@@ -11,8 +11,8 @@ from functools import partial
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codonloom.functions.genetic import codons
-from codonloom.operators import index_sets
+from codonloom.functions.genetic import SENSE, codons
+from codonloom.operators import index_sets, step_types
 from codonloom.operators import trees as tr
 from codonloom.operators.lineage import cut, new_path
 from codonloom.plans.tree_queries import _CLOSURE, _FOREST, forest, one_tree
@@ -198,6 +198,21 @@ def nexus_labels(spark, d):
     return chars.unionByName(formats.nexus_state_labels(c).select("char_idx", "state_idx", "label"))
 
 
+def usertype_changes(spark, d):
+    """A USERTYPE whose states are a tree (state k under (k - 1) / 2), written and read, and
+    by its shortest ways the changes between each two taxa."""
+
+    def text(k):
+        below = [text(j) for j in (2 * k + 1, 2 * k + 2) if j < SENSE]
+        return (f"({','.join(below)})" if below else "") + str(k)
+
+    block = f"#NEXUS\nBEGIN ASSUMPTIONS;\n USERTYPE heap (CSTREE) = {text(0)};\nEND;\n"
+    types = formats.nexus_usertypes(formats.nexus_commands(spark, written(spark.createDataFrame([("u", block)], "file string, value string"))))
+    steps = step_types.shortest_steps(step_types.tree_edges(types.select("name", F.concat("definition", F.lit(";")).alias("newick"))))
+    cells = codon_cells(spark, d).select("taxon_idx", "site", F.col("state").cast("string").alias("state"))
+    return step_types.weighted_changes(cells, steps)
+
+
 def trace_table_round_trip(spark, d):
     """The trace as tab-separated columns, a folder for each chain, and long again."""
     long = trace(spark, d)
@@ -224,7 +239,7 @@ QUERIES = {
         fasta_round_trip, phylip_round_trip, phylip_relaxed_round_trip, phylip_interleaved_round_trip, clustal_round_trip, fin_round_trip, nexus_codons_round_trip,
         fasta_as_nexus, alignment_shapes, nexus_cells_round_trip, nexus_taxa_round_trip, nexus_trees_round_trip, newick_notes, newick_file_round_trip,
         nexus_distances_round_trip, nexus_unaligned_round_trip, nexus_sets_round_trip, nexus_associations_round_trip, nexus_block_report, nexus_block_links,
-        nexus_mixed_cells, nexus_labels, trace_table_round_trip, safe_names, site_columns,
+        nexus_mixed_cells, nexus_labels, usertype_changes, trace_table_round_trip, safe_names, site_columns,
     )
 }
 
@@ -269,6 +284,11 @@ SQL = {
       (5, 0, 0, '0', 'state', '0'), (5, 0, 1, 'x', 'uncertain', '0|1'), (5, 0, 2, 'Y', 'state', '2'), (5, 0, 3, '9', 'unknown', '9'),
       (5, 1, 0, '12', 'uncertain', '1|2'), (5, 1, 1, '?', 'missing', ''), (5, 1, 2, '-', 'gap', ''), (5, 1, 3, '1', 'state', '1')) AS t(block_idx, taxon_idx, char_idx, symbol, kind, states)""",
     "nexus_labels": """SELECT * FROM (VALUES (0, -1, 'colour'), (1, -1, 'wing (type)'), (0, 0, 'red'), (0, 1, 'blue'), (1, 0, 'long'), (1, 1, 'short')) AS t(char_idx, state_idx, label)""",
+    "usertype_changes": with_sql("codon_cells") + """,
+      h AS (SELECT range s, range a, 0 hops FROM range(61) UNION ALL SELECT s, (a - 1) // 2, hops + 1 FROM h WHERE a > 0),
+      w AS (SELECT x.s i, y.s j, min(x.hops + y.hops) steps FROM h x JOIN h y ON x.a = y.a GROUP BY x.s, y.s)
+      SELECT a.taxon_idx taxon_a, b.taxon_idx taxon_b, count(*) n_sites, CAST(sum(steps) AS DOUBLE) steps, CAST(0 AS BIGINT) n_barred
+      FROM codon_cells a JOIN codon_cells b ON a.site = b.site AND a.taxon_idx < b.taxon_idx JOIN w ON w.i = a.state AND w.j = b.state GROUP BY a.taxon_idx, b.taxon_idx""",
     "trace_table_round_trip": with_sql("trace") + " SELECT iteration, chain, param, round(value, 6) AS value FROM trace WHERE value IS NOT NULL",
     "safe_names": "SELECT n_name AS name, 't' || CAST(n_nationkey AS VARCHAR) safe_name FROM nation",
     "site_columns": "SELECT c_custkey % 1000 iteration, c_mktsegment || '[' || CAST(c_custkey AS VARCHAR) || ']' param, round(c_acctbal, 2) AS value FROM customer",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codonloom.operators import trees as tr
 from codonloom.operators.lineage import cut
+from codonloom.operators.step_types import unsupported_nodes
 from codonloom.sources.adapters import tree_nodes, with_sql
 
 TREES = 20
@@ -69,6 +70,14 @@ def deep_trees(spark, d):
     return placed.select("tree_id", "node_idx", "depth", "pre_order", "post_order", "size", "n_tips", F.round(F.col("dist") - root, 2).alias("dist"))
 
 
+def nodes_without_support(spark, d):
+    """Customers that no name, and no third customer's support, tells of in the trees of orders."""
+    t = order_trees(spark, d).withColumn("name", F.when(F.col("is_tip"), F.concat(F.lit("o"), F.col("node_idx").cast("string"))))
+    last = t.filter("is_tip").agg(F.max("node_idx")).first()[0] + 1
+    held = t.filter(~F.col("is_tip") & ((F.col("node_idx") - last) % 3 == 0)).select("tree_id", "node_idx")
+    return unsupported_nodes(t, held)
+
+
 def outdegree_histogram(spark, d):
     return tr.out_degrees(forest(spark, d))
 
@@ -137,7 +146,7 @@ def newick_round_trip(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        tree_traversal, tree_closure, patristic_distance, patristic_matrix, patristic_to_mrca, deep_trees, outdegree_histogram, single_child_nodes, tree_splits, split_frequencies,
+        tree_traversal, tree_closure, patristic_distance, patristic_matrix, patristic_to_mrca, deep_trees, nodes_without_support, outdegree_histogram, single_child_nodes, tree_splits, split_frequencies,
         unsupported_splits, compared_nodes, tip_masks, subtree_of_tips, rerooted, tree_inspection, newick_text, newick_round_trip,
     )
 }
@@ -188,6 +197,13 @@ SQL = {
       tip AS (SELECT o.*, s.depth, s.before, s.n, s.tips, s.inner_, row_number() OVER (PARTITION BY o.tree_id, o.c ORDER BY k) - 1 nth FROM o JOIN sums s ON s.tree_id = o.tree_id AND s.c = o.c)
       SELECT tree_id, k node_idx, CAST(depth + 1 AS INT) depth, CAST(depth + 1 + before + nth AS INT) pre_order, CAST(before + nth AS INT) post_order, CAST(1 AS BIGINT) AS size, CAST(1 AS BIGINT) n_tips, round(len + depth, 2) dist FROM tip
       UNION ALL SELECT tree_id, CAST(c + (SELECT last FROM m) AS INT), CAST(depth AS INT), CAST(depth + before AS INT), CAST(tips + inner_ - 1 - depth AS INT), CAST(tips - before + inner_ - depth AS BIGINT), CAST(tips - before AS BIGINT), CAST(depth AS DOUBLE) FROM sums""",
+    "nodes_without_support": """
+      WITH o AS (SELECT ascii(o_orderstatus) tree_id, CAST(o_orderkey AS INT) k, CAST(o_custkey AS INT) c FROM orders), m AS (SELECT max(k) + 1 AS last FROM o),
+      cust AS (SELECT tree_id, c, count(*) n, min(k) lo, max(k) hi, row_number() OVER (PARTITION BY tree_id ORDER BY c) nth, count(*) OVER (PARTITION BY tree_id) AS of_, last_value(max(k)) OVER (PARTITION BY tree_id ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) far
+        FROM o GROUP BY tree_id, c),
+      f AS (SELECT *, n = 1 AND nth = of_ AS single FROM cust WHERE nth > 1 AND c % 3 <> 0)
+      SELECT tree_id, CAST(c + (SELECT last FROM m) AS INT) node_idx, CASE WHEN single THEN 1 ELSE 0 END n_before, CASE WHEN single THEN 'o' || CAST(lo AS VARCHAR) END AS named,
+        CASE WHEN NOT single THEN 'o' || CAST(lo AS VARCHAR) END leftmost, CASE WHEN NOT single THEN 'o' || CAST(far AS VARCHAR) END rightmost FROM f""",
     "outdegree_histogram": _FOREST + """,
       kids AS (SELECT f.tree_id, f.node_idx, count(c.node_idx) n_children FROM forest f LEFT JOIN forest c ON c.tree_id = f.tree_id AND c.parent_idx = f.node_idx GROUP BY f.tree_id, f.node_idx)
       SELECT tree_id, n_children, count(*) n_nodes FROM kids GROUP BY tree_id, n_children""",

@@ -375,6 +375,23 @@ def nexus_sets(commands: DataFrame) -> DataFrame:
     return rows.select("file", F.lower("command").alias("kind"), unquoted(F.trim(F.regexp_extract("body", r"^\*?\s*([^=(]+?)\s*(?:\([^)]*\))?\s*=", 1))).alias("name"), F.trim(F.regexp_replace("body", r"^[^=]*=", "")).alias("definition"))
 
 
+def nexus_usertypes(commands: DataFrame) -> DataFrame:
+    """file, name, form, definition: the USERTYPEs of ASSUMPTIONS blocks; form is cstree
+    (definition: a tree of states) or stepmatrix (size, states and rows of steps)."""
+    rows = commands.filter("command = 'USERTYPE'")
+    head, form = F.regexp_extract("body", r"^\*?\s*([^=]*)=", 1), F.lower(F.regexp_extract("body", r"^[^=(]*\(([^)]*)\)\s*[^=]*=", 1))
+    name = F.trim(F.regexp_replace(F.regexp_replace(head, r"\([^)]*\)", ""), r"(?i)\s(STEPMATRIX|REALMATRIX|CSTREE)\b.*$", ""))
+    tree = form.contains("cstree") | F.upper(head).rlike(r"\sCSTREE\s*$")
+    return rows.select("file", unquoted(name).alias("name"), F.when(tree, "cstree").otherwise("stepmatrix").alias("form"), F.trim(F.regexp_replace("body", r"^[^=]*=", "")).alias("definition"))
+
+
+def nexus_options(commands: DataFrame) -> DataFrame:
+    """file, block_idx, deftype, polytcount, gapmode: the OPTIONS of ASSUMPTIONS blocks."""
+    rows = commands.filter("block = 'ASSUMPTIONS' AND command = 'OPTIONS'")
+    read = lambda k, d: F.lower(option(F.col("body"), k, d)).alias(k.lower())
+    return rows.select("file", "block_idx", read("DEFTYPE", "unord"), read("POLYTCOUNT", "minsteps"), read("GAPMODE", "missing"))
+
+
 def nexus_distances(commands: DataFrame) -> DataFrame:
     """file, block_idx, row, col, name, d: the cells of a lower, upper or full triangle,
     null if missing; name is the row's. Interleaved pages join by name; without labels
