@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from codonloom.functions.genetic import NUCLEOTIDES, SENSE, amino_acids, codon_pairs, codons, sense_codons
 
 
-def rate(pi_to: Column, kappa: float, omega: Column | float) -> Column:
+def rate(pi_to: Column, kappa: Column | float, omega: Column | float) -> Column:
     """pi of the target, times kappa for a transition, times omega for an amino-acid change."""
-    omega = F.lit(omega) if isinstance(omega, float) else omega
-    return pi_to * F.when(F.col("is_transition"), F.lit(kappa)).otherwise(F.lit(1.0)) * F.when(F.col("is_synonymous"), F.lit(1.0)).otherwise(omega)
+    kappa, omega = (F.lit(x) if isinstance(x, float) else x for x in (kappa, omega))
+    return pi_to * F.when(F.col("is_transition"), kappa).otherwise(F.lit(1.0)) * F.when(F.col("is_synonymous"), F.lit(1.0)).otherwise(omega)
 
 
 def cumulative_omegas(spark: SparkSession, increments: list[float]) -> DataFrame:
@@ -61,6 +61,51 @@ def raw_dnds(spark: SparkSession, kappa: float, omegas: DataFrame) -> DataFrame:
     return pairs.groupBy("regime").agg(ratio.alias("dnds_raw"), (ratio / (F.sum(F.when(non, neutral)) / F.sum(F.when(syn, neutral)))).alias("dnds_per_site"))
 
 
+def sampled_omegas(samples: DataFrame) -> DataFrame:
+    """(sample, kappa, increments) to (sample, kappa, n, regime, omega): running sums of
+    each sample's increments, inside its row."""
+    sums = F.transform(F.sequence(F.lit(1), F.size("increments")), lambda k: F.aggregate(F.slice("increments", F.lit(1), k), F.lit(0.0), lambda a, x: a + x))
+    return samples.select("sample", "kappa", F.size("increments").alias("n"), F.posexplode(sums).alias("regime", "omega"))
+
+
+def sampled_rates(samples: DataFrame, switching: float = 0.0) -> DataFrame:
+    """(sample, kappa, increments) to (sample, i, j, rate): the rate matrices of all samples
+    of a trace, as rate_matrix has them of one. The pairs of codons go to the samples,
+    which stay where they are; rows of a matrix meet in the sums of a sample."""
+    spark, pi = samples.sparkSession, 1.0 / SENSE
+    pairs = codon_pairs(codons(spark))
+    both = pairs.select("i", "j", "is_transition", "is_synonymous").union(pairs.select("j", "i", "is_transition", "is_synonymous"))
+    off = sampled_omegas(samples).join(F.broadcast(both), F.lit(True)).select("sample", "n", "regime", "i", "j", rate(F.lit(pi), F.col("kappa"), F.col("omega")).alias("rate"))  # 526 pairs
+    out = off.groupBy("sample", "n", "regime", "i").agg(F.sum("rate").alias("rate"))
+    scale = out.groupBy("sample").agg((F.first("n") / (F.sum("rate") * pi)).alias("scale"))
+    rows = off.unionByName(out.select("sample", "n", "regime", "i", F.col("i").alias("j"), (-F.col("rate")).alias("rate"))).join(scale, "sample")
+    stay = F.when(F.col("i") == F.col("j"), (F.col("n") - 1) * switching).otherwise(0.0)
+    inside = rows.select("sample", *[(F.col("regime") * SENSE + F.col(x)).alias(x) for x in "ij"], (F.col("rate") * F.col("scale") - stay).alias("rate"))
+    moves = samples.select("sample", F.size("increments").alias("n")).select("sample", F.explode(F.sequence(F.lit(0), F.col("n") * SENSE - 1)).alias("i"), "n")
+    across = moves.select("sample", "i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("r")).select("sample", "i", (F.col("r") * SENSE + F.col("i") % SENSE).alias("j"), F.lit(switching).alias("rate"))
+    return inside.union(across.filter("i != j"))
+
+
+def sampled_dnds(samples: DataFrame) -> DataFrame:
+    """sample, regime, omega, mean_rate (before scaling), dnds_raw, dnds_per_site for every
+    regime of every sample, from the counts of neighbouring pairs by kind."""
+    kinds = codon_pairs(codons(samples.sparkSession)).groupBy("is_transition", "is_synonymous").agg((F.count(F.lit(1)) * 2.0 / SENSE).alias("pi"))
+    each = sampled_omegas(samples).join(F.broadcast(kinds), F.lit(True))  # four rows
+    weight, neutral = (rate(F.col("pi"), F.col("kappa"), o) for o in (F.col("omega"), 1.0))
+    syn = F.col("is_synonymous")
+    total = lambda w, of: F.sum(F.when(of, w))
+    ratio = total(weight, ~syn) / total(weight, syn)
+    return each.groupBy("sample", "regime").agg(
+        F.first("omega").alias("omega"), (F.sum(weight) / SENSE).alias("mean_rate"), ratio.alias("dnds_raw"), (ratio / (total(neutral, ~syn) / total(neutral, syn))).alias("dnds_per_site")
+    )
+
+
+def tiled_frequencies(frequencies: DataFrame, regimes: int) -> DataFrame:
+    """(state, pi) to the stationary frequencies of a model of so many regimes."""
+    tiles = frequencies.select(F.explode(F.sequence(F.lit(0), F.lit(regimes - 1))).alias("r"), "state", "pi")
+    return tiles.select((F.col("r") * SENSE + F.col("state")).alias("state"), (F.col("pi") / regimes).alias("pi"))
+
+
 @functools.lru_cache(maxsize=4)
 def neighbour_arrays(code: str = "standard") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """from, to, is transition, is synonymous: the pairs in both directions."""

@@ -155,47 +155,61 @@ def nexus_associations_round_trip(spark, d):
     return formats.nexus_associations(formats.nexus_commands(spark, written(sinks.nexus_associations_text(pairs)))).select("a", "b")
 
 
-MIXED = """#NEXUS
-BEGIN TAXA; TITLE first; DIMENSIONS NTAX=2; TAXLABELS x y; END;
-BEGIN TAXA; TITLE 'the other'; DIMENSIONS NTAX=2; TAXLABELS p q; END;
-BEGIN CHARACTERS; TITLE words; LINK TAXA = first; DIMENSIONS NCHAR=3; FORMAT DATATYPE=STANDARD TOKENS;
- CHARSTATELABELS 1 colour / red blue, 2 'wing (type)' / long short; ELIMINATE 3;
- MATRIX x red long 1
- y (red blue) short 0 ; END;
-BEGIN CHARACTERS; TITLE numbers; DIMENSIONS NCHAR=2; FORMAT DATATYPE=CONTINUOUS; MATRIX p 1.5 -2e-3 q 0 ? ; END;
-BEGIN CHARACTERS; TITLE codes; LINK TAXA = 'the other'; DIMENSIONS NCHAR=4; FORMAT SYMBOLS="0 1 2" EQUATE="x=(01) Y=2"; MATRIX
- p 0x
-   Y9
- q {12}?-1
- ; END;
-BEGIN NOTES; TEXT [a [nested] comment; with marks] anything 'in [quotes]; here'; END;
-"""
-
-
-def mixed(spark) -> DataFrame:
-    """The commands of one file that has several blocks of a kind."""
-    text = MIXED.replace("MATRIX p 1.5 -2e-3 q", "MATRIX\np 1.5 -2e-3\nq").replace("MATRIX x", "MATRIX\nx")
-    return formats.nexus_commands(spark, written(spark.createDataFrame([("m", text)], "file string, value string")))
+#: The cells of a code, by number; x is (01), Y is 2, 9 is no symbol of the block.
+CODES = ["0", "1", "x", "Y", "{12}", "?", "-", "9"]
+
+
+def mixed(spark, d) -> DataFrame:
+    """The commands of a file for each region that has several blocks of a kind: its
+    customers as taxa with words and codes, its nations with numbers."""
+    c, n, r = (read(spark, d, t) for t in ("customer", "nation", "region"))
+    home = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name")  # nations: 25 rows
+    row = c.join(F.broadcast(home), c.c_nationkey == home.n_nationkey)
+    key = F.col("c_custkey")
+    code = [F.element_at(F.array(*map(F.lit, CODES)), (F.floor(key / k) % 8 + 1).cast("int")) for k in (1, 8, 64)]
+    segment = F.when(key % 7 == 0, F.concat(F.lit("("), "c_mktsegment", F.lit(" other)"))).otherwise(F.col("c_mktsegment"))
+    lines = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), x.alias("t")))), lambda v: v["t"]), "\n")
+    name = F.concat(F.lit("c"), key.cast("string"))
+    taxa = row.groupBy("r_name").agg(
+        F.count(F.lit(1)).alias("n"), lines(name).alias("names"), lines(F.concat(name, F.lit(" "), segment, F.lit(" "), F.col("c_nationkey").cast("string"))).alias("words"),
+        lines(F.concat(name, F.lit(" "), code[0], F.when(key % 2 == 0, "\n  ").otherwise(""), code[1], code[2])).alias("codes"),
+    )
+    by_nation = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", x.alias("t")))), lambda v: v["t"]), "\n")
+    nations = home.groupBy("r_name").agg(
+        F.count(F.lit(1)).alias("m"), by_nation(F.concat(F.lit("'"), "n_name", F.lit("'"))).alias("places"),
+        by_nation(F.concat(F.lit("'"), "n_name", F.lit("' "), (F.col("n_nationkey") / 4.0).cast("string"), F.when(F.col("n_nationkey") % 5 == 0, " ?").otherwise(" -2e-3"))).alias("numbers"),
+        by_nation(F.concat(F.lit("'n"), F.col("n_nationkey").cast("string"), F.lit("'"))).alias("labels"),
+    )
+    text = F.format_string(
+        "#NEXUS\nBEGIN TAXA; TITLE '%s'; DIMENSIONS NTAX=%d; TAXLABELS %s; END;\nBEGIN TAXA; TITLE 'the other'; DIMENSIONS NTAX=%d; TAXLABELS %s; END;\n"
+        "BEGIN CHARACTERS; TITLE words; LINK TAXA = '%s'; DIMENSIONS NCHAR=2; FORMAT DATATYPE=STANDARD TOKENS;\n CHARSTATELABELS 1 segment, 2 'home (nation)' / %s; ELIMINATE 2;\n MATRIX\n%s\n; END;\n"
+        "BEGIN CHARACTERS; TITLE numbers; DIMENSIONS NCHAR=2; FORMAT DATATYPE=CONTINUOUS; MATRIX\n%s\n; END;\n"
+        "BEGIN CHARACTERS; TITLE codes; LINK TAXA = '%s'; DIMENSIONS NCHAR=3; FORMAT SYMBOLS=\"0 1 2\" EQUATE=\"x=(01) Y=2\"; MATRIX\n%s\n; END;\n"
+        "BEGIN NOTES; TEXT [a [nested] comment; with marks] anything 'in [quotes]; here'; END;\n",
+        "r_name", "n", "names", "m", "places", "r_name", "labels", "words", "numbers", "r_name", "codes",
+    )
+    return named(formats.nexus_commands(spark, written(taxa.join(nations, "r_name").select(F.replace("r_name", F.lit(" "), F.lit("_")).alias("file"), text.alias("value")))))
 
 
 def nexus_block_report(spark, d):
-    return formats.nexus_blocks(mixed(spark)).select("block_idx", "block", "title", "n_commands")
+    return formats.nexus_blocks(mixed(spark, d)).select("file", "block_idx", "block", "title", "n_commands")
 
 
 def nexus_block_links(spark, d):
-    return formats.nexus_links(mixed(spark)).select("block_idx", "kind", "target_idx")
+    return formats.nexus_links(mixed(spark, d)).select("file", "block_idx", "kind", "target_idx")
 
 
 def nexus_mixed_cells(spark, d):
     """Cells of token, continuous and symbol matrices, equates followed."""
-    cells = formats.nexus_cells(formats.nexus_matrix(mixed(spark)))
-    return cells.select("block_idx", "taxon_idx", "char_idx", "symbol", "kind", F.array_join("states", "|").alias("states"))
+    matrix = cut(formats.nexus_matrix(mixed(spark, d)))
+    cells = formats.nexus_cells(matrix).join(matrix.select("file", "block_idx", "taxon_idx", "name"), ["file", "block_idx", "taxon_idx"])
+    return cells.select("block_idx", "name", "char_idx", "symbol", "kind", F.array_join("states", "|").alias("states"))
 
 
 def nexus_labels(spark, d):
-    c = mixed(spark)
-    chars = formats.nexus_char_labels(c).select("char_idx", F.lit(-1).alias("state_idx"), "label")
-    return chars.unionByName(formats.nexus_state_labels(c).select("char_idx", "state_idx", "label"))
+    c = mixed(spark, d)
+    chars = formats.nexus_char_labels(c).select("file", "char_idx", F.lit(-1).alias("state_idx"), "label")
+    return chars.unionByName(formats.nexus_state_labels(c).select("file", "char_idx", "state_idx", "label"))
 
 
 def usertype_changes(spark, d):
@@ -275,15 +289,25 @@ SQL = {
     "nexus_unaligned_round_trip": _DOCS + " SELECT file, name, seq FROM docs",
     "nexus_sets_round_trip": "SELECT DISTINCT 'set ' || CAST(o_custkey % 10 AS VARCHAR) AS name, CAST(o_orderkey % 200 + 1 AS INT) idx FROM orders",
     "nexus_associations_round_trip": "SELECT r_name a, n_name b FROM nation JOIN region ON n_regionkey = r_regionkey",
-    "nexus_block_report": """SELECT * FROM (VALUES (1, 'TAXA', 'first', 3), (2, 'TAXA', 'the other', 3), (3, 'CHARACTERS', 'words', 7), (4, 'CHARACTERS', 'numbers', 4),
-      (5, 'CHARACTERS', 'codes', 5), (6, 'NOTES', NULL, 1)) AS t(block_idx, block, title, n_commands)""",
-    "nexus_block_links": "SELECT * FROM (VALUES (3, 'TAXA', 1), (4, 'TAXA', 2), (5, 'TAXA', 2), (6, 'TAXA', 2)) AS t(block_idx, kind, target_idx)",
-    "nexus_mixed_cells": """SELECT * FROM (VALUES (3, 0, 0, 'red', 'state', 'red'), (3, 0, 1, 'long', 'state', 'long'), (3, 0, 2, '1', 'state', '1'),
-      (3, 1, 0, 'red blue', 'polymorphic', 'red|blue'), (3, 1, 1, 'short', 'state', 'short'), (3, 1, 2, '0', 'state', '0'),
-      (4, 0, 0, '1.5', 'state', '1.5'), (4, 0, 1, '-2e-3', 'state', '-2e-3'), (4, 1, 0, '0', 'state', '0'), (4, 1, 1, '?', 'missing', ''),
-      (5, 0, 0, '0', 'state', '0'), (5, 0, 1, 'x', 'uncertain', '0|1'), (5, 0, 2, 'Y', 'state', '2'), (5, 0, 3, '9', 'unknown', '9'),
-      (5, 1, 0, '12', 'uncertain', '1|2'), (5, 1, 1, '?', 'missing', ''), (5, 1, 2, '-', 'gap', ''), (5, 1, 3, '1', 'state', '1')) AS t(block_idx, taxon_idx, char_idx, symbol, kind, states)""",
-    "nexus_labels": """SELECT * FROM (VALUES (0, -1, 'colour'), (1, -1, 'wing (type)'), (0, 0, 'red'), (0, 1, 'blue'), (1, 0, 'long'), (1, 1, 'short')) AS t(char_idx, state_idx, label)""",
+    "nexus_block_report": """
+      WITH b(block_idx, block, title, n_commands) AS (VALUES (1, 'TAXA', '', 3), (2, 'TAXA', 'the other', 3), (3, 'CHARACTERS', 'words', 7), (4, 'CHARACTERS', 'numbers', 4), (5, 'CHARACTERS', 'codes', 5), (6, 'NOTES', NULL, 1))
+      SELECT replace(r_name, ' ', '_') file, block_idx, block, CASE WHEN title = '' THEN r_name ELSE title END title, n_commands FROM b, region WHERE r_regionkey IN (SELECT n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey)""",
+    "nexus_block_links": """
+      WITH b(block_idx, kind, target_idx) AS (VALUES (3, 'TAXA', 1), (4, 'TAXA', 2), (5, 'TAXA', 1), (6, 'TAXA', 2))
+      SELECT replace(r_name, ' ', '_') file, block_idx, kind, target_idx FROM b, region WHERE r_regionkey IN (SELECT n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey)""",
+    "nexus_mixed_cells": """
+      WITH code(i, symbol, kind, states) AS (VALUES (0, '0', 'state', '0'), (1, '1', 'state', '1'), (2, 'x', 'uncertain', '0|1'), (3, 'Y', 'state', '2'), (4, '12', 'uncertain', '1|2'), (5, '?', 'missing', ''), (6, '-', 'gap', ''), (7, '9', 'unknown', '9')),
+      used AS (SELECT * FROM nation WHERE n_regionkey IN (SELECT n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey))
+      SELECT 3 block_idx, 'c' || CAST(c_custkey AS VARCHAR) AS name, 0 char_idx, CASE WHEN c_custkey % 7 = 0 THEN c_mktsegment || ' other' ELSE c_mktsegment END symbol,
+        CASE WHEN c_custkey % 7 = 0 THEN 'polymorphic' ELSE 'state' END kind, CASE WHEN c_custkey % 7 = 0 THEN c_mktsegment || '|other' ELSE c_mktsegment END states FROM customer JOIN nation ON c_nationkey = n_nationkey
+      UNION ALL SELECT 3, 'c' || CAST(c_custkey AS VARCHAR), 1, CAST(c_nationkey AS VARCHAR), 'state', CAST(c_nationkey AS VARCHAR) FROM customer JOIN nation ON c_nationkey = n_nationkey
+      UNION ALL SELECT 4, n_name, 0, CAST(n_nationkey / CAST(4 AS DOUBLE) AS VARCHAR), 'state', CAST(n_nationkey / CAST(4 AS DOUBLE) AS VARCHAR) FROM used
+      UNION ALL SELECT 4, n_name, 1, CASE WHEN n_nationkey % 5 = 0 THEN '?' ELSE '-2e-3' END, CASE WHEN n_nationkey % 5 = 0 THEN 'missing' ELSE 'state' END, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE '-2e-3' END FROM used
+      UNION ALL SELECT 5, 'c' || CAST(c_custkey AS VARCHAR), k.c, symbol, kind, states FROM customer JOIN nation ON c_nationkey = n_nationkey CROSS JOIN (VALUES (0, 1), (1, 8), (2, 64)) k(c, p) JOIN code ON i = c_custkey // p % 8""",
+    "nexus_labels": """
+      WITH n AS (SELECT replace(r_name, ' ', '_') file, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey IN (SELECT n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey))
+      SELECT DISTINCT file, 0 char_idx, -1 state_idx, 'segment' AS label FROM n UNION ALL SELECT DISTINCT file, 1, -1, 'home (nation)' FROM n
+      UNION ALL SELECT file, 1, CAST(row_number() OVER (PARTITION BY file ORDER BY n_nationkey) - 1 AS INT), 'n' || CAST(n_nationkey AS VARCHAR) FROM n""",
     "usertype_changes": with_sql("codon_cells") + """,
       h AS (SELECT range s, range a, 0 hops FROM range(61) UNION ALL SELECT s, (a - 1) // 2, hops + 1 FROM h WHERE a > 0),
       w AS (SELECT x.s i, y.s j, min(x.hops + y.hops) steps FROM h x JOIN h y ON x.a = y.a GROUP BY x.s, y.s)

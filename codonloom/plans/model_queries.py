@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from codonloom.functions import probability as pr
 from codonloom.functions import substitution as sub
-from codonloom.functions.genetic import SENSE
+from codonloom.functions.genetic import SENSE, codon_pairs, codons
 from codonloom.operators import likelihood
+from codonloom.operators.characters import step_matrix
+from codonloom.operators.step_types import weighted_changes
 from codonloom.operators.traces import normalised_weights
 from codonloom.sources.adapters import codon_cells, read, tree_nodes, with_sql
 
@@ -37,6 +39,51 @@ def cumulative_omegas(spark, d):
     return sub.cumulative_omegas(spark, INCREMENTS).select("regime", F.round("omega", 9).alias("omega"))
 
 
+def samples(spark, d):
+    """A sample of parameters for each user's events: kappa and three increments of omega."""
+    x = read(spark, d, "events").filter("value IS NOT NULL").groupBy(F.col("user_id").alias("sample")).agg(F.round(F.avg(F.abs("value")), 3).alias("m"), F.count(F.lit(1)).alias("n"))
+    return x.select("sample", (1.0 + F.col("m") / 50.0).alias("kappa"), F.array(F.lit(0.1), F.col("m") / 500.0, F.col("n") / 10.0).alias("increments"))
+
+
+def sampled_rates(spark, d):
+    """The diagonal of every sample's rate matrix, and the sum of each row."""
+    q = sub.sampled_rates(samples(spark, d), SWITCH)
+    out = F.sum(F.when(F.col("i") == F.col("j"), F.col("rate")))
+    return q.groupBy("sample", "i").agg(F.round(out, 6).alias("diagonal"), F.round(F.sum(F.when(F.col("i") != F.col("j"), F.col("rate"))), 6).alias("off_diagonal"), F.count(F.lit(1)).alias("n_cells"))
+
+
+def sampled_dnds(spark, d):
+    got = sub.sampled_dnds(samples(spark, d))
+    return got.select("sample", "regime", *[F.round(c, 6).alias(c) for c in ("omega", "mean_rate", "dnds_raw", "dnds_per_site")])
+
+
+def observed_frequencies(spark, d):
+    """The frequencies of observed codons as those of a model of three regimes."""
+    n = codon_cells(spark, d).filter("state IS NOT NULL").groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    total = n.agg(F.sum("n").alias("t"))
+    return sub.tiled_frequencies(n.join(F.broadcast(total), F.lit(True)).select("state", (F.col("n") / F.col("t")).alias("pi")), 3).select("state", F.round("pi", 9).alias("pi"))  # one row
+
+
+def codon_changes(spark, d):
+    """Between each two taxa the sites that differ by one nucleotide, by kind of change."""
+    cells = codon_cells(spark, d).filter("state IS NOT NULL")
+    a = cells.select("site", F.col("taxon_idx").alias("taxon_a"), F.col("state").alias("_a"))
+    b = cells.select("site", F.col("taxon_idx").alias("taxon_b"), F.col("state").alias("_b"))
+    both = a.join(b, "site").filter("taxon_a < taxon_b AND _a != _b").select("taxon_a", "taxon_b", F.least("_a", "_b").alias("i"), F.greatest("_a", "_b").alias("j"))
+    counted = both.groupBy("taxon_a", "taxon_b", "i", "j").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(codon_pairs(codons(spark))), ["i", "j"], "left")  # 263 pairs
+    kind = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    return counted.groupBy("taxon_a", "taxon_b").agg(
+        F.sum("n").alias("n_changed"), kind(F.col("codon_i").isNotNull()).alias("n_neighbours"), kind(F.col("is_transition")).alias("n_transitions"), kind(F.col("is_synonymous")).alias("n_synonymous")
+    )
+
+
+def ordered_changes(spark, d):
+    """Changes between each two taxa under ordered and unordered steps of amino acids' states."""
+    cells = codon_cells(spark, d).select("taxon_idx", "site", (F.col("state") % 5).alias("state"))
+    got = [weighted_changes(cells, step_matrix(5, o, spark).select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("steps").cast("double").alias("steps"))) for o in (True, False)]
+    return got[0].select("taxon_a", "taxon_b", "n_sites", F.col("steps").alias("ordered")).join(got[1].select("taxon_a", "taxon_b", F.col("steps").alias("unordered")), ["taxon_a", "taxon_b"])
+
+
 def transition_prob(spark, d):
     lengths = spark.createDataFrame([(0.1,), (0.3,)], "v double")
     return sub.transition_probabilities(lengths, KAPPA, [OMEGA]).withColumn("p", F.round("p", 8))
@@ -124,7 +171,7 @@ def distribution_values(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        q_matrix_m0, q_matrix_cmm, stationary_tiled, dnds_raw, cumulative_omegas, transition_prob, branch_transition_prob, site_log_likelihood, total_log_likelihood,
+        q_matrix_m0, q_matrix_cmm, stationary_tiled, dnds_raw, cumulative_omegas, sampled_rates, sampled_dnds, observed_frequencies, codon_changes, ordered_changes, transition_prob, branch_transition_prob, site_log_likelihood, total_log_likelihood,
         site_log_likelihood_cmm, log_prior_m0, crp_alpha_expected, crp_alpha_solved, category_sizes, crp_log_prior, site_category_omegas, gibbs_weights,
         distribution_values,
     )
@@ -175,6 +222,9 @@ tipl AS (""", 1).replace("exp(sum(ln(pv.p))) l FROM codon_cells", "exp(sum(ln(tp
     .replace("CROSS JOIN codons c", "CROSS JOIN states c").replace("ln(sum(l) / 61)", "ln(sum(l) / 183)")
 )
 _RATES = with_sql("codons", "codon_pairs")
+_SAMPLES = f""",
+ev AS (SELECT user_id AS sample, round(avg(abs(value)), 3) m, count(*) n FROM events WHERE value IS NOT NULL GROUP BY user_id),
+sm AS (SELECT sample, 1 + m / 50 kappa, r.range AS regime, CASE WHEN r.range = 0 THEN {_D("0.1")} WHEN r.range = 1 THEN {_D("0.1")} + m / 500 ELSE {_D("0.1")} + m / 500 + n / {_D("10.0")} END omega FROM ev, range(3) r)"""
 
 SQL = {
     "q_matrix_m0": _RATES + _M0 + " SELECT i, j, round(rate, 9) rate FROM q",
@@ -185,6 +235,24 @@ SQL = {
       s AS (SELECT regime, sum(b * omega) FILTER (WHERE NOT is_synonymous) n, sum(b) FILTER (WHERE is_synonymous) y, sum(b) FILTER (WHERE NOT is_synonymous) n1 FROM w GROUP BY regime)
       SELECT regime, round(n / y, 9) dnds_raw, round((n / y) / (n1 / y), 9) dnds_per_site FROM s""",
     "cumulative_omegas": f"WITH {_OMEGAS} SELECT regime, round(omega, 9) omega FROM om",
+    "sampled_rates": _RATES + _BOTH + _SAMPLES + f""",
+      q0 AS (SELECT sample, regime, i, {_D("1.0")} / 61 * CASE WHEN is_transition THEN kappa ELSE 1 END * CASE WHEN is_synonymous THEN 1 ELSE omega END r FROM nb, sm),
+      ro AS (SELECT sample, regime, i, sum(r) o, count(*) n FROM q0 GROUP BY sample, regime, i),
+      sc AS (SELECT sample, {_D("3.0")} / (sum(o) / 61) s FROM ro GROUP BY sample)
+      SELECT sample, CAST(61 * regime + i AS INT) i, round(-o * s - {_D("0.4")}, 6) diagonal, round(o * s + {_D("0.4")}, 6) off_diagonal, n + 3 n_cells FROM ro JOIN sc USING (sample)""",
+    "sampled_dnds": _RATES + _SAMPLES + f""",
+      w AS (SELECT sample, regime, omega, is_synonymous syn, {_D("2.0")} / 61 * CASE WHEN is_transition THEN kappa ELSE 1 END b FROM codon_pairs, sm),
+      s AS (SELECT sample, regime, omega, sum(b * omega) FILTER (WHERE NOT syn) n, sum(b) FILTER (WHERE syn) y, sum(b) FILTER (WHERE NOT syn) n1 FROM w GROUP BY sample, regime, omega)
+      SELECT sample, regime, round(omega, 6) omega, round((n + y) / 61, 6) mean_rate, round(n / y, 6) dnds_raw, round((n / y) / (n1 / y), 6) dnds_per_site FROM s""",
+    "observed_frequencies": with_sql("codon_cells") + f"""
+      SELECT CAST(61 * r.range + state AS INT) state, round(count(*) / CAST((SELECT count(state) FROM codon_cells) AS DOUBLE) / 3, 9) pi FROM codon_cells, range(3) r WHERE state IS NOT NULL GROUP BY r.range, state""",
+    "codon_changes": with_sql("codons", "codon_pairs", "codon_cells") + """
+      SELECT a.taxon_idx taxon_a, b.taxon_idx taxon_b, count(*) n_changed, count(p.i) n_neighbours, count(*) FILTER (WHERE is_transition) n_transitions, count(*) FILTER (WHERE is_synonymous) n_synonymous
+      FROM codon_cells a JOIN codon_cells b ON a.site = b.site AND a.taxon_idx < b.taxon_idx AND a.state <> b.state LEFT JOIN codon_pairs p ON p.i = least(a.state, b.state) AND p.j = greatest(a.state, b.state)
+      GROUP BY a.taxon_idx, b.taxon_idx""",
+    "ordered_changes": with_sql("codon_cells") + """
+      SELECT a.taxon_idx taxon_a, b.taxon_idx taxon_b, count(*) n_sites, CAST(sum(abs(a.state % 5 - b.state % 5)) AS DOUBLE) ordered, CAST(sum(CASE WHEN a.state % 5 <> b.state % 5 THEN 1 ELSE 0 END) AS DOUBLE) unordered
+      FROM codon_cells a JOIN codon_cells b ON a.site = b.site AND a.taxon_idx < b.taxon_idx WHERE a.state IS NOT NULL AND b.state IS NOT NULL GROUP BY a.taxon_idx, b.taxon_idx""",
     "transition_prob": _RATES + _M0 + _POWERS + f", vs(v) AS (VALUES ({_D('0.1')}), ({_D('0.3')}))" + _P + " SELECT v, i, j, round(p, 8) p FROM pv",
     "site_log_likelihood": with_sql("codons", "codon_pairs", "codon_cells", "tree_nodes") + _M0 + _POWERS + _LIK + " SELECT site, round(site_lnl, 6) site_lnl FROM lnl",
     "total_log_likelihood": with_sql("codons", "codon_pairs", "codon_cells", "tree_nodes") + _M0 + _POWERS + _LIK + " SELECT round(sum(site_lnl), 4) lnl, count(*) n_sites FROM lnl",
