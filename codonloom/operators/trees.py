@@ -318,15 +318,27 @@ def quoted(name: Column) -> Column:
     return F.when(name.rlike(r"[^A-Za-z0-9_.+\-]"), F.concat(F.lit("'"), F.replace(name, F.lit("'"), F.lit("''")), F.lit("'"))).otherwise(name)
 
 
-def newick(trees: DataFrame) -> DataFrame:
-    """tree_id, newick: ``name[&index=i]:length`` for every node, children by number.
+def indented(trees: DataFrame) -> DataFrame:
+    """tree_id, pre_order, line: a line for each node, three blanks for each step from the root."""
+    label = F.concat(F.col("node_idx").cast("string"), F.when(F.coalesce("name", F.lit("")) != "", F.concat(F.lit(" "), "name")).otherwise(""), F.format_string(" %.6f", F.coalesce("branch_len", F.lit(0.0))))
+    return traversal(trees).select("tree_id", "pre_order", F.concat(F.repeat(F.lit("   "), F.col("depth")), label).alias("line"))
+
+
+def newick(trees: DataFrame, nhx: list[str] | None = None) -> DataFrame:
+    """tree_id, newick: ``name[&index=i]:length`` for every node, children by number. With
+    ``nhx``, columns of the trees: ``name:length[&&NHX:column=value..]``, nulls left out.
 
     The text is a walk round the tree: a node writes a comma and a bracket when it is
     entered, its label when it is left. Entering node number p in pre-order at depth d
     is step 2p - d of the walk, leaving it as many steps later as its subtree has
     nodes, twice; so the pieces of a tree are sorted once, whatever its depth.
     """
-    label = F.concat(quoted(F.col("name")), F.lit("[&index="), F.col("node_idx").cast("string"), F.lit("]:"), F.format_string("%.6f", "branch_len"))
+    length = F.format_string("%.6f", "branch_len")
+    if nhx is None:
+        label = F.concat(quoted(F.col("name")), F.lit("[&index="), F.col("node_idx").cast("string"), F.lit("]:"), length)
+    else:
+        notes = F.concat(*[F.coalesce(F.concat(F.lit(f":{c}="), F.col(c).cast("string")), F.lit("")) for c in nhx], F.lit(""))
+        label = F.concat(quoted(F.col("name")), F.lit(":"), length, F.when(notes != "", F.concat(F.lit("[&&NHX"), notes, F.lit("]"))).otherwise(""))
     first = F.row_number().over(Window.partitionBy("tree_id", "parent_idx").orderBy("pre_order")) == 1
     t = traversal(trees).withColumns({
         "_in": 2 * F.col("pre_order") - F.col("depth"), "_comma": F.when(first | F.col("parent_idx").isNull(), "").otherwise(","),

@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codonloom.operators import trees as tr
-from codonloom.operators.lineage import cut
+from codonloom.operators.lineage import cut, new_path
 from codonloom.operators.step_types import unsupported_nodes
 from codonloom.sources.adapters import tree_nodes, with_sql
+from codonloom.sources.formats import newick_notes
+from codonloom.streaming import tree_stream
 
 TREES = 20
 
@@ -78,6 +80,30 @@ def nodes_without_support(spark, d):
     return unsupported_nodes(t, held)
 
 
+def outdegrees_rerooted(spark, d):
+    """After the first taxon became the root."""
+    return tr.out_degrees(tr.reroot(forest(spark, d), 0))
+
+
+def tree_dump(spark, d):
+    return tr.indented(forest(spark, d))
+
+
+def nhx_notes(spark, d):
+    """Numbers and parents of nodes as NHX comments, written and read."""
+    texts = tr.newick(forest(spark, d), nhx=["node_idx", "parent_idx"])
+    return newick_notes(texts).select("tree_id", F.col("label").alias("name"), "key", F.col("value").cast("int").alias("value"))
+
+
+def streamed_splits(spark, d):
+    """The trees' splits counted as their files arrive, four batches."""
+    at = [new_path(spark) for _ in range(3)]
+    trees = forest(spark, d).select(F.col("tree_id").cast("long").alias("tree_id"), "node_idx", "parent_idx", "name", "is_tip", "branch_len")
+    trees.repartition(4, "tree_id").write.parquet(at[0])
+    tree_stream.watch_splits(spark, at[0], at[1], at[2], 1).awaitTermination()
+    return tree_stream.split_totals(spark, at[1]).withColumns(joined("split")).withColumn("mean_len", F.round("mean_len", 6))
+
+
 def outdegree_histogram(spark, d):
     return tr.out_degrees(forest(spark, d))
 
@@ -146,7 +172,7 @@ def newick_round_trip(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        tree_traversal, tree_closure, patristic_distance, patristic_matrix, patristic_to_mrca, deep_trees, nodes_without_support, outdegree_histogram, single_child_nodes, tree_splits, split_frequencies,
+        tree_traversal, tree_closure, patristic_distance, patristic_matrix, patristic_to_mrca, deep_trees, nodes_without_support, outdegrees_rerooted, tree_dump, nhx_notes, streamed_splits, outdegree_histogram, single_child_nodes, tree_splits, split_frequencies,
         unsupported_splits, compared_nodes, tip_masks, subtree_of_tips, rerooted, tree_inspection, newick_text, newick_round_trip,
     )
 }
@@ -204,6 +230,17 @@ SQL = {
       f AS (SELECT *, n = 1 AND nth = of_ AS single FROM cust WHERE nth > 1 AND c % 3 <> 0)
       SELECT tree_id, CAST(c + (SELECT last FROM m) AS INT) node_idx, CASE WHEN single THEN 1 ELSE 0 END n_before, CASE WHEN single THEN 'o' || CAST(lo AS VARCHAR) END AS named,
         CASE WHEN NOT single THEN 'o' || CAST(lo AS VARCHAR) END leftmost, CASE WHEN NOT single THEN 'o' || CAST(far AS VARCHAR) END rightmost FROM f""",
+    "outdegrees_rerooted": _FOREST + """,
+      own AS (SELECT tree_id, parent_idx region FROM forest WHERE node_idx = 0),
+      f AS (SELECT f.tree_id, f.node_idx, CASE WHEN f.node_idx = 0 THEN NULL WHEN f.node_idx = region THEN 0 WHEN f.node_idx = 30 THEN region ELSE f.parent_idx END parent_idx FROM forest f JOIN own USING (tree_id)),
+      kids AS (SELECT f.tree_id, f.node_idx, count(c.node_idx) n_children FROM f LEFT JOIN f c ON c.tree_id = f.tree_id AND c.parent_idx = f.node_idx GROUP BY f.tree_id, f.node_idx)
+      SELECT tree_id, n_children, count(*) n_nodes FROM kids GROUP BY tree_id, n_children""",
+    "tree_dump": _FOREST + _CLOSURE + _PATHS + """
+      SELECT tree_id, CAST(row_number() OVER (PARTITION BY tree_id ORDER BY path) - 1 AS INT) pre_order, repeat('   ', depth) || CAST(node_idx AS VARCHAR) || ' ' || name || ' ' || printf('%.6f', branch_len) line
+      FROM paths JOIN forest USING (tree_id, node_idx)""",
+    "nhx_notes": _FOREST + """
+      SELECT tree_id, name, 'node_idx' AS key, node_idx AS value FROM forest UNION ALL SELECT tree_id, name, 'parent_idx', parent_idx FROM forest WHERE parent_idx IS NOT NULL""",
+    "streamed_splits": _FOREST + _CLOSURE + _MASKS + _SPLITS + " SELECT split, count(*) n_edges, round(avg(branch_len), 6) mean_len FROM splits GROUP BY split",
     "outdegree_histogram": _FOREST + """,
       kids AS (SELECT f.tree_id, f.node_idx, count(c.node_idx) n_children FROM forest f LEFT JOIN forest c ON c.tree_id = f.tree_id AND c.parent_idx = f.node_idx GROUP BY f.tree_id, f.node_idx)
       SELECT tree_id, n_children, count(*) n_nodes FROM kids GROUP BY tree_id, n_children""",
