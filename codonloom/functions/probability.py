@@ -26,6 +26,67 @@ def ln_gamma(x: Column) -> Column:
     return F.pandas_udf(lambda s: pd.Series(ln_gamma_values(s.to_numpy(float)), index=s.index), "double")(x.cast("double"))
 
 
+def gamma_share(a: float, x: np.ndarray) -> np.ndarray:
+    """The regularised lower incomplete gamma function: its power series up to a + 1,
+    beyond it the continued fraction of the rest."""
+    x = np.maximum(np.asarray(x, dtype=float), 0.0)
+    front = np.exp(a * np.log(np.maximum(x, 1e-300)) - x - math.lgamma(a))
+    low = x < a + 1
+    term = total = np.where(low, 1.0 / a, 0.0)
+    for n in range(1, 500):
+        term = term * np.where(low, x, 0.0) / (a + n)
+        total = total + term
+        if not (term > 1e-17 * total).any():
+            break
+    z = np.where(low, a + 2.0, x)
+    fraction = np.zeros_like(z)
+    for n in range(300, 0, -1):  # from the inside out
+        fraction = n * (a - n) / (z + 2 * n + 1 - a + fraction)
+    return np.where(x == 0, 0.0, np.where(low, front * total, 1.0 - front / (z + 1 - a + fraction)))
+
+
+def beta_share(a: float, b: float, x: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function by its continued fraction, on the side
+    where that converges."""
+    x = np.clip(np.asarray(x, dtype=float), 0.0, 1.0)
+    turned = x > (a + 1) / (a + b + 2)
+    z, p, q = np.where(turned, 1 - x, x), np.where(turned, b, a), np.where(turned, a, b)
+    f = np.zeros_like(z)
+    for n in range(200, 0, -1):
+        m = n // 2
+        even = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
+        odd = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
+        f = (even if n % 2 == 0 else odd) / (1 + f)
+    with np.errstate(divide="ignore"):
+        front = np.exp(p * np.log(z) + q * np.log1p(-z) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / p
+    share = np.where(z == 0, 0.0, front / (1 + f))
+    return np.where(turned, 1 - share, share)
+
+
+def vectorised(f, *columns: Column) -> Column:
+    """A function of numpy arrays as one of columns; null where a column is null."""
+    return F.pandas_udf(lambda *s: pd.Series(f(*[x.to_numpy(float) for x in s])).where(~pd.concat(s, axis=1).isna().any(axis=1).reset_index(drop=True)), "double")(*[c.cast("double") for c in columns])
+
+
+def inverse(cdf, low: float, high: float, steps: int = 100):
+    """The quantiles of a distribution on [low, high] by bisection of its cdf."""
+
+    def run(u: np.ndarray) -> np.ndarray:
+        lo, hi = np.full(u.shape, low), np.full(u.shape, high)
+        for _ in range(60):  # an end that is nowhere is first sought
+            hi = np.where(np.isfinite(hi), hi, 1.0)
+            if np.isfinite(high):
+                break
+            hi = np.where(cdf(hi) < u, hi * 2, hi)
+        for _ in range(steps):
+            middle = (lo + hi) / 2
+            below = cdf(middle) < u
+            lo, hi = np.where(below, middle, lo), np.where(below, hi, middle)
+        return (lo + hi) / 2
+
+    return run
+
+
 def expected_categories(alpha: Column, n: Column | float) -> Column:
     """Expected categories of a Dirichlet process over n sites: alpha ln(1 + n / alpha)."""
     n = F.lit(float(n)) if isinstance(n, (int, float)) else n
@@ -84,3 +145,90 @@ def dirichlet_ln_pdf(p: Column, alpha: float) -> Column:
     n = F.size(p).cast("double")
     logs = F.aggregate(p, F.lit(0.0), lambda acc, x: acc + F.log(x))
     return ln_gamma(n * alpha) - n * math.lgamma(alpha) + F.lit(alpha - 1) * logs
+
+
+def exponential_pdf(x: Column, rate: float) -> Column:
+    return F.when(x < 0, 0.0).otherwise(F.exp(exponential_ln_pdf(x, rate)))
+
+
+def gamma_pdf(x: Column, shape: float, rate: float) -> Column:
+    return F.when(x <= 0, 0.0).otherwise(F.exp(gamma_ln_pdf(x, shape, rate)))
+
+
+def gamma_cdf(x: Column, shape: float, rate: float) -> Column:
+    return vectorised(lambda v: gamma_share(shape, rate * v), x)
+
+
+def gamma_quantile(u: Column, shape: float, rate: float) -> Column:
+    return vectorised(inverse(lambda v: gamma_share(shape, rate * v), 0.0, math.inf), u)
+
+
+def beta_pdf(x: Column, a: float, b: float) -> Column:
+    return F.when((x <= 0) | (x >= 1), 0.0).otherwise(F.exp(beta_ln_pdf(x, a, b)))
+
+
+def beta_cdf(x: Column, a: float, b: float) -> Column:
+    return vectorised(lambda v: beta_share(a, b, v), x)
+
+
+def beta_quantile(u: Column, a: float, b: float) -> Column:
+    return vectorised(inverse(lambda v: beta_share(a, b, v), 0.0, 1.0), u)
+
+
+def normal_pdf(x: Column, mean: float, sd: float) -> Column:
+    return F.exp(normal_ln_pdf(x, mean, sd))
+
+
+def normal_share(z: np.ndarray) -> np.ndarray:
+    half = gamma_share(0.5, z * z / 2) / 2  # of the square, which is chi-square
+    return np.where(z < 0, 0.5 - half, 0.5 + half)
+
+
+def normal_cdf(x: Column, mean: float, sd: float) -> Column:
+    return vectorised(lambda v: normal_share((v - mean) / sd), x)
+
+
+def normal_quantile(u: Column, mean: float, sd: float) -> Column:
+    return vectorised(inverse(lambda v: normal_share((v - mean) / sd), mean - 40 * sd, mean + 40 * sd), u)
+
+
+def chi_square_pdf(x: Column, df: float) -> Column:
+    return gamma_pdf(x, df / 2, 0.5)
+
+
+def chi_square_cdf(x: Column, df: float) -> Column:
+    return gamma_cdf(x, df / 2, 0.5)
+
+
+def chi_square_quantile(u: Column, df: float) -> Column:
+    return gamma_quantile(u, df / 2, 0.5)
+
+
+def uniform_pdf(x: Column, low: float, high: float) -> Column:
+    return F.when(x.between(low, high), 1.0 / (high - low)).otherwise(0.0)
+
+
+def uniform_cdf(x: Column, low: float, high: float) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - low) / (high - low)))
+
+
+def uniform_quantile(u: Column, low: float, high: float) -> Column:
+    return low + u * (high - low)
+
+
+def dirichlet_pdf(p: Column, alpha: float) -> Column:
+    return F.exp(dirichlet_ln_pdf(p, alpha))
+
+
+def geometric_pdf(k: Column, p: float) -> Column:
+    """The chance of k failures before the first success."""
+    return F.when(k < 0, 0.0).otherwise(p * F.pow(F.lit(1.0 - p), k))
+
+
+def geometric_cdf(k: Column, p: float) -> Column:
+    return F.when(k < 0, 0.0).otherwise(1.0 - F.pow(F.lit(1.0 - p), F.floor(k) + 1))
+
+
+def geometric_quantile(u: Column, p: float) -> Column:
+    """The least k whose cdf is at least u; with uniform u, a draw."""
+    return F.greatest(F.ceil(F.log1p(-u) / math.log(1.0 - p)) - 1, F.lit(0)).cast("long")

@@ -137,6 +137,13 @@ def exclude(cells: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     return cells.join(small(cut(sets.filter(F.col("name") == name).select(F.col("idx").alias("site")))), "site", "left_anti")
 
 
+def active_count(cells: DataFrame, sets: DataFrame, names: list[str]) -> DataFrame:
+    """n_active, n_sites: how many columns are left when these sets are excluded."""
+    gone = cut(sets.filter(F.col("name").isin(names)).select(F.col("idx").alias("site")).distinct())
+    sites = cells.select("site").distinct().join(small(gone.withColumn("_out", F.lit(True))), "site", "left")
+    return sites.agg(F.count_if(F.col("_out").isNull()).alias("n_active"), F.count(F.lit(1)).alias("n_sites"))
+
+
 def subset(cells: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """Cells inside the taxon set and the character set ``name``; a set that isn't there keeps all."""
     for kind, column in (("taxset", "taxon_idx"), ("charset", "site")):

@@ -27,6 +27,19 @@ def running_best(trace: DataFrame) -> DataFrame:
     return best.select("chain", "iteration", "best", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_k")).drop("_k")
 
 
+def projected(trace: DataFrame, pattern: str) -> DataFrame:
+    """The parameters whose whole name the pattern fits, with its two groups as name and site:
+    ``^([0-9]+)\\[([0-9]+)\\]$`` for nodes, for example."""
+    fits = trace.filter(F.col("param").rlike(pattern))
+    return fits.withColumns({"name": F.regexp_extract("param", pattern, 1), "site": F.regexp_extract("param", pattern, 2).cast("int")})
+
+
+def some_params(trace: DataFrame, n: int, seed: int) -> DataFrame:
+    """The rows of n parameters drawn by a seeded hash of their names, so reruns agree."""
+    names = trace.select("param").distinct().orderBy(F.xxhash64("param", F.lit(seed)), "param").limit(n)
+    return trace.join(small(cut(names)), "param", "left_semi")
+
+
 def thin(trace: DataFrame, every: int) -> DataFrame:
     return trace.filter(F.col("iteration") % every == 0)
 

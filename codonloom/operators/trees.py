@@ -400,6 +400,18 @@ def parse_newick(texts: DataFrame) -> DataFrame:
     return own.join(parents, ["tree_id", "pos"]).select("tree_id", F.col("pos").alias("node_pos"), "parent_pos", "name", "is_tip", F.coalesce("branch_len", F.lit(0.0)).alias("branch_len"))
 
 
+def labels(trees: DataFrame) -> DataFrame:
+    """name, n_trees: the names that nodes have, and in how many trees."""
+    named = trees.filter(F.coalesce("name", F.lit("")) != "").select("tree_id", "name").distinct()
+    return named.groupBy("name").agg(F.count(F.lit(1)).alias("n_trees"))
+
+
+def leaves_of_taxa(trees: DataFrame, taxa: DataFrame) -> DataFrame:
+    """tree_id, taxon_idx, node_idx: the leaf of each taxon in each tree, null if there is none."""
+    every = trees.select("tree_id").distinct().join(small(cut(taxa.select("name", "taxon_idx"))), F.lit(True))
+    return every.join(trees.filter("is_tip").select("tree_id", "name", "node_idx"), ["tree_id", "name"], "left").select("tree_id", "taxon_idx", "node_idx")
+
+
 def bind_taxa(nodes: DataFrame, taxa: DataFrame) -> DataFrame:
     """Number parsed nodes: tips by their taxon, inner nodes after them in post-order.
     Fails on tips that aren't taxa and on taxa that aren't tips."""

@@ -153,6 +153,11 @@ def excluded_characters(spark, d):
     return left.groupBy("taxon_idx").agg(F.count(F.lit(1)).alias("n_active"), F.count("state").alias("n_observed"))
 
 
+def active_characters(spark, d):
+    sets = index_sets.expand(sets_table(spark), 200).withColumn("idx", F.col("idx") - 1)
+    return ch.active_count(codon_cells(spark, d), sets, ["third", "some"])
+
+
 def subset_by_set(spark, d):
     sets = index_sets.expand(sets_table(spark), 200).select(F.lit("charset").alias("kind"), "name", (F.col("idx") - 1).alias("idx"))
     return ch.subset(codon_cells(spark, d), sets, "some").select("taxon_idx", "site", "mask")
@@ -169,7 +174,7 @@ QUERIES = {
         codon_table, codon_pair_counts, genetic_code_sizes, codon_masks, codon_recoding, translated_codons, proteins, ambiguity_per_taxon,
         column_summary, constant_columns, site_patterns, pattern_of_site, complete_patterns, pairwise_distance, state_intersections,
         expanded_states, gap_characters, nucleotide_composition, step_matrices, codon_positions, set_expansion, set_references, vector_partition, partition_expansion, set_ranges, partition_overlaps,
-        excluded_characters, subset_by_set, character_weights,
+        excluded_characters, active_characters, subset_by_set, character_weights,
     )
 }
 
@@ -252,6 +257,7 @@ SQL = {
       GROUP BY 2 HAVING count(DISTINCT o_custkey % 10) > 1""",
     "excluded_characters": with_sql("codon_cells") + """
       SELECT taxon_idx, count(*) n_active, count(state) n_observed FROM codon_cells WHERE (site + 1) % 3 <> 0 GROUP BY taxon_idx""",
+    "active_characters": with_sql("codon_cells") + _SETS + " SELECT count(*) FILTER (WHERE site NOT IN (SELECT idx - 1 FROM sets WHERE name IN ('third', 'some'))) n_active, count(*) n_sites FROM (SELECT DISTINCT site FROM codon_cells)",
     "subset_by_set": with_sql("codon_cells") + " SELECT taxon_idx, site, mask FROM codon_cells WHERE site + 1 IN (5, 7, 9, 10, 11, 12)",
     "character_weights": with_sql("codon_cells") + _PATTERNS + """,
       w AS (SELECT CAST(p_partkey AS INT) site, CAST(p_size AS DOUBLE) weight FROM part)

@@ -159,6 +159,20 @@ def gibbs_weights(spark, d):
     return normalised_weights(e, "user_id").select("user_id", "event_id", F.round("weight", 8).alias("weight"))
 
 
+def distribution_shares(spark, d):
+    """Densities, cumulated chances and quantiles at the sizes of parts."""
+    x = F.col("p_size") / 60.0
+    out = {
+        "gamma_pdf": pr.gamma_pdf(x, 2.0, 3.0), "gamma_cdf": pr.gamma_cdf(x, 2.0, 3.0), "gamma_back": pr.gamma_cdf(pr.gamma_quantile(x, 2.0, 3.0), 2.0, 3.0),
+        "beta_pdf": pr.beta_pdf(x, 2.0, 3.0), "beta_cdf": pr.beta_cdf(x, 2.0, 3.0), "beta_back": pr.beta_cdf(pr.beta_quantile(x, 2.0, 3.0), 2.0, 3.0),
+        "chi_pdf": pr.chi_square_pdf(x, 4.0), "chi_cdf": pr.chi_square_cdf(x, 4.0), "chi_back": pr.chi_square_cdf(pr.chi_square_quantile(x, 4.0), 4.0),
+        "normal_pdf": pr.normal_pdf(x, 0.5, 0.2), "normal_sum": pr.normal_cdf(x, 0.5, 0.2) + pr.normal_cdf(1.0 - x, 0.5, 0.2), "normal_back": pr.normal_cdf(pr.normal_quantile(x, 0.5, 0.2), 0.5, 0.2),
+        "uniform_pdf": pr.uniform_pdf(x, 0.2, 0.7), "uniform_cdf": pr.uniform_cdf(x, 0.2, 0.7), "uniform_quantile": pr.uniform_quantile(x, 0.2, 0.7), "exp_pdf": pr.exponential_pdf(x, 5.0),
+        "geometric_pdf": pr.geometric_pdf(F.col("p_size"), 0.1), "geometric_cdf": pr.geometric_cdf(F.col("p_size"), 0.1), "dirichlet_pdf": pr.dirichlet_pdf(F.array(x, 1.0 - x), 2.0),
+    }
+    return read(spark, d, "part").select("p_partkey", *[F.round(c, 6).alias(n) for n, c in out.items()], pr.geometric_quantile(F.col("p_size") / 61.0, 0.1).alias("geometric_quantile"))
+
+
 def distribution_values(spark, d):
     x = F.col("p_size") / 60.0
     return read(spark, d, "part").select(
@@ -173,7 +187,7 @@ QUERIES = {
     for f in (
         q_matrix_m0, q_matrix_cmm, stationary_tiled, dnds_raw, cumulative_omegas, sampled_rates, sampled_dnds, observed_frequencies, codon_changes, ordered_changes, transition_prob, branch_transition_prob, site_log_likelihood, total_log_likelihood,
         site_log_likelihood_cmm, log_prior_m0, crp_alpha_expected, crp_alpha_solved, category_sizes, crp_log_prior, site_category_omegas, gibbs_weights,
-        distribution_values,
+        distribution_values, distribution_shares,
     )
 }
 
@@ -279,6 +293,15 @@ SQL = {
       WITH e AS (SELECT user_id, event_id, -abs(value) x FROM events),
       m AS (SELECT *, exp(x - max(x) OVER (PARTITION BY user_id)) w FROM e)
       SELECT user_id, event_id, round(w / sum(w) OVER (PARTITION BY user_id), 8) weight FROM m""",
+    "distribution_shares": f"""
+      WITH p AS (SELECT p_partkey, p_size k, p_size / {_D("60.0")} x FROM part)
+      SELECT p_partkey, round(9 * x * exp(-3 * x), 6) gamma_pdf, round(1 - exp(-3 * x) * (1 + 3 * x), 6) gamma_cdf, round(x, 6) gamma_back,
+        round(12 * x * (1 - x) * (1 - x), 6) beta_pdf, round(6 * x * x - 8 * power(x, 3) + 3 * power(x, 4), 6) beta_cdf, round(x, 6) beta_back,
+        round(x / 4 * exp(-x / 2), 6) chi_pdf, round(1 - exp(-x / 2) * (1 + x / 2), 6) chi_cdf, round(x, 6) chi_back,
+        round(exp(-power((x - 0.5) / 0.2, 2) / 2) / 0.2 / sqrt(2 * pi()), 6) normal_pdf, {_D("1.0")} normal_sum, round(x, 6) normal_back,
+        CASE WHEN x BETWEEN {_D("0.2")} AND {_D("0.7")} THEN {_D("2.0")} ELSE {_D("0.0")} END uniform_pdf, round(greatest(0, least(1, (x - {_D("0.2")}) / {_D("0.5")})), 6) uniform_cdf, round({_D("0.2")} + x * {_D("0.5")}, 6) uniform_quantile,
+        round(5 * exp(-5 * x), 6) exp_pdf, round({_D("0.1")} * power({_D("0.9")}, k), 6) geometric_pdf, round(1 - power({_D("0.9")}, k + 1), 6) geometric_cdf, round(6 * x * (1 - x), 6) dirichlet_pdf,
+        CAST(greatest(ceil(ln(1 - k / {_D("61.0")}) / ln({_D("0.9")})) - 1, 0) AS BIGINT) geometric_quantile FROM p""",
     "distribution_values": f"""
       WITH p AS (SELECT p_partkey, p_size, p_size / {_D("60.0")} x FROM part)
       SELECT p_partkey, round(lgamma({_D("10.0")}) - 2 * lgamma({_D("5.0")}) + 4 * ln(x) + 4 * ln(1 - x), 6) beta,

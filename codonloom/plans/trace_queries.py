@@ -85,11 +85,25 @@ def running_best(spark, d):
     return tr.running_best(trace(spark, d))
 
 
+def site_params(spark, d):
+    """Balances of customers as parameters ``segment[customer]``."""
+    rows = read(spark, d, "customer").select((F.col("c_custkey") % 1000).alias("iteration"), F.lit(0).alias("chain"), F.concat("c_mktsegment", F.lit("["), F.col("c_custkey").cast("string"), F.lit("]")).alias("param"), F.round("c_acctbal", 2).alias("value"))
+    return rows
+
+
+def trace_projection(spark, d):
+    return tr.projected(site_params(spark, d), r"^([A-M]\w*)\[(\d+)\]$").select("iteration", "name", "site", "value")
+
+
+def random_series(spark, d):
+    return tr.some_params(site_params(spark, d), 15, 7)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         trace_rows, trace_burnin_summary, trace_thin, trace_density, trace_wide, acceptance_rate, trace_autocorrelation, smooth_autocorrelation,
-        categorical_draw, best_samples, chain_union, node_means, regime_of_state, running_best,
+        categorical_draw, best_samples, chain_union, node_means, regime_of_state, running_best, trace_projection, random_series,
     )
 }
 
@@ -137,5 +151,6 @@ SQL = {
         (SELECT c_nationkey, round(avg(c_acctbal), 4) mean FROM customer GROUP BY c_nationkey) m ON m.c_nationkey = n_nationkey""",
     "regime_of_state": """
       SELECT o_orderkey, CAST(o_custkey % 183 AS INT) state, CASE WHEN o_custkey % 183 < 61 THEN CAST(0.1 AS DOUBLE) WHEN o_custkey % 183 < 122 THEN CAST(0.5 AS DOUBLE) ELSE CAST(1.5 AS DOUBLE) END dnds FROM orders""",
+    "trace_projection": "SELECT c_custkey % 1000 iteration, c_mktsegment AS name, CAST(c_custkey AS INT) site, round(c_acctbal, 2) AS value FROM customer WHERE regexp_matches(c_mktsegment, '^[A-M]')",
     "running_best": _T + " SELECT chain, iteration, max(value) OVER (PARTITION BY chain ORDER BY iteration ROWS UNBOUNDED PRECEDING) best FROM trace",
 }

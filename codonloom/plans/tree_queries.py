@@ -104,6 +104,17 @@ def streamed_splits(spark, d):
     return tree_stream.split_totals(spark, at[1]).withColumns(joined("split")).withColumn("mean_len", F.round("mean_len", 6))
 
 
+def tree_labels(spark, d):
+    return tr.labels(forest(spark, d))
+
+
+def taxon_leaves(spark, d):
+    """Nations' leaves in the forest; one taxon more has none."""
+    taxa = tree_nodes(spark, d).filter("is_tip").select("name", F.col("node_idx").alias("taxon_idx"))
+    more = taxa.agg(F.lit("nowhere").alias("name"), (F.max("taxon_idx") + 1).alias("taxon_idx"))
+    return tr.leaves_of_taxa(forest(spark, d), taxa.union(more))
+
+
 def outdegree_histogram(spark, d):
     return tr.out_degrees(forest(spark, d))
 
@@ -172,7 +183,7 @@ def newick_round_trip(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        tree_traversal, tree_closure, patristic_distance, patristic_matrix, patristic_to_mrca, deep_trees, nodes_without_support, outdegrees_rerooted, tree_dump, nhx_notes, streamed_splits, outdegree_histogram, single_child_nodes, tree_splits, split_frequencies,
+        tree_traversal, tree_closure, patristic_distance, patristic_matrix, patristic_to_mrca, deep_trees, nodes_without_support, outdegrees_rerooted, tree_dump, nhx_notes, streamed_splits, tree_labels, taxon_leaves, outdegree_histogram, single_child_nodes, tree_splits, split_frequencies,
         unsupported_splits, compared_nodes, tip_masks, subtree_of_tips, rerooted, tree_inspection, newick_text, newick_round_trip,
     )
 }
@@ -241,6 +252,8 @@ SQL = {
     "nhx_notes": _FOREST + """
       SELECT tree_id, name, 'node_idx' AS key, node_idx AS value FROM forest UNION ALL SELECT tree_id, name, 'parent_idx', parent_idx FROM forest WHERE parent_idx IS NOT NULL""",
     "streamed_splits": _FOREST + _CLOSURE + _MASKS + _SPLITS + " SELECT split, count(*) n_edges, round(avg(branch_len), 6) mean_len FROM splits GROUP BY split",
+    "tree_labels": _FOREST + " SELECT name, count(DISTINCT tree_id) n_trees FROM forest GROUP BY name",
+    "taxon_leaves": _FOREST + " SELECT tree_id, node_idx taxon_idx, node_idx FROM forest WHERE is_tip UNION ALL SELECT CAST(range AS INT), (SELECT max(node_idx) + 1 FROM forest WHERE is_tip), NULL FROM range(20)",
     "outdegree_histogram": _FOREST + """,
       kids AS (SELECT f.tree_id, f.node_idx, count(c.node_idx) n_children FROM forest f LEFT JOIN forest c ON c.tree_id = f.tree_id AND c.parent_idx = f.node_idx GROUP BY f.tree_id, f.node_idx)
       SELECT tree_id, n_children, count(*) n_nodes FROM kids GROUP BY tree_id, n_children""",
