@@ -40,6 +40,21 @@ class Settings:
     seed: int = 1
     weights: dict = field(default_factory=lambda: {"tree": 2.0, "kappa": 1.0, "omega": 1.0, "switching": 1.0, "pi": 2.0, "regimes": 1.0, "categories": 2.0})
 
+    def __post_init__(self) -> None:
+        """Refuse what no chain can run with."""
+        most = MOST_REGIMES.get(self.model)
+        for wrong, why in (
+            (most is None, f"no such model: {self.model}"),
+            (not 0 < self.beta <= 1, "beta must be above 0 and at most 1"),
+            (self.swap_every < 1, "swaps need at least one step between them"),
+            (self.fixed_regimes < 0, "the number of regimes can't be negative"),
+            (self.fixed_regimes > (0 if self.model == "M0" else most or 0), f"too many fixed regimes for {self.model}"),
+            (min(self.iterations, self.sample_every, self.tune_every) < 1 or self.burn_in < 0, "steps must be positive"),
+            (min(self.rate, self.tree_mean, self.tree_sd, self.alpha) <= 0, "parameters of priors must be positive"),
+        ):
+            if wrong:
+                raise ValueError(why)
+
 
 @dataclass(frozen=True)
 class State:

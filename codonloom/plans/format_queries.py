@@ -212,6 +212,37 @@ def nexus_labels(spark, d):
     return chars.unionByName(formats.nexus_state_labels(c).select("file", "char_idx", "state_idx", "label"))
 
 
+def nexus_eliminated(spark, d):
+    """Cells of the word matrices that ELIMINATE leaves."""
+    c = cut(mixed(spark, d))
+    gone = index_sets.expand(formats.nexus_eliminated(c).select(F.struct("file", "block_idx").alias("name"), "definition"), 2)
+    gone = gone.select("name.*", (F.col("idx") - 1).cast("int").alias("char_idx"))
+    cells = formats.nexus_cells(formats.nexus_matrix(c.filter("block_idx = 3")))
+    left = cells.join(gone, ["file", "block_idx", "char_idx"], "left_anti")
+    return left.groupBy("file", "char_idx").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+def nexus_translated_trees(spark, d):
+    """The forest with numbers for tips in its trees, and TRANSLATE for their names."""
+    t = forest(spark, d)
+    texts = tr.newick(t.withColumn("name", F.when(F.col("is_tip"), F.col("node_idx").cast("string"))), nhx=[])
+    pairs = t.filter("is_tip AND tree_id = 0").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_idx", "name"))), lambda x: F.concat(x["node_idx"].cast("string"), F.lit(" '"), x["name"], F.lit("'"))), ", ").alias("p"))
+    trees = texts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tree_id", "newick"))), lambda x: F.concat(F.lit("TREE t"), x["tree_id"].cast("string"), F.lit(" = "), x["newick"])), "\n").alias("t"))
+    text = F.concat(F.lit("#NEXUS\nBEGIN TREES; TRANSLATE "), "p", F.lit(";\n"), "t", F.lit("\nEND;\n"))
+    back = formats.nexus_trees(formats.nexus_commands(spark, written(pairs.join(trees, F.lit(True)).select(F.lit("a").alias("file"), text.alias("value")))))  # one row each
+    tips = tr.parse_newick(cut(back.select("tree_id", "newick"))).filter("is_tip")
+    return tips.select("tree_id", "name", F.round("branch_len", 6).alias("branch_len"))
+
+
+def listed_files(spark, d):
+    """FASTA files that the lines of a text file name."""
+    path = written(sinks.fasta_lines(documents(spark, d)))
+    names = new_path(spark)
+    spark.read.text(path).select(F.input_file_name().alias("value")).distinct().write.text(names)
+    back = named(formats.read_listed(spark, "fasta", names))
+    return back.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("seq")).alias("n_letters"))
+
+
 def usertype_changes(spark, d):
     """A USERTYPE whose states are a tree (state k under (k - 1) / 2), written and read, and
     by its shortest ways the changes between each two taxa."""
@@ -253,7 +284,7 @@ QUERIES = {
         fasta_round_trip, phylip_round_trip, phylip_relaxed_round_trip, phylip_interleaved_round_trip, clustal_round_trip, fin_round_trip, nexus_codons_round_trip,
         fasta_as_nexus, alignment_shapes, nexus_cells_round_trip, nexus_taxa_round_trip, nexus_trees_round_trip, newick_notes, newick_file_round_trip,
         nexus_distances_round_trip, nexus_unaligned_round_trip, nexus_sets_round_trip, nexus_associations_round_trip, nexus_block_report, nexus_block_links,
-        nexus_mixed_cells, nexus_labels, usertype_changes, trace_table_round_trip, safe_names, site_columns,
+        nexus_mixed_cells, nexus_labels, nexus_eliminated, nexus_translated_trees, listed_files, usertype_changes, trace_table_round_trip, safe_names, site_columns,
     )
 }
 
@@ -308,6 +339,10 @@ SQL = {
       WITH n AS (SELECT replace(r_name, ' ', '_') file, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey IN (SELECT n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey))
       SELECT DISTINCT file, 0 char_idx, -1 state_idx, 'segment' AS label FROM n UNION ALL SELECT DISTINCT file, 1, -1, 'home (nation)' FROM n
       UNION ALL SELECT file, 1, CAST(row_number() OVER (PARTITION BY file ORDER BY n_nationkey) - 1 AS INT), 'n' || CAST(n_nationkey AS VARCHAR) FROM n""",
+    "nexus_eliminated": """
+      SELECT replace(r_name, ' ', '_') file, 0 char_idx, count(*) n_cells FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""",
+    "nexus_translated_trees": _FOREST + " SELECT tree_id, name, round(branch_len, 6) branch_len FROM forest WHERE is_tip",
+    "listed_files": _DOCS + " SELECT file, count(*) n, CAST(sum(length(seq)) AS BIGINT) n_letters FROM docs GROUP BY file",
     "usertype_changes": with_sql("codon_cells") + """,
       h AS (SELECT range s, range a, 0 hops FROM range(61) UNION ALL SELECT s, (a - 1) // 2, hops + 1 FROM h WHERE a > 0),
       w AS (SELECT x.s i, y.s j, min(x.hops + y.hops) steps FROM h x JOIN h y ON x.a = y.a GROUP BY x.s, y.s)

@@ -147,3 +147,10 @@ def test_distributions(spark):
     assert np.allclose(probability.ln_gamma_values(x), [math.lgamma(v) for v in x], rtol=1e-10)
     df = spark.createDataFrame([([0.2, 0.3, 0.5],)], "p array<double>")
     assert math.isclose(df.select(probability.dirichlet_ln_pdf(F.col("p"), 2.0)).first()[0], math.lgamma(6) + math.log(0.03), rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("wrong", [{"beta": 0}, {"beta": 1.5}, {"swap_every": 0}, {"fixed_regimes": -1}, {"model": "CMM", "fixed_regimes": 6}, {"model": "DPCMM", "fixed_regimes": 4}, {"fixed_regimes": 1}, {"model": "M1"}, {"iterations": 0}, {"rate": 0.0}])
+def test_settings_that_no_chain_can_have(wrong):
+    with pytest.raises(ValueError):
+        chains.Settings(**wrong)
+    chains.Settings(model="CMM", fixed_regimes=5, beta=0.5)
