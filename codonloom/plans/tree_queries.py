@@ -57,7 +57,7 @@ def patristic_to_mrca(spark, d):
 def order_trees(spark, d):
     """A tree for each order status: orders under customers, these one under another in a
     chain by number, so it is as deep as there are customers."""
-    o = spark.read.parquet(f"{d}/orders.parquet").select(F.ascii("o_orderstatus").alias("tree_id"), F.col("o_orderkey").cast("int").alias("k"), F.col("o_custkey").cast("int").alias("c"), F.round(F.col("o_totalprice") / 1000, 2).alias("branch_len"))
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.ascii("o_orderstatus").alias("tree_id"), F.col("o_orderkey").cast("int").alias("k"), F.col("o_custkey").cast("int").alias("c"), (F.floor(F.col("o_totalprice") / 10.0) / 100.0).alias("branch_len"))
     last = o.agg(F.max("k")).first()[0] + 1
     tips = o.select("tree_id", F.col("k").alias("node_idx"), (F.col("c") + last).alias("parent_idx"), F.lit(True).alias("is_tip"), "branch_len")
     customers = o.select("tree_id", (F.col("c") + last).alias("node_idx")).distinct()
@@ -227,7 +227,7 @@ SQL = {
     "patristic_matrix": _FOREST + _CLOSURE + _WAYS + _MATRIX.format("a.dist + b.dist"),
     "patristic_to_mrca": _FOREST + _CLOSURE + _WAYS + _MATRIX.format("a.dist"),
     "deep_trees": """
-      WITH o AS (SELECT ascii(o_orderstatus) tree_id, CAST(o_orderkey AS INT) k, CAST(o_custkey AS INT) c, round(o_totalprice / 1000, 2) len FROM orders),
+      WITH o AS (SELECT ascii(o_orderstatus) tree_id, CAST(o_orderkey AS INT) k, CAST(o_custkey AS INT) c, floor(o_totalprice / CAST(10 AS DOUBLE)) / CAST(100 AS DOUBLE) len FROM orders),
       m AS (SELECT max(k) + 1 AS last FROM o),
       cust AS (SELECT tree_id, c, count(*) n, row_number() OVER (PARTITION BY tree_id ORDER BY c) - 1 depth FROM o GROUP BY tree_id, c),
       sums AS (SELECT *, sum(n) OVER w - n AS before, sum(n) OVER (PARTITION BY tree_id) AS tips, count(*) OVER (PARTITION BY tree_id) AS inner_ FROM cust WINDOW w AS (PARTITION BY tree_id ORDER BY c)),
