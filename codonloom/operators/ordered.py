@@ -43,13 +43,13 @@ def range_table(cells: DataFrame, keys: list[str], best: Callable[[Column, Colum
     level, size = 0, 1
     now = cut(cells.select(*keys, "k", "v"))
     found = now.select(*keys, F.lit(0).alias("level"), "k", "v")
-    while True:
+    longest = now.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    while 2 * size <= longest:
         far = now.select(*keys, (F.col("k") - size).alias("k"), F.col("v").alias("_v"))
         now = cut(now.join(far, [*keys, "k"]).select(*keys, "k", best(F.col("v"), F.col("_v")).alias("v")))
         level, size = level + 1, size * 2
-        if now.isEmpty():
-            return found
         found = found.union(now.select(*keys, F.lit(level).alias("level"), "k", "v"))
+    return found
 
 
 def best_of_range(ranges: DataFrame, table: DataFrame, keys: list[str], best: Callable[[Column, Column], Column]) -> DataFrame:

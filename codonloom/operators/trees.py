@@ -64,16 +64,14 @@ def ranked_tour(trees: DataFrame) -> DataFrame:
         F.struct((2 * node + 1).alias("at"), after.alias("next"), *[c.alias(n) for c, n in zip((zero, one, zero, -F.col("len")), _SUMS)], *[zero.alias(b) for b in _BITS]),
     )
     now = cut(own.join(first, ["tree_id", "node"], "left").select("tree_id", F.explode(steps).alias("s")).select("tree_id", "s.*"))
-    n, left = now.agg(F.count(F.lit(1)), F.count_if(F.col("next").isNotNull())).first()
-    reach = 1
-    while left:
-        if reach > n:
-            raise ValueError("a node is its own ancestor")
+    longest = now.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(max(longest - 1, 0).bit_length()):
         far = now.select("tree_id", F.col("at").alias("next"), F.col("next").alias("_next"), *[F.col(c).alias(f"{c}_") for c in (*_SUMS, *_BITS)])
         sums = [(F.col(c) + F.coalesce(F.col(f"{c}_"), F.lit(0))).alias(c) for c in _SUMS]
         bits = [F.col(c).bitwiseXOR(F.coalesce(F.col(f"{c}_"), F.lit(0))).alias(c) for c in _BITS]
         now = cut(now.join(far, ["tree_id", "next"], "left").select("tree_id", "at", F.col("_next").alias("next"), *sums, *bits))
-        left, reach = now.filter("next IS NOT NULL").count(), reach * 2
+    if not now.filter("next IS NOT NULL").isEmpty():
+        raise ValueError("a node is its own ancestor")
     return now
 
 
