@@ -9,7 +9,8 @@ from codonloom.functions.genetic import ALL, SENSE, codons, iupac_mask
 from codonloom.operators.lineage import cut, small
 from codonloom.operators.ordered import running, split_join
 
-BASES = "ACGT"
+#: What no sequence holds.
+MARK = "\x01"
 
 
 def recode(sequences: DataFrame, width: int = 3) -> DataFrame:
@@ -37,15 +38,13 @@ def translate_codons(cells: DataFrame, code: DataFrame) -> DataFrame:
 
 def protein(sequences: DataFrame, code: DataFrame) -> DataFrame:
     """taxon_idx, protein: the amino acids of each sequence in order of site, inside the
-    row. The code is a text of 64 letters, of which a codon's three nucleotides, as
-    digits to base 4, tell the place; no codon becomes a row of its own."""
-    every = F.array(*[F.lit(a + b + c) for a in BASES for b in BASES for c in BASES])
-    table = code.agg(F.map_from_entries(F.collect_list(F.struct("codon", "aa"))).alias("_m"))  # one row
-    table = table.select(F.array_join(F.transform(every, lambda c: F.coalesce(F.element_at("_m", c), F.lit("?"))), "").alias("_aa"))
-    digit = [f"locate(substr(c, {k}, 1), '{BASES}')" for k in (1, 2, 3)]
-    aa = F.expr(f"transform(_codons, c -> if({' * '.join(digit)} = 0, '?', substr(_aa, 16 * {digit[0]} + 4 * {digit[1]} + {digit[2]} - 20, 1)))")
-    out = sequences.filter(F.length("seq") >= 3).select("taxon_idx", pieces(F.col("seq"), 3).alias("_codons")).join(F.broadcast(table), F.lit(True))
-    return out.select("taxon_idx", F.array_join(aa, "").alias("protein"))
+    row. Codons are set apart by a mark, and each of the code's (at most 64, a fixed
+    table) is replaced with its mark in the whole text, so no expression runs a codon."""
+    text = F.concat(F.array_join(pieces(F.col("seq"), 3), MARK), F.lit(MARK))
+    for r in code.select("codon", "aa").collect():
+        text = F.replace(text, F.lit(r["codon"] + MARK), F.lit(r["aa"]))
+    left = F.regexp_replace(text, f"(?s).{{3}}{MARK}", "?")
+    return sequences.filter(F.length("seq") >= 3).select("taxon_idx", left.alias("protein"))
 
 
 def ambiguity(cells: DataFrame) -> DataFrame:
