@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codonloom.operators import trees as tr
-from codonloom.operators.lineage import cut, new_path
+from codonloom.operators.lineage import cut, new_path, small
 from codonloom.operators.step_types import unsupported_nodes
 from codonloom.sources.adapters import tree_nodes, with_sql
 from codonloom.sources.formats import newick_notes
@@ -67,9 +67,9 @@ def order_trees(spark, d):
 
 def deep_trees(spark, d):
     """Place, depth, length from the root and tips below of every node of deep trees."""
-    placed = tr.tour(order_trees(spark, d))
-    root = F.first_value("branch_len").over(Window.partitionBy("tree_id").orderBy("pre_order"))
-    return placed.select("tree_id", "node_idx", "depth", "pre_order", "post_order", "size", "n_tips", F.round(F.col("dist") - root, 2).alias("dist"))
+    trees = order_trees(spark, d)
+    root = small(cut(trees.filter("parent_idx IS NULL").select("tree_id", F.col("branch_len").alias("_root"))))
+    return tr.placed_nodes(trees, prints=False).join(root, "tree_id").select("tree_id", "node_idx", "depth", "pre_order", "post_order", "size", "n_tips", F.round(F.col("dist") - F.col("_root"), 2).alias("dist"))
 
 
 def nodes_without_support(spark, d):

@@ -1,12 +1,14 @@
 """Euler tours, ranges and split prints of large and odd trees, against walks in plain Python."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 from test_trees import SCHEMA, ancestors, random_tree
 
 from codonloom.operators import trees as tr
+from codonloom.operators.lineage import shared_folder
 from codonloom.operators.ordered import best_of_range, range_table, running
 from codonloom.streaming.tree_stream import split_totals, watch_splits
 
@@ -26,6 +28,37 @@ def test_a_comb_of_many_tips(spark):
     assert (got["pre_order"].to_numpy()[~tip] == 2 * k[~tip]).all()  # a tip's number is below an inner node's
 
 
+def test_shrinking_lists_give_the_same_places(spark, forest):
+    """Ranked by rounds of leaving rows or by pointer jumping alone; with children of every kind."""
+    rng = random.Random(5)
+    wild = [(99, 0, None, None, False, 0.0)] + [(99, i, i - 1 if rng.random() < 0.6 else rng.randrange(i), None, rng.random() < 0.5, float(rng.randrange(9))) for i in range(1, 900)]
+    df = spark.createDataFrame([r for t in forest for r in t] + wild, SCHEMA)
+    jumped, shrunk = ({(r.tree_id, r.node_idx): r.asDict() for r in tr.tour(df, few=few).collect()} for few in (10**6, 1))
+    assert jumped.keys() == shrunk.keys() and len(jumped) == df.count()
+    for k, r in jumped.items():
+        assert abs(r.pop("dist") - shrunk[k].pop("dist")) < 1e-9 and r == shrunk[k]
+    kids, order = {}, []
+    for r in wild[1:]:
+        kids.setdefault(r[2], []).append(r[1])
+    todo = [0]
+    while todo:
+        order.append(todo.pop())
+        todo += reversed(kids.get(order[-1], []))
+    assert [k for k in sorted((k for k in shrunk if k[0] == 99), key=lambda k: shrunk[k]["pre_order"])] == [(99, i) for i in order]
+    with pytest.raises(ValueError, match="ancestor"):
+        tr.tour(spark.createDataFrame([(0, 1, 2, "a", True, 1.0), (0, 2, 1, "b", False, 1.0)], SCHEMA), few=1)
+
+
+def test_a_tour_writes_in_proportion_to_its_nodes(spark):
+    n, folder = 40_000, shared_folder(spark)
+    size = lambda: sum(f.stat().st_size for f in Path(folder.removeprefix("file:")).rglob("*") if f.is_file())
+    inner = spark.range(n).select(F.lit(0).alias("tree_id"), (F.col("id") + n).cast("int").alias("node_idx"), F.when(F.col("id") > 0, F.col("id") + n - 1).cast("int").alias("parent_idx"), F.lit(None).cast("string").alias("name"), F.lit(False).alias("is_tip"), F.lit(1.0).alias("branch_len"))
+    tips = spark.range(n).select(F.lit(0), F.col("id").cast("int"), (F.col("id") + n).cast("int"), F.lit(None).cast("string"), F.lit(True), F.lit(1.0))
+    before = size()
+    assert tr.tour(inner.union(tips)).agg(F.max("depth")).first()[0] == n
+    assert size() - before < 600 * 2 * n  # each round of pointer jumping wrote all steps: 1.4 kB a node
+
+
 @pytest.fixture(scope="module")
 def forest():
     rng = random.Random(11)
