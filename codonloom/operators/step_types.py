@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codonloom.operators import trees as tr
 from codonloom.operators.lineage import cut, small, stored
+from codonloom.operators.ordered import running
 
 
 def tree_edges(types: DataFrame) -> DataFrame:
@@ -75,37 +76,40 @@ def unsupported_nodes(trees: DataFrame, supported: DataFrame) -> DataFrame:
     whose chain of single children has a name is told by that, and left out. The others
     are described from the end of their chain, n_before nodes below: by its name
     (named), or by the first names on the way to its leftmost and rightmost tips.
-    Chains are followed by pointer jumping, each round twice as far, and the ways to
-    the left and right likewise, whatever their length.
+
+    A way that always takes the first child is a run of nodes whose subtrees begin at one
+    place in post-order, one that takes the last child such whose subtrees end at one place
+    in pre-order. So what comes next on a way is a running best over its nodes from the
+    deepest up: two sorts of the inner nodes, however long the ways are.
     """
-    placed = tr.tour(trees)
-    named = trees.select("tree_id", "node_idx", F.when(F.coalesce("name", F.lit("")) != "", F.col("name")).alias("name"))
-    own = placed.select("tree_id", "node_idx", "parent_idx", "pre_order").join(named, ["tree_id", "node_idx"])
-    own = own.join(supported.select("tree_id", "node_idx").distinct().withColumn("_s", F.lit(True)), ["tree_id", "node_idx"], "left").withColumn("_s", F.coalesce("_s", F.lit(False)))
-    kids = own.filter("parent_idx IS NOT NULL").groupBy("tree_id", F.col("parent_idx").alias("node_idx")).agg(
-        F.count(F.lit(1)).alias("n"), F.min_by("node_idx", "pre_order").alias("first"), F.max_by("node_idx", "pre_order").alias("last")
+    placed = tr.tour(trees, prints=False, keep=("name",))
+    name = F.when(F.coalesce("name", F.lit("")) != "", F.col("name"))
+    held = supported.select("tree_id", "node_idx").distinct()
+    kids = placed.filter("parent_idx IS NOT NULL").groupBy("tree_id", F.col("parent_idx").alias("node_idx")).agg(
+        F.count(F.lit(1)).alias("n"), *[f(c, "pre_order").alias(f"{at}_{c}") for at, f in (("first", F.min_by), ("last", F.max_by)) for c in ("node_idx", "size")]
     )
-    nodes = cut(own.join(kids, ["tree_id", "node_idx"], "left").withColumn("n", F.coalesce("n", F.lit(0))))
-    single = F.col("n") == 1
+    inner = placed.join(kids, ["tree_id", "node_idx"]).join(held.withColumn("_s", F.lit(True)), ["tree_id", "node_idx"], "left")
+    inner = stored(inner.select("tree_id", "node_idx", F.col("parent_idx").isNull().alias("root"), "depth", (F.col("post_order") - F.col("size")).alias("begins"), (F.col("pre_order") + F.col("size")).alias("ends"),
+                                name.isNotNull().alias("named"), F.coalesce("_s", F.lit(False)).alias("held"), *kids.columns[2:]))
+    height, here = -F.col("depth"), F.struct((-F.col("depth")).alias("h"), F.col("node_idx").alias("node"))
 
-    def followed(rows: DataFrame) -> DataFrame:
-        """rows (tree_id, node_idx, to, hops, any_s, any_n): each round doubles the way."""
-        now = stored(rows)
-        while not now.filter("to IS NOT NULL").isEmpty():
-            far = now.select("tree_id", F.col("node_idx").alias("to"), F.col("to").alias("_to"), F.col("end").alias("_end"), *[F.col(c).alias(f"_{c}") for c in ("hops", "any_s", "any_n")])
-            j = now.join(far, ["tree_id", "to"], "left")
-            now = stored(j.select("tree_id", "node_idx", F.col("_to").alias("to"), F.coalesce("_end", "end").alias("end"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), (F.col("any_s") | F.coalesce("_any_s", F.lit(False))).alias("any_s"), (F.col("any_n") | F.coalesce("_any_n", F.lit(False))).alias("any_n")))
-        return now
-
-    def start(to: Column) -> DataFrame:
-        return nodes.select("tree_id", "node_idx", to.alias("to"), F.col("node_idx").alias("end"), to.isNotNull().cast("int").alias("hops"), F.col("_s").alias("any_s"), (F.col("name").isNotNull() & single).alias("any_n"))
-
-    chain = followed(start(F.when(single, F.col("first"))))
-    left, right = (followed(start(F.when(F.col("name").isNull() & (F.col("n") > 0), F.col(c)))) for c in ("first", "last"))
-    names = nodes.select("tree_id", F.col("node_idx").alias("end"), F.col("name").alias("_name"), "first", "last")
-    shown = nodes.filter("parent_idx IS NOT NULL AND n > 0 AND name IS NULL").select("tree_id", "node_idx").join(chain.select("tree_id", "node_idx", "end", "hops", "any_s", "any_n"), ["tree_id", "node_idx"])
-    shown = shown.filter("NOT any_s AND NOT any_n").join(names, ["tree_id", "end"], "left")
-    for side, at, ways in (("leftmost", "first", left), ("rightmost", "last", right)):
-        ends = ways.join(names.select("tree_id", "end", F.col("_name").alias(side)), ["tree_id", "end"]).select("tree_id", F.col("node_idx").alias(at), side)
-        shown = shown.join(ends, ["tree_id", at], "left")
-    return shown.select("tree_id", "node_idx", F.col("hops").alias("n_before"), F.col("_name").alias("named"), *[F.when(F.col("_name").isNull(), F.col(c)).alias(c) for c in ("leftmost", "rightmost")])
+    def tip(side: str) -> Column:
+        """The first or last child if it has none itself."""
+        return F.when(F.col(f"{side}_size") == 1, F.struct((height - 1).alias("h"), F.col(f"{side}_node_idx").alias("node")))
+
+    single = F.col("n") == 1
+    left = running(
+        inner.select("tree_id", "node_idx", "root", "depth", "begins", "named", "held", "n", "first_node_idx", "first_size"), ["tree_id", "begins"], [F.desc("depth")], "max",
+        stop=F.when(F.col("named"), here).otherwise(tip("first")), end=F.when(single, tip("first")).otherwise(here), _h=F.when(F.col("held"), height), _n=F.when(F.col("named") & single, height),
+    )
+    left = stored(left.select("tree_id", "node_idx", "root", "depth", "named", "stop", "end", "_h", "_n"))
+    right = running(inner.select("tree_id", "node_idx", "depth", "ends", "named", "last_node_idx", "last_size"), ["tree_id", "ends"], [F.desc("depth")], "max", stop=F.when(F.col("named"), here).otherwise(tip("last")))
+    told = F.coalesce(F.col("_h") >= F.col("end.h"), F.lit(False)) | F.coalesce(F.col("_n") >= F.col("end.h"), F.lit(False))
+    shown = left.filter(~F.col("root") & ~F.col("named") & ~told).select("tree_id", "node_idx", (height - F.col("end.h")).cast("int").alias("n_before"), F.col("end.node").alias("end"))
+    shown = shown.join(held.withColumnRenamed("node_idx", "end"), ["tree_id", "end"], "left_anti")  # an end without children
+    for side, ways in (("left", left), ("right", right)):
+        shown = shown.join(ways.filter("NOT named").select("tree_id", F.col("node_idx").alias("end"), F.col("stop.node").alias(side)), ["tree_id", "end"], "left")
+    for at, as_ in (("end", "named"), ("left", "leftmost"), ("right", "rightmost")):
+        names = placed.select("tree_id", F.col("node_idx").alias(at), name.alias(as_)).filter(F.col(as_).isNotNull())
+        shown = shown.join(names, ["tree_id", at], "left")
+    return shown.select("tree_id", "node_idx", "n_before", "named", *[F.when(F.col("named").isNull(), F.col(c)).alias(c) for c in ("leftmost", "rightmost")])

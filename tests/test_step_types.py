@@ -1,8 +1,11 @@
 import random
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from codonloom.operators import step_types as steps
+from codonloom.operators.lineage import shared_folder
 from codonloom.sources.formats import nexus_commands, nexus_options, nexus_usertypes
 
 SCHEMA = "tree_id long, node_idx int, parent_idx int, name string, is_tip boolean, branch_len double"
@@ -89,3 +92,23 @@ def test_a_chain_of_ten_thousand(spark):
     got = steps.unsupported_nodes(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], "tree_id long, node_idx int")).collect()
     assert {tuple(r)[1:] for r in got} == {(i, n - 1 - i, None, "x", "y") for i in range(1, n)}
     assert not steps.unsupported_nodes(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(0, n - 1)], "tree_id long, node_idx int")).collect()
+
+
+def test_ends_of_chains_and_names_on_the_way(spark):
+    """A chain that ends in a held tip is held; the ways stop at named inner nodes."""
+    rows = [(0, 0, None, None, False, 0.0), (0, 1, 0, None, False, 1.0), (0, 2, 1, None, True, 1.0), (0, 3, 0, None, False, 1.0), (0, 4, 3, "in", False, 1.0), (0, 5, 4, "a", True, 1.0),
+            (0, 6, 3, None, False, 1.0), (0, 7, 6, "b", True, 1.0), (0, 8, 6, "", True, 1.0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = [{tuple(r)[1:] for r in steps.unsupported_nodes(df, spark.createDataFrame(h, "tree_id long, node_idx int")).collect()} for h in ([(0, 2)], [])]
+    assert got[0] == {(3, 0, None, "in", None), (6, 0, None, "b", None)} and got[1] == got[0] | {(1, 1, None, None, None)}
+
+
+def test_ways_write_in_proportion_to_their_nodes(spark):
+    n, folder = 40_000, shared_folder(spark)
+    size = lambda: sum(f.stat().st_size for f in Path(folder.removeprefix("file:")).rglob("*") if f.is_file())
+    inner = spark.range(n).select(F.lit(0).alias("tree_id"), (F.col("id") + n).cast("int").alias("node_idx"), F.when(F.col("id") > 0, F.col("id") + n - 1).cast("int").alias("parent_idx"), F.lit(None).cast("string").alias("name"), F.lit(False).alias("is_tip"), F.lit(1.0).alias("branch_len"))
+    tips = spark.range(n).select(F.lit(0), F.col("id").cast("int"), (F.col("id") + n).cast("int"), F.concat(F.lit("t"), "id"), F.lit(True), F.lit(1.0))
+    before = size()
+    got = steps.unsupported_nodes(inner.union(tips), spark.createDataFrame([], "tree_id long, node_idx int"))
+    assert got.filter(f"leftmost IS NOT NULL AND rightmost = 't{n - 1}'").count() == n - 2
+    assert size() - before < 900 * 2 * n  # pointer jumping wrote all nodes in each of its rounds
