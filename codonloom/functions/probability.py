@@ -30,19 +30,26 @@ def gamma_share(a: float, x: np.ndarray) -> np.ndarray:
     """The regularised lower incomplete gamma function: its power series up to a + 1,
     beyond it the continued fraction of the rest."""
     x = np.maximum(np.asarray(x, dtype=float), 0.0)
-    front = np.exp(a * np.log(np.maximum(x, 1e-300)) - x - math.lgamma(a))
-    low = x < a + 1
-    term = total = np.where(low, 1.0 / a, 0.0)
-    for n in range(1, 500):
-        term = term * np.where(low, x, 0.0) / (a + n)
-        total = total + term
-        if not (term > 1e-17 * total).any():
-            break
-    z = np.where(low, a + 2.0, x)
-    fraction = np.zeros_like(z)
-    for n in range(300, 0, -1):  # from the inside out
-        fraction = n * (a - n) / (z + 2 * n + 1 - a + fraction)
-    return np.where(x == 0, 0.0, np.where(low, front * total, 1.0 - front / (z + 1 - a + fraction)))
+    share = np.where(np.isnan(x), np.nan, 0.0)
+    low = (x > 0) & (x < a + 1)
+    front = lambda z: np.exp(a * np.log(np.maximum(z, 1e-300)) - z - math.lgamma(a))
+    if low.any():
+        z = x[low]
+        term = total = np.full_like(z, 1.0 / a)
+        for n in range(1, 500):
+            term = term * z / (a + n)
+            total = total + term
+            if not (term > 1e-17 * total).any():
+                break
+        share[low] = front(z) * total
+    high = x >= a + 1
+    if high.any():
+        z = x[high]
+        fraction = np.zeros_like(z)
+        for n in range(300, 0, -1):  # from the inside out
+            fraction = n * (a - n) / (z + 2 * n + 1 - a + fraction)
+        share[high] = 1.0 - front(z) / (z + 1 - a + fraction)
+    return share
 
 
 def beta_share(a: float, b: float, x: np.ndarray) -> np.ndarray:
@@ -64,24 +71,47 @@ def beta_share(a: float, b: float, x: np.ndarray) -> np.ndarray:
 
 
 def vectorised(f, *columns: Column) -> Column:
-    """A function of numpy arrays as one of columns; null where a column is null."""
-    return F.pandas_udf(lambda *s: pd.Series(f(*[x.to_numpy(float) for x in s])).where(~pd.concat(s, axis=1).isna().any(axis=1).reset_index(drop=True)), "double")(*[c.cast("double") for c in columns])
+    """A function of numpy arrays as one of columns; null where a column is null. Rows with
+    the same values share one evaluation in a batch."""
+
+    def run(*s: pd.Series) -> pd.Series:
+        rows = pd.concat([x.astype(float) for x in s], axis=1, ignore_index=True)
+        at = rows.groupby(list(rows.columns), sort=False).ngroup().fillna(-1).astype(int).to_numpy()  # -1: a null
+        different = rows[at >= 0].drop_duplicates().to_numpy()
+        out = np.append(f(*different.T) if len(different) else [], np.nan)
+        return pd.Series(out[at])
+
+    return F.pandas_udf(run, "double")(*[c.cast("double") for c in columns])
 
 
 def inverse(cdf, low: float, high: float, steps: int = 100):
-    """The quantiles of a distribution on [low, high] by bisection of its cdf."""
+    """The quantiles of a distribution on [low, high]: the interval where its cdf passes u
+    is cut by the chord, every third time and where the chord leads nowhere in halves,
+    until it holds no number or was halved ``steps`` times."""
 
     def run(u: np.ndarray) -> np.ndarray:
         lo, hi = np.full(u.shape, low), np.full(u.shape, high)
         for _ in range(60):  # an end that is nowhere is first sought
             hi = np.where(np.isfinite(hi), hi, 1.0)
-            if np.isfinite(high):
+            if np.isfinite(high) or not (short := cdf(hi) < u).any():
+                break
+            hi = np.where(short, hi * 2, hi)
+        below, above = cdf(lo) - u, cdf(hi) - u
+        open_ = np.arange(len(u))
+        for k in range(3 * steps):
+            a, b, fa, fb = lo[open_], hi[open_], below[open_], above[open_]
+            half = (a + b) / 2
+            left = (a < half) & (half < b)
+            open_, a, b, fa, fb, half = (x[left] for x in (open_, a, b, fa, fb, half))
+            if not len(open_):
                 break
-            hi = np.where(cdf(hi) < u, hi * 2, hi)
-        for _ in range(steps):
-            middle = (lo + hi) / 2
-            below = cdf(middle) < u
-            lo, hi = np.where(below, middle, lo), np.where(below, hi, middle)
+            # A little beside the chord's point, so that both ends close in.
+            chord = a + (b - a) * (-fa / np.where(fb > fa, fb - fa, 1.0) + (1e-4 if k % 3 == 2 else -1e-4))
+            at = np.where(fb > fa, chord, half) if k % 3 else half
+            at = np.where((a < at) & (at < b), at, half)
+            f = cdf(at) - u[open_]
+            lo[open_], below[open_] = np.where(f < 0, at, a), np.where(f < 0, f, fa)
+            hi[open_], above[open_] = np.where(f < 0, b, at), np.where(f < 0, fb, f)
         return (lo + hi) / 2
 
     return run

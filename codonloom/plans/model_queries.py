@@ -170,7 +170,9 @@ def distribution_shares(spark, d):
         "uniform_pdf": pr.uniform_pdf(x, 0.2, 0.7), "uniform_cdf": pr.uniform_cdf(x, 0.2, 0.7), "uniform_quantile": pr.uniform_quantile(x, 0.2, 0.7), "exp_pdf": pr.exponential_pdf(x, 5.0),
         "geometric_pdf": pr.geometric_pdf(F.col("p_size"), 0.1), "geometric_cdf": pr.geometric_cdf(F.col("p_size"), 0.1), "dirichlet_pdf": pr.dirichlet_pdf(F.array(x, 1.0 - x), 2.0),
     }
-    return read(spark, d, "part").select("p_partkey", *[F.round(c, 6).alias(n) for n, c in out.items()], pr.geometric_quantile(F.col("p_size") / 61.0, 0.1).alias("geometric_quantile"))
+    # Much work for a row of a small file: more tasks than the file's own.
+    part = read(spark, d, "part").select("p_partkey", "p_size").repartition(spark.sparkContext.defaultParallelism)
+    return part.select("p_partkey", *[F.round(c, 6).alias(n) for n, c in out.items()], pr.geometric_quantile(F.col("p_size") / 61.0, 0.1).alias("geometric_quantile"))
 
 
 def distribution_values(spark, d):
