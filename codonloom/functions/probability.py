@@ -124,17 +124,18 @@ def expected_categories(alpha: Column, n: Column | float) -> Column:
 
 
 def solve_alpha(expected: Column, n: float, steps: int = 80) -> Column:
-    """The alpha at which n sites have the expected categories, by bisection inside the
-    expression; null unless 1 <= expected <= n."""
-    start = F.struct(F.lit(1e-9).alias("lo"), F.lit(1e9).alias("hi"))
-
-    def halve(acc: Column, _: Column) -> Column:
-        middle = F.sqrt(acc["lo"] * acc["hi"])  # alpha spans many magnitudes
-        low = expected_categories(middle, n) < expected
-        return F.struct(F.when(low, middle).otherwise(acc["lo"]).alias("lo"), F.when(low, acc["hi"]).otherwise(middle).alias("hi"))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda acc: acc["lo"])
-    return F.when(expected.between(1, n), found)
+    """The alpha at which n sites have the expected categories, by bisection of whole
+    batches; null unless 1 <= expected <= n."""
+
+    def run(aim: np.ndarray) -> np.ndarray:
+        lo, hi = np.full(aim.shape, 1e-9), np.full(aim.shape, 1e9)
+        for _ in range(steps):
+            middle = np.sqrt(lo * hi)  # alpha spans many magnitudes
+            low = middle * np.log1p(n / middle) < aim
+            lo, hi = np.where(low, middle, lo), np.where(low, hi, middle)
+        return lo
+
+    return F.when(expected.between(1, n), vectorised(run, expected))
 
 
 def exponential_ln_pdf(x: Column, rate: float) -> Column:

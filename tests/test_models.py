@@ -173,3 +173,16 @@ def test_quantiles_take_few_evaluations(spark, sf):
     rows = spark.range(0, 1000, 1, 1).select(F.when(F.col("id") % 4 > 0, F.col("id") % 4).alias("a"), F.lit(2).alias("b"))
     assert {tuple(r) for r in rows.select("a", probability.vectorised(lambda a, b: a * 10 + len(b), F.col("a"), F.col("b"))).collect()} == {(None, None), (1, 13.0), (2, 23.0), (3, 33.0)}
     assert model_queries.distribution_shares(spark, sf).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_alphas_of_whole_batches(spark):
+    """Every expectation its own: solved outside the row-by-row expressions, and right."""
+    rows = spark.range(0, 20_001, 1, 2).select((F.col("id") / 100 - 0.5).alias("e")).withColumn("e", F.when(F.col("e") != 7, F.col("e")))
+    got = rows.withColumn("alpha", probability.solve_alpha(F.col("e"), 190.0))
+    assert "aggregate(" not in got._jdf.queryExecution().executedPlan().toString()
+    found = got.toPandas()
+    inside = found["e"].between(1, 190)
+    assert (found["alpha"].notna() == inside).all() and 18_000 < inside.sum() < 19_000
+    a = found["alpha"][inside].to_numpy()
+    # The last ones need a larger alpha than is sought.
+    assert np.abs(a * np.log1p(190.0 / a) - found["e"][inside].to_numpy()).max() < 1e-4
