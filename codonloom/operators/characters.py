@@ -153,11 +153,12 @@ def subset(cells: DataFrame, sets: DataFrame, name: str) -> DataFrame:
 
 
 def gap_characters(sequences: DataFrame) -> DataFrame:
-    """Presence (1) or absence (0) of a gap, for each taxon at each position where any has one."""
+    """Presence (1) or absence (0) of a gap, for each taxon at each position where any has one.
+    The positions with gaps are found first and sent to the letters, which don't move."""
     at = F.posexplode(pieces(F.col("seq"))).alias("pos", "ch")
-    cells = sequences.select("taxon_idx", at).select("taxon_idx", (F.col("pos") + 1).alias("pos"), (F.col("ch") == "-").cast("int").alias("gap"))
-    gapped = cells.groupBy("pos").agg(F.max("gap").alias("_any")).filter("_any = 1").select("pos")
-    return cells.join(gapped, "pos")
+    letters = lambda rows: rows.select("taxon_idx", at).select("taxon_idx", (F.col("pos") + 1).alias("pos"), (F.col("ch") == "-").cast("int").alias("gap"))
+    gapped = cut(letters(sequences.filter(F.contains("seq", F.lit("-")))).filter("gap = 1").select("pos").distinct())
+    return letters(sequences).join(small(gapped), "pos").select("pos", "taxon_idx", "gap")
 
 
 def nucleotide_masks(sequences: DataFrame) -> DataFrame:

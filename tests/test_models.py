@@ -186,3 +186,17 @@ def test_alphas_of_whole_batches(spark):
     a = found["alpha"][inside].to_numpy()
     # The last ones need a larger alpha than is sought.
     assert np.abs(a * np.log1p(190.0 / a) - found["e"][inside].to_numpy()).max() < 1e-4
+
+
+def test_gaps_are_sent_to_the_letters(spark):
+    """No letter is shuffled to find its column, whatever Spark would broadcast by itself."""
+    from codonloom.operators.characters import gap_characters
+
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = gap_characters(spark.createDataFrame([(0, "AC-T"), (1, "A-G"), (2, ""), (3, None), (4, "-")], "taxon_idx long, seq string"))
+        assert {tuple(r) for r in got.collect()} == {(1, 0, 0), (2, 0, 0), (3, 0, 1), (1, 1, 0), (2, 1, 1), (3, 1, 0), (1, 4, 1)}
+        assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
