@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codonloom.functions.genetic import IUPAC
 from codonloom.operators.lineage import cut
-from codonloom.functions.comments import command_pieces
+from codonloom.functions.comments import command_rows
 from codonloom.sources.wrapped import continued
 
 
@@ -133,8 +133,8 @@ def tight(text: Column) -> Column:
 def read_newick(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, tree_id, newick: the trees of a file in order, white space outside quotes
     removed, comments as they are."""
-    trees = files(spark, path).select("file", F.posexplode(command_pieces("all")("text")).alias("tree_id", "t"))
-    return trees.select("file", "tree_id", F.concat(tight(F.col("t.raw")), F.lit(";")).alias("newick")).filter("newick != ';'")
+    trees = command_rows(files(spark, path), "all").withColumnRenamed("pos", "tree_id")
+    return trees.select("file", "tree_id", F.concat(tight(F.col("raw")), F.lit(";")).alias("newick")).filter("newick != ';'")
 
 
 # NEXUS -----------------------------------------------------------------------
@@ -156,8 +156,8 @@ def unquoted(token: Column) -> Column:
 def nexus_commands(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, block_idx, block, pos, command, body, raw: the commands of every block,
     comments of any depth out; raw keeps the comments that begin with &, which trees need."""
-    rows = files(spark, path).select("file", F.posexplode(command_pieces("notes")("text")).alias("pos", "p"))
-    rows = rows.select("file", "pos", F.regexp_replace("p.raw", r"(?i)^\s*#NEXUS", "").alias("raw"), F.regexp_replace("p.bare", r"(?i)^\s*#NEXUS", "").alias("_b"))
+    rows = command_rows(files(spark, path), "notes")
+    rows = rows.select("file", "pos", F.regexp_replace("raw", r"(?i)^\s*#NEXUS", "").alias("raw"), F.regexp_replace("bare", r"(?i)^\s*#NEXUS", "").alias("_b"))
     word = F.upper(F.regexp_extract("_b", r"^\s*(\S+)", 1))
     rest = F.trim(F.regexp_replace("raw", r"^\s*\S+", ""))
     rows = rows.select("file", "pos", word.alias("command"), F.trim(F.regexp_replace("_b", r"^\s*\S+", "")).alias("body"), rest.alias("raw")).filter("command != ''")

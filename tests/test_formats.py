@@ -151,3 +151,15 @@ def test_format_names(spark, tmp_path):
     assert rows(formats.read_newick(spark, q), "tree_id", "newick") == [(0, "[&U]('a; b',c[&x=1]);"), (1, "(c,'it''s');")]
     notes = spark.createDataFrame([(0, "('a b'[&&NHX:S=x y:E=1.1]:1,c:2[&r=3,k={1}])d;")], "tree_id int, newick string")
     assert rows(formats.newick_notes(notes), "label", "key", "value") == [("a b", "E", "1.1"), ("a b", "S", "x y"), ("c", "k", "{1}"), ("c", "r", "3")]
+
+
+def test_commands_leave_a_task_text_by_text(spark, tmp_path):
+    from codonloom.functions import comments
+    from codonloom.sources.formats import nexus_commands
+
+    texts = [("a", "x [c] y; 'p;q' [&k]z;rest"), ("b", None), ("c", ""), ("d", "m;n;"), ("e", "A" * (comments.SENT + 1) + ";" + "B;" * 3)]
+    got = {tuple(r) for r in comments.command_rows(spark.createDataFrame(texts, "file string, text string").coalesce(1), "notes").collect()}
+    assert got == {(f, k, *p) for f, t in texts if t for k, p in enumerate(comments.pieces(t, "notes"))} and len(got) == 9
+    (tmp_path / "a.nex").write_text("#NEXUS BEGIN TAXA; TAXLABELS a b; END;")
+    plan = nexus_commands(spark, str(tmp_path / "a.nex"))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan  # which held the commands of all texts of a batch
